@@ -127,7 +127,7 @@ def _calibrate(scores: np.ndarray, bias: np.ndarray, held: list[tuple[str, int]]
     sizes = np.array([len(_bytes(t)) - 4 for t, _ in texts])
     y = np.array([label for _, label in texts])
     at = np.arange(len(y))
-    grid = [(a, b) for a in np.geomspace(0.05, 5, 12) for b in (0, *np.geomspace(0.5, 60, 12))]
+    grid = [(a, b) for a in np.geomspace(0.05, 200, 18) for b in (0, *np.geomspace(0.5, 3000, 18))]
     best = min(grid, key=lambda t: -np.log(_tempered(z, sizes, t)[at, y] + 1e-12).mean())
     sure = np.sort(_tempered(z[: len(held)], sizes[: len(held)], best).max(axis=1))
     return (float(best[0]), float(best[1])), float(min(REJECT_CEILING, sure[int(REJECT_SHARE * len(sure))]))
