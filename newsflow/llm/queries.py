@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.llm import chat_format, decontaminate, language_id, license_scan, ngram_join, packing, secret_scan, token_output
+from newsflow.llm import chat_format, decontaminate, embedding_dedup, language_id, license_scan, ngram_join, packing, secret_scan, token_output
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,12 +54,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard_join": OP4_SQL, "op6_chat_formatting": OP6_SQL, "op9_decontamination": OP9_SQL}
+    return {"op4_ngram_jaccard_join": OP4_SQL, "op6_chat_formatting": OP6_SQL, "op9_decontamination": OP9_SQL, "op10_embedding_near_dedup": OP10_SQL}
 
 
 OP6_SQL = """
@@ -115,3 +119,20 @@ reach AS (SELECT a AS doc_id, b AS seen FROM both_ways UNION SELECT reach.doc_id
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(r.least_id, w.doc_id)) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(seen) AS least_id FROM reach GROUP BY doc_id) r ON r.doc_id = w.doc_id
 """
+
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+g AS (
+  SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS len FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.len > 0 AND b.len > 0 AND list_dot_product(a.e, b.e) / (a.len * b.len) >= 0.98),
+reach AS (SELECT a AS vec_id, b AS seen FROM link UNION SELECT reach.vec_id, link.b FROM reach JOIN link ON reach.seen = link.a),
+r AS (SELECT vec_id, min(seen) AS least_id FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(v.vec_id, coalesce(r.least_id, v.vec_id)) AS component_id,
+       v.vec_id = least(v.vec_id, coalesce(r.least_id, v.vec_id)) AS kept
+FROM v LEFT JOIN n USING (vec_id) LEFT JOIN r USING (vec_id)
+"""

@@ -68,6 +68,17 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Up to so many ids (8 bytes each) are sent to every executor; more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without_ids(df: DataFrame, key: str, ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """``df`` without the rows whose ``key`` is in the one-column ``ids``; rows of a null key stay."""
+    ids = materialize(ids.toDF("_gone").where("_gone IS NOT NULL").distinct(), "ids")
+    gone = F.broadcast(ids) if ids.count() <= limit else ids
+    return df.join(gone, df[key] == F.col("_gone"), "left_anti")
+
+
 def components(edges: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as ``(node, component)``, component = least node.
 

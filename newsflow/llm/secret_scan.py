@@ -26,6 +26,8 @@ RANDOM_RUN = r"[A-Za-z0-9+/_=-]{20,}"
 
 KINDS = {"assign": 0, "access": 1, "hex": 2, "owned": 3}
 REDACTED = "[SECRET]"
+#: Up to so many documents with spans these are sent to every executor; more are joined by shuffle.
+BROADCAST_SPANS = 200_000
 
 
 def _matches(text: Column, pattern: str, kind: str, keep, value=None) -> Column:
@@ -68,6 +70,7 @@ def find_candidates(documents: DataFrame) -> DataFrame:
         _matches(text, HEX, "hex", lambda m: F.char_length(m) >= 16))
     more = _matches(text, RANDOM_RUN, "owned", _looks_random)
     rows = documents.select("doc_id", F.coalesce("source", F.lit("\x00")).alias("source"), F.monotonically_increasing_id().alias("rid"),
+                            F.xxhash64(text).alias("text_hash"),
                             F.array_sort(base).alias("base"), more.alias("more"))
     return rows.withColumn("more", F.filter("more", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))
 
@@ -85,7 +88,7 @@ def _hashes():
 
 
 def scan_secrets(documents: DataFrame, max_owners: int = 1) -> DataFrame:
-    """(doc_id, rid, base, added, n_live, n_example): spans of each document and their classes."""
+    """(doc_id, rid, text_hash, base, added, n_live, n_example): spans of each document and their classes."""
     found = materialize(find_candidates(documents), "secret-candidates")
     verdict = materialize(ownership(found).withColumn("live", F.col("n_owners") <= max_owners), "secret-owners")
     each = found.select("rid", F.explode(F.concat("base", "more")).alias("c")).select("rid", "c", *_hashes())
@@ -95,7 +98,7 @@ def scan_secrets(documents: DataFrame, max_owners: int = 1) -> DataFrame:
         F.count_if((F.col("c.kind") != "owned") & ~F.col("live")).alias("n_example"))
     none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,value:string>>)")
     return found.join(judged, "rid", "left").select(
-        "doc_id", "rid", "base", F.coalesce("added", none).alias("added"),
+        "doc_id", "rid", "text_hash", "base", F.coalesce("added", none).alias("added"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
 
 
@@ -113,3 +116,18 @@ def redact_text(text: Column, spans: Column) -> Column:
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, 2**31 - 1)))
+
+
+def redact_documents(documents: DataFrame) -> DataFrame:
+    """``documents`` with every reported span replaced; a column ``n_chars`` follows a changed text."""
+    found = scan_secrets(documents).select("doc_id", "text_hash", F.concat("base", "added").alias("spans")).where("size(spans) > 0")
+    found = materialize(found.dropDuplicates(["doc_id", "text_hash"]), "secret-spans").select(
+        F.col("doc_id").alias("_span_doc"), F.col("text_hash").alias("_span_hash"), F.col("spans").alias("_spans"))
+    if found.count() <= BROADCAST_SPANS:
+        found = F.broadcast(found)
+    same = documents["doc_id"].eqNullSafe(F.col("_span_doc")) & (F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == F.col("_span_hash"))
+    out = documents.join(found, same, "left").withColumn("_clean", F.when(F.col("_spans").isNotNull(), redact_text(F.col("text"), F.col("_spans"))))
+    changed = {"text": F.coalesce("_clean", "text")}
+    if "n_chars" in documents.columns:
+        changed["n_chars"] = F.when(F.col("_clean").isNull(), F.col("n_chars")).otherwise(F.char_length("_clean")).cast(documents.schema["n_chars"].dataType)
+    return out.withColumns(changed).select(*documents.columns)
