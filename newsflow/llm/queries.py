@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.llm import chat_format, decontaminate, embedding_dedup, language_id, license_scan, ngram_join, packing, secret_scan, token_output
+from newsflow.llm import chat_format, decontaminate, embedding_dedup, language_id, license_scan, ngram_join, packing, secret_scan, suffix_dedup, token_output
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_read(spark, sf_dir, "documents"))
 
