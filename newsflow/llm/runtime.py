@@ -9,13 +9,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsflow.ship import ship_package
+
+__all__ = ["components", "materialize", "n_parts", "new_path", "shared_dir", "ship_package", "without_ids"]
+
 _own_dir: str | None = None
 
 
@@ -32,22 +34,6 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per context (no shared folder or install needed)."""
-    context = spark.sparkContext
-    if getattr(context, "_newsflow_shipped", False):
-        return
-    context._newsflow_shipped = True
-    top = Path(__file__).resolve().parent.parent
-    holder = tempfile.TemporaryDirectory(prefix="newsflow-code-")
-    atexit.register(holder.cleanup)
-    archive = Path(holder.name, "newsflow.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    context.addPyFile(str(archive))
-
-
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/newsflow/{label}-{uuid.uuid4().hex}"
 
