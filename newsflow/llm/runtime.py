@@ -1,59 +1,15 @@
-"""Shared plumbing: intermediate tables in the shared folder, row ids, connected components.
-
-Intermediate results are written as Parquet below ``spark.checkpoint.dir``, which the driver and
-every executor can reach, so losing an executor costs a few re-run tasks and never a result.
-"""
+"""Plumbing that the operators share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from newsflow.ship import ship_package
+from newsflow.tables import components, materialize, n_parts, new_path, shared_dir
 
 __all__ = ["components", "materialize", "n_parts", "new_path", "shared_dir", "ship_package", "without_ids"]
 
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a private one only where that is unset (tests)."""
-    global _own_dir
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if _own_dir is None:
-        holder = tempfile.TemporaryDirectory(prefix="newsflow-")
-        atexit.register(holder.cleanup)
-        _own_dir = holder.name
-    return f"file://{_own_dir}"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/newsflow/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(_nullable(df.schema)).parquet(path)
-
-
-def _nullable(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
-
-
-def n_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 #: Up to so many ids (8 bytes each) are sent to every executor; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -63,34 +19,3 @@ def without_ids(df: DataFrame, key: str, ids: DataFrame, limit: int = BROADCAST_
     ids = materialize(ids.toDF("_gone").where("_gone IS NOT NULL").distinct(), "ids")
     gone = F.broadcast(ids) if ids.count() <= limit else ids
     return df.join(gone, df[key] == F.col("_gone"), "left_anti")
-
-
-def components(edges: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a long, b long)`` as ``(node, component)``, component = least node.
-
-    Alternating large-star and small-star rounds; each needs a map-side-combined minimum per node and
-    one join on the node (which adaptive execution may split for a hub).  Nodes without an edge to
-    another node are not listed.  Every round is a table in the shared folder.
-    """
-    links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    links = materialize(links.distinct(), label)
-    state = None
-    for _ in range(max_rounds):
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # large star keeps a node's own link to its least neighbour through the neighbour's star
-        large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        large = materialize(large, label)
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array("a", "b")).alias("v"), "m").where("v <> m")
-        small = small.select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        links = materialize(small, label)
-        seen = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"),
-                         F.countDistinct("a").alias("d")).first()
-        if (seen["n"], seen["h"]) == state or seen["n"] == 0:
-            break
-        state = (seen["n"], seen["h"])
-    else:
-        raise RuntimeError("components did not settle")
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
