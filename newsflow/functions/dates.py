@@ -26,7 +26,8 @@ def zone_seconds(zone: Column) -> Column:
     digits = F.regexp_replace(zone, "[^0-9]", "")
     hours, minutes = F.left(digits, F.lit(2)).try_cast("int"), F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
     signed = F.when(zone.startswith("-"), -1).otherwise(1) * (hours * 3600 + minutes * 60)
-    named = F.coalesce(*[F.when(F.lower(zone) == z, F.lit(h * 3600)) for z, h in ZONES.items()], F.lit(0))
+    known = F.create_map(*[F.lit(x) for z, h in ZONES.items() for x in (z, h * 3600)])
+    named = F.coalesce(F.try_element_at(known, F.lower(zone)), F.lit(0))
     return F.when(zone.rlike("^[+-]"), F.coalesce(signed, F.lit(0))).otherwise(named)
 
 
@@ -49,7 +50,7 @@ def parse_mail(text: Column) -> Column:
     """``[Day, ]D Mon YYYY HH:MM[:SS] [zone]``; years of two digits are of this century."""
     part = lambda k: F.regexp_extract(text, MAIL, k)
     number = lambda k: part(k).try_cast("int")
-    month = F.coalesce(*[F.when(F.lower(part(2)) == m, F.lit(k + 1)) for k, m in enumerate(MONTHS)])
+    month = F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(part(2))).cast("int"), F.lit(0))
     year = F.when(number(3) < 100, number(3) + 2000).otherwise(number(3))
     second = F.when(part(6) == "", 0).otherwise(number(6))
     return F.when(text.rlike(MAIL) & month.isNotNull(), _epoch(year, month, number(1), number(4), number(5), second, zone_seconds(part(7))))
@@ -58,9 +59,9 @@ def parse_mail(text: Column) -> Column:
 def parse_date(raw: Column, now_ms: int | Column) -> Column:
     """Epoch milliseconds, or null for what is no date or lies more than an hour ahead of ``now_ms``."""
     now = F.lit(now_ms) if isinstance(now_ms, int) else now_ms
-    text = trim_all(raw)
-    out = F.coalesce(parse_iso(text), parse_mail(text))
-    return F.when(out <= now + SKEW, out)
+    # bound once, so that the many groups of both patterns don't swell the generated code
+    out = F.transform(F.array(trim_all(raw)), lambda t: F.coalesce(parse_iso(t), parse_mail(t)))[0]
+    return F.get(F.filter(F.array(out), lambda ms: ms <= now + SKEW), F.lit(0))
 
 
 def day_bucket(published_at: Column) -> Column:

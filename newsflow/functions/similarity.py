@@ -22,14 +22,15 @@ def grams(text: Column, n: int = GRAM) -> Column:
     return F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(padded, i, F.lit(n)))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def profile(text: Column, n: int = GRAM) -> Column:
     """map<gram, count>."""
-    each = F.array_sort(grams(text, n))
-    names = F.array_distinct(each)
-    # counts from the sorted array: places of first occurrence differ by the count
-    places = F.transform(names, lambda g: F.array_position(each, g))
-    ends = F.concat(F.slice(places, 2, F.greatest(F.size(places), F.lit(1))), F.array(F.size(each).cast("long") + 1))
-    return F.map_from_arrays(names, F.zip_with(places, ends, lambda a, b: (b - a).cast("int")))
+    count = lambda each, g: F.struct(g.alias("gram"), F.size(F.filter(each, lambda x: x == g)).alias("count"))
+    return bound(grams(text, n), lambda each: F.map_from_entries(F.transform(F.array_distinct(each), lambda g: count(each, g))))
 
 
 def magnitude(counts: Column) -> Column:
@@ -38,9 +39,12 @@ def magnitude(counts: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Of two profiles."""
-    dot = F.aggregate(F.map_entries(a), F.lit(0.0), lambda acc, e: acc + F.coalesce(F.try_element_at(b, e["key"]).cast("double"), F.lit(0.0)) * e["value"])
-    size = magnitude(a) * magnitude(b)
-    return F.when(size > 0, dot / size).otherwise(F.lit(0.0))
+    def of(p):
+        dot = F.aggregate(F.map_entries(p["a"]), F.lit(0.0), lambda acc, e: acc + F.coalesce(F.try_element_at(p["b"], e["key"]).cast("double"), F.lit(0.0)) * e["value"])
+        size = magnitude(p["a"]) * magnitude(p["b"])
+        return F.when(size > 0, dot / size).otherwise(F.lit(0.0))
+
+    return bound(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def text_cosine(a: Column, b: Column, n: int = GRAM) -> Column:

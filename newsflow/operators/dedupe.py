@@ -94,19 +94,20 @@ def _prefixes(rows: DataFrame, terms: Column, light: float, cosine: bool) -> Dat
 
 def similar_pairs(rows: DataFrame) -> DataFrame:
     """(a, b) nodes, a < b, whose titles are similar within the window; ``rows`` has node, normalized_title, published_at."""
-    slim = materialize(rows.select("node", "normalized_title", "published_at", day_bucket(F.col("published_at")).alias("bucket")), "titles")
-    tokens = F.array_distinct(F.filter(F.split("normalized_title", " "), lambda t: t != ""))
-    by_token = _prefixes(slim.where("normalized_title <> ''"), tokens, similarity.BOTH_JACCARD, False).withColumn("kind", F.lit(0))
+    title = F.col("normalized_title")
+    tokens = F.array_distinct(F.filter(F.split(title, " "), lambda t: t != ""))
+    slim = materialize(rows.select("node", "normalized_title", "published_at", day_bucket(F.col("published_at")).alias("bucket"), tokens.alias("tokens"),
+                                   similarity.profile(title).alias("grams")), "titles")
+    by_token = _prefixes(slim.where("normalized_title <> ''"), F.col("tokens"), similarity.BOTH_JACCARD, False).withColumn("kind", F.lit(0))
     by_gram = _prefixes(slim, similarity.grams(F.col("normalized_title")), similarity.COSINE, True).withColumn("kind", F.lit(1))
     terms = materialize(by_token.unionByName(by_gram).join(slim.select("node", "bucket", "published_at"), "node"), "terms")
     left = terms.select(F.col("node").alias("a"), "kind", "term", "published_at", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
     right = terms.select(F.col("node").alias("b"), "kind", "term", F.col("published_at").alias("other_at"), "bucket")
     near = (left.join(right, ["kind", "term", "bucket"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("published_at") - F.col("other_at")) <= WINDOW))
             .select("a", "b").distinct())
-    side = lambda name, k: slim.select(F.col("node").alias(name), F.col("normalized_title").alias(f"t{k}"))
+    side = lambda name, k: slim.select(F.col("node").alias(name), F.col("tokens").alias(f"t{k}"), F.col("grams").alias(f"g{k}"))
     both = near.join(side("a", 1), "a").join(side("b", 2), "b")
-    words = lambda c: F.filter(F.split(c, " "), lambda t: t != "")
-    both = both.withColumn("j", similarity.jaccard(words(F.col("t1")), words(F.col("t2")))).withColumn("c", similarity.cosine(similarity.profile(F.col("t1")), similarity.profile(F.col("t2"))))
+    both = both.withColumn("j", similarity.jaccard(F.col("t1"), F.col("t2"))).withColumn("c", similarity.cosine(F.col("g1"), F.col("g2")))
     return both.where(similarity.duplicates(F.col("j"), F.col("c"))).select("a", "b", "j", "c")
 
 

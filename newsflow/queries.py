@@ -204,7 +204,7 @@ def t01_parse_date(spark, d):
                                            dates.parse_date(F.date_format(ts, "yyyy-MM-dd'T'HH:mm'+03:00'"), far).alias("short"), dates.parse_date(F.lit("2026-02-30T10:00:00Z"), far).alias("bad"))
 
 
-@query("SELECT event_id, epoch_ms(ts) // 43200000 AS day_bucket FROM events")
+@query("SELECT event_id, (epoch_us(ts) // 1000) // 43200000 AS day_bucket FROM events")
 def t06_bucket(spark, d):
     return read(spark, d, "events").select("event_id", dates.day_bucket(F.unix_millis(F.col("ts").cast("timestamp"))).alias("day_bucket"))
 
@@ -212,7 +212,7 @@ def t06_bucket(spark, d):
 _MONTHS = _sql_list(dates.ARABIC_MONTHS)
 
 
-@query(f"""WITH e AS (SELECT event_id, greatest(m.now - epoch_ms(ts), 0) AS gone, ts FROM events, (SELECT max(epoch_ms(ts)) AS now FROM events) m)
+@query(f"""WITH e AS (SELECT event_id, greatest(m.now - (epoch_us(ts) // 1000), 0) AS gone, ts FROM events, (SELECT max((epoch_us(ts) // 1000)) AS now FROM events) m)
 SELECT event_id, CASE WHEN gone < 60000 THEN 'الآن'
   WHEN gone // 60000 < 60 THEN CASE gone // 60000 WHEN 1 THEN 'قبل دقيقة' WHEN 2 THEN 'قبل دقيقتين' ELSE 'قبل ' || gone // 60000 || CASE WHEN gone // 60000 <= 10 THEN ' دقائق' ELSE ' دقيقة' END END
   WHEN gone // 3600000 < 24 THEN CASE gone // 3600000 WHEN 1 THEN 'قبل ساعة' WHEN 2 THEN 'قبل ساعتين' ELSE 'قبل ' || gone // 3600000 || CASE WHEN gone // 3600000 <= 10 THEN ' ساعات' ELSE ' ساعة' END END
@@ -445,13 +445,13 @@ def d09_losses(spark, d):
 
 # -- events as a timeline --------------------------------------------------------------------------------
 
-@query("SELECT event_id, epoch_ms(ts) AS published_at FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")
+@query("SELECT event_id, (epoch_us(ts) // 1000) AS published_at FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")
 def e02_latest_events(spark, d):
     rows = read(spark, d, "events").select(F.unix_millis(F.col("ts").cast("timestamp")).alias("published_at"), F.col("event_id").alias("id"))
     return store.latest(rows).select(F.col("id").alias("event_id"), "published_at")
 
 
-@query("SELECT event_type, count(*) AS n, max(epoch_ms(ts)) AS newest FROM events WHERE epoch_ms(ts) >= (SELECT max(epoch_ms(ts)) FROM events) - 172800000 GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n, max((epoch_us(ts) // 1000)) AS newest FROM events WHERE (epoch_us(ts) // 1000) >= (SELECT max((epoch_us(ts) // 1000)) FROM events) - 172800000 GROUP BY event_type")
 def e13_recent_by_type(spark, d):
     rows = read(spark, d, "events").select("event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("published_at"))
     newest = rows.agg(F.max("published_at")).first()[0]
