@@ -8,7 +8,7 @@ The greedy pass is order-dependent, so it runs exactly, but only inside groups t
   term in order of rarity lies in both prefixes, beyond which the rest is too light for the threshold, so
   nothing is lost and no common term is joined on.
 
-Rows tied to nothing are inserted by a filter; the rest go through ``applyInPandas`` per connected component.
+Rows tied to nothing are inserted by a filter; the rest go through ``applyInArrow`` per connected component.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -191,15 +191,18 @@ def resolve_rows(records: list[dict]) -> Iterator[tuple[str, _Row | str]]:
             yield "update", r
 
 
-def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+_RESOLVED = pa.schema([("outcome", pa.string()), *((c.split()[0], _ARROW[c.split()[1]]) for c in ARTICLE_COLUMNS.split(", "))])
+
+
+def _resolve(table: pa.Table) -> pa.Table:
     out = []
-    clean = pdf.astype(object).where(pdf.notna(), None)
-    for outcome, what in resolve_rows(clean.to_dict("records")):
+    for outcome, what in resolve_rows(table.to_pylist()):
         if isinstance(what, str):
             out.append({"outcome": outcome, "source_id": what})
         else:
             out.append({"outcome": outcome, **{c: getattr(what, c) for c in _NAMES}, "duplicate_source_ids": list(what.duplicates), "day_bucket": int(what.published_at / WINDOW)})
-    return pd.DataFrame(out, columns=["outcome", *_NAMES]).astype({c: object for c in _NAMES})
+    return pa.Table.from_pylist(out, schema=_RESOLVED)
 
 
 def dedupe(scored: DataFrame, existing: DataFrame, sources: DataFrame, now_ms: int, seen_in_feed: bool = False) -> Resolved:
@@ -209,8 +212,10 @@ def dedupe(scored: DataFrame, existing: DataFrame, sources: DataFrame, now_ms: i
     ties = _star(rows, "canonical_url").unionByName(_star(rows, "title_hash")).unionByName(similar_pairs(rows).select("a", "b"))
     # two titles without tokens have one hash, so they are tied already
     joined = components(ties, "stories")
+    heads = joined.select("component").distinct().select(F.col("component").alias("node"), "component")
+    joined = materialize(joined.unionByName(heads), "members")
     tied = rows.join(joined, "node")
-    resolved = materialize(tied.groupBy("component").applyInPandas(_resolve, f"outcome string, {ARTICLE_COLUMNS}"), "resolved")
+    resolved = materialize(tied.groupBy("component").applyInArrow(_resolve, f"outcome string, {ARTICLE_COLUMNS}"), "resolved")
     alone = rows.where("NOT stored").join(joined, "node", "left_anti").select(*_NAMES)
     count = lambda outcome: resolved.where(F.col("outcome") == outcome).groupBy("source_id").agg(F.count("*").alias("n"))
     return Resolved(alone.unionByName(resolved.where("outcome = 'insert'").select(*_NAMES)), resolved.where("outcome = 'update'").select(*_NAMES), count("merged_away"), count("already_stored"))

@@ -9,11 +9,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsflow.ship import ship_package
 
 _own_dir: str | None = None
 
@@ -51,14 +55,43 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:
+#: Up to so many links (16 bytes each) one task joins; more take distributed rounds.
+SMALL_LINKS = 2_000_000
+
+
+def least_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all links of a task: labels fall to the least neighbour's, halving paths, until they rest."""
+    ends = [np.stack([b.column("a").to_numpy(), b.column("b").to_numpy()], axis=1) for b in batches if b.num_rows]
+    if not ends:
+        return
+    names, flat = np.unique(np.concatenate(ends), return_inverse=True)
+    one, two = flat.reshape(-1, 2).T
+    label = np.arange(len(names))
+    while True:
+        low = np.minimum(label[one], label[two])
+        new = label.copy()
+        for at in (one, two, label[one], label[two]):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    kept = np.flatnonzero(label != np.arange(len(names)))
+    yield pa.RecordBatch.from_arrays([pa.array(names[kept]), pa.array(names[label[kept]])], names=["node", "component"])
+
+
+def components(edges: DataFrame, label: str = "components", max_rounds: int = 60, small: int = SMALL_LINKS) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as ``(node, component)``, component = least node.
 
-    Alternating large-star and small-star rounds; each needs a map-side-combined minimum per node and
-    one join on the node (which adaptive execution may split for a hub).  Nodes without an edge to
-    another node are not listed.  Every round is a table in the shared folder.
+    Few links (a checked bound) are joined by one task.  More take alternating large-star and small-star rounds; each needs a map-side-combined minimum per node and
+    one join on the node (which adaptive execution may split for a hub).  Least nodes and nodes without
+    an edge to another are not listed.  Every round is a table in the shared folder.
     """
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = materialize(links, label)
+    if links.count() <= small:
+        ship_package(links.sparkSession)
+        return materialize(links.coalesce(1).mapInArrow(least_members, "node long, component long"), label)
     links = materialize(links.distinct(), label)
     state = None
     for _ in range(max_rounds):
