@@ -36,7 +36,8 @@ from newsflow.llm.shingles import mix, powers
 LENGTH, K = 50, 16
 #: Bytes of text that are handled at once.
 BATCH = 4 << 20
-NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Up to so many ids (8 bytes each) are sent to every executor; beyond, all texts are shuffled.
+BROADCAST_IDS = 2_000_000
 
 _PACKED = "kind int, key long, batch long, a binary, b binary, c binary, d binary"
 _PACKED_SCHEMA = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("batch", pa.int64()), *((x, pa.binary()) for x in "abcd")])
@@ -166,8 +167,7 @@ def _anchors(parts: int):
                     h, doc, place, known = h[go], doc[go], place[go], known[go]
                     part = (h % np.uint64(parts)).astype(np.int64)
                     for p, at in _by_part(part):
-                        rows.append(_row(GROUPED, p, batch, (h[at] >> np.uint64(32)).astype("<u4"), doc[at].astype("<u4"), place[at].astype("<u4"),
-                                         np.concatenate([known[at].astype(np.uint8), ids[doc[at]].astype("<i8").view(np.uint8)])))
+                        rows.append(_row(GROUPED, p, batch, (h[at] >> np.uint64(32)).astype("<u4"), doc[at].astype("<u4"), place[at].astype("<u4"), known[at].astype(np.uint8)))
                 yield from _table(rows).to_batches()
 
     return run
@@ -183,10 +183,10 @@ def _per_batch(batch_of: np.ndarray, names: list[int], *columns: np.ndarray) ->
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Minimizers that documents of different ids have, back to their batches."""
+    """Minimizers that different documents have, back to their batches (a repeated id only adds candidates)."""
     if table.column("kind")[0].as_py() != GROUPED:
         return table
-    names, tags, docs, places, marks, ids, batch_of = [], [], [], [], [], [], []
+    names, tags, docs, places, marks, batch_of = [], [], [], [], [], []
     for batch, a, b, c, d in _unpacked(table):
         n = len(a) // 4
         batch_of.append(np.full(n, len(names)))
@@ -194,11 +194,11 @@ def _shared(table: pa.Table) -> pa.Table:
         tags.append(np.frombuffer(a, "<u4"))
         docs.append(np.frombuffer(b, "<u4"))
         places.append(np.frombuffer(c, "<u4"))
-        marks.append(np.frombuffer(d, np.uint8, n).astype(bool))
-        ids.append(np.frombuffer(d, "<i8", n, n))
-    tag, doc, place, mark, ident, batch_of = (np.concatenate(x) for x in (tags, docs, places, marks, ids, batch_of))
+        marks.append(np.frombuffer(d, np.uint8).astype(bool))
+    tag, doc, place, mark, batch_of = (np.concatenate(x) for x in (tags, docs, places, marks, batch_of))
     order = np.argsort(tag, kind="stable")
-    tag, doc, place, mark, ident, batch_of = (x[order] for x in (tag, doc, place, mark, ident, batch_of))
+    tag, doc, place, mark, batch_of = (x[order] for x in (tag, doc, place, mark, batch_of))
+    ident = (batch_of.astype(np.int64) << 32) | doc
     lead = np.flatnonzero(np.concatenate([[True], tag[1:] != tag[:-1]]))
     shared = (np.minimum.reduceat(ident, lead) != np.maximum.reduceat(ident, lead)) | np.logical_or.reduceat(mark, lead)
     keep = np.repeat(shared, np.diff(np.append(lead, len(tag)))) & ~mark
@@ -290,18 +290,18 @@ def _cut_stretches(parts: int):
     return run
 
 
-def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first ``depth`` symbols (at least), by doubling from packed sevens."""
+def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order of their first ``depth`` symbols (at least), by doubling from packed sevens; and these."""
     n = len(symbols)
     padded = np.concatenate([symbols.astype(np.uint64), np.zeros(7, np.uint64)])
     key = np.zeros(n, np.uint64)
     for k in range(7):
         key = (key << np.uint64(9)) | padded[k:n + k]
-    done = 7
+    sevens, done = key, 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if done >= depth:
-            return order
+            return order, sevens
         ordered = key[order]
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])).astype(np.uint64) + np.uint64(1)
@@ -316,10 +316,11 @@ def prefix_classes(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
 
     Breadth-first backward extension: ``border[i]`` tells that suffixes i-1 and i have a common prefix below
     the current length.  An interval of strings of length l + 1 is followed up only if extending found its right
-    border with common prefix l, so every border is found once, by increasing value.
+    border with common prefix l, so every border is found once, by increasing value.  Common prefixes below 7
+    are read off the packed first symbols, which stand for the first seven, widest, rounds.
     """
     n = len(symbols)
-    order = suffix_array(symbols, length)
+    order, sevens = suffix_array(symbols, length)
     bwt = symbols[order - 1]
     by_symbol = np.argsort(bwt, kind="stable")
     forward = np.empty(n, np.int64)
@@ -327,8 +328,19 @@ def prefix_classes(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
     lead = symbols[order]
     border = np.zeros(n + 1, bool)
     border[0] = border[n] = True
-    left, right = np.array([0]), np.array([n - 1])
-    for _ in range(length):
+    left, right, known = np.array([0]), np.array([n - 1]), 0
+    if length >= 7:
+        packed = sevens[order]
+        apart = packed[1:] ^ packed[:-1]
+        border[1:n] = apart != 0
+        starts = np.flatnonzero(border[:n])
+        ends = np.append(starts[1:], n) - 1
+        live = np.zeros(len(starts), bool)
+        live[:-1] = apart[ends[:-1]] >> np.uint64(9) == 0  # a right border of common prefix 6
+        left, right, known = starts[live], ends[live], 7
+    for _ in range(known, length):
+        if not len(left):
+            break
         sizes = right - left + 1
         owner = np.repeat(np.arange(len(left)), sizes)
         rows = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(left, sizes)
@@ -341,8 +353,6 @@ def prefix_classes(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
         fresh = ~border[right + 1]
         left, right = left[fresh], right[fresh]
         border[right + 1] = True
-        if not len(left):
-            break
     return order, np.flatnonzero(border[:n])
 
 
@@ -411,7 +421,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
-def remove_repeats(documents: DataFrame) -> DataFrame:
+def remove_repeats(documents: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): ``kept`` are the remaining bytes."""
     spark = documents.sparkSession
     ship_package(spark)
@@ -424,5 +434,11 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     cut = named.join(wanted, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "items").mapInArrow(_cut_stretches(parts), _PACKED)
     gone = cut.groupBy("kind", "key").applyInArrow(_expand, _PACKED).groupBy("batch").applyInArrow(_per_document("stretches"), "doc_id long, text_hash long, items binary")
     gone = materialize(gone.groupBy("doc_id", "text_hash").agg(F.min("items").alias("items")), "suffix-spans")
-    return docs.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "text", "items").mapInArrow(
-        _apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    ids = materialize(gone.select("doc_id").distinct(), "suffix-ids")
+    if ids.count() > broadcast_ids:
+        return docs.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "text", "items").mapInArrow(_apply, columns)
+    # documents that lose nothing are not shuffled
+    hit = docs.join(F.broadcast(ids), "doc_id", "left_semi").join(gone.hint("merge"), ["doc_id", "text_hash"], "left").select("doc_id", "text", "items")
+    rest = docs.join(F.broadcast(ids), "doc_id", "left_anti").select("doc_id", "text", F.lit(None).cast("binary").alias("items"))
+    return hit.unionByName(rest).mapInArrow(_apply, columns)
