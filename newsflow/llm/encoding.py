@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
+
 _LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
 #: Entries kept per process; the cache then starts anew.
 CACHE_ENTRIES = 1_000_000
@@ -52,83 +54,61 @@ class CachedEncoder:
         self.width = 2 if size <= 1 << 16 else 4
         self.dtype = "<u2" if self.width == 2 else "<u4"
         self.folds = "Lowercase" in json.dumps(rules.get("normalizer"))
-        self.inner: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.inner = _Pieces(self, " " if self.cut == "before space" else "")
+        self.first = _Pieces(self, "") if self.cut == "before space" else self.inner
+        self.marks = dict(zip(".,\n", self._encode([".", ",", "\n"]), strict=True))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         batch = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in batch]
 
-    def _encode_words(self, words: list[str], lead: str) -> list[bytes]:
-        """Words of Latin letters are one pre-token each and go straight to the library's model."""
-        import numpy as np
-
-        ids, rest = {}, []
-        tokenize = self.tokenizer.model.tokenize
-        for w in words:
-            if w.isalpha() and max(w) < "\u0130":
-                spelled = (lead + (w.lower() if self.folds else w)).encode().decode("latin-1").translate(_SPELLED)
-                ids[w] = np.array([t.id for t in tokenize(spelled)], self.dtype).tobytes()
-            else:
-                rest.append(w)
-        ids |= zip(rest, self._encode([lead + w for w in rest]), strict=True)
-        return [ids[w] for w in words]
-
-    def _parts(self, piece: str) -> list[str] | None:
-        """Pieces that end in one mark after a letter are that word and that mark."""
-        if len(piece) > 1 and piece[-1] in ".," and piece[-2].isalpha():
-            return [piece[:-1]]
-        return None
-
-    def _fill(self, known: dict[str, bytes], wanted: set[str], lead: str) -> None:
-        if not wanted:
-            return
-        stems = {p: s[0] for p in wanted if (s := self._parts(p))}
-        plain = [p for p in {*(wanted - stems.keys()), *(s for s in stems.values() if s not in known)}]
-        for p, ids in zip(plain, self._encode_words(plain, lead), strict=True):
-            known[p] = ids
-        marks = dict(zip(".,", self._encode([".", ","]), strict=True))
-        for p, s in stems.items():
-            known[p] = known[s] + marks[p[-1]]
+    def _encode_piece(self, piece: str, lead: str) -> bytes:
+        """One piece; Latin words are one pre-token each and go straight to the library's model."""
+        if piece.isalpha() and max(piece) < "\u0130":
+            spelled = (lead + (piece.lower() if self.folds else piece)).encode().decode("latin-1").translate(_SPELLED)
+            return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], self.dtype).tobytes()
+        return self._encode([lead + piece])[0]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers of ``self.width`` bytes; null is empty."""
-        if len(self.inner) > CACHE_ENTRIES:
-            self.inner.clear()
-        if len(self.first) > CACHE_ENTRIES:
-            self.first.clear()
         if self.cut is None:
             return self._encode([t or "" for t in texts])
+        inner, first = self.inner, self.first
+        for known in (inner, first):
+            if len(known) > CACHE_ENTRIES:
+                known.clear()
         led = self.cut == "before space"
-        split: list[list[str] | None] = []
+        out = []
         for t in texts:
             if not t:
-                split.append([])
-            elif led and _LOOSE_SPACE.search(t):
-                split.append(None)
-            else:
-                split.append(t.split(" "))
-        inner, first = self.inner, self.first
-        missing: set[str] = set()
-        missing_first: set[str] = set()
-        for pieces in split:
-            if pieces:
-                missing.update(pieces[1:] if led else pieces)
-                if led:
-                    missing_first.add(pieces[0])
-        self._fill(inner, {p for p in missing if p not in inner}, " " if led else "")
-        if led:
-            self._fill(first, {p for p in missing_first if p not in first}, "")
-        out = []
-        for t, pieces in zip(texts, split, strict=True):
-            if pieces is None:
-                out.append(self._encode([t])[0])
-            elif not pieces:
                 out.append(b"")
-            elif led:
-                out.append(first[pieces[0]] + b"".join([inner[p] for p in pieces[1:]]))
+            elif not led:
+                out.append(b"".join(map(inner.__getitem__, t.split(" "))))
+            elif _LOOSE_SPACE.search(t):
+                out.append(self._encode([t])[0])
             else:
-                out.append(b"".join([inner[p] for p in pieces]))
+                head, _, rest = t.partition(" ")
+                out.append(first[head] + b"".join(map(inner.__getitem__, rest.split(" "))) if _ else first[head])
         return out
+
+
+class _Pieces(dict):
+    """Encoded pieces by their text.  A missing one is taken apart where no token can span, then encoded."""
+
+    def __init__(self, owner: CachedEncoder, lead: str):
+        self.owner, self.lead = owner, lead
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = None
+        if len(piece) > 1:
+            if piece[-1] in ".," and piece[-2].isalpha():
+                ids = self[piece[:-1]] + self.owner.marks[piece[-1]]
+            elif "\n" in piece:
+                line, _, rest = piece.partition("\n")
+                # a lone line break between characters that are no spaces is a pre-token of its own
+                if line and rest and not line[-1].isspace() and not rest[0].isspace():
+                    ids = self[line] + self.owner.marks["\n"] + self.owner.first[rest]
+        if ids is None:
+            ids = self.owner._encode_piece(piece, self.lead)
+        self[piece] = ids
+        return ids

@@ -3,7 +3,7 @@
 Documents are dealt to shards by ``doc_id`` quantiles, so shards are in ascending order.  A shard's ids are
 stored as bit planes (most significant first), each stably partitioned by its bit; per plane the
 ones before every 512th bit are kept, which makes rank a table look-up and a count of 512 bits at most.  The
-payload is one zlib stream; Spark's own committer writes the files, so a lost executor leaves none half
+payload is one zstd stream; Spark's own committer writes the files, so a lost executor leaves none half
 written and any file system that Spark knows will do.
 
 Defined cases: a null text is empty (only the end id); rows of equal ``doc_id`` stay apart, in order of
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, depth: int) -> "WaveletMatrix":
         planes, now = [], ids
         for b in range(depth - 1, -1, -1):
-            bits = (now >> b) & 1 == 1
+            bits = (now & now.dtype.type(1 << b)).astype(bool)
             planes.append(np.packbits(bits))
             now = np.concatenate([now[~bits], now[bits]])
         return cls(len(ids), planes)
@@ -119,7 +120,7 @@ class WaveletMatrix:
 def pack_shard(ids: np.ndarray, lengths: np.ndarray, depth: int) -> bytes:
     matrix = WaveletMatrix.build(ids, depth)
     body = np.asarray(lengths, "<u4").tobytes() + b"".join(p.tobytes() for p in matrix.planes)
-    return HEAD.pack(MAGIC, len(ids), depth, len(lengths)) + zlib.compress(body, 1)
+    return HEAD.pack(MAGIC, len(ids), depth, len(lengths)) + zstandard.ZstdCompressor(1).compress(body)
 
 
 def open_shard(payload: bytes) -> tuple[WaveletMatrix, np.ndarray]:
@@ -127,7 +128,7 @@ def open_shard(payload: bytes) -> tuple[WaveletMatrix, np.ndarray]:
     magic, n, depth, docs = HEAD.unpack_from(payload)
     if magic != MAGIC:
         raise ValueError("not a wavelet-matrix payload")
-    body = np.frombuffer(zlib.decompress(memoryview(payload)[HEAD.size:]), np.uint8)
+    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(payload)[HEAD.size:]), np.uint8)
     step = (n + 7) // 8
     planes = [body[4 * docs + k * step:4 * docs + (k + 1) * step] for k in range(depth)]
     return WaveletMatrix(n, planes), body[: 4 * docs].view("<u4")
