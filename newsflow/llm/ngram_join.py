@@ -11,7 +11,8 @@ similar sets' sketches agree on a block.
 * Buckets of up to ``COLD`` sets propose all their pairs.  Larger ones are hot, and so is the empty block.  Similar
   sets agree on more blocks than the slack, so a set with no more hot blocks than the slack meets each partner
   in a cold bucket; only sets with more hot blocks than that are compared within hot buckets: first with the bucket's
-  least set, then - across components that verified links have not joined - block by block over their sketches.
+  least set, then - across components that verified links have not joined - chunk by chunk over their sketches, the
+  nearest first, in rounds that allow more each until nothing is left out.
 * Proposed pairs whose whole sketches are too far apart go; the rest are verified on the texts' exact
   shingle sets, links that would join nothing new last, so that groups of near copies need no all-pairs check.
 
@@ -141,21 +142,21 @@ _SIGNED = [("part", pa.int32()), ("node", pa.binary()), ("layout", pa.binary()),
 
 
 def _sign(words: int, parts: int, num: int, den: int):
-    """Fingerprints of every set, packed by bucket part: a row per part and group of texts."""
+    """Fingerprints of every set (48 bits and the part), packed by bucket part: a row per part and group of texts."""
     schema = pa.schema(_SIGNED)
 
     def packed(sigs: list, owners: list, entries: list) -> Iterator[pa.RecordBatch]:
         sig, owner = np.concatenate(sigs), np.concatenate(owners)
         part = (sig % np.uint64(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
-        sig, owner, part = sig[order], owner[order], part[order]
+        sig, owner, part = (sig[order] >> np.uint64(16)), owner[order], part[order]
         edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
         node, layout, empty = (np.array(x) for x in zip(*entries, strict=True))
         rows: list[list] = [[] for _ in schema]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             own, entry = np.unique(owner[a:b], return_inverse=True)
-            for column, v in zip(rows, (int(part[a]), node[own].astype("<i8").tobytes(), layout[own].astype("<i4").tobytes(), empty[own].astype("<i4").tobytes(),
-                                        entry.astype("<u4").tobytes(), sig[a:b].astype("<u8").tobytes()), strict=True):
+            for column, v in zip(rows, (int(part[a]), node[own].astype("<i8").tobytes(), layout[own].astype("<u2").tobytes(), empty[own].astype("<i4").tobytes(),
+                                        entry.astype("<u4").tobytes(), sig[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()), strict=True):
                 column.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
@@ -190,12 +191,15 @@ _FOUND = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), (
 def _bucket(table: pa.Table) -> pa.Table:
     """Kind 0: pairs of a cold bucket (a < b).  Kind 1: a hot bucket a and its member b."""
     nodes, layouts, empties, owners, sigs, base = [], [], [], [], [], 0
+    part = table.column("part")[0].as_py() & 0xFFFF
     for node, layout, empty, entry, sig in zip(*(table.column(c).to_pylist() for c in ("node", "layout", "empty", "entry", "sig")), strict=True):
         nodes.append(np.frombuffer(node, "<i8"))
-        layouts.append(np.frombuffer(layout, "<i4"))
+        layouts.append(np.frombuffer(layout, "<u2"))
         empties.append(np.frombuffer(empty, "<i4"))
         owners.append(np.frombuffer(entry, "<u4").astype(np.int64) + base)
-        sigs.append(np.frombuffer(sig, "<u8"))
+        wide = np.zeros((len(sig) // 6, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(sig, np.uint8).reshape(-1, 6)
+        sigs.append(wide.view("<u8").ravel())
         base += len(nodes[-1])
     node, layout, empty, owner, sig = (np.concatenate(x) for x in (nodes, layouts, empties, owners, sigs))
     order = np.argsort(sig, kind="stable")
@@ -223,7 +227,7 @@ def _bucket(table: pa.Table) -> pa.Table:
     pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0) if left else np.zeros((0, 2), np.int64)
     hot = np.repeat(sizes > COLD, sizes)
     k, h = len(pairs), int(hot.sum())
-    return pa.table([np.repeat(np.array([0, 1], np.int8), [k, h]), np.concatenate([pairs[:, 0], sig[hot].view(np.int64)]), np.concatenate([pairs[:, 1], who[hot]]),
+    return pa.table([np.repeat(np.array([0, 1], np.int8), [k, h]), np.concatenate([pairs[:, 0], ((sig[hot] << np.uint64(16)) | np.uint64(part)).view(np.int64)]), np.concatenate([pairs[:, 1], who[hot]]),
                      np.concatenate([np.zeros(k, np.int32), layout[owner[hot]].astype(np.int32)]), np.concatenate([np.zeros(k, np.int32), empty[owner[hot]].astype(np.int32)])], schema=_FOUND)
 
 
@@ -270,23 +274,42 @@ def _own_texts(words: int):
     return run
 
 
-def _across(num: int, den: int):
-    """Within a chunk pair of a hot bucket: pairs of different components that their sketches allow."""
+def _across(num: int, den: int, most: int):
+    """Within a chunk pair of a hot bucket: each set's ``most`` nearest sets of other components that their
+    sketches allow, and whether there were more."""
 
     def run(table: pa.Table) -> pa.Table:
-        bands = Bands(num, den)
         node, comp, chunk, n = (table.column(c).to_numpy() for c in ("node", "component", "chunk", "n"))
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        sketch = table.column("sketch").to_pylist()
-        found = []
+        raw = table.column("sketch").to_pylist()
+        width = np.array([len(x) for x in raw])
+        by_width = {w: np.flatnonzero((width == w) & (chunk == hi)) for w in np.unique(width).tolist()}
+        stacks = {w: np.frombuffer(b"".join(raw[j] for j in js), np.uint8).reshape(-1, w) for w, js in by_width.items()}
+        left, right, more = [], [], False
         for i in np.flatnonzero(chunk == lo):
-            others = np.flatnonzero((chunk == hi) & (comp != comp[i]) & ((node > node[i]) | (lo != hi)))
-            for j in others:
-                x, y = int(n[i]), int(n[j])
-                if max(x, y) <= bands.most(min(x, y)) and hamming(sketch[i], sketch[j]) <= bands.differ(x + y):
-                    found.append((min(node[i], node[j]), max(node[i], node[j])))
-        found = sorted(set(found))
-        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+            mine = np.frombuffer(raw[i], np.uint8)
+            hits, far = [], []
+            for w, js in by_width.items():
+                if not len(js) or max(w, len(mine)) > 2 * min(w, len(mine)):
+                    continue  # sizes that differ so much are never similar
+                fits = (comp[js] != comp[i]) & ((lo != hi) | (node[js] > node[i])) & (den * np.minimum(n[js], n[i]) >= num * np.maximum(n[js], n[i]))
+                if not fits.any():
+                    continue
+                theirs, size = stacks[w][fits], min(w, len(mine))
+                if w > size:
+                    theirs = theirs[:, :size] ^ theirs[:, size:]
+                apart = np.bitwise_count(theirs ^ fold(mine, size)).sum(axis=1, dtype=np.int64)
+                close = apart <= (n[js][fits] + n[i]) * (den - num) // (den + num)
+                hits.append(js[fits][close])
+                far.append(apart[close])
+            found = np.concatenate(hits) if hits else np.zeros(0, np.int64)
+            if len(found) > most:
+                found = found[np.argsort(np.concatenate(far), kind="stable")[:most]]
+                more = True
+            left.append(np.minimum(node[found], node[i]))
+            right.append(np.maximum(node[found], node[i]))
+        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0) if left else np.zeros((0, 2), np.int64)
+        return pa.table([pairs[:, 0], pairs[:, 1], np.full(len(pairs), more)], names=["a", "b", "more"])
 
     return run
 
@@ -303,7 +326,7 @@ class JaccardJoin:
             F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min_by("sketch", "doc_id").alias("sketch")), "join-nodes")
 
     def proposals(self) -> DataFrame:
-        parts = 4 * n_parts(self.spark)
+        parts = n_parts(self.spark)
         signed = self.documents.mapInArrow(_sign(self.words, parts, self.num, self.den), "part int, node binary, layout binary, empty binary, entry binary, sig binary")
         return materialize(signed.groupBy("part").applyInArrow(_bucket, "kind byte, a long, b long, layout int, empty int"), "join-buckets")
 
@@ -336,15 +359,22 @@ class JaccardJoin:
         side = lambda k: texts.select(F.col("node").alias("ab"[k - 1]), F.col("text").alias(f"t{k}"))
         return materialize(pairs.join(side(1), "a").join(side(2), "b").mapInArrow(_verify(self.words, self.num, self.den), "a long, b long").distinct(), "join-links")
 
-    def across(self, hot: DataFrame, component: DataFrame) -> DataFrame:
-        """Pairs of hot buckets between components."""
+    def across(self, hot: DataFrame, component: DataFrame, most: int, every: bool) -> DataFrame:
+        """(a, b, more): pairs of hot buckets between components, each set's ``most`` nearest per chunk.
+
+        Sets share many buckets; unless ``every`` one is asked for, each set goes to its least bucket only.
+        """
         label = hot.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = label.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y")
-        rows = label.join(mixed.select("bucket", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")), "bucket").join(self.nodes.select("node", "n", "sketch"), "node")
+        rows = label.join(mixed.select("bucket", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")), "bucket")
+        if not every:
+            rows = rows.join(rows.groupBy("node").agg(F.min("bucket").alias("bucket")), ["node", "bucket"])
+        rows = rows.join(self.nodes.select("node", "n", "sketch"), "node")
         rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
         rows = rows.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
         rows = rows.select("bucket", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "component", "n", "sketch")
-        return rows.groupBy("bucket", "lo", "hi").applyInArrow(_across(self.num, self.den), "a long, b long").distinct()
+        found = rows.groupBy("bucket", "lo", "hi").applyInArrow(_across(self.num, self.den, most), "a long, b long, more boolean")
+        return materialize(found.groupBy("a", "b").agg(F.bool_or("more").alias("more")), "join-across")
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id)."""
@@ -360,9 +390,21 @@ class JaccardJoin:
         rest = self._apart(pairs.join(first, ["a", "b"], "left_anti"), joined)
         links = links.unionByName(self.verified(rest))
         joined = components(links)
-        more = self._apart(self.across(hot, joined).join(pairs, ["a", "b"], "left_anti"), joined)
-        links = links.unionByName(self.verified(more))
-        return self._labelled(components(links))
+        # one bucket per set and its nearest first: once they are linked, little is left between components
+        most, every = 1, False
+        while True:
+            found = self.across(hot, joined, most, every)
+            fresh = materialize(found.select("a", "b").join(pairs, ["a", "b"], "left_anti"), "join-rest")
+            some = fresh.limit(1).count() > 0
+            if some:
+                links, pairs = materialize(links.unionByName(self.verified(fresh)), "join-links"), pairs.unionByName(fresh)
+                joined = components(links)
+            if every:
+                if not found.where("more").limit(1).count():
+                    return self._labelled(joined)
+                most *= 64
+            elif not some:
+                most, every = 8, True
 
     def _apart(self, pairs: DataFrame, component: DataFrame) -> DataFrame:
         side = lambda k: component.select(F.col("node").alias("ab"[k - 1]), F.col("component").alias(f"c{k}"))
