@@ -10,7 +10,9 @@ similar sets' sketches agree on a block.
   shingle hash, and a block travels as a 64-bit linear fingerprint of its parities.
 * Buckets of up to ``COLD`` sets propose all their pairs.  Larger ones are hot, and so is the empty block.  Similar
   sets agree on more blocks than the slack, so a set with no more hot blocks than the slack meets each partner
-  in a cold bucket; only sets with more hot blocks than that are compared within hot buckets: first with the bucket's
+  in a cold bucket; only sets with more hot blocks than that are compared within hot buckets.  The empty block has no
+  bucket: sets that show more empty blocks than the slack, which may agree on nothing else, also go by their prefix,
+  the least shingles of which similar sets share one (an exact bound).  Hot buckets are compared first with the bucket's
   least set, then - across components that verified links have not joined - chunk by chunk over their sketches, the
   nearest first, in rounds that allow more each until nothing is left out.
 * Proposed pairs whose whole sketches are too far apart go; the rest are verified on the texts' exact
@@ -62,6 +64,10 @@ class Bands:
             self.upper.append(max(self.upper[-1] + 1, self.most(self.upper[-1])))
         return int(np.searchsorted(self.upper, n))
 
+    def prefix(self, n: int) -> int:
+        """How many of its least shingles a set shows so that similar sets show one in common: they have num/den of n."""
+        return n + (-n * self.num) // self.den + 1
+
     def slack(self, layout: int) -> int:
         return 3 + self.differ(2 * self.upper[layout]) // 8
 
@@ -123,6 +129,24 @@ def block_fingerprints(hashes: np.ndarray, scrambled: np.ndarray, layout: int, b
     return mix(parity ^ mix(key)), shown - len(starts)
 
 
+def prefix_fingerprints(hashes: np.ndarray, layout: int, most: int) -> np.ndarray:
+    """Fingerprints of a set's ``most`` least shingles, each by itself."""
+    return mix(mix(hashes[:most]) ^ mix(np.array([layout], np.uint64) * np.uint64(0x8EBC6AF09C88C6E3)))
+
+
+def set_fingerprints(hashes: np.ndarray, bands: Bands) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(layout, fingerprints, empty blocks): similar sets share a fingerprint in a layout, or are equal."""
+    layouts = bands.layouts(len(hashes)) if len(hashes) else []
+    if not layouts:
+        return
+    scrambled = mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
+    for layout, blocks, shown in layouts:
+        found, empty = block_fingerprints(hashes, scrambled, layout, blocks, shown)
+        if empty > bands.slack(layout):
+            found = np.concatenate([found, prefix_fingerprints(hashes, layout, bands.prefix(len(hashes)))])
+        yield layout, found, empty
+
+
 def _describe(words: int):
     schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
 
@@ -166,12 +190,8 @@ def _sign(words: int, parts: int, num: int, den: int):
         for batch in batches:
             texts = batch.filter(batch.column("doc_id").is_valid()).column("text").to_pylist()
             for h in shingle_sets(texts, words):
-                layouts = bands.layouts(len(h)) if len(h) else []
-                if not layouts:
-                    continue
-                scrambled, node = mix(h ^ np.uint64(0x5851F42D4C957F2D)), node_of(h)
-                for layout, blocks, shown in layouts:
-                    f, empty = block_fingerprints(h, scrambled, layout, blocks, shown)
+                node = node_of(h)
+                for layout, f, empty in set_fingerprints(h, bands):
                     sigs.append(f)
                     owners.append(np.full(len(f), len(entries), np.int64))
                     entries.append((node, layout, empty))

@@ -70,6 +70,34 @@ def test_ngram_join(spark):
     assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)}
 
 
+def test_ngram_join_empty_blocks(spark):
+    """Similar sets whose shown blocks agree only where both are empty."""
+    rng = random.Random(12)
+    bands = ngram_join.Bands()
+    for n in [4] * 1500 + [*range(4, 40)] * 20:
+        more = bands.most(n) - n
+        blocks = bands.blocks(bands.band(n + more))
+        top = rng.randrange(blocks)  # all members in one block of the larger set's layout
+        both = np.array(sorted({((top << 32) // blocks + 1 + rng.randrange((1 << 32) // blocks - 2)) << 32 | rng.getrandbits(32) for _ in range(n + more)}), np.uint64)
+        less = np.sort(np.array(rng.sample(both.tolist(), n), np.uint64))
+        one, two = ({(k, x) for k, f, _ in ngram_join.set_fingerprints(h, bands) for x in f.tolist()} for h in (both, less))
+        assert not more or one & two
+    texts, cut = [], lambda s: next(shingles.shingle_sets([s]))
+    for _ in range(3000):
+        t = prose(rng, 9)
+        texts += [t, t.rsplit(" ", 1)[0]]
+    block = lambda s: set(((cut(s) >> np.uint64(32)) * np.uint64(5) >> np.uint64(32)).tolist())
+    while len(block(base := prose(rng, 8))) > 1:
+        pass
+    hot = [base]  # one key of more than COLD sets, linked through the first only
+    while len(hot) < 25:
+        if len(block(t := base + " " + prose(rng, 1) + "x" * len(hot))) == 1:
+            hot.append(t)
+    at = len(texts)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs(spark, texts + hot[::-1])).collect()}
+    assert got == {i: i - i % 2 if i < at else at for i in range(at + len(hot))}
+
+
 def test_suffix_dedup(spark):
     rng = random.Random(4)
     common = prose(rng, 30)
