@@ -14,6 +14,8 @@ import re
 import numpy as np
 
 _LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
+#: A line break between characters that are no spaces is a pre-token of its own.
+_LONE_BREAK = re.compile(r"(?<=\S)\n(?=\S)")
 #: Entries kept per process; the cache then starts anew.
 CACHE_ENTRIES = 1_000_000
 
@@ -103,11 +105,8 @@ class _Pieces(dict):
         if len(piece) > 1:
             if piece[-1] in ".," and piece[-2].isalpha():
                 ids = self[piece[:-1]] + self.owner.marks[piece[-1]]
-            elif "\n" in piece:
-                line, _, rest = piece.partition("\n")
-                # a lone line break between characters that are no spaces is a pre-token of its own
-                if line and rest and not line[-1].isspace() and not rest[0].isspace():
-                    ids = self[line] + self.owner.marks["\n"] + self.owner.first[rest]
+            elif len(lines := _LONE_BREAK.split(piece)) > 1:
+                ids = self.owner.marks["\n"].join([self[lines[0]], *map(self.owner.first.__getitem__, lines[1:])])
         if ids is None:
             ids = self.owner._encode_piece(piece, self.lead)
         self[piece] = ids

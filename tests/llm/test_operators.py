@@ -184,6 +184,17 @@ def test_cached_encoding_is_exact(name):
     assert enc.encode([None]) == [b""]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoding_of_many_lines(name):
+    rng = random.Random(13)
+    enc = encoding.CachedEncoder(tokenizer_path(name))
+    lines = [prose(rng, 1) + rng.choice(["", "", ".", ",", "\n", "\t", "'s", "7"]) for _ in range(5000)]
+    words = [prose(rng, 1) for _ in range(5000)]
+    for t in ("\n".join(words), "a b. " + "\n".join(words) + " c", "\n".join(lines), "a b. " + "\n".join(lines) + " c"):
+        assert np.frombuffer(enc.encode([t])[0], enc.dtype).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+    assert max(len(enc.inner), len(enc.first)) < 4 * len(lines) + 10
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(7)
     ids = rng.integers(0, 50_257, 3000).astype(np.uint16)
