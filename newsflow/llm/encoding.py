@@ -2,8 +2,9 @@
 
 The library encodes about 1 MB a second; most words of a corpus repeat.  Texts are cut where no token
 can span the cut - before a single space for byte-level files, at spaces for files with word ends -
-and each distinct piece is encoded once per process.  Texts for which the cut isn't safe are encoded
-whole.  Results equal ``Tokenizer.encode`` of the whole text.
+and each distinct piece is encoded once per process.  Texts for which the cut isn't safe, as those that
+hold an added token such as ``<|endoftext|>``, are encoded whole.  Results equal ``Tokenizer.encode`` of
+the whole text by the file as loaded.
 """
 
 from __future__ import annotations
@@ -43,7 +44,6 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
         before = rules.get("pre_tokenizer") or {}
@@ -52,6 +52,10 @@ class CachedEncoder:
             self.cut = "before space"
         elif rules["model"].get("end_of_word_suffix"):
             self.cut = "at space"
+        added = rules.get("added_tokens") or []
+        self.added = [a["content"] for a in added]
+        if rules.get("normalizer") and any(a["normalized"] for a in added):
+            self.cut = None  # such tokens are found in the normalized text only
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.width = 2 if size <= 1 << 16 else 4
         self.dtype = "<u2" if self.width == 2 else "<u4"
@@ -84,6 +88,8 @@ class CachedEncoder:
         for t in texts:
             if not t:
                 out.append(b"")
+            elif any(a in t for a in self.added):
+                out.append(self._encode([t])[0])
             elif not led:
                 out.append(b"".join(map(inner.__getitem__, t.split(" "))))
             elif _LOOSE_SPACE.search(t):

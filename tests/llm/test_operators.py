@@ -195,6 +195,19 @@ def test_encoding_of_many_lines(name):
     assert max(len(enc.inner), len(enc.first)) < 4 * len(lines) + 10
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_as_the_library_as_loaded(name):
+    from tokenizers import Tokenizer
+
+    enc, fresh = encoding.CachedEncoder(tokenizer_path(name)), Tokenizer.from_file(tokenizer_path(name))
+    end = fresh.token_to_id("<|endoftext|>")
+    texts = [*TRICKY, "<|endoftext|>", "a b<|endoftext|>c d. e", "one\n<|endoftext|>\ntwo three", "<|startoftext|> x <|endoftext|>", "x <|ENDOFTEXT|> <|endoftext| > y"]
+    for t in texts * 2:
+        got = np.frombuffer(enc.encode([t])[0], enc.dtype).tolist()
+        assert got == fresh.encode(t, add_special_tokens=False).ids
+        assert got.count(end) == t.count("<|endoftext|>")
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(7)
     ids = rng.integers(0, 50_257, 3000).astype(np.uint16)
