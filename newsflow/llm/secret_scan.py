@@ -1,13 +1,15 @@
 """Secret scans with corpus-wide ownership frequency.  DataFrame functions only.
 
 Three base kinds are found by pattern.  The method adds a fourth, ``owned``: tokens that look random
-and that the whole corpus holds under one owner only.  Every candidate string is hashed and its
-distinct repositories (documents) and owners (sources) are counted over all rows; a candidate under
-more than ``max_owners`` owners, or a well-known filler, is a copied example.  Base spans always stay; their
-class (live or example) is reported beside them.
+and that the whole corpus holds in few repositories of one owner only.  Every candidate string is hashed and its
+distinct repositories (documents; copies of one text are one) and owners (sources) are counted over all rows.
+A candidate in more than ``max_repos`` repositories or under more than ``max_owners`` owners, or a well-known filler,
+is a copied example.  A text that several sources hold may be any one's, so a source that holds all of
+a candidate's repositories is its only owner.  Base spans always stay; their class (live or example) is reported
+beside them.
 
 Spans are in code points, end exclusive.  Defined cases: a null text is empty; a null source is an
-owner of its own; documents with the same id are scanned row by row; further columns are ignored.
+owner of its own; near copies are repositories of their own; documents with the same id are scanned row by row; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ HEX = r"[0-9a-f]{16,}"  # runs of [0-9a-f] are maximal, so the bound may stand i
 #: What the method looks at besides: long runs of token characters.
 RANDOM_RUN = r"[A-Za-z0-9+/_=-]{20,}"
 
+#: Values that documentation uses for secrets: telling words, runs in order, short units repeated.
+FILLER = r"(?i)example|sample|dummy|placeholder|change_?me|your_|deadbeef|xxxxx|12345678|abcdefgh|^(.{1,4})\1{2,}.{0,3}$"
+
 KINDS = {"assign": 0, "access": 1, "hex": 2, "owned": 3}
 REDACTED = "[SECRET]"
 #: Up to so many documents with spans these are sent to every executor; more are joined by shuffle.
@@ -77,22 +82,25 @@ def find_candidates(documents: DataFrame) -> DataFrame:
 
 def ownership(candidates: DataFrame) -> DataFrame:
     """(h1, h2, n_repos, n_owners) of every candidate value, over the whole corpus."""
-    each = candidates.select("rid", "source", F.explode(F.concat("base", "more")).alias("c")).select(
-        "rid", "source", *_hashes())
-    by_owner = each.distinct().groupBy("h1", "h2", "source").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("h1", "h2").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
+    each = candidates.select("text_hash", "source", F.explode(F.concat("base", "more")).alias("c")).select(
+        "text_hash", "source", *_hashes()).distinct()
+    repos = each.select("h1", "h2", "text_hash").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n_repos"))
+    by_owner = each.groupBy("h1", "h2", "source").agg(F.count("*").alias("n"))
+    owners = by_owner.groupBy("h1", "h2").agg(F.max("n").alias("most"), F.count("*").alias("n_sources"))
+    # beside the source that holds the most, each other repository takes one owner at most
+    return owners.join(repos, ["h1", "h2"]).select("h1", "h2", "n_repos", F.least("n_sources", 1 + F.col("n_repos") - F.col("most")).alias("n_owners"))
 
 
 def _hashes():
     return F.xxhash64("c.value").alias("h1"), F.xxhash64(F.lit(7), "c.value").alias("h2")
 
 
-def scan_secrets(documents: DataFrame, max_owners: int = 1) -> DataFrame:
+def scan_secrets(documents: DataFrame, max_owners: int = 1, max_repos: int = 3) -> DataFrame:
     """(doc_id, rid, text_hash, base, added, n_live, n_example): spans of each document and their classes."""
     found = materialize(find_candidates(documents), "secret-candidates")
-    verdict = materialize(ownership(found).withColumn("live", F.col("n_owners") <= max_owners), "secret-owners")
+    verdict = materialize(ownership(found).withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)), "secret-owners")
     each = found.select("rid", F.explode(F.concat("base", "more")).alias("c")).select("rid", "c", *_hashes())
-    judged = each.join(verdict, ["h1", "h2"]).groupBy("rid").agg(
+    judged = each.join(verdict, ["h1", "h2"]).withColumn("live", F.col("live") & ~F.col("c.value").rlike(FILLER)).groupBy("rid").agg(
         F.collect_list(F.when((F.col("c.kind") == "owned") & F.col("live"), F.col("c"))).alias("added"),
         F.count_if((F.col("c.kind") != "owned") & F.col("live")).alias("n_live"),
         F.count_if((F.col("c.kind") != "owned") & ~F.col("live")).alias("n_example"))

@@ -138,6 +138,20 @@ def test_secrets(spark):
     assert clean[2].text == "[SECRET]'" and clean[5].text == "see [SECRET] ok" and clean[6].text == texts[6] and clean[0].text is None
 
 
+def test_secret_ownership(spark):
+    many, copied, few, apart, both = (f"Qw{k}eRt7yUi8Op9aSd5fGhJkL4z" for k in range(5))
+    rows = [(f"note {k} {many}", "a") for k in range(4)]  # many repositories of one owner
+    rows += [(f"one text {copied}", "a"), (f"one text {copied}", "b")]  # two owners of copies of one text
+    rows += [(f"x {few}", "a"), (f"y {few}", "a"), (f"x {apart}", "a"), (f"y {apart}", "b")]
+    rows += [(f"x {both}", "a"), (f"x {both}", "b"), (f"y {both}", "b")]  # b holds both of its texts
+    rows += [("password=changeme_changeme", "c"), ("token=kJ8sHd72mQzPw0", "c"), ("see aB3Example9xYz7Placeholder", "c"), ("0a" * 9, "c")]
+    frame = spark.createDataFrame([(i, t, "en", s, 0) for i, (t, s) in enumerate(rows)], DOCS)
+    got = [(len(r.added), r.n_live, r.n_example) for r in secret_scan.scan_secrets(frame).orderBy("doc_id").collect()]
+    assert got == [(0, 0, 0)] * 4 + [(1, 0, 0)] * 4 + [(0, 0, 0)] * 2 + [(1, 0, 0)] * 3 + [(0, 0, 1), (0, 1, 0), (0, 0, 0), (0, 0, 1)]
+    clean = [r.text for r in secret_scan.redact_documents(frame).orderBy("doc_id").collect()]
+    assert clean[:6] == [t for t, _ in rows[:4]] + ["one text [SECRET]"] * 2
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, "user", "a"), (4, 1, "assistant", "c"),
              (5, 0, None, None), (5, 0, None, None), (None, 0, "user", "x")]
