@@ -174,12 +174,26 @@ def f13_without_outlet(spark, d):
     return _docs(spark, d).where("text IS NOT NULL AND source IS NOT NULL").select("doc_id", text.without_outlet(F.concat(head, F.lit(" - "), "source")).alias("title"))
 
 
+@query(f"WITH {ARTICLES} SELECT doc_id, CASE WHEN length(trim(source)) BETWEEN 1 AND 40 AND length(t) >= 15 THEN t ELSE t || ' - ' || source END AS title FROM (SELECT seq AS doc_id, source_id AS source, trim(title) AS t FROM raw WHERE source_id IS NOT NULL)")
+def f13_without_outlet_titles(spark, d):
+    """Over the titles of ``raw_articles``."""
+    rows = _articles(spark, d).where("source_id IS NOT NULL")
+    return rows.select(F.col("seq").alias("doc_id"), text.without_outlet(F.concat(F.trim("title"), F.lit(" - "), "source_id")).alias("title"))
+
+
 @query("SELECT doc_id, array_to_string(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> ''), '|') AS lines FROM (SELECT doc_id, replace(left(text, 300), chr(9), ' ') AS t FROM documents)")
 def f11_list_codec(spark, d):
     values = text.decode_list(F.translate(F.left("text", F.lit(300)), "\t", " "))
     return _docs(spark, d).select("doc_id", F.array_join(text.decode_list(text.encode_list(values)), "|").alias("lines"))
 
 
+@query("SELECT doc_id, array_to_string(list_filter(string_split(replace(text, chr(9), ' '), chr(10)), lambda x: trim(x) <> ''), '|') AS lines FROM documents")
+def f11_list_codec_whole(spark, d):
+    """Over all lines of every text."""
+    values = text.decode_list(F.translate("text", "\t", " "))
+    return _docs(spark, d).select("doc_id", F.array_join(text.decode_list(text.encode_list(values)), "|").alias("lines"))
+
+
 @query("SELECT doc_id, CASE WHEN n = 1 THEN 'خبر جديد' WHEN n = 2 THEN 'خبران جديدان' WHEN n <= 10 THEN n || ' أخبار جديدة' ELSE n || ' خبرًا جديدًا' END AS label FROM (SELECT doc_id, doc_id % 15 + 1 AS n FROM documents)")
 def f12_count_label(spark, d):
     return _docs(spark, d).select("doc_id", text.count_label(F.col("doc_id") % 15 + 1).alias("label"))

@@ -173,3 +173,14 @@ def test_queries_equal_sql(spark, name):
     result = con.execute(SQL[name])
     at = [[x[0] for x in result.description].index(c) for c in columns]
     assert got == sorted(repr([r[i] for i in at]) for r in result.fetchall())
+
+
+def test_list_and_title_queries_take_whole_inputs(spark, tmp_path):
+    from newsflow.queries import QUERIES
+
+    lines = [f"line {k} of a long text" for k in range(100)]
+    rows = [(1, "\n".join([*lines[:50], " ", *lines[50:]]), "en", "src1", 0), (2, "short", "en", "src2", 0), (3, None, "en", "src3", 0), (4, "x", "en", None, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.lines for r in QUERIES["f11_list_codec_whole"](spark, str(tmp_path)).collect()} == {1: "|".join(lines), 2: "short", 3: None, 4: "x"}
+    titles = {r.doc_id: r.title for r in QUERIES["f13_without_outlet_titles"](spark, str(tmp_path)).collect()}
+    assert titles == {1: " ".join(lines)[:120].strip(), 2: "short - src2", 3: " - src3"}
