@@ -50,7 +50,8 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: The language model and the packing can't be expressed in SQL; tests hold the stages against brute force.
+#: The language model and the packing can't be expressed in SQL.  Tests hold the operators that the stages call against
+#: brute force; the stages and ``run`` themselves have no test yet.
 ORACLE_SQL = None
 
 
