@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsflow.operators import classify as scoring
 from newsflow.operators import dedupe, funnel, store
 from newsflow.plans.sync import sync
-from newsflow.sources.vocabulary import Vocabulary, Weights, event_words, load_vocabulary
+from newsflow.sources.vocabulary import EVENT_WORDS, Vocabulary, Weights, load_vocabulary
 from newsflow.streaming.live import NewCounter, start_sync
 
 HOUR = 3_600_000
@@ -22,7 +22,7 @@ def scores(spark, title, age=7 * HOUR, summary=None, url="https://x/y", categori
 
 
 def test_vocabulary():
-    assert len(event_words()) == len(set(event_words())) == 300
+    assert len(EVENT_WORDS) == len(set(EVENT_WORDS)) == 300
     v = Vocabulary().prepared()
     assert [len(x) for x in (v.breaking, v.breaking_exclusions, v.politics, v.economy, v.negative, v.analysis_prefixes, v.event_verbs)] == [5, 6, 25, 26, 44, 15, 300]
     assert load_vocabulary("{").breaking == () and load_vocabulary('{"eventVerbs": ["a"], "x": 1}').event_verbs == ("a",)
