@@ -2,17 +2,23 @@
 
 A text's features are its byte n-grams of 2, 3 and 4 bytes (lower-cased UTF-8), hashed to ``BUCKETS``
 rows of an embedding table; the average embedding goes through a linear softmax.  Both are trained by
-stochastic gradient descent in numpy on a bounded sample of labelled rows.  A fifth of the sample is held
-back to fit a temperature, which falls with the text's length (one word tells less than a page; snippets
-of the held-back texts stand for short ones), and the rejection threshold is the confidence that all but
-``REJECT_SHARE`` of it exceed, at most ``REJECT_CEILING``.  For prediction, table and softmax are multiplied out to one score row per
+stochastic gradient descent in numpy on a bounded sample of labelled rows.  Steps are normalised (by the squares of what
+they multiply), so they stay bounded whatever the texts' length; texts with shuffled letters are
+trained towards no language, so that n-grams of any text tell nothing.
+
+A fifth of the sample is held back for calibration.  The temperature falls with the text's length (one word tells less than a page;
+snippets of the held-back texts stand for short ones).  It minimises the log loss of held-back texts, against their labels,
+and of negatives, against the uniform distribution.  Negatives are held-back texts with shuffled letters, and texts of a
+language under a model trained without it.  The threshold lies between the confidence of negatives and that of held-back texts, and rejects at most
+``REJECT_SHARE`` of the latter.  For prediction, table and softmax are multiplied out to one score row per
 bucket, so a text of any length costs one look-up per byte and order.
 
 The sample: at most ``per_language`` rows of each label, chosen by a hash of ``doc_id`` (the documented bound).
 Prediction reads every whole text.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and rejected; without labelled
-rows every text is; repeated rows are predicted row by row; further columns are ignored.
+rows (as in an empty table) every text is; repeated rows are predicted row by row; very long texts go through in pieces of their batch; further
+columns are kept, but one named as the new column is replaced; training that gives no finite numbers is an error.
 """
 
 from __future__ import annotations
@@ -31,11 +37,12 @@ from newsflow.llm.runtime import ship_package
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
 DIM = 16
-EPOCHS = 4
+EPOCHS = 3
 RATE = 1.0
 PER_LANGUAGE = 800
+#: Rows of a language for the models that leave one language out.
+PER_LANGUAGE_OUT = 100
 REJECT_SHARE = 0.001
-REJECT_CEILING = 0.5
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -65,72 +72,122 @@ def document_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     languages: list[str]
     scores: np.ndarray  # BUCKETS x languages
-    bias: np.ndarray
     temperature: tuple[float, float]  # a floor, and what is divided by the root of the number of bytes
     threshold: float
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
+    z = np.asarray(z, np.float64)
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def shuffled(text: str, rng: np.random.Generator) -> str:
+    """The text's characters in random order: its letters and lengths, but no language."""
+    return "".join(rng.permutation(list(text))) if text else text
+
+
+def _fit(rows: list[tuple[tuple[np.ndarray, np.ndarray], int]], k: int, junk: list[tuple[np.ndarray, np.ndarray]], rng: np.random.Generator, epochs: int) -> np.ndarray:
+    """Score rows (BUCKETS x k) by SGD on (features, label) rows; ``junk`` features are trained towards the uniform distribution."""
+    table = rng.normal(0, 1e-3, (BUCKETS, DIM)).astype(np.float32)
+    weights = rng.normal(0, 1 / np.sqrt(DIM), (DIM, k))
+    examples = [(f, y) for f, y in rows] + [(f, -1) for f in junk]
+    steps, done = epochs * len(examples), 0
+    for _ in range(epochs):
+        for at in rng.permutation(len(examples)):
+            (ids, share), y = examples[at]
+            own = table[ids]
+            hidden = share @ own
+            slope = _softmax(hidden @ weights)
+            if y < 0:
+                slope -= 1 / k
+            else:
+                slope[y] -= 1
+            back = weights @ slope
+            step = RATE * (1 - done / steps) / (1 + hidden @ hidden + (weights * weights).sum())
+            weights -= step * np.outer(hidden, slope)
+            # shares are tiny on long texts: divided by their squares' sum, the average moves by one step along its gradient
+            table[ids] = own - np.outer(share, (step / (share @ share) * back).astype(np.float32))
+            done += 1
+    scores = (table @ weights).astype(np.float32)
+    if not np.isfinite(scores).all():
+        raise ArithmeticError("training gave no finite numbers")
+    return scores
+
+
 def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     """A model of (text, language) rows."""
     languages = sorted({lang for _, lang in rows})
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), (1.0, 0.0), 0.0)
+        return Model([], np.zeros((BUCKETS, 0), np.float32), (1.0, 0.0), 0.0)
     rng = np.random.default_rng(seed)
     known = {lang: k for k, lang in enumerate(languages)}
     rows = [rows[k] for k in rng.permutation(len(rows))]
     held = rows[: len(rows) // 5] if len(rows) >= 50 else []
-    fit = [(*document_counts(text), known[lang]) for text, lang in rows[len(held):]]
-    table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
-    weights = rng.normal(0, 0.1, (DIM, len(languages))).astype(np.float32)
-    bias = np.zeros(len(languages), np.float32)
-    steps = EPOCHS * len(fit)
-    done = 0
-    for _ in range(EPOCHS):
-        for k in rng.permutation(len(fit)):
-            ids, share, y = fit[k]
-            rate = np.float32(RATE * (1 - done / steps))
-            hidden = share @ table[ids]
-            slope = _softmax(hidden @ weights + bias)
-            slope[y] -= 1
-            back = weights @ slope
-            weights -= rate * np.outer(hidden, slope)
-            bias -= rate * 0.1 * slope
-            # shares are tiny on long texts; a row's step follows its weight in the average
-            table[ids] -= (rate * min(len(ids), 500)) * share[:, None] * back[None, :]
-            done += 1
-    scores = (table @ weights).astype(np.float32)
-    temperature, threshold = _calibrate(scores, bias, [(text, known[lang]) for text, lang in held], rng)
-    return Model(languages, scores, bias, temperature, threshold)
+    fit = [(document_counts(text), known[lang]) for text, lang in rows[len(held):]]
+    junk = [document_counts(shuffled(text, rng)) for text, _ in rows[len(held)::4]]
+    scores = _fit(fit, len(languages), junk, rng, EPOCHS)
+    held = [(text, known[lang]) for text, lang in held]
+    temperature, threshold = _calibrate(scores, held, _negatives(scores, fit, held, rng), rng) if held else ((1.0, 0.0), 0.0)
+    return Model(languages, scores, temperature, threshold)
+
+
+def _logits(scores: np.ndarray, texts: list[str]) -> np.ndarray:
+    return np.array([share.astype(np.float64) @ scores[ids] for ids, share in map(document_counts, texts)]).reshape(len(texts), scores.shape[1])
+
+
+def _sizes(texts: list[str]) -> np.ndarray:
+    return np.array([len(_bytes(t)) - 4 for t in texts])
+
+
+def _negatives(scores: np.ndarray, fit: list, held: list[tuple[str, int]], rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(logits, sizes) of texts in no known language: shuffled ones, and each language's under a model without it."""
+    mixed = [shuffled(t, rng) for t, _ in held]
+    out = [(_logits(scores, mixed), _sizes(mixed))]
+    k = scores.shape[1]
+    for left in range(k) if k > 2 else ():
+        count: dict[int, int] = {}
+        some = []
+        for f, y in fit:
+            count[y] = count.get(y, 0) + 1
+            if y != left and count[y] <= PER_LANGUAGE_OUT:
+                some.append((f, y - (y > left)))
+        texts = [t for t, y in held if y == left]
+        if texts and some:
+            # one language fewer: its column counts as the least likely one
+            z = _logits(_fit(some, k - 1, [], rng, 2), texts)
+            out.append((np.concatenate([z, z.min(axis=1, keepdims=True)], axis=1), _sizes(texts)))
+    return out
 
 
 def _tempered(z: np.ndarray, sizes: np.ndarray, temperature: tuple[float, float]) -> np.ndarray:
     return _softmax(z / (temperature[0] + temperature[1] / np.sqrt(np.maximum(sizes, 1)))[:, None])
 
 
-def _calibrate(scores: np.ndarray, bias: np.ndarray, held: list[tuple[str, int]], rng: np.random.Generator) -> tuple[tuple[float, float], float]:
-    """The temperature with the least log loss on the held-back texts and snippets of them, and the threshold."""
-    if not held:
-        return (1.0, 0.0), 0.0
+def _calibrate(scores: np.ndarray, held: list[tuple[str, int]], negatives: list[tuple[np.ndarray, np.ndarray]], rng: np.random.Generator) -> tuple[tuple[float, float], float]:
+    """The temperature with the least log loss, and the threshold."""
     texts = list(held)
     for text, label in held:
         words = text.split()
         for n in (1, 2, 4, 8):
             at = int(rng.integers(0, max(1, len(words) - n + 1)))
             texts.append((" ".join(words[at:at + n]), label))
-    texts = [(t, label) for t, label in texts if _LETTER.search(t)]
-    z = np.stack([share @ scores[ids] for ids, share in (document_counts(t) for t, _ in texts)]) + bias
-    sizes = np.array([len(_bytes(t)) - 4 for t, _ in texts])
-    y = np.array([label for _, label in texts])
+    whole = [bool(_LETTER.search(t)) for t, _ in texts]
+    n_held = sum(whole[: len(held)])
+    texts = [x for x, ok in zip(texts, whole, strict=True) if ok]
+    z, sizes, y = _logits(scores, [t for t, _ in texts]), _sizes([t for t, _ in texts]), np.array([label for _, label in texts])
+    none, none_sizes = (np.concatenate(x) for x in zip(*negatives, strict=True))
     at = np.arange(len(y))
-    grid = [(a, b) for a in np.geomspace(0.05, 200, 18) for b in (0, *np.geomspace(0.5, 3000, 18))]
-    best = min(grid, key=lambda t: -np.log(_tempered(z, sizes, t)[at, y] + 1e-12).mean())
-    sure = np.sort(_tempered(z[: len(held)], sizes[: len(held)], best).max(axis=1))
-    return (float(best[0]), float(best[1])), float(min(REJECT_CEILING, sure[int(REJECT_SHARE * len(sure))]))
+
+    def loss(t: tuple[float, float]) -> float:
+        unknown = -np.log(_tempered(none, none_sizes, t) + 1e-12).mean()
+        return -np.log(_tempered(z, sizes, t)[at, y] + 1e-12).mean() + unknown
+
+    best = min(((a, b) for a in np.geomspace(0.02, 50, 18) for b in (0, *np.geomspace(0.1, 1000, 18))), key=loss)
+    sure = np.sort(_tempered(z[:n_held], sizes[:n_held], best).max(axis=1))
+    most = sure[int(REJECT_SHARE * len(sure))]
+    unsure = np.quantile(_tempered(none, none_sizes, best).max(axis=1), 0.99)
+    return (float(best[0]), float(best[1])), float(min(most, (most + unsure) / 2))
 
 
 def training_rows(documents: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
@@ -193,7 +250,7 @@ def score_texts(model: Model, texts: list[str | None], piece: int = 1 << 20) ->
             counts[j] = len(ORDERS) * (len(b) - 3)
     if not k:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
-    p = _tempered(sums / counts[:, None] + model.bias, counts / len(ORDERS) - 1, model.temperature)
+    p = _tempered(sums / counts[:, None], counts / len(ORDERS) - 1, model.temperature)
     best = p.argmax(axis=1)
     score = np.where(known, p.max(axis=1), 0.0)
     return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)], score
@@ -210,13 +267,13 @@ def predictor(spark, model: Model):
         model = sent.value
         for batch in text:
             langs, score = score_texts(model, batch.to_pylist())
-            rejected = [lang == UNKNOWN or s < model.threshold for lang, s in zip(langs, score, strict=True)]
+            rejected = [lang == UNKNOWN or not s >= model.threshold for lang, s in zip(langs, score, strict=True)]
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], fields=list(kind))
 
     return predict
 
 
-def identify(documents: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """``documents`` with ``language`` = struct(lang_pred, score, rejected)."""
+def identify(documents: DataFrame, per_language: int = PER_LANGUAGE, into: str = "language") -> DataFrame:
+    """``documents`` with the column ``into`` = struct(lang_pred, score, rejected)."""
     model = train(training_rows(documents, per_language))
-    return documents.withColumn("language", predictor(documents.sparkSession, model)("text"))
+    return documents.withColumn(into, predictor(documents.sparkSession, model)("text"))

@@ -23,7 +23,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = language_id.identify(_read(spark, sf_dir, "documents"))
+    found = language_id.identify(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", language_id.held_out().alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
 
 

@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 from newsflow.ship import ship_package
 from newsflow.tables import components, materialize, n_parts, new_path, shared_dir
 
-__all__ = ["components", "materialize", "n_parts", "new_path", "shared_dir", "ship_package", "without_ids"]
+__all__ = ["components", "free_name", "materialize", "n_parts", "new_path", "shared_dir", "ship_package", "without_ids"]
 
 #: Up to so many ids (8 bytes each) are sent to every executor; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores after it until no column of ``df`` has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def without_ids(df: DataFrame, key: str, ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
-    """``df`` without the rows whose ``key`` is in the one-column ``ids``; rows of a null key stay."""
-    ids = materialize(ids.toDF("_gone").where("_gone IS NOT NULL").distinct(), "ids")
-    gone = F.broadcast(ids) if ids.count() <= limit else ids
-    return df.join(gone, df[key] == F.col("_gone"), "left_anti")
+    """``df`` without the rows whose ``key`` is in the one-column ``ids``; rows of a null key stay, as do all other columns."""
+    gone = free_name(df, "_gone")
+    ids = materialize(ids.toDF(gone).where(F.col(gone).isNotNull()).distinct(), "ids")
+    if ids.count() <= limit:
+        ids = F.broadcast(ids)
+    return df.join(ids, F.col(key) == F.col(gone), "left_anti")
