@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from newsflow.llm import decontaminate, language_id, ngram_join, packing, secret_scan
 from newsflow.llm.queries import tokenizer_path
-from newsflow.llm.runtime import materialize, without_ids
+from newsflow.llm.runtime import free_name, materialize, without_ids
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model rejects go."""
-    return language_id.identify(docs).where(~F.col("language.rejected")).drop("language")
+    into = free_name(docs, "language")
+    return language_id.identify(docs, into=into).where(~F.col(into)["rejected"]).drop(into)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
