@@ -8,19 +8,23 @@ similar sets' sketches agree on a block.
 * Size bands grow by 1/t, so a partner's band is a set's own or a neighbour's; sets are sketched in the
   layout of their own band and of the next.  A layout has D+1 blocks and some slack; blocks are ranges of the
   shingle hash, and a block travels as a 64-bit linear fingerprint of its parities.
-* Buckets of up to ``COLD`` sets propose all their pairs.  Larger ones are hot, and so is the empty block.  Similar
-  sets agree on more blocks than the slack, so a set with no more hot blocks than the slack meets each partner
-  in a cold bucket; only sets with more hot blocks than that are compared within hot buckets.  The empty block has no
+* Buckets of up to ``COLD`` sets propose all their pairs.  Larger ones are hot; where one batch of texts shows a bucket to be hot, its members
+  go on beside the bucket, which gets one mark.  Similar sets agree on more blocks than the slack, so a set with no more hot
+  blocks than that meets each partner in a cold bucket; only sets with more are compared within hot buckets, and of
+  their n hot blocks (in one order for all) only in the first n - slack, among which similar sets still share one.  The empty block has no
   bucket: sets that show more empty blocks than the slack, which may agree on nothing else, also go by their prefix,
-  the least shingles of which similar sets share one (an exact bound).  Hot buckets are compared first with the bucket's
-  least set, then - across components that verified links have not joined - chunk by chunk over their sketches, the
-  nearest first, in rounds that allow more each until nothing is left out.
+  the least shingles of which similar sets share one (an exact bound).
+* Sets of hot buckets are first compared with the least set of their first bucket.  What verified links have not joined then meets
+  across components: in each bucket one component (that of most sets) is set apart.  Members of all others are compared with
+  each other, chunk by chunk, and with the sets of the one, each of which takes part once and not once a bucket.  The nearest by sketch go first, in rounds that
+  allow more each until nothing is left out.
 * Proposed pairs whose whole sketches are too far apart go; the rest are verified on the texts' exact
   shingle sets, links that would join nothing new last, so that groups of near copies need no all-pairs check.
 
-Equal sets are one node from the start.  Nodes carry a 64-bit hash of their set.
+Equal sets are one node from the start.  Nodes carry a 64-bit hash of their set; a second one is kept with it, and sets that agree in
+the first only are told apart and verified as any others.
 
-Defined cases: texts without words have no shingles and are linked with nothing; a null ``doc_id`` row
+Defined cases: texts without words have no shingles and are linked with nothing; very long texts are sets like any; a null ``doc_id`` row
 takes part in no link and is its own component (null); rows that repeat a ``doc_id`` are
 judged row by row; empty tables give no rows; further columns are ignored.
 """
@@ -38,7 +42,14 @@ from newsflow.llm.runtime import components, materialize, n_parts, ship_package
 from newsflow.llm.shingles import mix, shingle_sets
 
 COLD = 8
+#: Sets that one task compares with one another, at most twice as many.
 CHUNK = 512
+#: Bytes of text whose fingerprints meet in one group, about.
+PART_BYTES = 8 << 20
+#: Fingerprints that a task holds before it passes them on.
+HELD = 400_000
+#: Bits of a whole sketch per member, at least.
+SKETCH_BITS = 4
 #: Up to so many ids (8 bytes each) are sent to every executor; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 SHINGLE_WORDS = 5
@@ -87,11 +98,11 @@ class Bands:
 
 
 def sketch_bits(n: int) -> int:
-    return 1 << max(6, (n - 1).bit_length())
+    return 1 << max(6, (SKETCH_BITS * n - 1).bit_length())
 
 
 def whole_sketch(hashes: np.ndarray) -> bytes:
-    """The parity sketch of a set, about a bit per member."""
+    """The parity sketch of a set, some bits per member."""
     bits = sketch_bits(len(hashes))
     at = (hashes & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
@@ -111,10 +122,12 @@ def hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum())
 
 
-def node_of(hashes: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
-    name = mix(np.array([mix(hashes).sum(dtype=np.uint64) ^ np.uint64(len(hashes))], np.uint64))
-    return int(name.view(np.int64)[0])
+def names_of(hashes: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two signed 64-bit names of a set (the first of ``bits`` bits)."""
+    size = np.uint64(len(hashes))
+    sums = np.array([mix(hashes).sum(dtype=np.uint64) ^ size, mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64) + size], np.uint64)
+    one, two = mix(sums).view(np.int64).tolist()
+    return (one if bits >= 64 else one & ((1 << bits) - 1)), two
 
 
 def block_fingerprints(hashes: np.ndarray, scrambled: np.ndarray, layout: int, blocks: int, shown: int) -> tuple[np.ndarray, int]:
@@ -147,69 +160,115 @@ def set_fingerprints(hashes: np.ndarray, bands: Bands) -> Iterator[tuple[int, np
         yield layout, found, empty
 
 
-def _describe(words: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+#: Rows between the two steps, packed by bucket part: a row per part and group of texts.
+_SIGNED = pa.schema([("kind", pa.int8()), ("part", pa.int32()), ("node", pa.binary()), ("layout", pa.binary()), ("empty", pa.binary()), ("entry", pa.binary()), ("sig", pa.binary())])
+_SIGNED_SQL = "kind byte, part int, node binary, layout binary, empty binary, entry binary, sig binary"
+_FOUND = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("layout", pa.int32()), ("empty", pa.int32()), ("n", pa.int64()), ("other", pa.int64()), ("sketch", pa.binary())])
+_FOUND_SQL = "kind byte, a long, b long, layout int, empty int, n long, other long, sketch binary"
+#: Kinds of packed rows, and of what is found.
+COLD_PART, HOT_PART, SETS = 0, 1, 2
+PAIR, HOT, SET = 0, 1, 2
+#: The layout of a mark: its bucket is hot whatever else it holds.
+MARK = 0xFFFF
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nodes, sizes, sketches = [], [], []
-            for h in shingle_sets(b.column("text").to_pylist(), words):
-                nodes.append(node_of(h))
-                sizes.append(len(h))
-                sketches.append(whole_sketch(h) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], schema=schema)
 
-    return run
+def bucket_id(sig: np.ndarray, parts: int) -> np.ndarray:
+    return ((sig >> np.uint64(16) << np.uint64(16)) | (sig % np.uint64(parts) & np.uint64(0xFFFF))).view(np.int64)
 
 
-_SIGNED = [("part", pa.int32()), ("node", pa.binary()), ("layout", pa.binary()), ("empty", pa.binary()), ("entry", pa.binary()), ("sig", pa.binary())]
+def _sign(words: int, parts: int, num: int, den: int, bits: int):
+    """Sets, and fingerprints of every set (48 bits and the part)."""
 
+    def row(kind: int, part: int, *blobs: bytes) -> tuple:
+        return (kind, part, *blobs, *[b""] * (5 - len(blobs)))
 
-def _sign(words: int, parts: int, num: int, den: int):
-    """Fingerprints of every set (48 bits and the part), packed by bucket part: a row per part and group of texts."""
-    schema = pa.schema(_SIGNED)
-
-    def packed(sigs: list, owners: list, entries: list) -> Iterator[pa.RecordBatch]:
+    def packed(sigs: list, owners: list, entries: list) -> Iterator[tuple]:
         sig, owner = np.concatenate(sigs), np.concatenate(owners)
+        node, layout, empty = (np.array(x) for x in zip(*entries, strict=True))
+        order = np.argsort(sig, kind="stable")
+        sig, owner = sig[order], owner[order]
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        sizes = np.diff(np.append(starts, len(sig)))
+        hot = np.repeat(sizes > COLD, sizes)
+        if hot.any():
+            own, entry = np.unique(owner[hot], return_inverse=True)
+            ids = bucket_id(sig[hot], parts)
+            yield row(HOT_PART, int(sig[-1] % np.uint64(parts)), node[own].astype("<i8").tobytes(), layout[own].astype("<u2").tobytes(), empty[own].astype("<i4").tobytes(),
+                      entry.astype("<u4").tobytes(), ids.astype("<i8").tobytes())
+            marks = sig[starts[sizes > COLD]]
+            node, layout, empty = np.append(node, 0), np.append(layout, MARK), np.append(empty, 0)
+            sig, owner = np.concatenate([sig[~hot], marks]), np.concatenate([owner[~hot], np.full(len(marks), len(node) - 1)])
         part = (sig % np.uint64(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         sig, owner, part = (sig[order] >> np.uint64(16)), owner[order], part[order]
         edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
-        node, layout, empty = (np.array(x) for x in zip(*entries, strict=True))
-        rows: list[list] = [[] for _ in schema]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             own, entry = np.unique(owner[a:b], return_inverse=True)
-            for column, v in zip(rows, (int(part[a]), node[own].astype("<i8").tobytes(), layout[own].astype("<u2").tobytes(), empty[own].astype("<i4").tobytes(),
-                                        entry.astype("<u4").tobytes(), sig[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()), strict=True):
-                column.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+            yield row(COLD_PART, int(part[a]), node[own].astype("<i8").tobytes(), layout[own].astype("<u2").tobytes(), empty[own].astype("<i4").tobytes(),
+                      entry.astype("<u4").tobytes(), sig[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SIGNED, strict=True)], schema=_SIGNED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
-        sigs, owners, entries, held = [], [], [], 0
-        for batch in batches:
-            texts = batch.filter(batch.column("doc_id").is_valid()).column("text").to_pylist()
-            for h in shingle_sets(texts, words):
-                node = node_of(h)
-                for layout, f, empty in set_fingerprints(h, bands):
-                    sigs.append(f)
-                    owners.append(np.full(len(f), len(entries), np.int64))
-                    entries.append((node, layout, empty))
-                    held += len(f)
-                if held > 2_000_000:
-                    yield from packed(sigs, owners, entries)
-                    sigs, owners, entries, held = [], [], [], 0
+        sigs, owners, entries, held, seen = [], [], [], 0, set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                ids, known = batch.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+                names, sizes, sketches = [], [], []
+                for h, named in zip(shingle_sets(batch.column("text").to_pylist(), words), known.tolist(), strict=True):
+                    name = names_of(h, bits)
+                    names.append(name)
+                    sizes.append(len(h))
+                    sketches.append(whole_sketch(h) if len(h) else b"")
+                    if not named or name in seen:
+                        continue
+                    seen.add(name)
+                    for layout, f, empty in set_fingerprints(h, bands):
+                        sigs.append(f)
+                        owners.append(np.full(len(f), len(entries), np.int64))
+                        entries.append((name[0], layout, empty))
+                        held += len(f)
+                    if held > HELD:
+                        yield out(list(packed(sigs, owners, entries)))
+                        sigs, owners, entries, held, seen = [], [], [], 0, set()
+                lengths = np.array([len(x) for x in sketches], "<u4")
+                part = int(np.array(names[0], np.int64).view(np.uint64)[1] % np.uint64(parts))
+                yield out([row(SETS, part, np.array(names, "<i8").tobytes(), ids.astype("<i8").tobytes() + known.astype(np.uint8).tobytes(), np.array(sizes, "<i8").tobytes(), lengths.tobytes(), b"".join(sketches))])
         if held:
-            yield from packed(sigs, owners, entries)
+            yield out(list(packed(sigs, owners, entries)))
 
     return run
 
 
-_FOUND = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("layout", pa.int32()), ("empty", pa.int32())])
+def _found(kind: int, a: np.ndarray, b: np.ndarray, layout: np.ndarray | None = None, empty: np.ndarray | None = None) -> pa.Table:
+    k = len(a)
+    none = np.zeros(k, np.int32)
+    return pa.table([np.full(k, kind, np.int8), a.astype(np.int64), b.astype(np.int64), none if layout is None else layout.astype(np.int32), none if empty is None else empty.astype(np.int32),
+                     pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], schema=_FOUND)
+
+
+def _sets(table: pa.Table) -> pa.Table:
+    """A row per document: a = doc_id, b = node, other = its second name."""
+    out = []
+    for names, ids, sizes, lengths, sketches in zip(*(table.column(c).to_pylist() for c in ("node", "layout", "empty", "entry", "sig")), strict=True):
+        name = np.frombuffer(names, "<i8").reshape(-1, 2)
+        k = len(name)
+        known = np.frombuffer(ids, np.uint8)[8 * k:].astype(bool)
+        ends = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, "<u4"))]).astype(np.int32)
+        sketch = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(ends), pa.py_buffer(sketches)])
+        none = np.zeros(k, np.int32)
+        out.append(pa.table([np.full(k, SET, np.int8), pa.array(np.frombuffer(ids[: 8 * k], "<i8"), pa.int64(), mask=~known), np.ascontiguousarray(name[:, 0]), none, none, np.frombuffer(sizes, "<i8"), np.ascontiguousarray(name[:, 1]), sketch], schema=_FOUND))
+    return pa.concat_tables(out)
 
 
 def _bucket(table: pa.Table) -> pa.Table:
-    """Kind 0: pairs of a cold bucket (a < b).  Kind 1: a hot bucket a and its member b."""
+    """PAIR: pairs of a cold bucket (a < b).  HOT: a hot bucket a and its member b.  SET: see above."""
+    kind = table.column("kind")[0].as_py()
+    if kind == SETS:
+        return _sets(table)
     nodes, layouts, empties, owners, sigs, base = [], [], [], [], [], 0
     part = table.column("part")[0].as_py() & 0xFFFF
     for node, layout, empty, entry, sig in zip(*(table.column(c).to_pylist() for c in ("node", "layout", "empty", "entry", "sig")), strict=True):
@@ -217,38 +276,46 @@ def _bucket(table: pa.Table) -> pa.Table:
         layouts.append(np.frombuffer(layout, "<u2"))
         empties.append(np.frombuffer(empty, "<i4"))
         owners.append(np.frombuffer(entry, "<u4").astype(np.int64) + base)
-        wide = np.zeros((len(sig) // 6, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(sig, np.uint8).reshape(-1, 6)
-        sigs.append(wide.view("<u8").ravel())
+        if kind == HOT_PART:
+            sigs.append(np.frombuffer(sig, "<i8"))
+        else:
+            wide = np.zeros((len(sig) // 6, 8), np.uint8)
+            wide[:, :6] = np.frombuffer(sig, np.uint8).reshape(-1, 6)
+            sigs.append(wide.view("<u8").ravel())
         base += len(nodes[-1])
     node, layout, empty, owner, sig = (np.concatenate(x) for x in (nodes, layouts, empties, owners, sigs))
+    if kind == HOT_PART:
+        return _found(HOT, sig, node[owner], layout[owner], empty[owner])
     order = np.argsort(sig, kind="stable")
     sig, owner = sig[order], owner[order]
     same = np.zeros(len(sig), bool)
     same[1:] = sig[1:] == sig[:-1]
     shared = same.copy()
     shared[:-1] |= same[1:]
+    shared |= layout[owner] == MARK
     sig, owner = sig[shared], owner[shared]
-    order = np.lexsort((node[owner], sig))
+    order = np.lexsort((node[owner], layout[owner] == MARK, sig))
     sig, owner = sig[order], owner[order]
-    who = node[owner]
+    mark = layout[owner] == MARK
+    # equal texts are one node, many marks are one
     fresh = np.ones(len(sig), bool)
-    fresh[1:] = (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])  # equal texts are one node
-    sig, owner, who = sig[fresh], owner[fresh], who[fresh]
+    fresh[1:] = (sig[1:] != sig[:-1]) | (node[owner[1:]] != node[owner[:-1]]) | (mark[1:] != mark[:-1])
+    sig, owner, mark = sig[fresh], owner[fresh], mark[fresh]
+    who = node[owner]
     starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(sig)))
+    marked = np.logical_or.reduceat(mark, starts) if len(starts) else np.zeros(0, bool)
     left, right = [], []
     for m in range(2, COLD + 1):
-        members = who[starts[sizes == m][:, None] + np.arange(m)[None, :]]
+        members = who[starts[(sizes == m) & ~marked][:, None] + np.arange(m)[None, :]]
         for i in range(m):
             for j in range(i + 1, m):
                 left.append(members[:, i])
                 right.append(members[:, j])
     pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0) if left else np.zeros((0, 2), np.int64)
-    hot = np.repeat(sizes > COLD, sizes)
-    k, h = len(pairs), int(hot.sum())
-    return pa.table([np.repeat(np.array([0, 1], np.int8), [k, h]), np.concatenate([pairs[:, 0], ((sig[hot] << np.uint64(16)) | np.uint64(part)).view(np.int64)]), np.concatenate([pairs[:, 1], who[hot]]),
-                     np.concatenate([np.zeros(k, np.int32), layout[owner[hot]].astype(np.int32)]), np.concatenate([np.zeros(k, np.int32), empty[owner[hot]].astype(np.int32)])], schema=_FOUND)
+    hot = np.repeat((sizes > COLD) | marked, sizes) & ~mark
+    ids = ((sig[hot] << np.uint64(16)) | np.uint64(part)).view(np.int64)
+    return pa.concat_tables([_found(PAIR, pairs[:, 0], pairs[:, 1]), _found(HOT, ids, who[hot], layout[owner[hot]], empty[owner[hot]])])
 
 
 def _near_by_sketch(num: int, den: int):
@@ -286,33 +353,36 @@ def _verify(words: int, num: int, den: int):
 
 
 def _own_texts(words: int):
+    """Of the texts of a doc_id those of the node's set, by its second name too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names = [node_of(h) for h in shingle_sets(b.column("text").to_pylist(), words)]
-            yield b.filter(pa.array([x == y for x, y in zip(names, b.column("node").to_pylist(), strict=True)], pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                names = [names_of(h)[1] for h in shingle_sets(b.column("text").to_pylist(), words)]
+                yield b.filter(pa.array([x == y for x, y in zip(names, b.column("other").to_pylist(), strict=True)], pa.bool_())).select(["node", "text"])
 
     return run
 
 
 def _across(num: int, den: int, most: int):
-    """Within a chunk pair of a hot bucket: each set's ``most`` nearest sets of other components that their
-    sketches allow, and whether there were more."""
+    """Within a group of sets on sides 1 and 2 (or both, 3): each set's ``most`` nearest sets of the other side and of other
+    components that their sketches allow, and whether there were more."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, comp, chunk, n = (table.column(c).to_numpy() for c in ("node", "component", "chunk", "n"))
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        node, comp, side, n = (table.column(c).to_numpy() for c in ("node", "component", "side", "n"))
         raw = table.column("sketch").to_pylist()
         width = np.array([len(x) for x in raw])
-        by_width = {w: np.flatnonzero((width == w) & (chunk == hi)) for w in np.unique(width).tolist()}
+        by_width = {w: np.flatnonzero((width == w) & (side >= 2)) for w in np.unique(width).tolist()}
         stacks = {w: np.frombuffer(b"".join(raw[j] for j in js), np.uint8).reshape(-1, w) for w, js in by_width.items()}
         left, right, more = [], [], False
-        for i in np.flatnonzero(chunk == lo):
+        for i in np.flatnonzero(side & 1):
             mine = np.frombuffer(raw[i], np.uint8)
             hits, far = [], []
             for w, js in by_width.items():
                 if not len(js) or max(w, len(mine)) > 2 * min(w, len(mine)):
                     continue  # sizes that differ so much are never similar
-                fits = (comp[js] != comp[i]) & ((lo != hi) | (node[js] > node[i])) & (den * np.minimum(n[js], n[i]) >= num * np.maximum(n[js], n[i]))
+                fits = (comp[js] != comp[i]) & ((side[js] != side[i]) | (node[js] > node[i])) & (den * np.minimum(n[js], n[i]) >= num * np.maximum(n[js], n[i]))
                 if not fits.any():
                     continue
                 theirs, size = stacks[w][fits], min(w, len(mine))
@@ -337,32 +407,42 @@ def _across(num: int, den: int, most: int):
 class JaccardJoin:
     """One run of the join over ``documents``."""
 
-    def __init__(self, documents: DataFrame, words: int = SHINGLE_WORDS, num: int = 80, den: int = 100, broadcast_ids: int = BROADCAST_IDS):
+    def __init__(self, documents: DataFrame, words: int = SHINGLE_WORDS, num: int = 80, den: int = 100, broadcast_ids: int = BROADCAST_IDS, name_bits: int = 64, part_bytes: int = PART_BYTES):
         self.spark = documents.sparkSession
         ship_package(self.spark)
         self.documents, self.words, self.num, self.den, self.broadcast_ids = documents.select("doc_id", "text"), words, num, den, broadcast_ids
-        self.described = materialize(self.documents.mapInArrow(_describe(words), "doc_id long, node long, n long, sketch binary"), "join-sets")
-        self.nodes = materialize(self.described.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min_by("sketch", "doc_id").alias("sketch")), "join-nodes")
-
-    def proposals(self) -> DataFrame:
-        parts = n_parts(self.spark)
-        signed = self.documents.mapInArrow(_sign(self.words, parts, self.num, self.den), "part int, node binary, layout binary, empty binary, entry binary, sig binary")
-        return materialize(signed.groupBy("part").applyInArrow(_bucket, "kind byte, a long, b long, layout int, empty int"), "join-buckets")
-
-    def unsafe(self, found: DataFrame) -> DataFrame:
-        """(bucket, node): members of hot buckets with more hot blocks than their layout's slack."""
+        size = self.documents.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+        parts = max(n_parts(self.spark), -(-int(size) // part_bytes))
+        signed = self.documents.mapInArrow(_sign(words, parts, num, den, name_bits), _SIGNED_SQL)
+        found = materialize(signed.groupBy("kind", "part").applyInArrow(_bucket, _FOUND_SQL), "join-buckets")
+        sets = found.where(F.col("kind") == SET).select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n", "other", "sketch")
+        self.pairs = found.where(F.col("kind") == PAIR).select("a", "b")
+        self.hot = found.where(F.col("kind") == HOT).select(F.col("a").alias("bucket"), F.col("b").alias("node"), "layout", "empty")
+        twice = materialize(sets.where("n > 0").groupBy("node").agg(F.min("other").alias("x"), F.max("other").alias("y")).where("x <> y").select("node"), "join-twice")
+        if twice.limit(1).count():
+            # sets of one first name: each gets a name of both, and every proposal for the one holds for all of them
+            own = materialize(sets.join(twice, "node", "left_semi").select("node", "other", F.xxhash64("node", "other").alias("name")).distinct(), "join-names")
+            sets = sets.join(own, ["node", "other"], "left").withColumn("node", F.coalesce("name", "node")).drop("name")
+            told = lambda df, c: df.join(own.select(F.col("node").alias(c), "name"), c, "left").withColumn(c, F.coalesce("name", c)).drop("name")
+            among = own.select("node", F.col("name").alias("a")).join(own.select("node", F.col("name").alias("b")), "node").where("a < b").select("a", "b")
+            self.pairs = told(told(self.pairs, "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(among)
+            self.hot = told(self.hot, "node")
+        self.sets = sets
+        self.nodes = materialize(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(
+            F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("other").alias("other"), F.min_by("sketch", "doc_id").alias("sketch")), "join-nodes")
+
+    def unsafe(self) -> DataFrame:
+        """(node, buckets): sets with more hot blocks than their layout's slack, and the hot buckets in which they have to be compared."""
         bands = Bands(self.num, self.den)
-        hot = found.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("node"), "layout", "empty")
-        largest = hot.agg(F.max("layout")).first()[0]
+        largest = self.hot.agg(F.max("layout")).first()[0]
         if largest is None:
-            return hot.select("bucket", "node")
+            return self.hot.select("node", F.array("bucket").alias("buckets"))
         while len(bands.upper) <= largest:
             bands.band(bands.upper[-1] + 1)
         slack = F.element_at(F.array(*[F.lit(bands.slack(k)) for k in range(largest + 1)]), F.col("layout") + 1)
-        over = (hot.groupBy("node", "layout").agg(F.count("*").alias("n"), F.max("empty").alias("empty"))
-                .where(F.col("n") + F.col("empty") > slack).select("node", "layout"))
-        return materialize(hot.join(over, ["node", "layout"], "left_semi").select("bucket", "node"), "join-hot")
+        each = self.hot.groupBy("node", "layout").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"), F.max("empty").alias("empty"))
+        need = F.size("buckets") - F.greatest(slack - F.col("empty"), F.lit(0))
+        return materialize(each.where(need > 0).select("node", F.slice("buckets", F.lit(1), need).alias("buckets")), "join-hot")
 
     def close(self, pairs: DataFrame) -> DataFrame:
         """Pairs that sizes and sketches allow."""
@@ -371,38 +451,48 @@ class JaccardJoin:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Links among ``pairs``, on the texts."""
-        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes.select("node", "doc_id"), "node"), "join-wanted")
+        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes.select("node", "doc_id", "other"), "node"), "join-wanted")
         ids = F.broadcast(wanted) if wanted.count() <= self.broadcast_ids else wanted
         # a repeated doc_id brings other texts along; only those of the node stay, once
-        texts = self.documents.join(ids, "doc_id").select("node", "text").mapInArrow(_own_texts(self.words), "node long, text string")
+        texts = self.documents.join(ids, "doc_id").select("node", "other", "text").mapInArrow(_own_texts(self.words), "node long, text string")
         texts = materialize(texts.groupBy("node").agg(F.min("text").alias("text")), "join-texts")
         side = lambda k: texts.select(F.col("node").alias("ab"[k - 1]), F.col("text").alias(f"t{k}"))
         return materialize(pairs.join(side(1), "a").join(side(2), "b").mapInArrow(_verify(self.words, self.num, self.den), "a long, b long").distinct(), "join-links")
 
-    def across(self, hot: DataFrame, component: DataFrame, most: int, every: bool) -> DataFrame:
-        """(a, b, more): pairs of hot buckets between components, each set's ``most`` nearest per chunk.
-
-        Sets share many buckets; unless ``every`` one is asked for, each set goes to its least bucket only.
-        """
+    def across(self, hot: DataFrame, component: DataFrame, most: int) -> DataFrame:
+        """(a, b, more): pairs of sets of one hot bucket between components, each set's ``most`` nearest per chunk."""
         label = hot.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = label.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y")
-        rows = label.join(mixed.select("bucket", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")), "bucket")
-        if not every:
-            rows = rows.join(rows.groupBy("node").agg(F.min("bucket").alias("bucket")), ["node", "bucket"])
-        rows = rows.join(self.nodes.select("node", "n", "sketch"), "node")
-        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
-        rows = rows.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-        rows = rows.select("bucket", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "component", "n", "sketch")
-        found = rows.groupBy("bucket", "lo", "hi").applyInArrow(_across(self.num, self.den, most), "a long, b long, more boolean")
-        return materialize(found.groupBy("a", "b").agg(F.bool_or("more").alias("more")), "join-across")
+        each = label.select("node", "component", F.explode("buckets").alias("bucket"))
+        counted = each.groupBy("bucket", "component").agg(F.count("*").alias("m"))
+        one = counted.groupBy("bucket").agg(F.max_by("component", F.struct("m", "component")).alias("one"), F.count("*").alias("k"), F.sum("m").alias("all"), F.max("m").alias("m")).where("k > 1")
+        one = materialize(one.select("bucket", "one", (F.col("all") - F.col("m")).alias("others")), "join-mixed")
+        others = materialize(each.join(one, "bucket").where("component <> one"), "join-others")
+        # the sets beside the one, with each other: a bucket's are dealt to chunks, a group holds two of them
+        sketch = self.nodes.select("node", "n", "sketch")
+        rows = others.where("others > 1").withColumn("chunks", F.ceil(F.col("others") / CHUNK).cast("int"))
+        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int")).withColumn("with", F.explode(F.expr("sequence(0, chunks - 1)")))
+        rows = rows.select("node", "component", "bucket", F.least("chunk", "with").alias("lo"), F.greatest("chunk", "with").alias("hi"),
+                           F.when(F.col("chunk") == F.col("with"), 3).when(F.col("chunk") < F.col("with"), 1).otherwise(2).cast("byte").alias("side"))
+        found = rows.join(sketch, "node").groupBy("bucket", "lo", "hi").applyInArrow(_across(self.num, self.den, most), "a long, b long, more boolean")
+        # with the sets of the one: both sides are dealt to chunks
+        met = materialize(others.select("node", "component", "one").distinct(), "join-met")
+        large = label.select("node", F.col("component").alias("one")).distinct().join(met.select("one").distinct(), "one")
+        dealt = lambda rows, name: rows.groupBy("one").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias(name))
+        both = materialize(dealt(large, "p").join(dealt(met, "q"), "one"), "join-chunks")
+        at = lambda k: F.pmod(F.xxhash64("node"), k).cast("int")
+        every = lambda k: F.explode(F.expr(f"sequence(0, {k} - 1)"))
+        large = large.join(both, "one").select("node", F.col("one").alias("component"), "one", at("p").alias("x"), every("q").alias("y"), F.lit(2).cast("byte").alias("side"))
+        small = met.join(both, "one").select("node", "component", "one", every("p").alias("x"), at("q").alias("y"), F.lit(1).cast("byte").alias("side"))
+        beside = large.unionByName(small).join(sketch, "node").groupBy("one", "x", "y").applyInArrow(_across(self.num, self.den, most), "a long, b long, more boolean")
+        return materialize(found.unionByName(beside).groupBy("a", "b").agg(F.bool_or("more").alias("more")), "join-across")
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id)."""
-        found = self.proposals()
-        hot = self.unsafe(found)
-        centre = hot.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("m")).where("m > 1")
-        star = hot.join(centre, "bucket").where("node <> a").select("a", F.col("node").alias("b"))
-        pairs = self.close(found.where("kind = 0").select("a", "b").unionByName(star).distinct())
+        hot = self.unsafe()
+        first = hot.groupBy("node").agg(F.min(F.element_at("buckets", 1)).alias("bucket"))
+        centre = first.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("m")).where("m > 1")
+        star = first.join(centre, "bucket").where("node <> a").select("a", F.col("node").alias("b"))
+        pairs = self.close(self.pairs.unionByName(star).distinct())
         # one pair per node first: most groups of near copies are joined by these
         first = pairs.groupBy(F.col("b")).agg(F.min("a").alias("a")).select("a", "b")
         links = self.verified(first)
@@ -410,21 +500,16 @@ class JaccardJoin:
         rest = self._apart(pairs.join(first, ["a", "b"], "left_anti"), joined)
         links = links.unionByName(self.verified(rest))
         joined = components(links)
-        # one bucket per set and its nearest first: once they are linked, little is left between components
-        most, every = 1, False
+        most = 4
         while True:
-            found = self.across(hot, joined, most, every)
+            found = self.across(hot, joined, most)
             fresh = materialize(found.select("a", "b").join(pairs, ["a", "b"], "left_anti"), "join-rest")
-            some = fresh.limit(1).count() > 0
-            if some:
+            if fresh.limit(1).count():
                 links, pairs = materialize(links.unionByName(self.verified(fresh)), "join-links"), pairs.unionByName(fresh)
                 joined = components(links)
-            if every:
-                if not found.where("more").limit(1).count():
-                    return self._labelled(joined)
-                most *= 64
-            elif not some:
-                most, every = 8, True
+            if not found.where("more").limit(1).count():
+                return self._labelled(joined)
+            most *= 32
 
     def _apart(self, pairs: DataFrame, component: DataFrame) -> DataFrame:
         side = lambda k: component.select(F.col("node").alias("ab"[k - 1]), F.col("component").alias(f"c{k}"))
@@ -435,8 +520,8 @@ class JaccardJoin:
         joined = self.nodes.select("node", "doc_id").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = joined.groupBy("component").agg(F.min("doc_id").alias("least"))
         by_node = joined.join(least, "component").select("node", "least")
-        out = self.described.join(by_node, "node", "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        out = self.sets.join(by_node, "node", "left")
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def jaccard_components(documents: DataFrame, words: int = SHINGLE_WORDS, num: int = 80, den: int = 100) -> DataFrame:

@@ -307,3 +307,66 @@ def test_embeddings(spark):
     n = {r[0]: 0 for r in rows} | {ok[k][0]: int(link[k].sum()) - 1 for k in range(len(ok))}
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(frame, target_recall=1.0).collect()}
     assert got == {v: (n[v], root[v], root[v] == v) for v in root}
+
+
+def brute_components(texts, words=5):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i:i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    holders = {}
+    for i, x in enumerate(sets):
+        for g in x:
+            holders.setdefault(g, []).append(i)
+    pairs = {(i, j) for own in holders.values() for i in own for j in own if i < j}
+    root = list(range(len(sets)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            a, b = sorted((top(i), top(j)))
+            root[b] = a
+    return {i: (len(x), top(i)) for i, x in enumerate(sets)}
+
+
+def test_ngram_join_of_short_texts(spark):
+    """Pairs of 1 to 40 words, most of them around the threshold; one pair agrees on empty blocks only."""
+    rng = random.Random(41)
+    texts = ["lnpfak ibookb ldfnjb dnnpnn alhnnb gdfaja cefmij paeokg", "lnpfak ibookb ldfnjb dnnpnn alhnnb gdfaja cefmij paeokg hkpagj", None, "", " "]
+    for _ in range(10_000):
+        own = prose(rng, rng.randint(1, 40)).split()
+        other = own + prose(rng, rng.randint(1, max(1, len(own) // 5))).split() if rng.random() < 0.7 else own[: rng.randrange(len(own))] + prose(rng, 1).split() + own[rng.randrange(len(own)):]
+        texts += [" ".join(own), " ".join(other)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs(spark, texts)).collect()}
+    assert got == brute_components(texts)
+
+
+def test_ngram_join_hot_groups(spark, monkeypatch):
+    """A large family of near copies, families that differ from it by about the threshold, a passage that unlike texts share; names that collide; small parts."""
+    rng = random.Random(43)
+    base = prose(rng, 150).split()
+    texts = []
+    for _ in range(260):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 6])):
+            copy[rng.randrange(len(copy))] = prose(rng, 1)
+        texts.append(" ".join(copy))
+    for _ in range(120):
+        texts.append(" ".join(base[:110] + prose(rng, rng.randint(20, 60)).split()))
+    texts += ["long " + prose(rng, 30_000), None] + texts[:40]
+    want = brute_components(texts)
+    rows = docs(spark, texts)
+    for bits, part_bytes in ((64, 1 << 20), (4, 20_000)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.JaccardJoin(rows, name_bits=bits, part_bytes=part_bytes).run().collect()}
+        assert got == want
+
+
+def test_ngram_join_rows_without_id(spark):
+    rows = spark.createDataFrame([(None, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (2, "x y z"), (None, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in ngram_join.jaccard_components(rows).collect())
+    assert got == [(-1, 0, -1), (-1, 3, -1), (1, 3, 1), (2, 1, 2), (2, 3, 1)]
+    assert ngram_join.jaccard_components(rows.limit(0)).count() == 0
