@@ -11,12 +11,17 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 
 _LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
 #: A line break between characters that are no spaces is a pre-token of its own.
 _LONE_BREAK = re.compile(r"(?<=\S)\n(?=\S)")
+#: Pieces of these characters (no apostrophe) are cut by the files' pre-tokenizers into runs of letters, of digits and of signs.
+_LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F"
+_PLAIN = re.compile(rf"[{_LETTERS}0-9!-&(-/:-@\[-`{{-~]+")
+_RUNS = re.compile(rf"[{_LETTERS}]+|[0-9]+|[^{_LETTERS}0-9]+")
 #: Entries kept per process; the cache then starts anew.
 CACHE_ENTRIES = 1_000_000
 
@@ -62,7 +67,8 @@ class CachedEncoder:
         self.folds = "Lowercase" in json.dumps(rules.get("normalizer"))
         self.inner = _Pieces(self, " " if self.cut == "before space" else "")
         self.first = _Pieces(self, "") if self.cut == "before space" else self.inner
-        self.marks = dict(zip(".,\n", self._encode([".", ",", "\n"]), strict=True))
+        self.code = "H" if self.width == 2 else "I"
+        self.line_break = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         batch = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -70,9 +76,10 @@ class CachedEncoder:
 
     def _encode_piece(self, piece: str, lead: str) -> bytes:
         """One piece; Latin words are one pre-token each and go straight to the library's model."""
-        if piece.isalpha() and max(piece) < "\u0130":
-            spelled = (lead + (piece.lower() if self.folds else piece)).encode().decode("latin-1").translate(_SPELLED)
-            return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], self.dtype).tobytes()
+        if piece.isalpha() and (piece.isascii() or max(piece) < "\u0130"):
+            spelled = lead + (piece.lower() if self.folds else piece)
+            spelled = spelled.replace(" ", "\u0120") if piece.isascii() else spelled.encode().decode("latin-1").translate(_SPELLED)
+            return array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
         return self._encode([lead + piece])[0]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -108,11 +115,13 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = None
-        if len(piece) > 1:
-            if piece[-1] in ".," and piece[-2].isalpha():
-                ids = self[piece[:-1]] + self.owner.marks[piece[-1]]
+        if len(piece) > 1 and not piece.isalpha():
+            if _PLAIN.fullmatch(piece):
+                runs = _RUNS.findall(piece)
+                if len(runs) > 1:
+                    ids = self[runs[0]] + b"".join(map(self.owner.first.__getitem__, runs[1:]))
             elif len(lines := _LONE_BREAK.split(piece)) > 1:
-                ids = self.owner.marks["\n"].join([self[lines[0]], *map(self.owner.first.__getitem__, lines[1:])])
+                ids = self.owner.line_break.join([self[lines[0]], *map(self.owner.first.__getitem__, lines[1:])])
         if ids is None:
             ids = self.owner._encode_piece(piece, self.lead)
         self[piece] = ids

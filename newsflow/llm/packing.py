@@ -8,12 +8,13 @@ each block is packed on several islands:
 * crossover injects whole well-filled bins of one parent into the other, removes the bins that hold
   duplicates of their pieces, and puts the displaced pieces back best fit, longest first;
 * after a round the islands' elites migrate to the next island, which evolves its own and the newcomers;
-  the block's best chromosome wins.  Islands stop at the bound ceil(total / capacity).
+  the block's best chromosome wins.  Islands stop at the bound ceil(total / capacity), below which no packing is: where the first
+  chromosome, plain best fit by falling length, is there already, no generation runs.
 
-Blocks' badly filled bins are dissolved and packed again together, until they fit one block or no bin is saved.
+Blocks' badly filled bins are dissolved and packed again together, until they fit one block or dealing them anew saves no bin, twice in a row.
 
-Defined cases: a null text is empty (its one id is the end id); repeated rows are packed row by row;
-an empty table gives no rows; further columns are ignored.
+Defined cases: a null text is empty (its one id is the end id); very long texts are cut into full pieces and a rest; equal lengths go by row;
+repeated rows are packed row by row; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -169,27 +170,30 @@ def pack_level(pieces: DataFrame, level: int, n_blocks: int, capacity: int, isla
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES, islands: int = ISLANDS,
-         generations: int = GENERATIONS, population: int = POPULATION, levels: int = 3) -> DataFrame:
+         generations: int = GENERATIONS, population: int = POPULATION) -> DataFrame:
     """``pieces`` with sequence_id and offset."""
     narrow = pieces.select("rid", "length")
     alone = narrow.where(F.col("length") >= capacity).select("rid", "length", (-1 - F.col("rid")).alias("sequence_id"))
     open_ = narrow.where(F.col("length") < capacity)
     done = [alone]
     offset = 0
-    for level in range(levels):
-        n = open_.count()
-        if n == 0:
-            break
+    dissolved, idle, level = None, 0, 0
+    while n := open_.count():
         n_blocks = -(-n // block_pieces)
         packed = materialize(pack_level(open_, level, n_blocks, capacity, islands, generations, population)
                              .withColumn("bin_key", F.col("bin_key") + F.lit(offset)), "packed")
-        last = n_blocks == 1 or level == levels - 1
+        # one block holds all that is left, or dealing it anew saved no bin twice in a row
+        bins = packed.groupBy("bin_key").agg(F.first("used").alias("used")).agg(F.count("*").alias("n"), F.count_if(F.col("used") < WELL_FILLED * capacity).alias("bad")).first()
+        idle = idle + 1 if dissolved is not None and bins["n"] >= dissolved else 0
+        last = n_blocks == 1 or idle == 2
+        dissolved = bins["bad"]
         settled = packed if last else packed.where(F.col("used") >= WELL_FILLED * capacity)
         done.append(settled.select("rid", "length", F.col("bin_key").alias("sequence_id")))
         if last:
             break
         open_ = packed.where(F.col("used") < WELL_FILLED * capacity).select("rid", "length")
         offset += (level + 1) * n_blocks * (1 << 24) + (1 << 40)
+        level += 1
     placed = done[0]
     for more in done[1:]:
         placed = placed.unionByName(more)

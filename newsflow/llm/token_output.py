@@ -1,13 +1,14 @@
 """Token-ID output: one compressed wavelet-matrix file per shard, with access, rank and select.
 
-Documents are dealt to shards by ``doc_id`` quantiles, so shards are in ascending order.  A shard's ids are
-stored as bit planes (most significant first), each stably partitioned by its bit; per plane the
-ones before every 512th bit are kept, which makes rank a table look-up and a count of 512 bits at most.  The
-payload is one zstd stream; Spark's own committer writes the files, so a lost executor leaves none half
-written and any file system that Spark knows will do.
-
-Defined cases: a null text is empty (only the end id); rows of equal ``doc_id`` stay apart, in order of
-their ids' bytes; a null ``doc_id`` sorts first; an empty table gives no rows; further columns are ignored.
+Texts are dealt by ranges of ``doc_id`` and sorted, then encoded where they are put into shards, so shards are in ascending order and ids
+are never shuffled.  A shard is closed at ``part_ids`` ids.  Its ids are
+stored as bit planes (most significant first), each stably partitioned by its bit.  A plane is cut into frames, each a zstd stream of
+its own that holds the bits and, for every 512th of them, the ones before; the shard's head tells each frame's place and the ones before it.  So rank is a
+look-up in the head, one in a frame's table and a count of 512 bits at most, and access, rank and select unpack one frame or two a plane.  Spark's own
+committer writes the files, so a lost executor leaves none half written and any file system that Spark knows will do.
+
+Defined cases: a null text is empty (only the end id); very long texts are encoded whole, into a shard as long as they need; rows of equal ``doc_id`` stay apart,
+in order of their texts' hashes; a null ``doc_id`` sorts first; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,59 +27,101 @@ from pyspark.sql import functions as F
 from newsflow.llm.encoding import encoder
 from newsflow.llm.runtime import n_parts, new_path, ship_package
 
-SHARD_DOCS = 1024
-#: A shard is closed early at so many ids, and goes on in the next part file.
+#: A shard is closed at so many ids.
 PART_IDS = 1 << 22
+#: Bytes of text that one task encodes and writes, about.
+TASK_BYTES = 32 << 20
 BLOCK = 512
-#: Fixed value: the head of a payload - format, ids, planes, documents.
-HEAD = struct.Struct("<4sQII")
-MAGIC = b"WVM1"
-
-
-class WaveletMatrix:
-    """A sequence of unsigned ids as succinct bit planes."""
-
-    def __init__(self, n: int, planes: list[np.ndarray]):
-        self.n, self.planes = n, planes
-        self.ones_before = []
-        self.zeros = []
-        for p in planes:
-            per_block = np.add.reduceat(np.bitwise_count(p), np.arange(0, len(p), BLOCK // 8), dtype=np.int64) if n else np.zeros(0, np.int64)
-            self.ones_before.append(np.concatenate([[0], np.cumsum(per_block)]))
-            self.zeros.append(n - int(self.ones_before[-1][-1]))
-
-    @classmethod
-    def build(cls, ids: np.ndarray, depth: int) -> "WaveletMatrix":
-        planes, now = [], ids
-        for b in range(depth - 1, -1, -1):
-            bits = (now & now.dtype.type(1 << b)).astype(bool)
-            planes.append(np.packbits(bits))
-            now = np.concatenate([now[~bits], now[bits]])
-        return cls(len(ids), planes)
-
-    def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i >> 3] >> (7 - (i & 7))) & 1
+#: Bits of a plane that are compressed together.
+FRAME = 1 << 19
+#: The head of a payload - format, ids, planes, documents, frames a plane.
+HEAD = struct.Struct("<4sQIII")
+MAGIC = b"WVM2"
+
+
+def bit_planes(ids: np.ndarray, depth: int) -> Iterator[np.ndarray]:
+    """The bits of each plane, most significant first, as booleans."""
+    for b in range(depth - 1, -1, -1):
+        bits = (ids & ids.dtype.type(1 << b)).astype(bool)
+        yield bits
+        ids = np.concatenate([ids[~bits], ids[bits]])
+
+
+def pack_shard(ids: np.ndarray, lengths: np.ndarray, depth: int) -> bytes:
+    """Head, places of frames, ones before frames, the documents' lengths, then the frames plane by plane."""
+    packer = zstandard.ZstdCompressor(1)
+    n, per_plane = len(ids), -(-len(ids) // FRAME)
+    frames, ones = [packer.compress(np.asarray(lengths, "<u4").tobytes())], np.zeros((depth, per_plane + 1), "<u8")
+    for level, bits in enumerate(bit_planes(ids, depth)):
+        plane = np.packbits(bits)
+        for k in range(per_plane):
+            part = plane[k * FRAME // 8:(k + 1) * FRAME // 8]
+            blocks = np.add.reduceat(np.bitwise_count(part), np.arange(0, len(part), BLOCK // 8), dtype=np.int64)
+            before = np.cumsum(blocks) - blocks
+            ones[level, k + 1] = int(ones[level, k]) + int(blocks.sum())
+            frames.append(packer.compress(before.astype("<u4").tobytes() + part.tobytes()))
+    places = np.cumsum([0, *map(len, frames)]).astype("<u8")
+    return b"".join([HEAD.pack(MAGIC, n, depth, len(lengths), per_plane), places.tobytes(), ones.tobytes(), *frames])
+
+
+class Shard:
+    """A packed sequence of unsigned ids; frames are unpacked as they are asked for."""
+
+    def __init__(self, payload: bytes):
+        magic, self.n, self.depth, self.docs, self.per_plane = HEAD.unpack_from(payload)
+        if magic != MAGIC:
+            raise ValueError("not a wavelet-matrix payload")
+        at = HEAD.size
+        k = self.depth * self.per_plane + 2
+        self.places = np.frombuffer(payload, "<u8", k, at)
+        at += 8 * k
+        self.ones = np.frombuffer(payload, "<u8", self.depth * (self.per_plane + 1), at).reshape(self.depth, -1).astype(np.int64)
+        self.zeros = [self.n - int(x) for x in self.ones[:, -1]]
+        self.body = memoryview(payload)[at + 8 * self.ones.size:]
+        self.frame = lru_cache(maxsize=4 * self.depth)(self._frame)
+
+    def _unpacked(self, k: int) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(self.body[int(self.places[k]):int(self.places[k + 1])])
+
+    def lengths(self) -> np.ndarray:
+        """Of the documents, in ids."""
+        return np.frombuffer(self._unpacked(0), "<u4")
+
+    def _frame(self, level: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ones before each block of the frame, and its bits."""
+        raw = self._unpacked(1 + level * self.per_plane + k)
+        blocks = -(-min(FRAME, self.n - k * FRAME) // BLOCK)
+        return np.frombuffer(raw, "<u4", blocks), np.frombuffer(raw, np.uint8, offset=4 * blocks)
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones among the first ``i`` bits of a plane."""
-        block = i // BLOCK
+        k, inside = divmod(i, FRAME)
+        ones = int(self.ones[level, k])
+        if not inside:
+            return ones
+        table, bits = self.frame(level, k)
+        block = inside // BLOCK
+        if block == len(table):
+            return int(self.ones[level, k + 1])
         lo = block * (BLOCK // 8)
-        ones = int(self.ones_before[level][block]) + int(np.bitwise_count(self.planes[level][lo:i >> 3]).sum())
-        return ones + (int(self.planes[level][i >> 3] >> (8 - (i & 7))).bit_count() if i & 7 else 0)
+        ones += int(table[block]) + int(np.bitwise_count(bits[lo:inside >> 3]).sum())
+        return ones + (int(bits[inside >> 3] >> (8 - (inside & 7))).bit_count() if inside & 7 else 0)
 
     def access(self, i: int) -> int:
         value = 0
-        for level in range(len(self.planes)):
-            bit, ones = self._bit(level, i), self._rank1(level, i)
+        for level in range(self.depth):
+            inside = i % FRAME
+            bit = int(self.frame(level, i // FRAME)[1][inside >> 3] >> (7 - (inside & 7))) & 1
+            ones = self._rank1(level, i)
             value = value << 1 | bit
             i = self.zeros[level] + ones if bit else i - ones
         return value
 
     def _range(self, value: int, i: int) -> tuple[int, int]:
-        lo, hi, depth = 0, i, len(self.planes)
-        for level in range(depth):
+        lo, hi = 0, i
+        for level in range(self.depth):
             a, b = self._rank1(level, lo), self._rank1(level, hi)
-            lo, hi = (self.zeros[level] + a, self.zeros[level] + b) if value >> (depth - 1 - level) & 1 else (lo - a, hi - b)
+            lo, hi = (self.zeros[level] + a, self.zeros[level] + b) if value >> (self.depth - 1 - level) & 1 else (lo - a, hi - b)
         return lo, hi
 
     def rank(self, value: int, i: int) -> int:
@@ -90,114 +134,81 @@ class WaveletMatrix:
         lo, hi = self._range(value, self.n)
         if k >= hi - lo or k < 0:
             return -1
-        i, depth = lo + k, len(self.planes)
-        for level in range(depth - 1, -1, -1):
-            bit = value >> (depth - 1 - level) & 1
+        i = lo + k
+        for level in range(self.depth - 1, -1, -1):
+            bit = value >> (self.depth - 1 - level) & 1
             i = self._select(level, bit, i - self.zeros[level] if bit else i)
         return i
 
     def _select(self, level: int, bit: int, k: int) -> int:
         """Place of the k-th (from 0) ``bit`` of a plane."""
-        ones = self.ones_before[level]
-        before = ones if bit else np.minimum(np.arange(len(ones)) * BLOCK, self.n) - ones
+        ends = np.minimum(np.arange(self.per_plane + 1) * FRAME, self.n)
+        before = self.ones[level] if bit else ends - self.ones[level]
+        f = int(np.searchsorted(before, k, side="right")) - 1
+        k -= int(before[f])
+        table, bits = self.frame(level, f)
+        before = table if bit else np.arange(len(table)) * BLOCK - table
         block = int(np.searchsorted(before, k, side="right")) - 1
         lo = block * BLOCK
-        bits = np.unpackbits(self.planes[level][lo // 8:(lo + BLOCK) // 8])[: self.n - lo]
-        return lo + int(np.flatnonzero(bits == bit)[k - int(before[block])])
+        some = np.unpackbits(bits[lo // 8:(lo + BLOCK) // 8])[: min(BLOCK, self.n - f * FRAME - lo)]
+        return f * FRAME + lo + int(np.flatnonzero(some == bit)[k - int(before[block])])
 
     def decode(self) -> np.ndarray:
         """All ids, from the last plane up."""
-        out = np.zeros(self.n, np.uint32 if len(self.planes) > 16 else np.uint16)
-        for k, (plane, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1], strict=True)):
-            bits = np.unpackbits(plane, count=self.n).view(bool)
+        out = np.zeros(self.n, np.uint32 if self.depth > 16 else np.uint16)
+        for level in range(self.depth - 1, -1, -1):
+            zeros = self.zeros[level]
+            packed = [self._frame(level, k)[1] for k in range(self.per_plane)]
+            bits = np.unpackbits(np.concatenate(packed) if packed else np.zeros(0, np.uint8), count=self.n).view(bool)
             up = np.empty_like(out)
             up[~bits] = out[:zeros]
-            up[bits] = out[zeros:] | out.dtype.type(1 << k)
+            up[bits] = out[zeros:] | out.dtype.type(1 << (self.depth - 1 - level))
             out = up
         return out
 
 
-def pack_shard(ids: np.ndarray, lengths: np.ndarray, depth: int) -> bytes:
-    matrix = WaveletMatrix.build(ids, depth)
-    body = np.asarray(lengths, "<u4").tobytes() + b"".join(p.tobytes() for p in matrix.planes)
-    return HEAD.pack(MAGIC, len(ids), depth, len(lengths)) + zstandard.ZstdCompressor(1).compress(body)
-
-
-def open_shard(payload: bytes) -> tuple[WaveletMatrix, np.ndarray]:
-    """The matrix and the documents' lengths."""
-    magic, n, depth, docs = HEAD.unpack_from(payload)
-    if magic != MAGIC:
-        raise ValueError("not a wavelet-matrix payload")
-    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(payload)[HEAD.size:]), np.uint8)
-    step = (n + 7) // 8
-    planes = [body[4 * docs + k * step:4 * docs + (k + 1) * step] for k in range(depth)]
-    return WaveletMatrix(n, planes), body[: 4 * docs].view("<u4")
-
-
-def _tokenize(path: str, end_id: int, bounds: list[int]):
-    schema = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        end = np.array([end_id], enc.dtype).tobytes()
-        edges = np.array(bounds, np.int64)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                ids = [x + end for x in enc.encode(b.column("text").to_pylist())]
-                doc = b.column("doc_id")
-                shard = np.searchsorted(edges, doc.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), doc.cast(pa.int64()), pa.array(ids, pa.binary())], schema=schema)
-
-    return run
-
-
-def _build(path: str, part_ids: int):
+def _build(path: str, end_id: int, part_ids: int):
     schema = pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        depth = 8 * enc.width
-        shard, part, docs, blobs, size = None, 0, [], [], 0
+        end = np.array([end_id], enc.dtype).tobytes()
+        shard, part, docs, blobs, size = 0, 0, [], [], 0
 
         def flush():
             ids = np.frombuffer(b"".join(blobs), enc.dtype)
             lengths = np.array([len(x) // enc.width for x in blobs], np.uint32)
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([part], pa.int32()), pa.array([len(ids)], pa.int64()),
-                                               pa.array([docs], pa.list_(pa.int64())), pa.array([pack_shard(ids, lengths, depth)], pa.binary())], schema=schema)
-
-        for b in batches:
-            for s, d, x in zip(b.column("shard").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                if docs and (s != shard or size >= part_ids):
-                    yield flush()
-                    part = part + 1 if s == shard else 0
-                    docs, blobs, size = [], [], 0
-                if s != shard:
-                    shard, part = s, 0
-                docs.append(d)
-                blobs.append(x)
-                size += len(x) // enc.width
+                                               pa.array([docs], pa.list_(pa.int64())), pa.array([pack_shard(ids, lengths, 8 * enc.width)], pa.binary())], schema=schema)
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                shard = b.column("shard")[0].as_py()
+                for d, x in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist()), strict=True):
+                    docs.append(d)
+                    blobs.append(x + end)
+                    size += len(x) // enc.width + 1
+                    if size >= part_ids:
+                        yield flush()
+                        part, docs, blobs, size = part + 1, [], [], 0
         if docs:
             yield flush()
 
     return run
 
 
-def write_shards(documents: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, shard_docs: int = SHARD_DOCS, part_ids: int = PART_IDS) -> str:
+def write_shards(documents: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, part_ids: int = PART_IDS, task_bytes: int = TASK_BYTES) -> str:
     """Encode ``documents`` and write a wavelet-matrix file per shard; returns the folder."""
     spark = documents.sparkSession
     ship_package(spark)
-    n = documents.count()
-    shards = max(1, -(-n // shard_docs))
-    bounds: list[int] = []
-    if shards > 1:
-        marks = [k / shards for k in range(1, shards)]
-        bounds = sorted(set(documents.agg(F.percentile_approx("doc_id", marks, 20 * shards).alias("b")).first()["b"] or []))
-    ids = documents.select("doc_id", "text").mapInArrow(_tokenize(tokenizer_path, end_id, bounds), "shard long, doc_id long, ids binary")
-    ordered = ids.repartition(max(n_parts(spark), 1), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
-    built = ordered.mapInArrow(_build(tokenizer_path, part_ids), "shard long, part int, n_ids long, doc_ids array<long>, payload binary")
+    size = documents.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    tasks = max(n_parts(spark), -(-int(size) // task_bytes))
+    key = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = documents.select("doc_id", "text").repartitionByRange(tasks, *key).sortWithinPartitions(*key).select(F.spark_partition_id().cast("long").alias("shard"), "doc_id", "text")
+    built = ordered.mapInArrow(_build(tokenizer_path, end_id, part_ids), "shard long, part int, n_ids long, doc_ids array<long>, payload binary")
     path = path or new_path(spark, "wavelet")
-    built.withColumn("file", F.col("shard")).write.partitionBy("file").option("compression", "none").parquet(path)
+    built.write.option("compression", "none").option("maxRecordsPerFile", 1).parquet(path)
     return path
 
 
@@ -205,8 +216,8 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
     for b in batches:
         for shard, part, docs, payload in zip(*(b.column(c).to_pylist() for c in ("shard", "part", "doc_ids", "payload")), strict=True):
-            matrix, lengths = open_shard(payload)
-            ids = matrix.decode().astype("<u4")
+            opened = Shard(payload)
+            ids, lengths = opened.decode().astype("<u4"), opened.lengths()
             ends = np.cumsum(lengths.astype(np.int64))
             starts = ends - lengths
             raw = memoryview(ids).cast("B")

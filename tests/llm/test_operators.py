@@ -187,7 +187,7 @@ def test_decontamination(spark):
     assert {r.n_hit for r in decontaminate.decontaminate(docs(spark, texts), bench.limit(0)).collect()} == {0}
 
 
-TRICKY = ["a  b", "x \n y", "\n \n", "foo. ", "  lead", "a\n b", "O'Brien's DON'T", "éé ÉÉ. İ ς Σ.", "a b", "", " ", "a.,b. c., d,", "12 5.6. 7,8", "<|endoftext|> x", "日本 語。x", "re.\nErt. x", "tab\tx"]
+TRICKY = ["2abc3ff2.x_y-z", "des&&& (a)b! it's 'tis", "x²½y 1½", "naïve—dash… “q” ",  "a  b", "x \n y", "\n \n", "foo. ", "  lead", "a\n b", "O'Brien's DON'T", "éé ÉÉ. İ ς Σ.", "a b", "", " ", "a.,b. c., d,", "12 5.6. 7,8", "<|endoftext|> x", "日本 語。x", "re.\nErt. x", "tab\tx"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -222,20 +222,26 @@ def test_added_tokens_as_the_library_as_loaded(name):
         assert got.count(end) == t.count("<|endoftext|>")
 
 
-def test_wavelet_matrix():
+@pytest.mark.parametrize("n,frame", [(0, 1 << 19), (1, 512), (1024, 1024), (3000, 1 << 19), (3000, 1024), (5120, 512)])
+def test_wavelet_matrix(monkeypatch, n, frame):
+    monkeypatch.setattr(token_output, "FRAME", frame)
     rng = np.random.default_rng(7)
-    ids = rng.integers(0, 50_257, 3000).astype(np.uint16)
+    ids = rng.integers(0, 50_257, n).astype(np.uint16)
     ids[::5] = 11
-    matrix, lengths = token_output.open_shard(token_output.pack_shard(ids, np.array([1000, 2000]), 16))
-    assert (matrix.decode() == ids).all() and lengths.tolist() == [1000, 2000]
-    places = np.flatnonzero(ids == 11)
-    assert [matrix.access(i) for i in (0, 7, 2999)] == ids[[0, 7, 2999]].tolist()
-    assert matrix.rank(11, 1234) == int((ids[:1234] == 11).sum()) and matrix.select(11, 300) == places[300] and matrix.select(11, len(places)) == -1
+    shard = token_output.Shard(token_output.pack_shard(ids, np.array([n // 3, n - n // 3]), 16))
+    assert (shard.decode() == ids).all() and shard.lengths().tolist() == [n // 3, n - n // 3]
+    assert [shard.access(i) for i in range(0, n, 7)] == ids[::7].tolist()
+    for value in (11, int(ids[n // 2]) if n else 5, 50_000):
+        places = np.flatnonzero(ids == value)
+        for i in (0, 1, n // 2, frame, n):
+            if i <= n:
+                assert shard.rank(value, i) == int((ids[:i] == value).sum())
+        assert [shard.select(value, k) for k in range(len(places))] == places.tolist() and shard.select(value, len(places)) == -1
 
 
 def test_token_output(spark):
     texts = [None, "", "hello world", *TRICKY]
-    path = token_output.write_shards(docs(spark, texts), tokenizer_path("byte_bpe_50k.json"), 2, shard_docs=4, part_ids=8)
+    path = token_output.write_shards(docs(spark, texts), tokenizer_path("byte_bpe_50k.json"), 2, part_ids=8, task_bytes=100)
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_output.read_shards(spark, path).collect()}
     enc, start, want = encoding.CachedEncoder(tokenizer_path("byte_bpe_50k.json")), 0, {}
     for i, t in enumerate(texts):
@@ -243,6 +249,16 @@ def test_token_output(spark):
         want[i] = (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert got == want
+    assert token_output.read_shards(spark, token_output.write_shards(docs(spark, texts).limit(0), tokenizer_path("byte_bpe_50k.json"), 2)).count() == 0
+
+
+def test_token_output_of_rows_without_or_with_one_id(spark):
+    """Null ids first, equal ids side by side, each row by itself."""
+    rows = spark.createDataFrame([(None, "one two"), (5, "b"), (5, "b"), (5, None), (-3, "c d e " * 3000)], "doc_id long, text string")
+    got = token_output.read_shards(spark, token_output.write_shards(rows, tokenizer_path("byte_bpe_50k.json"), 2, part_ids=100)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, -3, 5, 5, 5]
+    assert got[0].start == 0 and all(x.start + x.n_tokens == y.start for x, y in zip(got, got[1:]))
+    assert sorted(r.n_tokens for r in got) == sorted([3, 2, 2, 1, got[1].n_tokens])
 
 
 def test_packing(spark):
@@ -257,6 +273,40 @@ def test_packing(spark):
         b.sort()
         assert [o for o, _ in b] == [sum(n for _, n in b[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 256
     assert len(bins) <= -(-total // 256) + 2 and {r.doc_id for r in rows} == set(range(len(texts)))
+    assert packing.pack_documents(docs(spark, texts).limit(0), tokenizer_path("word_bpe_49k.json"), 1).count() == 0
+
+
+def test_packing_against_whole_encodings(spark):
+    """Every piece's place and checksum against the library's encoding of the whole text."""
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    rng = random.Random(18)
+    texts = [None, "", *TRICKY, *[prose(rng, rng.randint(1, 40)) for _ in range(10)], prose(rng, 900)]
+    want = {}
+    for i, t in enumerate(texts):
+        ids = np.array(fresh.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
+        for k in range(0, len(ids), 128):
+            want[i, k // 128] = (k, len(ids[k:k + 128]), zlib.crc32(ids[k:k + 128].tobytes()))
+    rows = packing.pack_documents(docs(spark, texts), tokenizer_path("word_bpe_49k.json"), 1, 128).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want
+
+
+def test_genetic_packing_saves_bins():
+    """Where best fit misses the bound, the islands find it."""
+    saved = 0
+    for seed in range(6):
+        rng = random.Random(seed)
+        lengths = []
+        for _ in range(20):  # triples that fill a bin, so the bound can be met
+            a, b = rng.randint(260, 380), rng.randint(260, 380)
+            lengths += [a, b, 1000 - a - b]
+        first = packing.best_fit(lengths, sorted(range(60), key=lambda i: -lengths[i]), 1000)
+        best = packing.evolve(lengths, [first], 1000, 60, 12, rng)
+        assert sorted(i for b in best for i in b) == list(range(60)) and all(sum(lengths[i] for i in b) <= 1000 for b in best)
+        assert len(first) > 20 and len(best) <= len(first)
+        saved += len(first) - len(best)
+    assert saved > 0
 
 
 def test_genetic_step():
