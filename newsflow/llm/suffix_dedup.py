@@ -5,7 +5,8 @@ leftmost of equals).  Equal strings have equal minimizers, so strings meet by mi
 neighbouring strings with one minimizer - a stretch of at most 2 LENGTH - K bytes - travels as one piece.
 
 1. Minimizer hashes of all documents are grouped; those of one document only go.
-2. Stretches around the rest are grouped by minimizer.  A group's distinct stretches are joined to one text; its
+2. Stretches around the rest are grouped by minimizer.  Where all of a minimizer's stretches are equal, as in exact copies, they are one string and
+   its least document keeps it.  The distinct stretches of all others are joined to one text; its
    suffix array is sorted as far as LENGTH, and on its Burrows-Wheeler transform intervals are extended backward,
    breadth first: an interval of strings of length l is met when its border has the common prefix l - 1, so common
    prefixes are derived by increasing value.  At LENGTH the expansion stops; suffixes that no border parts share LENGTH bytes.
@@ -13,9 +14,10 @@ neighbouring strings with one minimizer - a stretch of at most 2 LENGTH - K byte
 3. Removed stretches are united per document and applied to its bytes.
 
 Within one batch of texts, equal minimizers or stretches of different documents are settled at once and one
-of them travels, so a passage that a third of the corpus shares makes a row per batch, not per document.
+of them travels, so a passage that a third of the corpus shares makes a row per batch, not per document.  Between the steps a
+place is an offset in its batch's bytes.  Groups hold the minimizers of about ``PART_BYTES`` of text, however much text there is.
 
-Defined cases: a null text has no bytes; texts below LENGTH bytes keep all; overlapping and adjacent stretches are
+Defined cases: a null text has no bytes; texts below LENGTH bytes keep all; very long texts go through in overlapping pieces; overlapping and adjacent stretches are
 one span; rows of one ``doc_id`` never remove each other; a null ``doc_id`` neither removes nor loses bytes; an
 empty table gives no rows; further columns are ignored.
 """
@@ -33,9 +35,13 @@ from pyspark.sql import functions as F
 from newsflow.llm.runtime import materialize, n_parts, ship_package
 from newsflow.llm.shingles import mix, powers
 
-LENGTH, K = 50, 16
+LENGTH, K = 50, 22
 #: Bytes of text that are handled at once.
-BATCH = 4 << 20
+BATCH = 3 << 20
+#: A longer text goes through in pieces.
+LONG = 1 << 23
+#: Bytes of text whose minimizers meet in one group, about.
+PART_BYTES = 4 << 20
 #: Up to so many ids (8 bytes each) are sent to every executor; beyond, all texts are shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -121,14 +127,27 @@ def _by_part(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(parts[order[a]]), order[a:b]
 
 
-def _pieces_of(texts: list[bytes]) -> Iterator[tuple[int, bytes, int]]:
-    """A text longer than a batch in overlapping pieces: (text, piece, offset)."""
-    step = (1 << 23) - LENGTH
-    for i, t in enumerate(texts):
+def _layouts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Bytes, documents' starts and ends, and the offset in the batch: all texts at once, or a long one in overlapping pieces."""
+    if max(map(len, texts)) <= LONG:
+        yield *_laid_out(texts), 0
+        return
+    step, base = LONG - LENGTH, 0
+    for t in texts:
         for at in range(0, max(1, len(t) - LENGTH + 1), step):
-            yield i, t[at:at + step + LENGTH - 1] if len(t) > 1 << 23 else t, at
-            if len(t) <= 1 << 23:
+            yield *_laid_out([t[at:at + step + LENGTH - 1] if len(t) > LONG else t]), base + at
+            if len(t) <= LONG:
                 break
+        base += len(t)
+
+
+def _encoded(b: pa.RecordBatch) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
+
+
+def _docs_row(batch: int, ids: np.ndarray, hashes: np.ndarray, texts: list[bytes]) -> tuple:
+    sizes = np.array([len(t) for t in texts], np.int64)
+    return _row(DOCS, batch, batch, ids.astype("<i8"), hashes.astype("<i8"), (np.cumsum(sizes) - sizes).astype("<i8"))
 
 
 def _anchors(parts: int):
@@ -136,38 +155,33 @@ def _anchors(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
+            texts = _encoded(b)
             all_ids, all_hashes = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), b.column("text_hash").to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi in _batches(texts):
                 ids, hashes = all_ids[lo:hi], all_hashes[lo:hi]
                 batch = _batch_id(ids, hashes)
-                rows = [_row(DOCS, batch, batch, ids.astype("<i8"), hashes.astype("<i8"))]
-                tags, docs, places = [], [], []
-                for i, piece, offset in _pieces_of(texts[lo:hi]) if max(map(len, texts[lo:hi])) > 1 << 23 else [(None, None, 0)]:
-                    data, starts, ends = _laid_out([piece] if piece is not None else texts[lo:hi])
+                docs = _docs_row(batch, ids, hashes, texts[lo:hi])
+                rows, tags, places = [docs], [], []
+                for data, starts, ends, offset in _layouts(texts[lo:hi]):
                     where, _, _, h = stretches(data, starts, ends)
-                    doc = np.searchsorted(ends, where, side="right")
                     tags.append(h)
-                    docs.append(np.full(len(h), i) if piece is not None else doc)
-                    places.append(where - starts[doc] + offset)
-                h, doc, place = np.concatenate(tags), np.concatenate(docs).astype(np.int64), np.concatenate(places)
-                order = np.lexsort((doc, h))
-                h, doc, place = h[order], doc[order], place[order]
+                    places.append(where + offset)
+                h, place = np.concatenate(tags), np.concatenate(places)
+                order = np.argsort(h, kind="stable")
+                h, place = h[order], place[order]
+                id_ = ids[np.searchsorted(np.frombuffer(docs[5], "<i8"), place, side="right") - 1]
                 fresh = np.ones(len(h), bool)
                 fresh[1:] = h[1:] != h[:-1]
-                group = np.cumsum(fresh) - 1
                 lead = np.flatnonzero(fresh)
                 if len(lead):
-                    low, high = np.minimum.reduceat(ids[doc], lead), np.maximum.reduceat(ids[doc], lead)
-                    known = (low != high)[group]
+                    known = np.repeat(np.minimum.reduceat(id_, lead) != np.maximum.reduceat(id_, lead), np.diff(np.append(lead, len(h))))
                     if known.any():
-                        rows.append(_row(SETTLED, batch, batch, doc[known].astype("<u4"), place[known].astype("<u4")))
+                        rows.append(_row(SETTLED, batch, batch, place[known].astype("<u4")))
                     # one minimizer of a settled group goes on, marked; of the rest all
                     go = ~known | fresh
-                    h, doc, place, known = h[go], doc[go], place[go], known[go]
-                    part = (h % np.uint64(parts)).astype(np.int64)
-                    for p, at in _by_part(part):
-                        rows.append(_row(GROUPED, p, batch, (h[at] >> np.uint64(32)).astype("<u4"), doc[at].astype("<u4"), place[at].astype("<u4"), known[at].astype(np.uint8)))
+                    h, place, known = h[go], place[go], known[go]
+                    for p, at in _by_part((h % np.uint64(parts)).astype(np.int64)):
+                        rows.append(_row(GROUPED, p, batch, (h[at] >> np.uint64(32)).astype("<u4"), place[at].astype("<u4"), np.packbits(known[at])))
                 yield from _table(rows).to_batches()
 
     return run
@@ -186,23 +200,22 @@ def _shared(table: pa.Table) -> pa.Table:
     """Minimizers that different documents have, back to their batches (a repeated id only adds candidates)."""
     if table.column("kind")[0].as_py() != GROUPED:
         return table
-    names, tags, docs, places, marks, batch_of = [], [], [], [], [], []
-    for batch, a, b, c, d in _unpacked(table):
+    names, tags, places, marks, batch_of = [], [], [], [], []
+    for batch, a, b, c, _ in _unpacked(table):
         n = len(a) // 4
-        batch_of.append(np.full(n, len(names)))
+        batch_of.append(np.full(n, len(names), np.int64))
         names.append(batch)
         tags.append(np.frombuffer(a, "<u4"))
-        docs.append(np.frombuffer(b, "<u4"))
-        places.append(np.frombuffer(c, "<u4"))
-        marks.append(np.frombuffer(d, np.uint8).astype(bool))
-    tag, doc, place, mark, batch_of = (np.concatenate(x) for x in (tags, docs, places, marks, batch_of))
+        places.append(np.frombuffer(b, "<u4"))
+        marks.append(np.unpackbits(np.frombuffer(c, np.uint8), count=n).astype(bool))
+    tag, place, mark, batch_of = (np.concatenate(x) for x in (tags, places, marks, batch_of))
     order = np.argsort(tag, kind="stable")
-    tag, doc, place, mark, batch_of = (x[order] for x in (tag, doc, place, mark, batch_of))
-    ident = (batch_of.astype(np.int64) << 32) | doc
+    tag, place, mark, batch_of = (x[order] for x in (tag, place, mark, batch_of))
     lead = np.flatnonzero(np.concatenate([[True], tag[1:] != tag[:-1]]))
-    shared = (np.minimum.reduceat(ident, lead) != np.maximum.reduceat(ident, lead)) | np.logical_or.reduceat(mark, lead)
+    # what different documents of one batch have is marked, so those that nobody marked need another batch
+    shared = np.minimum.reduceat(batch_of, lead) != np.maximum.reduceat(batch_of, lead)
     keep = np.repeat(shared, np.diff(np.append(lead, len(tag)))) & ~mark
-    return _table(_per_batch(batch_of[keep], names, doc[keep], place[keep]))
+    return _table(_per_batch(batch_of[keep], names, place[keep].astype("<u4")))
 
 
 def _per_document(item: str):
@@ -212,22 +225,20 @@ def _per_document(item: str):
         kind = table.column("kind").to_numpy()
         docs = table.filter(pa.array(kind == DOCS)).slice(0, 1)
         rest = table.filter(pa.array(kind == SETTLED))
-        ids, hashes = np.frombuffer(docs.column("a")[0].as_py(), "<i8"), np.frombuffer(docs.column("b")[0].as_py(), "<i8")
+        ids, hashes, starts = (np.frombuffer(docs.column(c)[0].as_py(), "<i8") for c in "abc")
         out: list[tuple] = []
         if rest.num_rows:
-            doc, one = (np.frombuffer(b"".join(rest.column(c).to_pylist()), "<u4") for c in "ab")
-            two = np.frombuffer(b"".join(rest.column("c").to_pylist()), "<u4") if item == "stretches" else None
-            order = np.lexsort((one, doc))
-            doc, one = doc[order], one[order]
-            two = two[order] if two is not None else None
+            one = np.frombuffer(b"".join(rest.column("a").to_pylist()), "<u4").astype(np.int64)
+            order = np.argsort(one, kind="stable")
+            one = one[order]
+            doc = np.searchsorted(starts, one, side="right") - 1
+            two = np.frombuffer(b"".join(rest.column("b").to_pylist()), "<u4")[order] - starts[doc] if item == "stretches" else None
+            one = one - starts[doc]
             edges = np.append(np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])), len(doc))
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 d = int(doc[a])
-                if two is None:
-                    blob = np.unique(one[a:b]).astype("<u4").tobytes()
-                else:
-                    blob = np.stack(unite(one[a:b], two[a:b]), axis=1).astype("<u4").tobytes()
-                out.append((int(ids[d]), int(hashes[d]), blob))
+                blob = np.unique(one[a:b]) if two is None else np.stack(unite(one[a:b], two[a:b]), axis=1)
+                out.append((int(ids[d]), int(hashes[d]), blob.astype("<u4").tobytes()))
         return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], names=["doc_id", "text_hash", "items"])
 
     return run
@@ -242,49 +253,61 @@ def unite(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[lead], far[np.append(lead[1:], len(starts)) - 1]
 
 
+def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of slices, one after the other."""
+    return data[np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)]
+
+
+def numbered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each slice's string, a slice of each string): equal hashes are checked byte by byte."""
+    forward, back = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * forward[: len(data)], out=sums[1:])
+    h = mix((sums[starts + sizes] - sums[starts]) * back[starts] + sizes.astype(np.uint64))
+    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    like = first[number]
+    other = np.flatnonzero(like != np.arange(len(h)))
+    if (sizes[other] != sizes[like[other]]).any() or (_gather(data, starts[other], sizes[other]) != _gather(data, starts[like[other]], sizes[other])).any():
+        # two strings with one hash: by the strings themselves
+        raw, known = data.tobytes(), {}
+        number = np.array([known.setdefault(raw[s:s + n], len(known)) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
+        first = np.unique(number, return_index=True)[1]
+    return number, first
+
+
 def _cut_stretches(parts: int):
     """Stretches around shared minimizers, packed by minimizer; copies within the batch settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
+            texts = _encoded(b)
             all_ids, all_hashes = b.column("doc_id").to_numpy(), b.column("text_hash").to_numpy()
             shared = b.column("items").to_pylist()
             for lo, hi in _batches(texts):
                 ids, hashes = all_ids[lo:hi], all_hashes[lo:hi]
                 batch = _batch_id(ids, hashes)
-                rows = [_row(DOCS, batch, batch, ids.astype("<i8"), hashes.astype("<i8"))]
-                strings: dict[bytes, list[tuple[int, int]]] = {}
-                part_of: dict[bytes, int] = {}
-                long_ = max(map(len, texts[lo:hi])) > 1 << 23
-                for i, piece, offset in _pieces_of(texts[lo:hi]) if long_ else [(None, None, 0)]:
-                    group = [piece] if long_ else texts[lo:hi]
-                    data, starts, ends = _laid_out(group)
+                docs = _docs_row(batch, ids, hashes, texts[lo:hi])
+                begin = np.frombuffer(docs[5], "<i8")
+                wanted = np.concatenate([np.frombuffer(x, "<u4") + base for x, base in zip(shared[lo:hi], begin, strict=True)])
+                rows = [docs]
+                for data, starts, ends, offset in _layouts(texts[lo:hi]):
                     where, first, last, h = stretches(data, starts, ends)
-                    doc = np.searchsorted(ends, where, side="right")
-                    own = np.full(len(doc), i) if long_ else doc
-                    wanted = np.concatenate([np.frombuffer(x, "<u4").astype(np.int64) + (d << 32) for d, x in enumerate(shared[lo:hi])])
-                    keep = np.isin((own << 32) + where - starts[doc] + offset, wanted)
-                    raw = b"".join(group)
-                    for d, s, e, z, base in zip(own[keep].tolist(), first[keep].tolist(), last[keep].tolist(), (h[keep] % np.uint64(parts)).tolist(), starts[doc[keep]].tolist(), strict=True):
-                        x = raw[s:e + LENGTH]
-                        strings.setdefault(x, []).append((d, s - base + offset))
-                        part_of[x] = z
-                settled: list[tuple[int, int, int]] = []
-                sent: dict[int, list] = {}
-                for x, found in strings.items():
-                    least = min(ids[d] for d, _ in found) if len(found) > 1 else None
-                    for d, s in found:
-                        if least is not None and ids[d] != least:
-                            settled.append((d, s, s + len(x)))
-                        else:
-                            sent.setdefault(part_of[x], []).append((x, d, s))
-                if settled:
-                    cols = np.array(sorted(settled), np.int64)
-                    rows.append(_row(SETTLED, batch, batch, *(cols[:, k].astype("<u4") for k in range(3))))
-                for p, some in sent.items():
-                    rows.append(_row(GROUPED, p, batch, np.array([len(x) for x, *_ in some], "<u1"), np.array([(d, s) for _, d, s in some], "<u4"),
-                                     np.array([ids[d] for _, d, _ in some], "<i8"), np.frombuffer(b"".join(x for x, *_ in some), np.uint8)))
+                    keep = np.isin(where + offset, wanted)
+                    if not keep.any():
+                        continue
+                    first, size, h = first[keep], last[keep] + LENGTH - first[keep], h[keep]
+                    id_ = ids[np.searchsorted(begin, first + offset, side="right") - 1]
+                    number, one = numbered(data, first, size)
+                    least = np.full(len(one), np.iinfo(np.int64).max)
+                    np.minimum.at(least, number, id_)
+                    gone = id_ > least[number]
+                    if gone.any():
+                        at = first[gone] + offset
+                        rows.append(_row(SETTLED, batch, batch, at.astype("<u4"), (at + size[gone]).astype("<u4")))
+                    first, size, h, id_ = first[~gone], size[~gone], h[~gone], id_[~gone]
+                    for p, at in _by_part((h % np.uint64(parts)).astype(np.int64)):
+                        head = np.stack([(h[at] >> np.uint64(32)).astype(np.int64), first[at] + offset], axis=1).astype("<u4")
+                        rows.append(_row(GROUPED, p, batch, size[at].astype("<u1"), head, id_[at].astype("<i8"), _gather(data, first[at], size[at])))
                 yield from _table(rows).to_batches()
 
     return run
@@ -360,48 +383,58 @@ def _expand(table: pa.Table) -> pa.Table:
     """Stretches of a part: the strings that a lesser document holds too, back to their batches."""
     if table.column("kind")[0].as_py() != GROUPED:
         return table
-    known: dict[bytes, int] = {}
-    names, string, doc, start, ident, batch_of = [], [], [], [], [], []
+    names, sizes, heads, ident, blobs, batch_of = [], [], [], [], [], []
     for batch, a, b, c, d in _unpacked(table):
-        sizes = np.frombuffer(a, np.uint8).astype(np.int64)
-        ends = np.cumsum(sizes).tolist()
-        string += [known.setdefault(d[e - s:e], len(known)) for s, e in zip(sizes.tolist(), ends, strict=True)]
-        pairs = np.frombuffer(b, "<u4").reshape(-1, 2).astype(np.int64)
-        doc.append(pairs[:, 0])
-        start.append(pairs[:, 1])
+        sizes.append(np.frombuffer(a, np.uint8).astype(np.int64))
+        heads.append(np.frombuffer(b, "<u4").reshape(-1, 2).astype(np.int64))
         ident.append(np.frombuffer(c, "<i8"))
-        batch_of.append(np.full(len(sizes), len(names)))
+        blobs.append(d)
+        batch_of.append(np.full(len(sizes[-1]), len(names), np.int64))
         names.append(batch)
-    string = np.array(string)
-    doc, start, ident, batch_of = (np.concatenate(x) for x in (doc, start, ident, batch_of))
-    texts = list(known)
-    sizes = np.array([len(x) for x in texts])
-    bases = np.cumsum(sizes + 1) - (sizes + 1)
-    # symbols 1 to 256 are bytes, 0 parts the stretches
-    raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint16) + 1
-    raw[bases + sizes] = 0
-    least = np.full(len(texts), np.iinfo(np.int64).max)
+    sizes, heads, ident, batch_of = (np.concatenate(x) for x in (sizes, heads, ident, batch_of))
+    tag, start = heads[:, 0], heads[:, 1]
+    data = np.frombuffer(b"".join(blobs), np.uint8)
+    string, sample = numbered(data, np.cumsum(sizes) - sizes, sizes)
+    least = np.full(len(sample), np.iinfo(np.int64).max)
     np.minimum.at(least, string, ident)
+    # a tag of one string alone: its least document keeps it
+    order = np.argsort(tag, kind="stable")
+    lead = np.flatnonzero(np.concatenate([[True], tag[order][1:] != tag[order][:-1]]))
+    alone = np.empty(len(tag), bool)
+    alone[order] = np.repeat(np.minimum.reduceat(string[order], lead) == np.maximum.reduceat(string[order], lead), np.diff(np.append(lead, len(tag))))
+    whole = np.flatnonzero(alone & (ident > least[string]))
+    out = [(batch_of[whole], start[whole], start[whole] + sizes[whole])]
+    some = np.flatnonzero(~alone)
+    if len(some):
+        out.append(_common(data, (np.cumsum(sizes) - sizes)[sample], sizes, string, sample, least, start, ident, batch_of, some))
+    who, begin, end = (np.concatenate(x) for x in zip(*out, strict=True))
+    return _table(_per_batch(who, names, begin.astype("<u4"), end.astype("<u4")))
+
+
+def _common(data, places, sizes, string, sample, least, start, ident, batch_of, some) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(batch, begin, end) of what goes from the occurrences ``some``, by classes of the suffixes of their strings."""
+    used, own = np.unique(string[some], return_inverse=True)
+    lengths = sizes[sample[used]]
+    bases = np.cumsum(lengths + 1) - (lengths + 1)
+    # symbols 1 to 256 are bytes, 0 parts the stretches
+    raw = np.zeros(int((lengths + 1).sum()), np.uint16)
+    raw[np.arange(int(lengths.sum())) + np.repeat(np.arange(len(used)), lengths)] = _gather(data, places[used], lengths).astype(np.uint16) + 1
     order, lead = prefix_classes(raw, LENGTH)
-    of_symbol = np.repeat(np.arange(len(texts)), sizes + 1)
-    lowest = np.minimum.reduceat(least[of_symbol[order]], lead)
+    of_symbol = np.repeat(np.arange(len(used)), lengths + 1)
+    lowest = np.minimum.reduceat(least[used][of_symbol[order]], lead)
     holder = np.empty(len(raw), np.int64)
     holder[order] = np.repeat(lowest, np.diff(np.append(lead, len(raw))))
     # strings of every occurrence: those whose holder is a lesser document go
-    windows = sizes[string] - LENGTH + 1
-    owner = np.repeat(np.arange(len(string)), windows)
+    windows = sizes[some] - LENGTH + 1
+    owner = np.repeat(np.arange(len(some)), windows)
     step = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    gone = np.flatnonzero(holder[bases[string[owner]] + step] < ident[owner])
-    if not len(gone):
-        return _PACKED_SCHEMA.empty_table()
+    gone = np.flatnonzero(holder[bases[own[owner]] + step] < ident[some][owner])
     new = np.ones(len(gone), bool)
     new[1:] = (np.diff(gone) != 1) | (owner[gone[1:]] != owner[gone[:-1]])
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(gone)) - 1
-    who = owner[gone[first]]
-    begin = start[who] + step[gone[first]]
-    end = start[who] + step[gone[last]] + LENGTH
-    return _table(_per_batch(batch_of[who], names, doc[who].astype("<u4"), begin.astype("<u4"), end.astype("<u4")))
+    last = np.append(first[1:], len(gone)) - 1 if len(gone) else first
+    who = some[owner[gone[first]]]
+    return batch_of[who], start[who] + step[gone[first]], start[who] + step[gone[last]] + LENGTH
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,11 +454,12 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
-def remove_repeats(documents: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def remove_repeats(documents: DataFrame, broadcast_ids: int = BROADCAST_IDS, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): ``kept`` are the remaining bytes."""
     spark = documents.sparkSession
     ship_package(spark)
-    parts = 4 * n_parts(spark)
+    size = documents.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    parts = max(n_parts(spark), -(-int(size) // part_bytes))
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     named = docs.where("doc_id IS NOT NULL AND octet_length(text) >= 50")
     found = named.mapInArrow(_anchors(parts), _PACKED).groupBy("kind", "key").applyInArrow(_shared, _PACKED)

@@ -117,6 +117,23 @@ def test_suffix_dedup(spark):
     assert got == want
 
 
+def test_suffix_dedup_of_a_very_long_text(spark):
+    """A text of over 8 MiB in pieces, with a passage of another document across the pieces' border; rows without an id or with one id."""
+    rng = np.random.default_rng(5)
+    letters = rng.integers(97, 123, (1 << 23) + 200_000, dtype=np.uint8).tobytes().decode()
+    passage = letters[(1 << 23) - 500:(1 << 23) + 400]
+    rows = [(0, "head " + passage), (1, letters), (2, "tail " + letters[100:300]), (None, letters[:200]), (3, "once " * 3 + letters[:60]), (3, "twice" + letters[:60])]
+    got = {(r.doc_id, r.n_bytes): (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(0, 905): (0, 0), (1, len(letters)): (900, 1), (2, 205): (200, 1), (None, 200): (0, 0), (3, 75): (60, 1), (3, 65): (60, 1)}
+    assert suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").limit(0)).count() == 0
+
+
+def test_numbered_strings():
+    data = np.frombuffer(b"abcabcabdab", np.uint8)
+    number, one = suffix_dedup.numbered(data, np.array([0, 3, 6, 0, 9]), np.array([3, 3, 3, 2, 2]))
+    assert number[0] == number[1] and number[3] == number[4] and len(set(number.tolist())) == 3 == len(one) and number[one].tolist() == [0, 1, 2]
+
+
 def test_prefix_classes():
     rng = np.random.default_rng(5)
     symbols = np.append(rng.integers(1, 3, 400), 0).astype(np.uint16)
