@@ -260,10 +260,14 @@ def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
 
 def numbered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number of each slice's string, a slice of each string): equal hashes are checked byte by byte."""
-    forward, back = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * forward[: len(data)], out=sums[1:])
-    h = mix((sums[starts + sizes] - sums[starts]) * back[starts] + sizes.astype(np.uint64))
+    h = sizes.astype(np.uint64)
+    longest_first = np.argsort(-sizes, kind="stable")
+    falling = sizes[longest_first]
+    for k in range(int(falling[0]) if len(falling) else 0):
+        # slices are short: one step for the k-th byte of all that have one
+        at = longest_first[: np.searchsorted(-falling, -k, side="left")]
+        h[at] = h[at] * np.uint64(0x9E3779B97F4A7C15) + data[starts[at] + k]
+    h = mix(h)
     _, first, number = np.unique(h, return_index=True, return_inverse=True)
     like = first[number]
     other = np.flatnonzero(like != np.arange(len(h)))
