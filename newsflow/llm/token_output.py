@@ -44,7 +44,7 @@ def bit_planes(ids: np.ndarray, depth: int) -> Iterator[np.ndarray]:
     for b in range(depth - 1, -1, -1):
         bits = (ids & ids.dtype.type(1 << b)).astype(bool)
         yield bits
-        ids = np.concatenate([ids[~bits], ids[bits]])
+        ids = np.concatenate([np.compress(~bits, ids), np.compress(bits, ids)])
 
 
 def pack_shard(ids: np.ndarray, lengths: np.ndarray, depth: int) -> bytes:
@@ -161,8 +161,8 @@ class Shard:
             packed = [self._frame(level, k)[1] for k in range(self.per_plane)]
             bits = np.unpackbits(np.concatenate(packed) if packed else np.zeros(0, np.uint8), count=self.n).view(bool)
             up = np.empty_like(out)
-            up[~bits] = out[:zeros]
-            up[bits] = out[zeros:] | out.dtype.type(1 << (self.depth - 1 - level))
+            up[np.flatnonzero(~bits)] = out[:zeros]
+            up[np.flatnonzero(bits)] = out[zeros:] | out.dtype.type(1 << (self.depth - 1 - level))
             out = up
         return out
 
