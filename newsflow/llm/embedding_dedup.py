@@ -231,7 +231,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, target_
     dealt = spread.join(crowd, ["label", "cell"])
     at = F.pmod(F.xxhash64("entry"), "chunks").cast("int")
     dealt = dealt.withColumn("chunk", F.explode(F.when(F.col("visitor"), F.expr("sequence(0, chunks - 1)")).otherwise(F.array(at))))
-    return _finish(named, dealt, threshold)
+    # the join left a cell's rows together; its chunks are dealt anew, each to a task of its own
+    return _finish(named, dealt.repartition("label", "cell", "chunk"), threshold)
 
 
 def _finish(named: DataFrame, dealt: DataFrame, threshold: float) -> DataFrame:

@@ -9,7 +9,8 @@ a candidate's repositories is its only owner.  Base spans always stay; their cla
 beside them.
 
 Spans are in code points, end exclusive.  Defined cases: a null text is empty; a null source is an
-owner of its own; near copies are repositories of their own; documents with the same id are scanned row by row; further columns are ignored.
+owner of its own; near copies are repositories of their own; documents with the same id are scanned row by row; a value in equally many repositories
+of several owners is an example; very long texts are scanned whole; an empty table gives no rows; further columns are ignored, and kept by redaction.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsflow.llm.runtime import materialize
+from newsflow.llm.runtime import free_name, materialize
 
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -43,7 +44,6 @@ def _matches(text: Column, pattern: str, kind: str, keep, value=None) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    start = F.lit(0)
     steps = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("m"), F.char_length(b).alias("gap")))
     empty = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,rank:int,end:int,kind:string,value:string>>))")
 
@@ -54,7 +54,6 @@ def _matches(text: Column, pattern: str, kind: str, keep, value=None) -> Column:
                        F.lit(kind).alias("kind"), (value(x["m"]) if value else x["m"]).alias("value"))
         return F.struct(last.cast("int").alias("at"), F.when(keep(x["m"]), F.concat(acc["out"], F.array(hit))).otherwise(acc["out"]).alias("out"))
 
-    del start
     none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,value:string>>)")
     return F.when(text.rlike(pattern), F.aggregate(steps, empty, step, lambda acc: acc["out"])).otherwise(none)
 
@@ -127,15 +126,15 @@ def redact_text(text: Column, spans: Column) -> Column:
 
 
 def redact_documents(documents: DataFrame) -> DataFrame:
-    """``documents`` with every reported span replaced; a column ``n_chars`` follows a changed text."""
-    found = scan_secrets(documents).select("doc_id", "text_hash", F.concat("base", "added").alias("spans")).where("size(spans) > 0")
-    found = materialize(found.dropDuplicates(["doc_id", "text_hash"]), "secret-spans").select(
-        F.col("doc_id").alias("_span_doc"), F.col("text_hash").alias("_span_hash"), F.col("spans").alias("_spans"))
+    """``documents`` with every reported span replaced; a column ``n_chars`` follows a changed text.  All other columns, whatever their names, stay."""
+    doc, hash_, spans, clean = (free_name(documents, c) for c in ("_span_doc", "_span_hash", "_spans", "_clean"))
+    found = scan_secrets(documents.select("doc_id", "text", "source")).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(hash_), F.concat("base", "added").alias(spans))
+    found = materialize(found.where(F.size(spans) > 0).dropDuplicates([doc, hash_]), "secret-spans")
     if found.count() <= BROADCAST_SPANS:
         found = F.broadcast(found)
-    same = documents["doc_id"].eqNullSafe(F.col("_span_doc")) & (F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == F.col("_span_hash"))
-    out = documents.join(found, same, "left").withColumn("_clean", F.when(F.col("_spans").isNotNull(), redact_text(F.col("text"), F.col("_spans"))))
-    changed = {"text": F.coalesce("_clean", "text")}
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(hash_))
+    out = documents.join(found, same, "left").withColumn(clean, F.when(F.col(spans).isNotNull(), redact_text(F.col("text"), F.col(spans))))
+    changed = {"text": F.coalesce(clean, "text")}
     if "n_chars" in documents.columns:
-        changed["n_chars"] = F.when(F.col("_clean").isNull(), F.col("n_chars")).otherwise(F.char_length("_clean")).cast(documents.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col(clean).isNull(), F.col("n_chars")).otherwise(F.char_length(clean)).cast(documents.schema["n_chars"].dataType)
     return out.withColumns(changed).select(*documents.columns)
