@@ -10,6 +10,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         holder = tempfile.TemporaryDirectory(prefix="newsflow-")
         atexit.register(holder.cleanup)
@@ -39,11 +42,28 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/newsflow/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch while an intermediate table is written: a row may hold a whole text, and every task holds batches on both sides.
+ARROW_ROWS = 1_000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int = ARROW_ROWS) -> Iterator[None]:
+    """Arrow batches of at most ``most`` rows for what is planned inside."""
+    before = spark.conf.get(_ARROW)
+    spark.conf.set(_ARROW, str(min(int(before), most) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(_nullable(df.schema)).parquet(path)
 
 
