@@ -29,7 +29,7 @@ def bound(value: Column, use) -> Column:
 
 def profile(text: Column, n: int = GRAM) -> Column:
     """map<gram, count>."""
-    count = lambda each, g: F.struct(g.alias("gram"), F.size(F.filter(each, lambda x: x == g)).alias("count"))
+    count = lambda each, g: F.struct(g.alias("gram"), (F.size(each) - F.size(F.array_remove(each, g))).alias("count"))
     return bound(grams(text, n), lambda each: F.map_from_entries(F.transform(F.array_distinct(each), lambda g: count(each, g))))
 
 
@@ -37,16 +37,22 @@ def magnitude(counts: Column) -> Column:
     return F.sqrt(F.aggregate(F.map_values(counts), F.lit(0.0), lambda acc, c: acc + c.cast("double") * c))
 
 
-def cosine(a: Column, b: Column) -> Column:
+def dot(a: Column, b: Column) -> Column:
     """Of two profiles."""
     def of(p):
-        dot = F.aggregate(F.map_entries(p["a"]), F.lit(0.0), lambda acc, e: acc + F.coalesce(F.try_element_at(p["b"], e["key"]).cast("double"), F.lit(0.0)) * e["value"])
-        size = magnitude(p["a"]) * magnitude(p["b"])
-        return F.when(size > 0, dot / size).otherwise(F.lit(0.0))
+        # looking a key up walks a map, so only common keys are
+        common = F.array_intersect(F.map_keys(p["a"]), F.map_keys(p["b"]))
+        return F.aggregate(common, F.lit(0.0), lambda acc, g: acc + F.try_element_at(p["a"], g).cast("double") * F.try_element_at(p["b"], g))
 
     return bound(F.struct(a.alias("a"), b.alias("b")), of)
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Of two profiles."""
+    size = magnitude(a) * magnitude(b)
+    return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
+
+
 def text_cosine(a: Column, b: Column, n: int = GRAM) -> Column:
     """Of two texts; blank ones have none."""
     return F.when((F.trim(a) == "") | (F.trim(b) == ""), F.lit(0.0)).otherwise(cosine(profile(a, n), profile(b, n)))

@@ -66,7 +66,9 @@ def evidence(articles: DataFrame, vocabulary: Vocabulary, now_ms: int) -> DataFr
         "negative": F.size(_found(surface, v.negative)), "negative_paths": F.size(_found(paths, v.negative_paths, False)),
         "question": trim_all(F.col("title")).rlike("[؟?]$"),
         "opening": F.try_element_at(F.filter(_list(v.analysis_prefixes), lambda p: F.startswith(F.col("_opening"), _padded(p))), F.lit(1))}
-    return shown.withColumn("signs", F.struct(*[c.alias(k) for k, c in signs.items()])).drop("_text", "_paths", "_opening", "_urgent")
+    # one row in, one out: what is filtered later on scores can't be pushed below, so the evidence is found once a row
+    once = F.explode(F.array(F.struct(*[c.alias(k) for k, c in signs.items()])))
+    return shown.select("*", once.alias("signs")).drop("_text", "_paths", "_opening", "_urgent")
 
 
 def weights_column(weights: Weights) -> Column:

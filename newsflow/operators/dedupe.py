@@ -28,6 +28,10 @@ from newsflow.ship import ship_package
 from newsflow.tables import components, materialize
 
 DEFAULT_PRIORITY = 99
+#: Up to so many title profiles (some 3 KB each) are sent to every executor; more are joined by shuffle.
+BROADCAST_TITLES = 20_000
+#: Up to so many sources are sent to every executor; more are joined by shuffle.
+BROADCAST_SOURCES = 100_000
 
 ARTICLE_COLUMNS = (
     "id string, source_id string, title string, summary string, url string, canonical_url string, image_url string, published_at long, fetched_at long, "
@@ -45,9 +49,14 @@ class Resolved:
     already_stored: DataFrame  # source_id, n: re-fetches of a stored article
 
 
+def few(sources: DataFrame, most: int = BROADCAST_SOURCES) -> DataFrame:
+    """``sources`` marked for broadcast if they are no more than ``most``."""
+    return F.broadcast(sources) if sources.limit(most + 1).count() <= most else sources
+
+
 def with_priority(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Left join of the sources' priority; unknown sources come last."""
-    rank = F.broadcast(sources.select(F.col("id").alias("source_id"), "priority"))
+    rank = few(sources.select(F.col("id").alias("source_id"), "priority"))
     return rows.join(rank, "source_id", "left").withColumn("priority", F.coalesce("priority", F.lit(DEFAULT_PRIORITY)))
 
 
@@ -85,11 +94,12 @@ def _prefixes(rows: DataFrame, terms: Column, light: float, cosine: bool) -> Dat
         return ranked.select("node", F.explode(F.slice("t", 1, (F.size("t") - need + 1).cast("int"))).alias("x")).select("node", "x.term")
     total = F.aggregate("t", F.lit(0.0), lambda acc, x: acc + x["c"].cast("double") * x["c"])
     # a term is in the prefix while what is left with it weighs the threshold or more
-    start = F.struct(F.col("total").alias("left"), F.expr("cast(array() as array<string>)").alias("out"))
+    start = F.struct(F.col("total").alias("left"), F.lit(0).alias("n"))
     step = lambda acc, x: F.struct(
         (acc["left"] - x["c"].cast("double") * x["c"]).alias("left"),
-        F.when(acc["left"] >= F.col("total") * light * light * (1 - 1e-9), F.concat(acc["out"], F.array(x["term"]))).otherwise(acc["out"]).alias("out"))
-    return ranked.withColumn("total", total).select("node", F.explode(F.aggregate("t", start, step, lambda acc: acc["out"])).alias("term"))
+        F.when(acc["left"] >= F.col("total") * light * light * (1 - 1e-9), acc["n"] + 1).otherwise(acc["n"]).alias("n"))
+    many = F.aggregate("t", start, step, lambda acc: acc["n"])
+    return ranked.withColumn("total", total).select("node", F.explode(F.slice("t", F.lit(1), many)).alias("x")).select("node", "x.term")
 
 
 def similar_pairs(rows: DataFrame) -> DataFrame:
@@ -97,7 +107,8 @@ def similar_pairs(rows: DataFrame) -> DataFrame:
     title = F.col("normalized_title")
     tokens = F.array_distinct(F.filter(F.split(title, " "), lambda t: t != ""))
     slim = materialize(rows.select("node", "normalized_title", "published_at", day_bucket(F.col("published_at")).alias("bucket"), tokens.alias("tokens"),
-                                   similarity.profile(title).alias("grams")), "titles")
+                                   similarity.profile(title).alias("grams"))
+                       .withColumns({"size": similarity.magnitude(F.col("grams")), "most": F.array_max(F.map_values("grams")).cast("double")}), "titles")
     by_token = _prefixes(slim.where("normalized_title <> ''"), F.col("tokens"), similarity.BOTH_JACCARD, False).withColumn("kind", F.lit(0))
     by_gram = _prefixes(slim, similarity.grams(F.col("normalized_title")), similarity.COSINE, True).withColumn("kind", F.lit(1))
     terms = materialize(by_token.unionByName(by_gram).join(slim.select("node", "bucket", "published_at"), "node"), "terms")
@@ -105,10 +116,19 @@ def similar_pairs(rows: DataFrame) -> DataFrame:
     right = terms.select(F.col("node").alias("b"), "kind", "term", F.col("published_at").alias("other_at"), "bucket")
     near = (left.join(right, ["kind", "term", "bucket"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("published_at") - F.col("other_at")) <= WINDOW))
             .select("a", "b").distinct())
-    side = lambda name, k: slim.select(F.col("node").alias(name), F.col("tokens").alias(f"t{k}"), F.col("grams").alias(f"g{k}"))
-    both = near.join(side("a", 1), "a").join(side("b", 2), "b")
-    both = both.withColumn("j", similarity.jaccard(F.col("t1"), F.col("t2"))).withColumn("c", similarity.cosine(F.col("g1"), F.col("g2")))
-    return both.where(similarity.duplicates(F.col("j"), F.col("c"))).select("a", "b", "j", "c")
+    side = lambda name, k: slim.select(F.col("node").alias(name), F.col("tokens").alias(f"t{k}"), F.col("grams").alias(f"g{k}"), F.col("size").alias(f"s{k}"), F.col("most").alias(f"m{k}"))
+    # pairs are many, profiles few: up to a checked number these are sent to every executor, and no pair carries them through a shuffle
+    sent = F.broadcast if slim.count() <= BROADCAST_TITLES else (lambda df: df)
+    both = near.join(sent(side("a", 1)), "a").join(sent(side("b", 2)), "b")
+    # common grams, each as often as the most frequent one, bound the cosine from above
+    common = F.size(F.array_intersect(F.map_keys("g1"), F.map_keys("g2"))) * F.col("m1") * F.col("m2")
+    both = both.where((similarity.jaccard(F.col("t1"), F.col("t2")) >= similarity.BOTH_JACCARD) | (common >= similarity.COSINE * F.col("s1") * F.col("s2") * (1 - 1e-9)))
+    # one row in, one out: the filter below reads what is computed once
+    size = F.col("s1") * F.col("s2")
+    c = F.when(size > 0, similarity.dot(F.col("g1"), F.col("g2")) / size).otherwise(F.lit(0.0))
+    once = F.explode(F.array(F.struct(similarity.jaccard(F.col("t1"), F.col("t2")).alias("j"), c.alias("c"))))
+    both = both.select("a", "b", once.alias("x")).select("a", "b", "x.j", "x.c")
+    return both.where(similarity.duplicates(F.col("j"), F.col("c")))
 
 
 class _Row:
@@ -168,11 +188,15 @@ def resolve_rows(records: list[dict]) -> Iterator[tuple[str, _Row | str]]:
     for r in found:
         by_url.setdefault(r.canonical_url, r)
         by_title.setdefault(r.title_hash, r)
+    # in order of time: rows that are too old for one candidate are for all later ones, also after taking in another, which only makes them older
+    within = list(found)
     for new in sorted((r for r in rows if not r.stored), key=lambda r: (r.published_at, r.priority, r.seq)):
+        within = [p for p in within if p.published_at >= new.published_at - WINDOW]
         probes = (by_url.get(new.canonical_url), by_title.get(new.title_hash))
-        match = next((p for p in probes if p is not None and p.near(new)), None) or next((p for p in found if p.near(new) and p.similar(new)), None)
+        match = next((p for p in probes if p is not None and p.near(new)), None) or next((p for p in within if p.near(new) and p.similar(new)), None)
         if match is None:
             found.append(new)
+            within.append(new)
             by_url.setdefault(new.canonical_url, new)
             by_title.setdefault(new.title_hash, new)
         elif (match.source_id, match.canonical_url) == (new.source_id, new.canonical_url):

@@ -49,11 +49,22 @@ def loss_percent(away: Column, accepted: Column) -> Column:
     return F.when(accepted == 0, F.lit(0)).otherwise(F.floor(away * 100 / F.greatest(accepted, F.lit(1))).cast("int"))
 
 
-def funnel(fetch_log: DataFrame, articles: DataFrame, classified: DataFrame, merged_away: DataFrame, already_stored: DataFrame, inserted: DataFrame, now_ms: int) -> DataFrame:
+def stages(classified: DataFrame, now_ms: int) -> DataFrame:
+    """Tallies and freshness of one table in one pass."""
+    c = "classification"
+    age = F.lit(now_ms) - F.col("published_at")
+    least = F.min(age)
+    return classified.groupBy("source_id").agg(
+        F.count("*").alias("parsed"), F.count_if(age.between(0, 30 * MINUTE)).alias("fresh30m"), F.count_if(age.between(0, 120 * MINUTE)).alias("fresh2h"),
+        ((least - least % MINUTE) / MINUTE).cast("long").alias("newest_age_minutes"), F.count_if(f"{c}.breaking_pass").alias("breaking_pass"),
+        F.count_if(f"{c}.topic_pass").alias("topic_pass"), F.count_if(f"{c}.accepted").alias("accepted"))
+
+
+def funnel(fetch_log: DataFrame, classified: DataFrame, merged_away: DataFrame, already_stored: DataFrame, inserted: DataFrame, now_ms: int) -> DataFrame:
     """One row per fetched source, zero rows included.  Every joined side is an aggregate by source."""
     named = lambda df, name: df.select("source_id", F.col("n").alias(name))
     out = fetch_log.select("source_id", "source_name", status_label().alias("status"), "error")
-    for side in (freshness(articles, now_ms), tallies(classified), named(merged_away, "deduped_away"), named(already_stored, "already_stored"), named(inserted, "inserted")):
+    for side in (stages(classified, now_ms), named(merged_away, "deduped_away"), named(already_stored, "already_stored"), named(inserted, "inserted")):
         out = out.join(side, "source_id", "left")
     out = out.na.fill(0, [*COUNTS, "newest_age_minutes"])
     return out.select("source_id", "source_name", "status", *COUNTS, "newest_age_minutes", "error", loss_percent(F.col("deduped_away"), F.col("accepted")).alias("loss_percent"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsflow.operators.dedupe import ARTICLE_COLUMNS
+from newsflow.operators.dedupe import ARTICLE_COLUMNS, few
 
 RETENTION = 48 * 3_600_000
 PAGE, LATEST = 20, 200
@@ -95,7 +95,7 @@ def position(articles: DataFrame, id_: str, n: int = LATEST) -> DataFrame:
 
 def displayed(articles: DataFrame, sources: DataFrame) -> DataFrame:
     """Rows with their outlet: name, colour and domain by default where the source is unknown."""
-    known = F.broadcast(sources.select(F.col("id").alias("source_id"), F.col("name").alias("_name"), F.col("color").alias("_color"), F.col("domain").alias("_domain")))
+    known = few(sources.select(F.col("id").alias("source_id"), F.col("name").alias("_name"), F.col("color").alias("_color"), F.col("domain").alias("_domain")))
     rows = articles.join(known, "source_id", "left")
     name = F.coalesce("_name", "source_id")
     return rows.withColumns({

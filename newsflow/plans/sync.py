@@ -55,8 +55,9 @@ def sync(articles: DataFrame, fetch_log: DataFrame, store: ArticleStore, sources
         store.update(to_update)
     pruned = store.prune(now_ms - RETENTION)
     by_source = to_insert.groupBy("source_id").agg(F.count("*").alias("n"))
-    table = funnels.funnel(fetch_log, articles, classified, resolved.merged_away, resolved.already_stored, by_source, now_ms)
-    return SyncOutcome(articles.count(), scored.count(), inserted, inserted.count(), n_updated, pruned, table, resolved)
+    table = funnels.funnel(fetch_log, classified, resolved.merged_away, resolved.already_stored, by_source, now_ms)
+    n = classified.agg(F.count("*").alias("fetched"), F.count_if("classification.accepted").alias("accepted")).first()
+    return SyncOutcome(n["fetched"], n["accepted"], inserted, inserted.count(), n_updated, pruned, table, resolved)
 
 
 def summary(outcome: SyncOutcome, spark) -> DataFrame:

@@ -15,6 +15,7 @@ from newsflow.operators import store
 from newsflow.plans import views
 from newsflow.plans.views import FIRST, STEP, read
 from newsflow.sources.vocabulary import Weights
+from newsflow.tables import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -270,13 +271,13 @@ funnel AS (SELECT *, CASE WHEN accepted = 0 THEN 0 ELSE CAST(deduped_away * 100
 
 def _funnel(spark, d):
     docs = _docs(spark, d)
-    rows = views.classified(docs, CLOCK)
+    rows = materialize(views.classified(docs, CLOCK).select("source_id", "published_at", "seq", "classification"), "funnel-rows")
     on = views.sources(docs).where("enabled")
     log = on.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), F.lit(True).alias("succeeded"), F.lit(False).alias("empty"), F.lit(None).cast("int").alias("http_status"),
                     F.lit(False).alias("offline"), F.lit(None).cast("string").alias("error_class"), F.lit(None).cast("string").alias("error"))
     none = log.select("source_id", F.lit(0).cast("long").alias("n")).limit(0)
     away = rows.where("classification.accepted AND seq % 4 = 0").groupBy("source_id").agg(F.count("*").alias("n"))
-    return funnels.funnel(log, views.raw_articles(docs), rows, away, none, none, CLOCK)
+    return funnels.funnel(log, rows, away, none, none, CLOCK)
 
 
 @query(f"WITH {_FUNNEL} SELECT source_id, parsed, breaking_pass, topic_pass, accepted, deduped_away, fresh30m, fresh2h, newest_age_minutes, loss_percent FROM funnel")
