@@ -23,7 +23,7 @@ _LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F"
 _PLAIN = re.compile(rf"[{_LETTERS}0-9!-&(-/:-@\[-`{{-~]+")
 _RUNS = re.compile(rf"[{_LETTERS}]+|[0-9]+|[^{_LETTERS}0-9]+")
 #: Entries kept per process; the cache then starts anew.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 600_000
 
 
 def _byte_letters() -> dict[str, str]:

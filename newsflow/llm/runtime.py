@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsflow.ship import ship_package
-from newsflow.tables import components, materialize, n_parts, new_path, shared_dir
+from newsflow.tables import components, materialize, n_parts, new_path, shared_dir, small_batches
 
-__all__ = ["components", "free_name", "materialize", "n_parts", "new_path", "shared_dir", "ship_package", "without_ids"]
+__all__ = ["components", "free_name", "materialize", "n_parts", "new_path", "shared_dir", "ship_package", "small_batches", "without_ids"]
 
 #: Up to so many ids (8 bytes each) are sent to every executor; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsflow.llm.encoding import encoder
-from newsflow.llm.runtime import n_parts, new_path, ship_package
+from newsflow.llm.runtime import n_parts, new_path, ship_package, small_batches
 
 #: A shard is closed at so many ids.
 PART_IDS = 1 << 22
@@ -208,7 +208,8 @@ def write_shards(documents: DataFrame, tokenizer_path: str, end_id: int, path: s
     ordered = documents.select("doc_id", "text").repartitionByRange(tasks, *key).sortWithinPartitions(*key).select(F.spark_partition_id().cast("long").alias("shard"), "doc_id", "text")
     built = ordered.mapInArrow(_build(tokenizer_path, end_id, part_ids), "shard long, part int, n_ids long, doc_ids array<long>, payload binary")
     path = path or new_path(spark, "wavelet")
-    built.write.option("compression", "none").option("maxRecordsPerFile", 1).parquet(path)
+    with small_batches(spark):
+        built.write.option("compression", "none").option("maxRecordsPerFile", 1).parquet(path)
     return path
 
 
