@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsflow.llm.runtime import ship_package
+from newsflow.llm.runtime import release_memory, ship_package
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
@@ -266,9 +266,14 @@ def predictor(spark, model: Model):
     def predict(text: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = sent.value
         for batch in text:
-            langs, score = score_texts(model, batch.to_pylist())
+            langs, score = [], []
+            for at in range(0, len(batch), 512):
+                some, sure = score_texts(model, batch.slice(at, 512).to_pylist())
+                langs += some
+                score += sure.tolist()
             rejected = [lang == UNKNOWN or not s >= model.threshold for lang, s in zip(langs, score, strict=True)]
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], fields=list(kind))
+        release_memory()
 
     return predict
 

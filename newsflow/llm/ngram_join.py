@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsflow.llm.runtime import components, materialize, n_parts, ship_package
+from newsflow.llm.runtime import components, materialize, n_parts, release_memory, ship_package
 from newsflow.llm.shingles import mix, shingle_sets
 
 COLD = 8
@@ -239,6 +239,8 @@ def _sign(words: int, parts: int, num: int, den: int, bits: int):
                 yield out([row(SETS, part, np.array(names, "<i8").tobytes(), ids.astype("<i8").tobytes() + known.astype(np.uint8).tobytes(), np.array(sizes, "<i8").tobytes(), lengths.tobytes(), b"".join(sketches))])
         if held:
             yield out(list(packed(sigs, owners, entries)))
+        del sigs, owners, entries, seen
+        release_memory()
 
     return run
 

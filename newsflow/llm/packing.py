@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsflow.llm.encoding import encoder
-from newsflow.llm.runtime import materialize, ship_package
+from newsflow.llm.runtime import materialize, release_memory, ship_package
 
 CAPACITY = 4096
 BLOCK_PIECES = 2048
@@ -109,6 +109,7 @@ def _pieces(path: str, end_id: int, capacity: int):
                         for column, v in zip(out, (d, k, s, e - s, zlib.crc32(raw[4 * s:4 * e])), strict=True):
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+        release_memory()
 
     return run
 

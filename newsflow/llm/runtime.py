@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsflow.ship import ship_package
 from newsflow.tables import components, materialize, n_parts, new_path, shared_dir, small_batches
 
-__all__ = ["components", "free_name", "materialize", "n_parts", "new_path", "shared_dir", "ship_package", "small_batches", "without_ids"]
+__all__ = ["components", "free_name", "materialize", "n_parts", "new_path", "release_memory", "shared_dir", "ship_package", "small_batches", "without_ids"]
 
 #: Up to so many ids (8 bytes each) are sent to every executor; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
 
+def release_memory() -> None:
+    """Gives what this Python worker has freed back to the system: workers outlive their tasks, and idle ones count as memory of the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores after it until no column of ``df`` has that name in any case."""
     taken = {c.lower() for c in df.columns}
