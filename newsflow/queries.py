@@ -154,7 +154,15 @@ def f06_canonical_url(spark, d):
     return read(spark, d, "pages").select("page_id", text.canonical_url(url).alias("canonical_url"), text.display_host(url).alias("host"), text.valid_url(url).isNotNull().alias("valid"))
 
 
-@query()
+def _sql_fnv(c: str) -> str:
+    """FNV-1a of 64 bits over ASCII text, as signed hexadecimal."""
+    # unsigned arithmetic on 128 bits, modulo 2^64
+    step = "lambda h, b: CAST((CAST(xor(CAST(h AS UBIGINT), CAST(b AS UBIGINT)) AS HUGEINT) * 1099511628211) % 18446744073709551616 AS HUGEINT)"
+    h = f"list_reduce(list_transform(generate_series(1, length({c})), lambda i: CAST(ascii(substr({c}, i, 1)) AS HUGEINT)), {step}, CAST(14695981039346656037 AS HUGEINT))"
+    return f"(SELECT CASE WHEN h >= 9223372036854775808 THEN '-' || lower(to_hex(CAST(18446744073709551616 - h AS UBIGINT))) ELSE lower(to_hex(CAST(h AS UBIGINT))) END FROM (SELECT {h} AS h))"
+
+
+@query(f"SELECT page_id, {_sql_fnv('url')} AS hash, {_sql_fnv('canonical')} AS id FROM (SELECT page_id, url, {_sql_canonical('url')} AS canonical FROM pages)")
 def f07_stable_hash(spark, d):
     return read(spark, d, "pages").select("page_id", text.stable_hash(F.col("url")).alias("hash"), text.article_id(F.col("url")).alias("id"))
 
@@ -247,7 +255,20 @@ def k00_classify(spark, d):
     return views.classified(_docs(spark, d), CLOCK).select("seq", f"{c}.breaking_score", f"{c}.topic_score", f"{c}.has_event_signal", f"{c}.accepted")
 
 
-@query()
+_W = views.WEIGHTS
+
+
+@query(f"""WITH {_sql_classified()}, s AS (SELECT *, CASE WHEN age <= 1800000 THEN 'fresh-30m +{_W.fresh_30m}' WHEN age <= 7200000 THEN 'fresh-2h +{_W.fresh_2h}' WHEN age <= 21600000 THEN 'fresh-6h +{_W.fresh_6h}' END AS fresh,
+    list_filter({_sql_list(V.event_verbs)}, lambda p: contains(surface, ' ' || p || ' '))[1] AS first_verb,
+    list_filter({_sql_list(V.analysis_prefixes)}, lambda p: starts_with(opening, ' ' || p || ' '))[1] AS first_opening,
+    {_sql_hits('surface', V.politics)} AS pol, {_sql_hits('surface', V.economy)} AS eco FROM classified)
+SELECT seq, array_to_string(list_filter([
+    CASE WHEN marked THEN 'breaking-keyword +{_W.breaking_keyword}' END, fresh, CASE WHEN path_marked THEN 'breaking-path +{_W.breaking_path}' END,
+    CASE WHEN marked OR path_marked THEN 'event-signal(explicit breaking marker)' WHEN verb THEN 'event-signal(verb ' || chr(39) || first_verb || chr(39) || ')' ELSE 'NO event signal — nothing happened, this is description not news' END,
+    CASE WHEN hits > 0 THEN 'topic-keywords(politics=' || pol || ',economy=' || eco || ') +' || least({_W.topic_first} + (hits - 1) * {_W.topic_more}, {_W.topic_most}) END,
+    CASE WHEN topic_path THEN 'topic-path +{_W.topic_path}' END, CASE WHEN neg > 0 THEN 'negative-keywords(' || neg || ') ' || neg * {_W.negative_keyword} END,
+    CASE WHEN negp > 0 THEN 'negative-path(' || negp || ') ' || negp * {_W.negative_path} END, CASE WHEN question THEN 'question-headline {_W.question}' END,
+    CASE WHEN analysis THEN 'analysis-prefix(' || chr(39) || first_opening || chr(39) || ') {_W.analysis}' END], lambda x: x IS NOT NULL), '; ') AS signals FROM s""")
 def k14_signals(spark, d):
     return views.classified(_docs(spark, d), CLOCK).select("seq", F.array_join("classification.signals", "; ").alias("signals"))
 

@@ -19,20 +19,44 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from newsflow.ship import ship_package
 
-TIMEOUT, RETRY_AFTER, BODY_CAP = 35, 2, 8 << 20
+#: Seconds for a connection, for a source with its retry, and before the retry; bytes of a body at most.
+CONNECT, BUDGET, RETRY_AFTER, BODY_CAP = 15, 35, 2, 8 << 20
 BODY_COLUMNS = "source_id string, url string, body string, http_status int, error_class string, offline boolean, duration_ms long"
 
 
-def get(url: str, opener: Callable = urllib.request.urlopen, pause: Callable = time.sleep, retry: bool = True) -> tuple[int, str]:
-    """(status, body); one retry after a 403 or a server error."""
-    try:
-        with opener(urllib.request.Request(url, headers={"User-Agent": "newsflow"}), timeout=TIMEOUT) as answer:
-            return answer.status, answer.read(BODY_CAP).decode(answer.headers.get_content_charset() or "utf-8", "replace")
-    except urllib.error.HTTPError as e:
-        if retry and (e.code == 403 or e.code >= 500):
-            pause(RETRY_AFTER)
-            return get(url, opener, pause, False)
-        raise
+class BodyTooLarge(ValueError):
+    """A body over the cap: the source fails, nothing of it is parsed."""
+
+
+def get(url: str, opener: Callable = urllib.request.urlopen, pause: Callable = time.sleep, clock: Callable = time.monotonic) -> tuple[int, str]:
+    """(status, body); one retry after a 403, a server error or an empty body, all within the source's budget."""
+    until = clock() + BUDGET
+    for last in (False, True):
+        left = until - clock()
+        if left <= 0:
+            raise TimeoutError("the source's time is over")
+        try:
+            with opener(urllib.request.Request(url, headers={"User-Agent": "newsflow"}), timeout=min(CONNECT, left)) as answer:
+                raw = _read(answer, until, clock)
+                if raw.strip() or last:
+                    return answer.status, raw.decode(answer.headers.get_content_charset() or "utf-8", "replace")
+        except urllib.error.HTTPError as e:
+            if last or not (e.code == 403 or e.code >= 500):
+                raise
+        pause(RETRY_AFTER)
+    raise AssertionError("the second answer is returned or raised")
+
+
+def _read(answer, until: float, clock: Callable) -> bytes:
+    parts, size = [], 0
+    while part := answer.read(1 << 16):
+        parts.append(part)
+        size += len(part)
+        if size > BODY_CAP:
+            raise BodyTooLarge(f"over {BODY_CAP} bytes")
+        if clock() > until:
+            raise TimeoutError("the source's time is over")
+    return b"".join(parts)
 
 
 def unreachable(error: BaseException | None) -> bool:

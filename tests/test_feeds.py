@@ -62,3 +62,39 @@ def test_fetch_failures():
 def test_source_without_network(spark):
     rows = http.read_http(spark, [{"id": "a", "url": "http://127.0.0.1:9/none"}]).collect()
     assert [(r.source_id, r.body, r.offline) for r in rows] == [("a", None, True)]
+
+
+class _Answer:
+    status = 200
+
+    def __init__(self, body):
+        self.body, self.headers = body, self
+
+    def get_content_charset(self):
+        return None
+
+    def read(self, n):
+        out, self.body = self.body[:n], self.body[n:]
+        return out
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return False
+
+
+def test_fetch_limits():
+    answers = [b" \n", b"<rss/>"]
+    assert http.get("https://u", lambda *_, **__: _Answer(answers.pop(0)), lambda _: None) == (200, "<rss/>") and not answers
+    assert http.get("https://u", lambda *_, **__: _Answer(b""), lambda _: None) == (200, "")
+    large = lambda *_, **__: _Answer(b"x" * (http.BODY_CAP + 1))
+    assert http.fetch("s", "https://u", large, lambda _: None)[2:6] == (None, None, "BodyTooLarge", False)
+    times = iter([0, 0, 36, 36, 36])
+    slow = lambda *_, **__: _Answer(b"x" * 100)
+    try:
+        http.get("https://u", slow, lambda _: None, lambda: next(times))
+    except TimeoutError:
+        pass
+    else:
+        raise AssertionError("the budget holds over reads")
