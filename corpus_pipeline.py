@@ -1,7 +1,9 @@
 """The corpus pipeline: language ID, n-gram Jaccard join, benchmark decontamination, secret scans, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before kept; all but the last
-return the columns of ``documents``.  Rows of one ``doc_id`` stay or go together.
+return the columns of ``documents``, whatever their names.  Rows of one ``doc_id`` stay or go together after the first stage, which judges texts.
+Null texts are in no language and go; rows without a ``doc_id`` are judged as texts and by no id; very long texts are processed whole;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from newsflow.llm.runtime import free_name, materialize, without_ids
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model rejects go."""
     into = free_name(docs, "language")
-    return language_id.identify(docs, into=into).where(~F.col(into)["rejected"]).drop(into)
+    # written here, in small batches: whole documents wait in memory while their batch is predicted
+    return materialize(language_id.identify(docs, into=into).where(~F.col(into)["rejected"]).drop(into), "known-language")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +54,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: The language model and the packing can't be expressed in SQL.  Tests hold the operators that the stages call against
-#: brute force; the stages and ``run`` themselves have no test yet.
+#: The language model and the packing can't be expressed in SQL.  Tests hold the stages and ``run`` against brute force.
 ORACLE_SQL = None
 
 
