@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from itertools import islice
 
 import numpy as np
 
@@ -24,6 +25,8 @@ _PLAIN = re.compile(rf"[{_LETTERS}0-9!-&(-/:-@\[-`{{-~]+")
 _RUNS = re.compile(rf"[{_LETTERS}]+|[0-9]+|[^{_LETTERS}0-9]+")
 #: Entries kept per process; the cache then starts anew.
 CACHE_ENTRIES = 600_000
+#: Entries that an idle process keeps: the first ones, as common words come early.
+IDLE_ENTRIES = 250_000
 
 
 def _byte_letters() -> dict[str, str]:
@@ -82,6 +85,14 @@ class CachedEncoder:
             return array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
         return self._encode([lead + piece])[0]
 
+    def shrink(self, most: int = IDLE_ENTRIES) -> None:
+        """Leaves the first ``most`` entries of the cache."""
+        for known in (self.inner, self.first):
+            if len(known) > most:
+                kept = list(islice(known.items(), most))
+                known.clear()
+                known.update(kept)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers of ``self.width`` bytes; null is empty."""
         if self.cut is None:

@@ -215,7 +215,7 @@ def held_out():
     return F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
 
 
-def score_texts(model: Model, texts: list[str | None], piece: int = 1 << 20) -> tuple[list[str], np.ndarray]:
+def score_texts(model: Model, texts: list[str | None], piece: int = 1 << 18) -> tuple[list[str], np.ndarray]:
     """(languages, calibrated confidence); texts go through in pieces of about ``piece`` bytes."""
     k = len(model.languages)
     sums = np.zeros((len(texts), k))

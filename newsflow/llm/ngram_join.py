@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsflow.llm.runtime import components, materialize, n_parts, release_memory, ship_package
-from newsflow.llm.shingles import mix, shingle_sets
+from newsflow.llm.shingles import drop_powers, mix, shingle_sets
 
 COLD = 8
 #: Sets that one task compares with one another, at most twice as many.
@@ -97,6 +97,12 @@ class Bands:
         return out
 
 
+def _rest() -> None:
+    """At the end of a task or group: an idle worker keeps little."""
+    drop_powers()
+    release_memory()
+
+
 def sketch_bits(n: int) -> int:
     return 1 << max(6, (SKETCH_BITS * n - 1).bit_length())
 
@@ -240,7 +246,7 @@ def _sign(words: int, parts: int, num: int, den: int, bits: int):
         if held:
             yield out(list(packed(sigs, owners, entries)))
         del sigs, owners, entries, seen
-        release_memory()
+        _rest()
 
     return run
 
@@ -267,6 +273,13 @@ def _sets(table: pa.Table) -> pa.Table:
 
 
 def _bucket(table: pa.Table) -> pa.Table:
+    """What a group of packed rows holds; see ``_in_bucket``."""
+    out = _in_bucket(table)
+    release_memory()
+    return out
+
+
+def _in_bucket(table: pa.Table) -> pa.Table:
     """PAIR: pairs of a cold bucket (a < b).  HOT: a hot bucket a and its member b.  SET: see above."""
     kind = table.column("kind")[0].as_py()
     if kind == SETS:
@@ -332,6 +345,7 @@ def _near_by_sketch(num: int, den: int):
                     for x, y, s, t in zip(n1, n2, b.column("s1").to_pylist(), b.column("s2").to_pylist(), strict=True)]
             kept = b.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], schema=schema)
+        _rest()
 
     return run
 
@@ -350,6 +364,7 @@ def _verify(words: int, num: int, den: int):
                     keep.append(den * common >= num * (len(x) + len(y) - common))
                 kept = b.filter(pa.array(keep, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], schema=schema)
+        _rest()
 
     return run
 
@@ -363,6 +378,7 @@ def _own_texts(words: int):
                 b = whole.slice(at, 512)
                 names = [names_of(h)[1] for h in shingle_sets(b.column("text").to_pylist(), words)]
                 yield b.filter(pa.array([x == y for x, y in zip(names, b.column("other").to_pylist(), strict=True)], pa.bool_())).select(["node", "text"])
+        _rest()
 
     return run
 

@@ -25,7 +25,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,6 +108,7 @@ def _pieces(path: str, end_id: int, capacity: int):
                         for column, v in zip(out, (d, k, s, e - s, zlib.crc32(raw[4 * s:4 * e])), strict=True):
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+        enc.shrink()
         release_memory()
 
     return run
@@ -125,26 +125,37 @@ def cut_pieces(documents: DataFrame, tokenizer_path: str, end_id: int, capacity:
 def _island(round_: int, capacity: int, generations: int, size: int):
     """One island: pieces of a block, with the bins of chromosomes that came to it (chromosome null: none)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        block, island = int(pdf["block"].iloc[0]), int(pdf["island"].iloc[0])
+    def run(table: pa.Table) -> pa.Table:
+        block, island = table.column("block")[0].as_py(), table.column("island")[0].as_py()
         rng = random.Random(block * 1_000_003 + island * 7919 + round_)
-        unique = pdf.drop_duplicates("rid").sort_values(["length", "rid"], ascending=[False, True])
-        rids, lengths = unique["rid"].tolist(), unique["length"].tolist()
-        place = {r: k for k, r in enumerate(rids)}
+        rid = table.column("rid").to_numpy()
+        named, at = np.unique(rid, return_index=True)
+        length = table.column("length").to_numpy()[at]
+        falling = np.lexsort((named, -length))
+        rids, lengths = named[falling].tolist(), length[falling].tolist()
         if round_ == 1:
             order = list(range(len(rids)))
             if island:
                 order.sort(key=lambda i: (-lengths[i] * rng.uniform(0.9, 1.0), i))
             population = [best_fit(lengths, order, capacity)]
         else:
-            population = []
-            for _, one in pdf.groupby("origin", sort=True):
-                population.append([[place[r] for r in b["rid"]] for _, b in one.groupby("bin", sort=True)])
+            place = np.empty(len(rids), np.int64)
+            place[falling] = np.arange(len(rids))
+            origin, bin_ = table.column("origin").to_numpy(), table.column("bin").to_numpy()
+            sort = np.lexsort((bin_, origin))
+            at, origin, bin_ = place[np.searchsorted(named, rid[sort])], origin[sort], bin_[sort]
+            chromosomes: dict[int, Bins] = {}
+            for part in np.split(np.arange(len(at)), np.flatnonzero((origin[1:] != origin[:-1]) | (bin_[1:] != bin_[:-1])) + 1):
+                chromosomes.setdefault(int(origin[part[0]]), []).append(at[part].tolist())
+            population = list(chromosomes.values())
         best = evolve(lengths, population, capacity, generations, size, rng)
-        flat = [(rids[i], k) for k, b in enumerate(best) for i in b]
-        score = fitness(best, lengths, capacity)
-        return pd.DataFrame({"block": block, "island": island, "rid": [r for r, _ in flat], "length": [lengths[place[r]] for r, _ in flat],
-                             "bin": [k for _, k in flat], "n_bins": len(best), "fill": score[1]})
+        flat = [i for b in best for i in b]
+        n = len(flat)
+        out = pa.table([np.full(n, block, np.int64), np.full(n, island, np.int32), np.array(rids, np.int64)[flat], np.array(lengths, np.int64)[flat],
+                        np.repeat(np.arange(len(best), dtype=np.int32), [len(b) for b in best]), np.full(n, len(best), np.int32),
+                        np.full(n, fitness(best, lengths, capacity)[1])], names=["block", "island", "rid", "length", "bin", "n_bins", "fill"])
+        release_memory()
+        return out
 
     return run
 
@@ -156,13 +167,13 @@ def pack_level(pieces: DataFrame, level: int, n_blocks: int, capacity: int, isla
     """(rid, length, bin_key, used) of pieces(rid, length)."""
     dealt = pieces.select("rid", "length", F.pmod(F.xxhash64(F.lit(level), "rid"), F.lit(n_blocks)).alias("block"),
                           F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
-    first = dealt.groupBy("block", "island").applyInPandas(_island(1, capacity, generations, size), _ISLAND)
+    first = dealt.groupBy("block", "island").applyInArrow(_island(1, capacity, generations, size), _ISLAND)
     first = materialize(first, "islands")
     # elite migration: every island's best stays and also goes to the next island
     moved = first.withColumn("origin", F.col("island"))
     if islands > 1:
         moved = moved.unionByName(first.withColumn("origin", F.col("island")).withColumn("island", ((F.col("island") + 1) % islands).cast("int")))
-    second = materialize(moved.groupBy("block", "island").applyInPandas(_island(2, capacity, generations, size), _ISLAND), "islands")
+    second = materialize(moved.groupBy("block", "island").applyInArrow(_island(2, capacity, generations, size), _ISLAND), "islands")
     best = (second.groupBy("block", "island").agg(F.min("n_bins").alias("n"), F.max("fill").alias("fill"))
             .groupBy("block").agg(F.min(F.struct("n", -F.col("fill"), "island")).alias("best")).select("block", F.col("best.island").alias("island")))
     won = second.join(best, ["block", "island"])

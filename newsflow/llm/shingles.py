@@ -24,7 +24,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least ``n`` of them."""
-    size = 1 << max(20, (n - 1).bit_length())
+    size = max([1 << max(18, (n - 1).bit_length()), *_powers])
     if size not in _powers:
         _powers.clear()
         factors = [np.full(size, b, np.uint64) for b in (_BASE, _INVERSE)]
@@ -34,7 +34,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def shingle_sets(texts: list[str | None], words: int = 5, piece: int = 1 << 20) -> Iterator[np.ndarray]:
+def drop_powers() -> None:
+    """Frees the tables of powers; one very long text makes them large."""
+    _powers.clear()
+
+
+def shingle_sets(texts: list[str | None], words: int = 5, piece: int = 1 << 17) -> Iterator[np.ndarray]:
     """For each text its distinct shingles' hashes, ascending.
 
     A-Z are lower-cased; a text of fewer words has its whole sequence as one shingle; without words or
