@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.llm import chat_format, decontaminate, embedding_dedup, language_id, license_scan, ngram_join, packing, secret_scan, suffix_dedup, token_output
+from newsflow.llm import chat_format, decontaminate, embedding_dedup, language_id, license_scan, ngram_join, packing, pii, secret_scan, suffix_dedup, token_output
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,6 +62,13 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan_pii(_read(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(of, pii.KINDS), F.sha2(pii.span_string(F.col("base")), 256).alias("base_sha256"),
+                        pii.span_string(F.concat("base", "added")).alias("spans"), F.size("added").alias("n_added"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
