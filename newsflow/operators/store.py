@@ -1,7 +1,6 @@
-"""The article table: Parquet versions partitioned by 12-hour bucket, keyed writes, and the timeline queries.
+"""The article table - files of one 12-hour bucket each, keyed writes, reads by time - and the timeline queries.
 
-A write makes a new version folder; readers take the last complete one (Spark's ``_SUCCESS`` mark), so a
-failed write is never seen.  Query functions take any article DataFrame.
+Query functions take any article DataFrame; ``ArticleStore`` reads no more files for them than can matter.
 """
 
 from __future__ import annotations
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsflow.operators.dedupe import ARTICLE_COLUMNS, few
+from newsflow.operators.table import KeyedTable
+from newsflow.tables import materialize
 
 RETENTION = 48 * 3_600_000
 PAGE, LATEST = 20, 200
@@ -105,62 +106,32 @@ def displayed(articles: DataFrame, sources: DataFrame) -> DataFrame:
 
 # -- the table -------------------------------------------------------------------------------------
 
-class ArticleStore:
-    """Versions of the article table under one folder of any file system that Spark knows."""
-
-    def __init__(self, spark: SparkSession, path: str, keep: int = 2):
-        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), root, jvm.org.apache.hadoop.fs.Path
-
-    def versions(self) -> list[int]:
-        fs, root, path = self._fs()
-        if not fs.exists(root):
-            return []
-        found = [str(s.getPath().getName()) for s in fs.listStatus(root)]
-        return sorted(int(n[1:]) for n in found if n.startswith("v") and fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
-
-    def read(self) -> DataFrame:
-        done = self.versions()
-        if not done:
-            return self.spark.createDataFrame([], ARTICLE_COLUMNS)
-        return self.spark.read.schema(ARTICLE_COLUMNS).parquet(f"{self.path}/v{done[-1]:08d}").select(*[c.split()[0] for c in ARTICLE_COLUMNS.split(", ")])
-
-    def write(self, rows: DataFrame) -> DataFrame:
-        """A new version; older ones than the last ``keep`` go."""
-        done = self.versions()
-        n = done[-1] + 1 if done else 1
-        rows.repartition("day_bucket").sortWithinPartitions("published_at").write.mode("overwrite").partitionBy("day_bucket").parquet(f"{self.path}/v{n:08d}")
-        fs, _, path = self._fs()
-        for old in done[: max(0, len(done) + 1 - self.keep)]:
-            fs.delete(path(f"{self.path}/v{old:08d}"), True)
-        return self.read()
+class ArticleStore(KeyedTable):
+    """The article table; ``columns`` may be fewer than an article's, with id, canonical_url, published_at and day_bucket among them."""
 
-    def insert(self, rows: DataFrame) -> DataFrame:
-        """Insert what is new; returns those rows."""
-        from newsflow.tables import materialize
+    def __init__(self, spark: SparkSession, path: str, columns: str = ARTICLE_COLUMNS, **more):
+        super().__init__(spark, path, columns, **more)
 
-        now = self.read()
-        fresh = materialize(insert_ignore(now, rows), "inserted")
-        self.write(now.unionByName(fresh))
+    def insert(self, rows: DataFrame) -> DataFrame:
+        """Insert what is new, as files of their own; returns those rows."""
+        base = self.manifest()
+        fresh = materialize(insert_ignore(self.read(base["files"]), rows), "inserted")
+        self.append(fresh, base)
         return fresh
 
     def update(self, rows: DataFrame) -> None:
-        self.write(updated(self.read(), rows))
+        """Rows of the same id are replaced, in the files that hold them and, where their time has changed, in their new bucket."""
+        self.rewrite(rows, lambda held: updated(held, rows), "update")
 
     def mark_notified(self, ids: DataFrame) -> None:
-        self.write(marked_notified(self.read(), ids))
-
-    def prune(self, cutoff_ms: int) -> int:
-        """Drop what was published before the cutoff; returns how many."""
-        now = self.read()
-        gone = now.where(F.col("published_at") < cutoff_ms).count()
-        if gone:
-            self.write(kept(now, cutoff_ms))
-        return gone
-
-    def clear(self) -> None:
-        self.write(self.read().limit(0))
+        self.rewrite(ids, lambda held: marked_notified(held, ids), "notify")
+
+    def latest(self, n: int = LATEST) -> DataFrame:
+        """The newest rows, from the files that are sure to hold them."""
+        return latest(self.read(self.newest_files(n)), n)
+
+    def timeline(self, after: tuple[int, str] | None = None, page: int = PAGE) -> DataFrame:
+        return timeline(self.read(self.newest_files(page, after)), after, page)
+
+    def position(self, id_: str, n: int = LATEST) -> DataFrame:
+        return position(self.read(self.newest_files(n)), id_, n)

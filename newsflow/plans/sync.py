@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from newsflow.functions.dates import WINDOW
 from newsflow.operators import funnel as funnels
 from newsflow.operators.classify import accepted, classify
 from newsflow.operators.dedupe import Resolved, dedupe
-from newsflow.operators.store import RETENTION, ArticleStore, in_buckets
+from newsflow.operators.store import RETENTION, ArticleStore
 from newsflow.sources.vocabulary import Vocabulary, Weights
 from newsflow.tables import materialize
 
@@ -34,6 +35,23 @@ def bucket(ms: int) -> int:
     return int(ms / WINDOW)
 
 
+#: How long a sync may hold the table before another takes over.
+LEASE_MS = 10 * 60_000
+
+
+def sync_once(owner: str, store: ArticleStore, run: Callable[[], SyncOutcome], now_ms: int | None = None, lease_ms: int = LEASE_MS) -> SyncOutcome | None:
+    """``run`` under the table's lease; None, and nothing run, while another owner holds it.
+
+    A dead owner's lease runs out and is taken over; what the dead one still tries to write is refused.
+    """
+    if not store.acquire(owner, lease_ms, now_ms):
+        return None
+    try:
+        return run()
+    finally:
+        store.release()
+
+
 def sync(articles: DataFrame, fetch_log: DataFrame, store: ArticleStore, sources: DataFrame, now_ms: int, foreground: bool = False,
          vocabulary: Vocabulary | None = None, weights: Weights | None = None) -> SyncOutcome:
     """Classify, de-duplicate against the stored window, insert, update and prune.
@@ -45,8 +63,7 @@ def sync(articles: DataFrame, fetch_log: DataFrame, store: ArticleStore, sources
         return SyncOutcome(0, 0, None, 0, 0, 0, None)
     classified = materialize(classify(articles, now_ms, vocabulary, weights), "classified")
     scored = accepted(classified)
-    before = store.read()
-    window = in_buckets(before, bucket(now_ms - WINDOW) - 1, bucket(now_ms) + 1)
+    window = store.read_buckets(bucket(now_ms - WINDOW) - 1, bucket(now_ms) + 1)
     resolved = dedupe(scored, window, sources, now_ms, foreground)
     to_insert, to_update = materialize(resolved.to_insert, "to-insert"), materialize(resolved.to_update, "to-update")
     inserted = store.insert(to_insert)
@@ -54,6 +71,7 @@ def sync(articles: DataFrame, fetch_log: DataFrame, store: ArticleStore, sources
     if n_updated:
         store.update(to_update)
     pruned = store.prune(now_ms - RETENTION)
+    store.compact()
     by_source = to_insert.groupBy("source_id").agg(F.count("*").alias("n"))
     table = funnels.funnel(fetch_log, classified, resolved.merged_away, resolved.already_stored, by_source, now_ms)
     n = classified.agg(F.count("*").alias("fetched"), F.count_if("classification.accepted").alias("accepted")).first()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from newsflow.functions.dates import SKEW
-from newsflow.operators.store import RETENTION, ArticleStore, count_newer
+from newsflow.operators.store import LATEST, RETENTION, ArticleStore, count_newer
 from newsflow.plans.sync import SyncOutcome, sync
 from newsflow.sources.vocabulary import Vocabulary, Weights
 
@@ -35,7 +35,7 @@ def distinct_urls(articles: DataFrame, delay: str = "48 hours") -> DataFrame:
 
 def start_sync(articles: DataFrame, store: ArticleStore, sources: DataFrame, clock: Callable[[], int], checkpoint: str,
                vocabulary: Vocabulary | None = None, weights: Weights | None = None, on_outcome: Callable[[int, SyncOutcome], None] | None = None) -> StreamingQuery:
-    """Sync every micro-batch of ``articles`` into ``store``; N batches equal N syncs at the same clock."""
+    """Sync every micro-batch of ``articles`` into ``store``; N batches equal N syncs at the same clock.  Rows too old or too far ahead for the table are left out before they are scored."""
 
     def one(batch: DataFrame, number: int) -> None:
         rows = batch.withColumn("seq", F.monotonically_increasing_id()) if "seq" not in batch.columns else batch
@@ -49,6 +49,59 @@ def start_sync(articles: DataFrame, store: ArticleStore, sources: DataFrame, clo
     return articles.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).start()
 
 
+def commits(store: ArticleStore) -> DataFrame:
+    """A stream of the table's versions (version, operation), read from its manifests; Spark keeps which were seen."""
+    return (store.spark.readStream.schema("version long, operation string").option("pathGlobFilter", "v*.json").option("ignoreMissingFiles", True).json(f"{store.path}/manifest")
+            .where("version IS NOT NULL"))
+
+
+class LiveLatest:
+    """The newest ``n`` rows, kept up to date by the changes of each version.
+
+    A version whose changed rows all lie outside reads its own new and dropped files only and emits nothing.  One that adds rows is merged
+    with the rows held; one that takes rows away from them looks the newest up by the files' times.
+    """
+
+    def __init__(self, store: ArticleStore, emit: Callable[[int, list], None], n: int = LATEST):
+        self.store, self.emit, self.n = store, emit, n
+        self.version, self.rows = None, []
+
+    def _look_up(self, version: int) -> list:
+        return self.store.latest(self.n).collect()
+
+    def see(self, version: int) -> None:
+        """Takes in one version; versions that were seen, or whose files are gone, change nothing or start anew."""
+        if self.version is not None and version <= self.version:
+            return
+        known = self.store.versions()
+        if self.version is None or version != self.version + 1 or version not in known:
+            now = self._look_up(version)
+        else:
+            changes = self.store.changes(version)
+            if len(self.rows) == self.n:
+                edge = self.rows[-1]
+                changes = changes.where((F.col("published_at") > edge.published_at) | ((F.col("published_at") == edge.published_at) & (F.col("id") >= edge.id)))
+            held = {r.id for r in self.rows}
+            came = changes.where("_change = 'insert'").drop("_change").orderBy(F.desc("published_at"), F.desc("id")).limit(self.n).collect()
+            left = {r.id for r in changes.where("_change = 'delete'").select("id").where(F.col("id").isin(*held) if held else F.lit(False)).collect()}
+            if left - {r.id for r in came} and len(self.rows) == self.n:
+                now = self._look_up(version)
+            else:
+                merged = {r.id: r for r in self.rows if r.id not in left} | {r.id: r for r in came}
+                now = sorted(merged.values(), key=lambda r: (r.published_at, r.id), reverse=True)[:self.n]
+        first, self.version = self.version is None, version
+        if first or now != self.rows:
+            self.rows = now
+            self.emit(version, now)
+
+    def start(self, checkpoint: str) -> StreamingQuery:
+        def batch(seen: DataFrame, _: int) -> None:
+            for r in seen.select("version").orderBy("version").toLocalIterator():
+                self.see(r.version)
+
+        return commits(self.store).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+
+
 class NewCounter:
     """How many stories are newer than a mark that the reader sets; none before the first mark."""
 
