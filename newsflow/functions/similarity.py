@@ -27,10 +27,15 @@ def bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def profile_of(each: Column) -> Column:
+    """map<gram, count> of grams."""
+    count = lambda g: F.struct(g.alias("gram"), (F.size(each) - F.size(F.array_remove(each, g))).alias("count"))
+    return F.map_from_entries(F.transform(F.array_distinct(each), count))
+
+
 def profile(text: Column, n: int = GRAM) -> Column:
     """map<gram, count>."""
-    count = lambda each, g: F.struct(g.alias("gram"), (F.size(each) - F.size(F.array_remove(each, g))).alias("count"))
-    return bound(grams(text, n), lambda each: F.map_from_entries(F.transform(F.array_distinct(each), lambda g: count(each, g))))
+    return bound(grams(text, n), profile_of)
 
 
 def magnitude(counts: Column) -> Column:

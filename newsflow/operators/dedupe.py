@@ -1,14 +1,16 @@
 """Windowed fuzzy de-duplication: who tells the same story, who owns it, what is merged into it.
 
-The greedy pass is order-dependent, so it runs exactly, but only inside groups that can influence each other:
+The greedy pass depends on order, so it runs exactly, but only inside units of rows that can influence each other:
 
-* equal canonical URLs and equal title hashes are tied whatever their time (an old twin decides whether
-  the fuzzy scan is reached);
-* similar titles within the window are tied.  Candidate pairs share a rare token or a rare gram: a pair's first common
-  term in order of rarity lies in both prefixes, beyond which the rest is too light for the threshold, so
-  nothing is lost and no common term is joined on.
+* equal canonical URLs, equal title hashes and similar titles tie rows that lie within the window.  Candidate pairs share a rare token or a rare gram: a pair's
+  first common term in order of rarity lies in both prefixes, beyond which the rest is too light for the threshold, so
+  nothing is lost and no common term is joined on; sketches of both titles bound their similarity before a pair is made.
+* a unit is swept in order of time by one streaming pass over sorted rows, which holds the rows of the window and no more; a title that
+  recurs all year is many units, or one that is swept.
+* what one unit has to know of others is which keys (URLs, title hashes) an older row took: such a key leads to a row out of reach, so the fuzzy
+  scan decides.  The sweep first assumes that every older row took its keys; units for which this proves wrong are swept again, until all agree.
 
-Rows tied to nothing are inserted by a filter; the rest go through ``applyInArrow`` per connected component.
+Rows tied to nothing are inserted by a filter.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsflow.functions import arabic, similarity, text
@@ -28,8 +30,6 @@ from newsflow.ship import ship_package
 from newsflow.tables import components, materialize
 
 DEFAULT_PRIORITY = 99
-#: Up to so many title profiles (some 3 KB each) are sent to every executor; more are joined by shuffle.
-BROADCAST_TITLES = 20_000
 #: Up to so many sources are sent to every executor; more are joined by shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -78,10 +78,15 @@ def pool(incoming: DataFrame, existing: DataFrame, sources: DataFrame) -> DataFr
     return old.unionByName(incoming).withColumn("node", F.monotonically_increasing_id())
 
 
-def _star(rows: DataFrame, key: str) -> DataFrame:
-    """Each row of a key to the key's least node."""
-    least = rows.groupBy(key).agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(least, key).where("node <> b").select(F.col("node").alias("a"), "b")
+def _twins(rows: DataFrame, key: str) -> DataFrame:
+    """(a, b): ties that join the rows of a key that lie within the window of each other, directly or in a chain."""
+    at = F.struct("published_at", "node")
+    slim = rows.select(F.col(key).alias("key"), "published_at", "node", day_bucket(F.col("published_at")).alias("bucket"))
+    each = slim.groupBy("key", "bucket").agg(F.min("node").alias("head"), F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
+    inside = slim.join(each.where("n > 1").select("key", "bucket", "head"), ["key", "bucket"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    after = each.select("key", (F.col("bucket") - 1).alias("bucket"), F.col("first").alias("next"))
+    beside = each.join(after, ["key", "bucket"]).where(F.col("next.published_at") - F.col("last.published_at") <= WINDOW)
+    return inside.unionByName(beside.select(F.col("last.node").alias("a"), F.col("next.node").alias("b")))
 
 
 def _prefixes(rows: DataFrame, terms: Column, light: float, cosine: bool) -> DataFrame:
@@ -102,27 +107,54 @@ def _prefixes(rows: DataFrame, terms: Column, light: float, cosine: bool) -> Dat
     return ranked.withColumn("total", total).select("node", F.explode(F.slice("t", F.lit(1), many)).alias("x")).select("node", "x.term")
 
 
+TOKEN_WORDS, GRAM_WORDS = 2, 4
+
+
+def _sketch(terms: Column, words: int) -> list[Column]:
+    """A bit for each term, in so many longs."""
+    place = lambda t: F.pmod(F.xxhash64(t), F.lit(64 * words)).cast("int")
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place(t), F.lit(64)).cast("int"))
+    none = F.lit(0).cast("long")
+
+    def word(k: int) -> Column:
+        return F.aggregate(terms, none, lambda acc, t: acc.bitwiseOR(F.when(F.floor(place(t) / 64) == k, bit(t)).otherwise(none)))
+
+    return [word(k) for k in range(words)]
+
+
+def _apart(one: str, two: str, words: int) -> Column:
+    """At least so many terms are in one set and not in the other: the bits in which sketches differ."""
+    each = [F.bit_count(F.col(f"{one}{k}").bitwiseXOR(F.col(f"{two}{k}"))) for k in range(words)]
+    return sum(each[1:], each[0])
+
+
+def _may_be_similar() -> Column:
+    """Whether sizes and sketches of sides 1 and 2 allow similar titles: ``t`` of tokens, ``n`` their number, ``g`` of grams, ``q`` the squared length of the profile."""
+    tokens, grams = _apart("t1_", "t2_", TOKEN_WORDS), _apart("g1_", "g2_", GRAM_WORDS)
+    # |A - B| + |B - A| <= (1 - j) / (1 + j) * (|A| + |B|); |a - b|^2 = |a|^2 + |b|^2 - 2 c |a| |b|, and each gram of one side only adds 1 to it at least
+    j = lambda least: tokens <= (F.col("n1") + F.col("n2")) * ((1 - least) / (1 + least)) + 1e-6
+    c = lambda least: grams <= F.col("q1") + F.col("q2") - F.sqrt(F.col("q1") * F.col("q2")) * (2 * least) + 1e-6
+    return j(similarity.JACCARD) | c(similarity.COSINE) | (j(similarity.BOTH_JACCARD) & c(similarity.BOTH_COSINE))
+
+
 def similar_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) nodes, a < b, whose titles are similar within the window; ``rows`` has node, normalized_title, published_at."""
+    """(a, b, j, c): nodes, a < b, whose titles are similar within the window; ``rows`` has node, normalized_title, published_at."""
     title = F.col("normalized_title")
     tokens = F.array_distinct(F.filter(F.split(title, " "), lambda t: t != ""))
-    slim = materialize(rows.select("node", "normalized_title", "published_at", day_bucket(F.col("published_at")).alias("bucket"), tokens.alias("tokens"),
-                                   similarity.profile(title).alias("grams"))
-                       .withColumns({"size": similarity.magnitude(F.col("grams")), "most": F.array_max(F.map_values("grams")).cast("double")}), "titles")
+    slim = rows.select("node", "normalized_title", "published_at", day_bucket(F.col("published_at")).alias("bucket"), tokens.alias("tokens"), similarity.grams(title).alias("each"))
+    slim = slim.withColumns({f"t_{k}": c for k, c in enumerate(_sketch(F.col("tokens"), TOKEN_WORDS))} | {f"g_{k}": c for k, c in enumerate(_sketch(F.col("each"), GRAM_WORDS))})
+    slim = materialize(slim.withColumn("grams", similarity.profile_of(F.col("each"))).drop("each").withColumn("size", similarity.magnitude(F.col("grams"))), "titles")
     by_token = _prefixes(slim.where("normalized_title <> ''"), F.col("tokens"), similarity.BOTH_JACCARD, False).withColumn("kind", F.lit(0))
     by_gram = _prefixes(slim, similarity.grams(F.col("normalized_title")), similarity.COSINE, True).withColumn("kind", F.lit(1))
-    terms = materialize(by_token.unionByName(by_gram).join(slim.select("node", "bucket", "published_at"), "node"), "terms")
-    left = terms.select(F.col("node").alias("a"), "kind", "term", "published_at", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    right = terms.select(F.col("node").alias("b"), "kind", "term", F.col("published_at").alias("other_at"), "bucket")
-    near = (left.join(right, ["kind", "term", "bucket"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("published_at") - F.col("other_at")) <= WINDOW))
-            .select("a", "b").distinct())
-    side = lambda name, k: slim.select(F.col("node").alias(name), F.col("tokens").alias(f"t{k}"), F.col("grams").alias(f"g{k}"), F.col("size").alias(f"s{k}"), F.col("most").alias(f"m{k}"))
-    # pairs are many, profiles few: up to a checked number these are sent to every executor, and no pair carries them through a shuffle
-    sent = F.broadcast if slim.count() <= BROADCAST_TITLES else (lambda df: df)
-    both = near.join(sent(side("a", 1)), "a").join(sent(side("b", 2)), "b")
-    # common grams, each as often as the most frequent one, bound the cosine from above
-    common = F.size(F.array_intersect(F.map_keys("g1"), F.map_keys("g2"))) * F.col("m1") * F.col("m2")
-    both = both.where((similarity.jaccard(F.col("t1"), F.col("t2")) >= similarity.BOTH_JACCARD) | (common >= similarity.COSINE * F.col("s1") * F.col("s2") * (1 - 1e-9)))
+    light = ["published_at", "bucket", F.size("tokens").alias("n"), (F.col("size") * F.col("size")).alias("q"), *[f"t_{k}" for k in range(TOKEN_WORDS)], *[f"g_{k}" for k in range(GRAM_WORDS)]]
+    terms = materialize(by_token.unionByName(by_gram).join(slim.select("node", *light), "node"), "terms")
+    side = lambda node, k: [F.col("node").alias(node), F.col("published_at").alias(f"at{k}"), F.col("n").alias(f"n{k}"), F.col("q").alias(f"q{k}"),
+                            *[F.col(f"t_{w}").alias(f"t{k}_{w}") for w in range(TOKEN_WORDS)], *[F.col(f"g_{w}").alias(f"g{k}_{w}") for w in range(GRAM_WORDS)]]
+    left = terms.select("kind", "term", *side("a", 1), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    right = terms.select("kind", "term", "bucket", *side("b", 2))
+    near = left.join(right, ["kind", "term", "bucket"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("at1") - F.col("at2")) <= WINDOW) & _may_be_similar()).select("a", "b").distinct()
+    whole = lambda name, k: slim.select(F.col("node").alias(name), F.col("tokens").alias(f"t{k}"), F.col("grams").alias(f"g{k}"), F.col("size").alias(f"s{k}"))
+    both = near.join(whole("a", 1), "a").join(whole("b", 2), "b")
     # one row in, one out: the filter below reads what is computed once
     size = F.col("s1") * F.col("s2")
     c = F.when(size > 0, similarity.dot(F.col("g1"), F.col("g2")) / size).otherwise(F.lit(0.0))
@@ -179,74 +211,220 @@ class _Row:
         self.dirty = True
 
 
-def resolve_rows(records: list[dict]) -> Iterator[tuple[str, _Row | str]]:
-    """The greedy pass over one component: ("insert" | "update", row) and ("already_stored" | "merged_away", source)."""
-    rows = [_Row(r) for r in records]
-    found = sorted((r for r in rows if r.stored), key=lambda r: (r.published_at, r.id))
-    by_url: dict[str, _Row] = {}
-    by_title: dict[str, _Row] = {}
-    for r in found:
-        by_url.setdefault(r.canonical_url, r)
-        by_title.setdefault(r.title_hash, r)
-    # in order of time: rows that are too old for one candidate are for all later ones, also after taking in another, which only makes them older
-    within = list(found)
-    for new in sorted((r for r in rows if not r.stored), key=lambda r: (r.published_at, r.priority, r.seq)):
-        within = [p for p in within if p.published_at >= new.published_at - WINDOW]
-        probes = (by_url.get(new.canonical_url), by_title.get(new.title_hash))
-        match = next((p for p in probes if p is not None and p.near(new)), None) or next((p for p in within if p.near(new) and p.similar(new)), None)
+class Sweep:
+    """The greedy pass over one unit, row by row in order of arrival: stored rows a window before their time, candidates by time, priority and fetch order.
+
+    Held are the rows of the window and, of keys that were taken, when.
+    """
+
+    def __init__(self, unit: int):
+        self.unit = unit
+        self.stored: list[_Row] = []  # by time and id
+        self.found: list[_Row] = []  # in order of insertion
+        self.by_node: dict[int, _Row] = {}
+        self.taken: tuple[dict, dict] = ({}, {})  # by URL and by title hash: (order, row)
+        self.lost: Counter = Counter()
+
+    @staticmethod
+    def order(row: _Row) -> tuple:
+        return row.published_at, row.priority, row.seq
+
+    def _settled(self, rows: list[_Row], until: int) -> tuple[list[_Row], Iterator]:
+        kept, gone = [], []
+        for r in rows:
+            (kept if r.published_at >= until else gone).append(r)
+        for r in gone:
+            self.by_node.pop(r.node, None)
+        return kept, ((("update" if r.stored else "insert"), r) for r in gone if r.dirty or not r.stored)
+
+    def _probe(self, kind: int, key: str, first_stored: int | None, outside: tuple | None, now: tuple) -> _Row | None:
+        """The row that a key leads to: the first stored one, else the first that took it, if it is of this unit and at hand."""
+        if first_stored is not None:
+            return self.by_node.get(first_stored)
+        mine = self.taken[kind].get(key)
+        if mine is None or outside is not None and outside < mine[0]:
+            return None
+        return self.by_node.get(mine[1])
+
+    def take(self, new: _Row) -> Iterator[tuple[str, object]]:
+        if new.stored:
+            self.stored.append(new)
+            self.by_node[new.node] = new
+            return
+        # rows that are too old for one candidate are for all later ones, also after taking in another, which only makes them older
+        until = new.published_at - WINDOW
+        self.stored, out = self._settled(self.stored, until)
+        yield from out
+        self.found, out = self._settled(self.found, until)
+        yield from out
+        now = self.order(new)
+        probes = (self._probe(0, new.canonical_url, new.url_stored, new.url_outside, now), self._probe(1, new.title_hash, new.title_stored, new.title_outside, now))
+        match = next((p for p in probes if p is not None and p.near(new)), None) or next((p for rows in (self.stored, self.found) for p in rows if p.near(new) and p.similar(new)), None)
         if match is None:
-            found.append(new)
-            within.append(new)
-            by_url.setdefault(new.canonical_url, new)
-            by_title.setdefault(new.title_hash, new)
+            self.found.append(new)
+            self.by_node[new.node] = new
+            for kind, (key, first_stored, outside, shared) in enumerate(((new.canonical_url, new.url_stored, new.url_outside, new.url_shared),
+                                                                         (new.title_hash, new.title_stored, new.title_outside, new.title_shared))):
+                if first_stored is None and (outside is None or now < outside):
+                    self.taken[kind].setdefault(key, (now, new.node))
+                if shared:
+                    yield "taken", (kind, key, now)
         elif (match.source_id, match.canonical_url) == (new.source_id, new.canonical_url):
-            yield "already_stored", new.source_id
+            self.lost["already_stored", new.source_id] += 1
         else:
             owner = match.source_id
             match.absorb(new)
             if match.source_id != new.source_id:
-                yield "merged_away", new.source_id
+                self.lost["merged_away", new.source_id] += 1
             elif owner != new.source_id:
-                yield "merged_away", owner
-    for r in found:
-        if not r.stored:
-            yield "insert", r
-        elif r.dirty:
-            yield "update", r
+                self.lost["merged_away", owner] += 1
 
+    def end(self) -> Iterator[tuple[str, object]]:
+        for rows in (self.stored, self.found):
+            yield from self._settled(rows, 2**63 - 1)[1]
+        for (outcome, source), n in self.lost.items():
+            yield outcome, (source, n)
 
-_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
-_RESOLVED = pa.schema([("outcome", pa.string()), *((c.split()[0], _ARROW[c.split()[1]]) for c in ARTICLE_COLUMNS.split(", "))])
+
+_ALONE = {"unit": 0, "url_stored": None, "title_stored": None, "url_outside": None, "title_outside": None, "url_shared": False, "title_shared": False}
 
 
-def _resolve(table: pa.Table) -> pa.Table:
-    out = []
-    for outcome, what in resolve_rows(table.to_pylist()):
-        if isinstance(what, str):
-            out.append({"outcome": outcome, "source_id": what})
+def resolve_rows(records: list[dict]) -> Iterator[tuple[str, _Row | str]]:
+    """The pass over a few rows: ("insert" | "update", row) and ("already_stored" | "merged_away", source)."""
+    rows = [_Row(_ALONE | {"node": k} | r) for k, r in enumerate(records)]
+    first: tuple[dict, dict] = ({}, {})
+    for r in sorted((r for r in rows if r.stored), key=lambda r: (r.published_at, r.id)):
+        first[0].setdefault(r.canonical_url, r.node)
+        first[1].setdefault(r.title_hash, r.node)
+    for r in rows:
+        r.url_stored, r.title_stored = first[0].get(r.canonical_url), first[1].get(r.title_hash)
+    sweep = Sweep(0)
+    for row in sorted(rows, key=lambda r: (r.published_at - WINDOW * r.stored, not r.stored, 0 if r.stored else r.priority, r.seq, r.id)):
+        yield from sweep.take(row)
+    for outcome, what in sweep.end():
+        if isinstance(what, tuple):
+            yield from [(outcome, what[0])] * what[1]
         else:
-            out.append({"outcome": outcome, **{c: getattr(what, c) for c in _NAMES}, "duplicate_source_ids": list(what.duplicates), "day_bucket": int(what.published_at / WINDOW)})
-    return pa.Table.from_pylist(out, schema=_RESOLVED)
+            yield outcome, what
+
+
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+_MORE = "unit long, outcome string, kind int, key string, taken_at long, taken_priority int, taken_seq long, n long"
+_RESOLVED = f"{_MORE}, {ARTICLE_COLUMNS}"
+_SCHEMA = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in _RESOLVED.split(", ")])
+
+
+def _record(unit: int, outcome: str, what) -> dict:
+    if isinstance(what, _Row):
+        return {"unit": unit, "outcome": outcome, **{c: getattr(what, c) for c in _NAMES}, "duplicate_source_ids": list(what.duplicates), "day_bucket": int(what.published_at / WINDOW)}
+    if outcome == "taken":
+        kind, key, (at, priority, seq) = what
+        return {"unit": unit, "outcome": outcome, "kind": kind, "key": key, "taken_at": at, "taken_priority": priority, "taken_seq": seq}
+    return {"unit": unit, "outcome": outcome, "source_id": what[0], "n": what[1]}
+
+
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by unit and arrival: each unit's sweep, one after the other."""
+    sweep, out = None, []
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            for record in whole.slice(at, 1024).to_pylist():
+                for side in ("url_outside", "title_outside"):
+                    record[side] = tuple(record[side].values()) if record[side] else None
+                row = _Row(record)
+                if sweep is None or sweep.unit != row.unit:
+                    out += [_record(sweep.unit, *x) for x in sweep.end()] if sweep else []
+                    sweep = Sweep(row.unit)
+                out += [_record(sweep.unit, *x) for x in sweep.take(row)]
+            if len(out) >= 1024:
+                yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+                out = []
+    out += [_record(sweep.unit, *x) for x in sweep.end()] if sweep else []
+    yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+
+
+#: Keys that rows take: kind, column, prefix of what is known of it.
+_KEYS = ((0, "canonical_url", "url"), (1, "title_hash", "title"))
+
+
+def _outside(taken: DataFrame) -> DataFrame:
+    """(kind, key, unit, outside): of ``taken`` (kind, key, unit, t: an order), the first of other units."""
+    first = taken.groupBy("kind", "key", "unit").agg(F.min("t").alias("t"))
+    least = first.withColumn("_n", F.row_number().over(Window.partitionBy("kind", "key").orderBy("t"))).where("_n <= 2")
+    least = least.groupBy("kind", "key").agg(F.min("t").alias("one"), F.min_by("unit", "t").alias("of"), F.max("t").alias("two"), F.count("*").alias("k"))
+    # the first for the units of all others, the second for its own
+    return least.select("kind", "key", "of", "one", F.when(F.col("k") > 1, F.col("two")).alias("two"))
+
+
+_ORDER = "struct<taken_at:bigint,taken_priority:int,taken_seq:bigint>"
+
+
+def _sweep(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """Outcomes of the units of ``rows``, given what ``taken`` (kind, key, of, one, two) says of other units."""
+    for kind, key, side in _KEYS:
+        other = taken.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("of").alias("_of"), F.col("one").alias("_one"), F.col("two").alias("_two"))
+        rows = rows.join(other, key, "left").withColumn(f"{side}_outside", F.when(F.col("_of") == F.col("unit"), F.col("_two")).otherwise(F.col("_one")).cast(_ORDER)).drop("_of", "_one", "_two")
+    arrival = [F.col("unit"), F.col("published_at") - F.when(F.col("stored"), WINDOW).otherwise(0), (~F.col("stored")), F.when(F.col("stored"), 0).otherwise(F.col("priority")), F.col("seq"), F.col("id")]
+    return rows.repartition("unit").sortWithinPartitions(*arrival).mapInArrow(_swept, _RESOLVED)
+
+
+def resolve(rows: DataFrame) -> DataFrame:
+    """Outcomes of the units of more than one row among ``rows``: pool rows with their ``unit`` and whether they are ``tied`` to another."""
+    # the first stored row of a key decides for it, wherever it is
+    for _, key, side in _KEYS:
+        first = rows.where("stored").groupBy(key).agg(F.min_by("node", F.struct("published_at", "id")).alias(f"{side}_stored"))
+        rows = rows.join(first, key, "left")
+    rows = materialize(rows, "units")
+    order = F.struct(F.col("published_at").alias("taken_at"), F.col("priority").alias("taken_priority"), F.col("seq").alias("taken_seq"))
+    keys = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.col(f"{side}_stored").isNull().alias("free")) for kind, key, side in _KEYS]))
+    new = rows.where("NOT stored").select("unit", "tied", order.alias("t"), keys.alias("x")).where("x.free").select("unit", "tied", "t", "x.kind", "x.key")
+    several = materialize(new.groupBy("kind", "key").agg(F.min("unit").alias("lo"), F.max("unit").alias("hi")).where("lo <> hi").select("kind", "key"), "shared-keys")
+    some = several.limit(1).count() > 0
+    tied = rows.where("tied")
+    for kind, key, side in _KEYS:
+        marked = several.where(F.col("kind") == kind).select(F.col("key").alias(key), F.lit(True).alias(f"{side}_shared"))
+        tied = tied.join(marked, key, "left").withColumn(f"{side}_shared", F.coalesce(f"{side}_shared", F.lit(False)))
+    new = new.join(several, ["kind", "key"], "left_semi")
+    if some:
+        tied, new = materialize(tied, "tied"), materialize(new, "takers")
+    # rows tied to nothing take their keys for certain
+    alone = new.where("NOT tied").select("unit", "t", "kind", "key")
+    assumed = materialize(_outside(new.select("unit", "t", "kind", "key")), "assumed")
+    done = materialize(_sweep(tied, assumed), "resolved")
+    while some:
+        took = done.where("outcome = 'taken'").select("unit", F.struct("taken_at", "taken_priority", "taken_seq").alias("t"), "kind", "key")
+        actual = materialize(_outside(took.unionByName(alone)), "taken")
+        before = assumed.select("kind", "key", *[F.col(c).alias(f"{c}_before") for c in ("of", "one", "two")])
+        differs = several.join(actual, ["kind", "key"], "left").join(before, ["kind", "key"], "left").where("NOT (of <=> of_before AND one <=> one_before AND two <=> two_before)")
+        wrong = materialize(new.join(differs, ["kind", "key"], "left_semi").select("unit").distinct(), "wrong-units")
+        if not wrong.limit(1).count():
+            break
+        again = _sweep(tied.join(wrong, "unit", "left_semi"), actual)
+        done = materialize(done.join(wrong, "unit", "left_anti").unionByName(again), "resolved")
+        assumed = actual
+    return done
 
 
 def dedupe(scored: DataFrame, existing: DataFrame, sources: DataFrame, now_ms: int, seen_in_feed: bool = False) -> Resolved:
     """Resolve accepted rows against each other and against stored ones."""
-    ship_package(scored.sparkSession)
-    rows = materialize(pool(candidates(scored, sources, now_ms, seen_in_feed), existing, sources), "pool")
-    ties = _star(rows, "canonical_url").unionByName(_star(rows, "title_hash")).unionByName(similar_pairs(rows).select("a", "b"))
+    return settle(materialize(pool(candidates(scored, sources, now_ms, seen_in_feed), existing, sources), "pool"))
+
+
+def settle(rows: DataFrame) -> Resolved:
+    """Resolve the rows of a written pool."""
+    ship_package(rows.sparkSession)
+    ties = _twins(rows, "canonical_url").unionByName(_twins(rows, "title_hash")).unionByName(similar_pairs(rows).select("a", "b"))
     # two titles without tokens have one hash, so they are tied already
     joined = components(ties, "stories")
     heads = joined.select("component").distinct().select(F.col("component").alias("node"), "component")
-    joined = materialize(joined.unionByName(heads), "members")
-    tied = rows.join(joined, "node")
-    resolved = materialize(tied.groupBy("component").applyInArrow(_resolve, f"outcome string, {ARTICLE_COLUMNS}"), "resolved")
-    alone = rows.where("NOT stored").join(joined, "node", "left_anti").select(*_NAMES)
-    count = lambda outcome: resolved.where(F.col("outcome") == outcome).groupBy("source_id").agg(F.count("*").alias("n"))
+    rows = rows.join(joined.unionByName(heads).withColumnRenamed("component", "unit"), "node", "left").withColumn("tied", F.col("unit").isNotNull()).withColumn("unit", F.coalesce("unit", "node"))
+    rows = materialize(rows, "members")
+    resolved = resolve(rows)
+    alone = rows.where("NOT stored AND NOT tied").select(*_NAMES)
+    count = lambda outcome: resolved.where(F.col("outcome") == outcome).groupBy("source_id").agg(F.sum("n").alias("n"))
     return Resolved(alone.unionByName(resolved.where("outcome = 'insert'").select(*_NAMES)), resolved.where("outcome = 'update'").select(*_NAMES), count("merged_away"), count("already_stored"))
 
 
 def distinct_first(rows: DataFrame, key: Column, order: Column) -> DataFrame:
     """The first row of each key."""
-    from pyspark.sql import Window
-
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
