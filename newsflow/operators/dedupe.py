@@ -27,11 +27,9 @@ from pyspark.sql import functions as F
 from newsflow.functions import arabic, similarity, text
 from newsflow.functions.dates import WINDOW, day_bucket
 from newsflow.ship import ship_package
-from newsflow.tables import components, materialize
+from newsflow.tables import components, few, materialize
 
 DEFAULT_PRIORITY = 99
-#: Up to so many sources are sent to every executor; more are joined by shuffle.
-BROADCAST_SOURCES = 100_000
 
 ARTICLE_COLUMNS = (
     "id string, source_id string, title string, summary string, url string, canonical_url string, image_url string, published_at long, fetched_at long, "
@@ -49,11 +47,6 @@ class Resolved:
     already_stored: DataFrame  # source_id, n: re-fetches of a stored article
 
 
-def few(sources: DataFrame, most: int = BROADCAST_SOURCES) -> DataFrame:
-    """``sources`` marked for broadcast if they are no more than ``most``."""
-    return F.broadcast(sources) if sources.limit(most + 1).count() <= most else sources
-
-
 def with_priority(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Left join of the sources' priority; unknown sources come last."""
     rank = few(sources.select(F.col("id").alias("source_id"), "priority"))

@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsflow.operators.dedupe import ARTICLE_COLUMNS, few
+from newsflow.operators.dedupe import ARTICLE_COLUMNS
 from newsflow.operators.table import KeyedTable
-from newsflow.tables import materialize
+from newsflow.tables import few, materialize
 
 RETENTION = 48 * 3_600_000
 PAGE, LATEST = 20, 200

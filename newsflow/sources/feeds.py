@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from newsflow.functions import dates, text
 from newsflow.ship import ship_package
+from newsflow.sources.http import follow_redirects
+from newsflow.tables import few
 
 ITEMS_PER_FEED = 200
 ITEM_COLUMNS = "title string, link string, description_html string, date_raw string, guid string, image_url string, categories array<string>"
@@ -317,7 +319,7 @@ def rewritten(image: Column) -> Column:
 
 
 def _with_source(items: DataFrame, sources: DataFrame) -> DataFrame:
-    return items.join(F.broadcast(sources.select(F.col("id").alias("source_id"), "imageRewrite", "adapter")), "source_id")
+    return items.join(few(sources.select(F.col("id").alias("source_id"), "imageRewrite", "adapter")), "source_id")
 
 
 ARTICLE = ("source_id", "title", "summary", "url", "published_at", "image_url", "categories", "pos")
@@ -347,8 +349,9 @@ def listing_articles(items: DataFrame, sources: DataFrame, now_ms: int) -> DataF
     return distinct_first(keyed, F.col("_key"), F.col("pos")).select(*ARTICLE)
 
 
-def articles_of(bodies: DataFrame, sources: DataFrame, now_ms: int) -> DataFrame:
-    """Adapter dispatch: every enabled source's bodies through its reader."""
-    kind = bodies.join(F.broadcast(sources.where("enabled").select(F.col("id").alias("source_id"), "adapter")), "source_id")
+def articles_of(bodies: DataFrame, sources: DataFrame, now_ms: int, follow: bool = True) -> DataFrame:
+    """Adapter dispatch: every enabled source's bodies through its reader.  Aggregator links that do not hold their target are followed, if so wanted."""
+    kind = bodies.join(few(sources.where("enabled").select(F.col("id").alias("source_id"), "adapter")), "source_id")
     feed = feed_articles(items_of(kind.where("adapter <> 'html'")), sources, now_ms)
+    feed = follow_redirects(feed) if follow else feed
     return feed.unionByName(listing_articles(listings_of(kind.where("adapter = 'html'")), sources, now_ms))

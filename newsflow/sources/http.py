@@ -1,4 +1,4 @@
-"""HTTP fetch as a Python data source: one partition per source, failures as rows, one retry, a body cap.
+"""HTTP fetch as a Python data source: one partition per source, failures as rows, retries, a body cap.
 
 ``spark.read.format("newsfeeds").option("sources", json).load()`` gives (source_id, url, body, http_status,
 error_class, offline, duration_ms); nothing is raised for a source that fails.
@@ -6,6 +6,8 @@ error_class, offline, duration_ms); nothing is raised for a source that fails.
 
 from __future__ import annotations
 
+import errno
+import http.client
 import json
 import socket
 import time
@@ -13,11 +15,13 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from newsflow.ship import ship_package
+from newsflow.tables import few
 
 #: Seconds for a connection, for a source with its retry, and before the retry; bytes of a body at most.
 CONNECT, BUDGET, RETRY_AFTER, BODY_CAP = 15, 35, 2, 8 << 20
@@ -28,23 +32,63 @@ class BodyTooLarge(ValueError):
     """A body over the cap: the source fails, nothing of it is parsed."""
 
 
-def get(url: str, opener: Callable = urllib.request.urlopen, pause: Callable = time.sleep, clock: Callable = time.monotonic) -> tuple[int, str]:
-    """(status, body); one retry after a 403, a server error or an empty body, all within the source's budget."""
+def _connecting(base: type) -> type:
+    """A connection whose time-out is shorter while it connects than while it reads."""
+
+    class Connection(base):
+        def connect(self):
+            whole, self.timeout = self.timeout, min(CONNECT, self.timeout or CONNECT)
+            super().connect()
+            self.timeout = whole
+            self.sock.settimeout(whole)
+
+    return Connection
+
+
+class _Http(urllib.request.HTTPHandler):
+    def http_open(self, request):
+        return self.do_open(_connecting(http.client.HTTPConnection), request)
+
+
+class _Https(urllib.request.HTTPSHandler):
+    def https_open(self, request):
+        return self.do_open(_connecting(http.client.HTTPSConnection), request, context=self._context)
+
+
+def open_url(request: urllib.request.Request, timeout: float):
+    return urllib.request.build_opener(_Http, _Https).open(request, timeout=timeout)
+
+
+#: What a feed request says that it takes.
+ACCEPTED = {"User-Agent": "newsflow", "Accept": "application/rss+xml, application/atom+xml, application/xml, text/xml, */*", "Accept-Language": "ar,en;q=0.8"}
+
+
+def get(url: str, opener: Callable = open_url, pause: Callable = time.sleep, clock: Callable = time.monotonic, usable: Callable[[str], bool] = lambda body: bool(body.strip())) -> tuple[int, str]:
+    """(status, body).  A 403 or a server error is asked for once more; a good answer that is not ``usable``, as one without items, too, and then once only.
+
+    All within the source's budget.
+    """
     until = clock() + BUDGET
-    for last in (False, True):
+
+    def once() -> tuple[int, str]:
         left = until - clock()
         if left <= 0:
             raise TimeoutError("the source's time is over")
-        try:
-            with opener(urllib.request.Request(url, headers={"User-Agent": "newsflow"}), timeout=min(CONNECT, left)) as answer:
-                raw = _read(answer, until, clock)
-                if raw.strip() or last:
-                    return answer.status, raw.decode(answer.headers.get_content_charset() or "utf-8", "replace")
-        except urllib.error.HTTPError as e:
-            if last or not (e.code == 403 or e.code >= 500):
-                raise
+        with opener(urllib.request.Request(url, headers=ACCEPTED), timeout=left) as answer:
+            raw = _read(answer, until, clock)
+            return answer.status, raw.decode(answer.headers.get_content_charset() or "utf-8", "replace")
+
+    try:
+        found = once()
+    except urllib.error.HTTPError as e:
+        if not (e.code == 403 or e.code >= 500):
+            raise
         pause(RETRY_AFTER)
-    raise AssertionError("the second answer is returned or raised")
+        found = once()
+    if usable(found[1]):
+        return found
+    pause(RETRY_AFTER)
+    return once()
 
 
 def _read(answer, until: float, clock: Callable) -> bytes:
@@ -60,33 +104,85 @@ def _read(answer, until: float, clock: Callable) -> bytes:
 
 
 def unreachable(error: BaseException | None) -> bool:
-    """Whether the chain of causes, eight deep, says that there was no network."""
+    """Whether the chain of causes, eight deep, says that there was no network: an unknown host, no route, an unreachable network.
+
+    Servers that refuse, reset or don't answer in time are no lack of network.
+    """
     for _ in range(8):
         if error is None:
             return False
-        if isinstance(error, (socket.gaierror, ConnectionError, TimeoutError)):
+        if isinstance(error, socket.gaierror) or isinstance(error, OSError) and (error.errno in (errno.EHOSTUNREACH, errno.ENETUNREACH) or "unreachable" in str(error.strerror or "").lower()):
             return True
         reason = getattr(error, "reason", None)
         error = reason if isinstance(reason, BaseException) else error.__cause__
     return False
 
 
-def fetch(source_id: str, url: str, opener: Callable = urllib.request.urlopen, pause: Callable = time.sleep) -> tuple:
+def error_name(error: BaseException) -> str:
+    """The class of what went wrong; of an opener's wrapper, of what it wraps."""
+    reason = getattr(error, "reason", None)
+    return type(reason if type(error) is urllib.error.URLError and isinstance(reason, BaseException) else error).__name__
+
+
+def _has_items(body: str) -> bool:
+    from newsflow.sources.feeds import parse_feed
+
+    return bool(parse_feed(body)[0])
+
+
+def fetch(source_id: str, url: str, opener: Callable = open_url, pause: Callable = time.sleep, adapter: str | None = None) -> tuple:
+    """One source's row; feeds (any adapter but ``html``) have to hold an item."""
     began = time.monotonic()
     status = body = kind = None
     offline = False
+    more = {} if adapter in (None, "html") else {"usable": _has_items}
     try:
-        status, body = get(url, opener, pause)
+        status, body = get(url, opener, pause, **more)
     except urllib.error.HTTPError as e:
         status, kind = e.code, type(e).__name__
     except Exception as e:  # a source that fails never fails the others
-        kind, offline = type(e).__name__, unreachable(e)
+        kind, offline = error_name(e), unreachable(e)
     return source_id, url, body, status, kind, offline, int((time.monotonic() - began) * 1000)
 
 
+# -- redirects -------------------------------------------------------------------------------------
+
+#: Aggregator links that are followed side by side; the aggregator is one host.
+LANES = 4
+
+
+def final_address(url: str, opener: Callable = open_url) -> str | None:
+    """Where a HEAD request ends, whatever its status; null where it fails."""
+    try:
+        with opener(urllib.request.Request(url, method="HEAD", headers=ACCEPTED), timeout=BUDGET) as answer:
+            return answer.geturl()
+    except urllib.error.HTTPError as e:
+        return e.url
+    except Exception:  # the link itself is kept
+        return None
+
+
+def follow_redirects(articles: DataFrame, hosts: tuple[str, ...] = ("news.google.com",), lanes: int = LANES) -> DataFrame:
+    """``articles`` with addresses that still point at an aggregator replaced by where they lead; each distinct one is asked for once.
+
+    Addresses that fail, or that lead to the aggregator again, stay.
+    """
+    ship_package(articles.sparkSession)
+    inside = lambda url: F.coalesce(F.greatest(*[F.contains(url, F.lit(h)) for h in hosts], F.lit(False)), F.lit(False))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for url in b.column("url").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([url]), pa.array([final_address(url)], pa.string())], names=["url", "_to"])
+
+    asked = articles.where(inside(F.col("url"))).select("url").distinct().repartition(lanes, "url")
+    found = asked.mapInArrow(heads, "url string, _to string").where("_to IS NOT NULL").where(~inside(F.col("_to")))
+    return articles.join(found, "url", "left").withColumn("url", F.coalesce("_to", "url")).select(*articles.columns)
+
+
 class _One(InputPartition):
-    def __init__(self, source_id: str, url: str):
-        self.source_id, self.url = source_id, url
+    def __init__(self, source_id: str, url: str, adapter: str | None = None):
+        self.source_id, self.url, self.adapter = source_id, url, adapter
 
 
 class _Reader(DataSourceReader):
@@ -94,11 +190,11 @@ class _Reader(DataSourceReader):
         self.sources = json.loads(options.get("sources", "[]"))
 
     def partitions(self):
-        return [_One(s["id"], s["url"]) for s in self.sources] or [_One("", "")]
+        return [_One(s["id"], s["url"], s.get("adapter")) for s in self.sources] or [_One("", "")]
 
     def read(self, partition) -> Iterator[tuple]:
         if partition.source_id:
-            yield fetch(partition.source_id, partition.url)
+            yield fetch(partition.source_id, partition.url, adapter=partition.adapter)
 
 
 class NewsFeeds(DataSource):
@@ -129,7 +225,7 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
 def fetch_log(bodies: DataFrame, items: DataFrame, sources: DataFrame) -> DataFrame:
     """One row per fetched source: succeeded, empty (a good answer without items), status and error."""
     offered = items.groupBy("source_id").agg(F.max("offered").alias("offered"))
-    names = F.broadcast(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name")))
+    names = few(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name")))
     rows = bodies.join(offered, "source_id", "left").join(names, "source_id", "left")
     fetched = F.col("error_class").isNull()
     some = F.coalesce("offered", F.lit(0)) > 0

@@ -1,9 +1,17 @@
 """Feed and listing readers, fetch failures."""
 
+import errno
+import http.server
 import io
+import socket
+import threading
 import urllib.error
 
-from newsflow.sources import feeds, http, registry
+import pytest
+
+from newsflow.operators import funnel
+from newsflow.sources import feeds, registry
+from newsflow.sources import http as feed_source
 
 RSS = """<?xml version="1.0"?><!DOCTYPE x [<!ENTITY a "b&b;">]><rss><channel><image><url>https://logo</url></image>
 <item><title>First &amp; <![CDATA[more]]></title><link>https://a/1</link><pubDate>Sun, 02 Aug 2026 10:00:00 +0300</pubDate>
@@ -52,16 +60,96 @@ def test_fetch_failures():
         calls.append(1)
         raise urllib.error.HTTPError("u", 403, "no", {}, io.BytesIO())
 
-    def nowhere(request, timeout):
-        raise urllib.error.URLError(ConnectionRefusedError())
+    assert feed_source.fetch("s", "https://u", refusing, lambda _: None)[3:6] == (403, "HTTPError", False) and len(calls) == 2
+
+
+class _Site(http.server.BaseHTTPRequestHandler):
+    """Counts what is asked; empty at first, redirecting, failing or slow by path."""
+
+    seen: list = []
 
-    assert http.fetch("s", "https://u", refusing, lambda _: None)[3:6] == (403, "HTTPError", False) and len(calls) == 2
-    assert http.fetch("s", "https://u", nowhere)[3:6] == (None, "URLError", True)
+    def _say(self, code, body=b"", **headers):
+        self.send_response(code)
+        for k, v in headers.items():
+            self.send_header(k, v)
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        self.wfile.write(body)
+
+    def do_GET(self):
+        self.seen.append(self.path)
+        n = self.seen.count(self.path)
+        item = b"<rss><channel><item><title>A</title><link>https://a/b</link></item></channel></rss>"
+        none = b"<rss><channel><title>none</title></channel></rss>"
+        if self.path == "/forbidden-then-none":
+            return self._say(403) if n == 1 else self._say(200, none) if n == 2 else self._say(500)
+        if self.path == "/reset":
+            return self.connection.close()
+        return self._say(200, item if self.path == "/items" or self.path == "/late" and n > 1 else none)
+
+    def do_HEAD(self):
+        self.seen.append(self.path)
+        if self.path.startswith("/to/"):
+            return self._say(302, Location=f"/end/{self.path[4:]}")
+        return self._say(404 if "gone" in self.path else 200)
+
+    def log_message(self, *_):
+        pass
 
 
-def test_source_without_network(spark):
-    rows = http.read_http(spark, [{"id": "a", "url": "http://127.0.0.1:9/none"}]).collect()
-    assert [(r.source_id, r.body, r.offline) for r in rows] == [("a", None, True)]
+@pytest.fixture(scope="module")
+def site():
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_a_feed_without_items_is_asked_for_once_more(site):
+    fetch = lambda path, adapter="rss": feed_source.fetch("s", site + path, pause=lambda _: None, adapter=adapter)
+    _Site.seen.clear()
+    assert "<item>" in fetch("/items")[2] and "<item>" in fetch("/late")[2] and "<item>" not in fetch("/none")[2]
+    assert _Site.seen == ["/items", "/late", "/late", "/none", "/none"]
+    _Site.seen.clear()
+    assert "<item>" not in fetch("/late2", "html")[2] and len(_Site.seen) == 1
+    _Site.seen.clear()
+    # the second retry is not retried: its failure is the source's
+    assert fetch("/forbidden-then-none")[3:6] == (500, "HTTPError", False) and len(_Site.seen) == 3
+
+
+def test_only_a_lack_of_network_is_offline(spark, site):
+    def failing(error):
+        def opener(*_, **__):
+            raise urllib.error.URLError(error)
+
+        return feed_source.fetch("s", "https://u", opener, lambda _: None)[4:6]
+
+    assert failing(socket.gaierror(-2, "unknown")) == ("gaierror", True)
+    assert failing(OSError(errno.EHOSTUNREACH, "No route to host")) == ("OSError", True) and failing(OSError(errno.ENETUNREACH, "Network is unreachable"))[1]
+    assert failing(ConnectionRefusedError(errno.ECONNREFUSED, "refused")) == ("ConnectionRefusedError", False)
+    assert failing(ConnectionResetError(errno.ECONNRESET, "reset")) == ("ConnectionResetError", False)
+    assert failing(TimeoutError("timed out")) == ("TimeoutError", False)
+    deep = ValueError("top")
+    deep.__cause__ = urllib.error.URLError(socket.gaierror(-2, "x"))
+    assert feed_source.unreachable(deep)
+    rows = feed_source.read_http(spark, [{"id": "a", "url": "http://127.0.0.1:9/none"}, {"id": "b", "url": f"{site}/reset"}, {"id": "c", "url": f"{site}/items", "adapter": "rss"}])
+    log = feed_source.fetch_log(rows, feeds.items_of(rows), spark.createDataFrame([("a", "A"), ("c", "C")], "id string, name string"))
+    got = {r.source_id: (r.status, r.offline, r.source_name) for r in log.select("source_id", "source_name", "offline", funnel.status_label().alias("status")).collect()}
+    assert got["a"] == ("ConnectionRefusedError", False, "A") and got["c"] == ("200", False, "C")
+    assert got["b"][0] in ("RemoteDisconnected", "ConnectionResetError", "BadStatusLine") and not got["b"][1]
+    state = funnel.refresh_state(funnel.outcome(log.where("source_id <> 'c'"))).first()
+    assert state.state == "all_failed"
+
+
+def test_redirects_are_followed_once_each(spark, site):
+    _Site.seen.clear()
+    links = [f"{site}/to/1", f"{site}/to/1", f"{site}/gone", f"{site}/stay", "https://elsewhere/x", "http://127.0.0.1:9/to/2", None]
+    rows = spark.createDataFrame([(i, u, "t") for i, u in enumerate(links)], "n int, url string, title string")
+    out = {r.n: r.url for r in feed_source.follow_redirects(rows, ("/to/",)).collect()}
+    assert out == {0: f"{site}/end/1", 1: f"{site}/end/1", 2: f"{site}/gone", 3: f"{site}/stay", 4: "https://elsewhere/x", 5: "http://127.0.0.1:9/to/2", 6: None}
+    assert sorted(_Site.seen) == ["/end/1", "/to/1"]
+    # a target at the aggregator again is no target
+    assert {r.url for r in feed_source.follow_redirects(rows.where("n = 0"), ("127.0.0.1",)).collect()} == {links[0]}
 
 
 class _Answer:
@@ -86,14 +174,14 @@ class _Answer:
 
 def test_fetch_limits():
     answers = [b" \n", b"<rss/>"]
-    assert http.get("https://u", lambda *_, **__: _Answer(answers.pop(0)), lambda _: None) == (200, "<rss/>") and not answers
-    assert http.get("https://u", lambda *_, **__: _Answer(b""), lambda _: None) == (200, "")
-    large = lambda *_, **__: _Answer(b"x" * (http.BODY_CAP + 1))
-    assert http.fetch("s", "https://u", large, lambda _: None)[2:6] == (None, None, "BodyTooLarge", False)
+    assert feed_source.get("https://u", lambda *_, **__: _Answer(answers.pop(0)), lambda _: None) == (200, "<rss/>") and not answers
+    assert feed_source.get("https://u", lambda *_, **__: _Answer(b""), lambda _: None) == (200, "")
+    large = lambda *_, **__: _Answer(b"x" * (feed_source.BODY_CAP + 1))
+    assert feed_source.fetch("s", "https://u", large, lambda _: None)[2:6] == (None, None, "BodyTooLarge", False)
     times = iter([0, 0, 36, 36, 36])
     slow = lambda *_, **__: _Answer(b"x" * 100)
     try:
-        http.get("https://u", slow, lambda _: None, lambda: next(times))
+        feed_source.get("https://u", slow, lambda _: None, lambda: next(times))
     except TimeoutError:
         pass
     else:
