@@ -8,8 +8,9 @@ stops beyond a reach: the bound that linked pairs of a bounded sample need at th
 sixteenth and at most all of the squared distance that the cosine threshold allows (a target of 1 takes all, and is exact).  Cells are met in one direction - from
 the lesser cell number to the greater - so each pair is verified once, in double precision, and counts for both ends.
 
-A cell's entries are dealt to chunks and a visitor meets every chunk, so a crowded cell is no one task's work; a
-task reports counts and a spanning set of its links, never all pairs.
+A cell's entries and its visitors are both dealt to chunks, packed many to a row; each chunk of visitors meets each chunk of entries in a group of its
+own, so a crowded cell is no one task's work and no group is larger than two chunks.  A
+group reports counts and a spanning set of its links, never all pairs.  Vectors stay in the precision that they come in, and are compared in double precision.
 
 Defined cases: null labels and vectors that are null, zero or hold null or non-finite components link with nothing; so do vectors of
 different lengths; repeated ``vec_id`` rows are rows of their own; an empty table gives no rows; further columns are ignored.
@@ -24,15 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsflow.llm.runtime import components, materialize, ship_package
 
 THRESHOLD = 0.98
 #: Rows that codebooks are fitted on at most, and centroids of a half at most.
-FIT_ROWS, MAX_CENTROIDS = 8_000, 256
+FIT_ROWS, MAX_CENTROIDS = 8_000, 1_000
 TARGET_RECALL = 0.999
 LEAST_REACH = 1 / 16
-CHUNK = 512
+#: Entries or visitors of a chunk, and rows of a cell that one task packs, about.
+CHUNK, PART = 512, 4_096
 
 
 def usable(embedding):
@@ -57,6 +60,16 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) ->
     return np.unique(centres, axis=0)
 
 
+def spaced(centres: np.ndarray, gap: float) -> np.ndarray:
+    """``centres`` without those closer than ``gap`` to one kept before: in a crowd, cells finer than links reach would all visit each other."""
+    kept: list[int] = []
+    apart = squared(centres, centres)
+    for i in range(len(centres)):
+        if not kept or apart[i, kept].min() >= gap * gap:
+            kept.append(i)
+    return centres[kept]
+
+
 def squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum(0, (x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)[None, :])
 
@@ -103,7 +116,8 @@ def fit(sample: np.ndarray, total: int, threshold: float, target_recall: float =
     k = int(min(MAX_CENTROIDS, max(4, round((total / 16) ** 0.5)), max(1, len(sample) // 8)))
     half = sample.shape[1] // 2
     exact = 2 - 2 * threshold
-    index = MultiIndex(sample.shape[1], kmeans(sample[:, :half], k, rng), kmeans(sample[:, half:], k, rng), exact + 1e-9)
+    book = lambda x: spaced(kmeans(x, k, rng), exact**0.5 / 2)
+    index = MultiIndex(sample.shape[1], book(sample[:, :half]), book(sample[:, half:]), exact + 1e-9)
     if target_recall >= 1:
         return index
     # the bound that linked sample pairs need, at the target quantile
@@ -118,11 +132,11 @@ def fit(sample: np.ndarray, total: int, threshold: float, target_recall: float =
     return MultiIndex(index.width, index.first, index.second, reach + 1e-9)
 
 
-_SENT = "label int, cell long, home long, visitor boolean, entry long, copies long, vector binary"
+_SENT = "label string, cell long, home long, visitor boolean, entry long, copies long, vector binary"
 
 
-def _spread(sent):
-    schema = pa.schema([("label", pa.int32()), ("cell", pa.int64()), ("home", pa.int64()), ("visitor", pa.bool_()), ("entry", pa.int64()), ("copies", pa.int64()), ("vector", pa.binary())])
+def _spread(sent, kind: str):
+    schema = pa.schema([("label", pa.string()), ("cell", pa.int64()), ("home", pa.int64()), ("visitor", pa.bool_()), ("entry", pa.int64()), ("copies", pa.int64()), ("vector", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexes = sent.value
@@ -135,7 +149,7 @@ def _spread(sent):
                 for row in zip(*columns, strict=True):
                     by_width.setdefault(len(row[3]), []).append(row)
                 for width, some in by_width.items():
-                    raw = np.array([r[3] for r in some], np.float32)
+                    raw = np.array([r[3] for r in some], kind)
                     index = indexes[width]
                     own, (one, two) = index.bounds(unit(raw)) if index else (np.zeros(len(some), np.int64), (None, None))
                     for k, (label, entry, copies, _) in enumerate(some):
@@ -150,36 +164,57 @@ def _spread(sent):
     return run
 
 
-def _meet(threshold: float):
-    """Verify visitors against a chunk of a cell's entries: counts for both ends and spanning links."""
-
-    def run(table: pa.Table) -> pa.Table:
-        visitor = table.column("visitor").to_numpy()
-        entry, copies, home = table.column("entry").to_numpy(), table.column("copies").to_numpy(), table.column("home").to_numpy()
-        vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float32)
-        vectors = vectors.reshape(len(entry), -1)
-        x = unit(vectors)
-        inside, out = np.flatnonzero(~visitor), np.flatnonzero(visitor)
-        total = np.zeros(len(entry), np.int64)
-        edges: list[np.ndarray] = []
-        cell = table.column("cell").to_numpy()[0]
-        for at in range(0, len(out), 1024):
-            v = out[at:at + 1024]
-            for start in range(0, len(inside), 1024):
-                w = inside[start:start + 1024]
-                a, b = np.nonzero(x[v] @ x[w].T >= threshold)
-                a, b = v[a], w[b]
+_PACKED = "label string, cell long, visitor boolean, width int, homes binary, entries binary, copies binary, vectors binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by label, cell and side, up to ``CHUNK`` to a row."""
+    held: list[tuple] = []
+    key = None
+
+    def row() -> pa.RecordBatch:
+        label, cell, visitor, size = key
+        whole = lambda at: np.array([r[at] for r in held], np.int64).tobytes()
+        return pa.RecordBatch.from_pydict({"label": [label], "cell": [cell], "visitor": [visitor], "width": pa.array([size], pa.int32()), "homes": [whole(0)], "entries": [whole(1)],
+                                           "copies": [whole(2)], "vectors": [b"".join(r[3] for r in held)]})
+
+    for b in batches:
+        for label, cell, home, visitor, entry, copies, vector in zip(*(b.column(c).to_pylist() for c in ("label", "cell", "home", "visitor", "entry", "copies", "vector")), strict=True):
+            now = (label, cell, visitor, len(vector))
+            if held and (now != key or len(held) == CHUNK):
+                yield row()
+                held = []
+            key = now
+            held.append((home, entry, copies, vector))
+    if held:
+        yield row()
+
+
+def _meet(threshold: float, kind: str):
+    """Verify a chunk of visitors against a chunk of a cell's entries: counts for both ends and spanning links."""
+
+    def unpack(r: dict, side: str) -> tuple:
+        whole = lambda name: np.frombuffer(r[f"{side}_{name}"], np.int64)
+        return whole("homes"), whole("entries"), whole("copies"), unit(np.frombuffer(r[f"{side}_vectors"], kind).reshape(-1, r["width"] // np.dtype(kind).itemsize))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1).to_pylist()[0]
+                home, out, out_copies, x = unpack(r, "v")
+                _, inside, in_copies, y = unpack(r, "e")
+                a, b = np.nonzero(x @ y.T >= threshold)
                 # entries of this very cell visit it too: their pairs count from the lesser entry only
-                keep = np.where(home[a] == cell, entry[a] < entry[b], True)
+                keep = np.where(home[a] == r["cell"], out[a] < inside[b], True)
                 a, b = a[keep], b[keep]
-                np.add.at(total, a, copies[b])
-                np.add.at(total, b, copies[a])
-                edges.append(np.stack([entry[a], entry[b]], axis=1))
-        pairs = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
-        tree = spanning(pairs)
-        hit = np.flatnonzero(total)
-        return pa.table([np.concatenate([entry[hit], tree[:, 0]]), np.concatenate([total[hit], np.zeros(len(tree), np.int64)]),
-                         pa.array([None] * len(hit) + tree[:, 1].tolist(), pa.int64())], names=["a", "links", "b"])
+                if not len(a):
+                    continue
+                tree = spanning(np.stack([out[a], inside[b]], axis=1))
+                who = np.concatenate([out, inside])
+                total = np.concatenate([np.bincount(a, weights=in_copies[b], minlength=len(out)), np.bincount(b, weights=out_copies[a], minlength=len(inside))]).astype(np.int64)
+                hit = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([who[hit], tree[:, 0]])), pa.array(np.concatenate([total[hit], np.zeros(len(tree), np.int64)])),
+                                                  pa.array([None] * len(hit) + tree[:, 1].tolist(), pa.int64())], names=["a", "links", "b"])
 
     return run
 
@@ -210,8 +245,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, target_
     ship_package(spark)
     rows = embeddings.select("vec_id", "label", "embedding")
     good = F.col("label").isNotNull() & usable(F.col("embedding"))
-    named = rows.select("vec_id", F.col("label").cast("int").alias("label"), F.when(good, F.col("embedding").cast("array<float>")).alias("embedding"))
-    key = F.when(F.col("embedding").isNotNull(), F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: (x + F.lit(0.0).cast("float")).cast("string"))), 256))
+    single = isinstance(rows.schema["embedding"].dataType.elementType, T.FloatType)
+    element, kind = ("float", "<f4") if single else ("double", "<f8")
+    named = rows.select("vec_id", F.col("label").cast("string").alias("label"), F.when(good, F.col("embedding").cast(f"array<{element}>")).alias("embedding"))
+    key = F.when(F.col("embedding").isNotNull(), F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: (x + F.lit(0.0).cast(element)).cast("string"))), 256))
     named = materialize(named.withColumn("key", key), "vectors")
     # copies: one entry per label and vector, named by its least vec_id
     entries = materialize(named.where("embedding IS NOT NULL").groupBy("label", "key").agg(
@@ -223,20 +260,22 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, target_
         pick = entries.where(F.size("embedding") == w["w"])
         if share < 1:
             pick = pick.where(F.pmod(F.xxhash64("entry", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)))
-        sample = np.array([r["embedding"] for r in pick.orderBy("entry").select("embedding").limit(fit_rows).collect()], np.float32)
+        sample = np.array([r["embedding"] for r in pick.orderBy("entry").select("embedding").limit(fit_rows).collect()], kind)
         indexes[w["w"]] = fit(unit(sample), w["n"], threshold, target_recall) if w["w"] >= 2 and len(sample) else None
-    spread = entries.mapInArrow(_spread(spark.sparkContext.broadcast(indexes)), _SENT)
-    spread = materialize(spread, "cells")
-    crowd = spread.where("NOT visitor").groupBy("label", "cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = spread.join(crowd, ["label", "cell"])
-    at = F.pmod(F.xxhash64("entry"), "chunks").cast("int")
-    dealt = dealt.withColumn("chunk", F.explode(F.when(F.col("visitor"), F.expr("sequence(0, chunks - 1)")).otherwise(F.array(at))))
-    # the join left a cell's rows together; its chunks are dealt anew, each to a task of its own
-    return _finish(named, dealt.repartition("label", "cell", "chunk"), threshold)
-
-
-def _finish(named: DataFrame, dealt: DataFrame, threshold: float) -> DataFrame:
-    found = materialize(dealt.groupBy("label", "cell", "chunk").applyInArrow(_meet(threshold), "a long, links long, b long"), "vector-links")
+    spread = entries.mapInArrow(_spread(spark.sparkContext.broadcast(indexes), kind), _SENT)
+    spread = materialize(spread, "spread")
+    # crowded cells are dealt to several tasks; there a cell's rows are sorted together and packed
+    crowd = spread.groupBy("label", "cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1")
+    dealt = spread.join(crowd, ["label", "cell"], "left").withColumn("part", F.pmod(F.xxhash64("entry"), F.coalesce("parts", F.lit(1))))
+    place = ["label", "cell", "part", "visitor", F.length("vector"), "entry"]
+    packed = materialize(dealt.repartition("label", "cell", "part").sortWithinPartitions(*place).mapInArrow(_pack, _PACKED), "cells")
+    side = lambda name, visitor: packed.where(F.col("visitor") == visitor).select("label", "cell", "width", *[F.col(c).alias(f"{name}_{c}") for c in ("homes", "entries", "copies", "vectors")])
+    met = side("v", True).join(side("e", False), ["label", "cell", "width"])
+    return _finish(named, met.mapInArrow(_meet(threshold, kind), "a long, links long, b long"))
+
+
+def _finish(named: DataFrame, links: DataFrame) -> DataFrame:
+    found = materialize(links, "vector-links")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("entry")).agg(F.sum("links").alias("links"))
     component = components(found.where("b IS NOT NULL").select("a", "b"))
     entry = named.where("key IS NOT NULL").groupBy("label", "key").agg(F.min("vec_id").alias("entry"), F.count("*").alias("copies"))
