@@ -29,10 +29,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsflow.llm.runtime import release_memory, ship_package
+from newsflow.llm.runtime import drop_kept, release_memory, ship_package
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
@@ -44,7 +44,13 @@ PER_LANGUAGE = 800
 PER_LANGUAGE_OUT = 100
 REJECT_SHARE = 0.001
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, number signs such as ½ and ², and some marks.
+_LETTER_LIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter (Unicode category L)."""
+    return any(m[0].isalpha() for m in _LETTER_LIKE.finditer(text))
 
 
 def feature_rows(data: np.ndarray, order: int) -> np.ndarray:
@@ -172,7 +178,7 @@ def _calibrate(scores: np.ndarray, held: list[tuple[str, int]], negatives: list[
         for n in (1, 2, 4, 8):
             at = int(rng.integers(0, max(1, len(words) - n + 1)))
             texts.append((" ".join(words[at:at + n]), label))
-    whole = [bool(_LETTER.search(t)) for t, _ in texts]
+    whole = [has_letter(t) for t, _ in texts]
     n_held = sum(whole[: len(held)])
     texts = [x for x, ok in zip(texts, whole, strict=True) if ok]
     z, sizes, y = _logits(scores, [t for t, _ in texts]), _sizes([t for t, _ in texts]), np.array([label for _, label in texts])
@@ -191,24 +197,20 @@ def _calibrate(scores: np.ndarray, held: list[tuple[str, int]], negatives: list[
 
 
 def training_rows(documents: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most ``per_language`` labelled rows of each language outside the held-out fold."""
-    eligible = documents.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
+    """The ``per_language`` labelled rows of each language outside the held-out fold that come first by a hash of their id, in two jobs whatever the number of partitions."""
+    eligible = documents.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).where(F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in eligible.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     spread = (F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30))
     wanted = None
     for lang, n in counts.items():
-        # a little more than needed, cut to the bound below
-        one = (F.col("lang") == lang) & (spread < min(1.0, 1.2 * per_language / n))
+        # a little more than needed is shuffled, and cut to the bound there
+        one = (F.col("lang") == lang) & (spread < min(1.0, (1.2 * per_language + 50) / n))
         wanted = one if wanted is None else wanted | one
     if wanted is None:
         return []
-    taken: dict[str, int] = {}
-    out = []
-    for r in eligible.where(wanted).select("doc_id", "lang", "text").toLocalIterator():
-        if taken.get(r["lang"], 0) < per_language and _LETTER.search(r["text"]):
-            taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-            out.append((r["doc_id"], r["text"], r["lang"]))
-    return [(text, lang) for _, text, lang in sorted(out)]
+    first = Window.partitionBy("lang").orderBy("spread", "doc_id", "text")
+    some = eligible.where(wanted).select("doc_id", "lang", "text", spread.alias("spread")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language)
+    return [(text, lang) for _, text, lang in sorted((r["doc_id"], r["text"], r["lang"]) for r in some.select("doc_id", "text", "lang").collect())]
 
 
 def held_out():
@@ -220,7 +222,7 @@ def score_texts(model: Model, texts: list[str | None], piece: int = 1 << 18) ->
     k = len(model.languages)
     sums = np.zeros((len(texts), k))
     counts = np.ones(len(texts))
-    known = [bool(k and t and _LETTER.search(t)) for t in texts]
+    known = [bool(k and t and has_letter(t)) for t in texts]
     i = 0
     while i < len(texts):
         group, size = [], 0
@@ -264,6 +266,7 @@ def predictor(spark, model: Model):
 
     @F.arrow_udf("lang_pred string, score double, rejected boolean")
     def predict(text: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        drop_kept()
         model = sent.value
         for batch in text:
             langs, score = [], []

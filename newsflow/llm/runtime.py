@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from newsflow.ship import ship_package
 from newsflow.tables import components, materialize, n_parts, new_path, shared_dir, small_batches
 
-__all__ = ["components", "free_name", "materialize", "n_parts", "new_path", "release_memory", "shared_dir", "ship_package", "small_batches", "without_ids"]
+__all__ = ["components", "drop_kept", "free_name", "kept", "materialize", "n_parts", "new_path", "release_memory", "shared_dir", "ship_package", "small_batches", "without_ids"]
 
 #: Up to so many ids (8 bytes each) are sent to every executor; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
@@ -25,6 +26,18 @@ def release_memory() -> None:
         trim(0)
 
 
+#: What operators keep in a worker between tasks: by name, a function that drops it.
+kept: dict[str, Callable[[], None]] = {}
+
+
+def drop_kept(but: str = "") -> None:
+    """At the start of a task: what other operators' tasks kept in this worker goes."""
+    for name, drop in kept.items():
+        if name != but:
+            drop()
+    release_memory()
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores after it until no column of ``df`` has that name in any case."""
     taken = {c.lower() for c in df.columns}

@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables with nulls, empty and repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -437,3 +438,75 @@ def test_ngram_join_rows_without_id(spark):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in ngram_join.jaccard_components(rows).collect())
     assert got == [(-1, 0, -1), (-1, 3, -1), (1, 3, 1), (2, 1, 2), (2, 3, 1)]
     assert ngram_join.jaccard_components(rows.limit(0)).count() == 0
+
+
+def test_embeddings_of_other_types(spark):
+    """Doubles are compared as they are; labels of any type only have to be equal."""
+    near = [math.cos(0.2), math.sin(0.2)]  # just inside, and the next just outside
+    apart = math.acos(0.98) + 1e-9
+    rows = [(0, "x", [1e-60, 0.0]), (1, "x", [0.0, 1e-60]), (2, "y", [1e300, 1.0]), (3, "y", [1e300, 2.0]), (4, "z", [1.0, 0.0]), (5, "z", [math.cos(apart), math.sin(apart)]), (6, "w", [1.0, 0.0]), (7, "w", near)]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
+    assert out == {0: (0, 0), 1: (0, 1), 2: (1, 2), 3: (1, 2), 4: (0, 4), 5: (0, 5), 6: (1, 6), 7: (1, 6)}
+    none = spark.createDataFrame([], "vec_id long, label date, embedding array<double>")
+    assert embedding_dedup.near_duplicates(none).count() == 0
+
+
+def test_crowded_neighbourhoods_are_dealt_in_proportion(spark, monkeypatch):
+    """Every group of a tight cell is two chunks at most, and the rows that are written follow the vectors."""
+    rng = np.random.default_rng(2)
+    written = {}
+    keep = embedding_dedup.materialize
+    monkeypatch.setattr(embedding_dedup, "materialize", lambda df, label: written.setdefault(label, keep(df, label)))
+    rows = {}
+    for n in (1_500, 3_000):
+        written.clear()
+        x = rng.normal(size=16) + rng.normal(size=(n, 16)) * 0.01
+        frame = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<float>")
+        out = embedding_dedup.near_duplicates(frame).collect()
+        assert {(r.n_links, r.component_id) for r in out} == {(n - 1, 0)}
+        packed = written["cells"].selectExpr("max(length(entries)) / 8 AS most", "sum(length(entries)) / 8 AS rows").first()
+        assert packed.most <= embedding_dedup.CHUNK
+        rows[n] = packed.rows
+    assert rows[3_000] < 2.6 * rows[1_500]
+
+
+def test_default_reach_finds_the_links(spark):
+    """Recall of the production parameters against brute force, over rows whose id is divisible by 50."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(400, 32))
+    x = centres[rng.integers(0, 400, 6_000)] + rng.normal(size=(6_000, 32)) * rng.choice([0.05, 0.1, 0.14], (6_000, 1))
+    frame = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "vec_id long, label int, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(frame).collect()}
+    u = embedding_dedup.unit(x.astype(np.float32))
+    want = {i: int(((u @ u[i] >= 0.98) & (np.arange(6_000) % 3 == i % 3)).sum()) - 1 for i in range(0, 6_000, 50)}
+    assert sum(want.values()) > 200 and all(got[i] <= n for i, n in want.items())
+    assert sum(got[i] for i in want) >= 0.97 * sum(want.values())
+
+
+def test_language_scores_are_averages_and_number_signs_are_no_letters(spark):
+    rng = np.random.default_rng(1)
+    rows = [(" ".join(rng.choice(["der", "die", "und", "ist"] if k % 2 else ["the", "of", "and", "is"], 12)), "de" if k % 2 else "en") for k in range(200)]
+    model = language_id.train(rows)
+    texts = ["the and of", "der und", "½ ² ①", "", None, "x", "ªb", "the " * 5_000, "é ist die"]
+    langs, score = language_id.score_texts(model, texts, piece=64)
+    assert (langs[2], langs[3], langs[4]) == ("und", "und", "und") and score[2] == 0
+    for text, lang, s in zip(texts, langs, score, strict=True):
+        if lang == "und":
+            continue
+        data = np.frombuffer(language_id._bytes(text), np.uint8).astype(np.uint32)
+        each = [model.scores[r] for n in language_id.ORDERS for r in language_id.feature_rows(data, n)[: len(data) - 3]]
+        mean = np.mean(np.array(each, np.float64), axis=0)
+        p = language_id._tempered(mean[None], np.array([len(data) - 4]), model.temperature)[0]
+        assert model.languages[int(p.argmax())] == lang and abs(p.max() - s) < 1e-6
+    # the sample takes as many jobs whatever the partitions (adaptive execution counts each shuffle as one), and is the same
+    docs = spark.createDataFrame([(k // 2, text, lang) for k, (text, lang) in enumerate(rows)] + [(999, "½ ²", "en")], "doc_id long, text string, lang string")
+
+    def sampled(parts):
+        spark.sparkContext.setJobGroup(f"sample{parts}", "sample")
+        some = language_id.training_rows(docs.repartition(parts), per_language=20)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"sample{parts}"))
+        spark.sparkContext.setJobGroup("rest", "rest")
+        return some, jobs
+
+    some, jobs = sampled(2)
+    assert [lang for _, lang in some].count("de") == 20 and all("½" not in t for t, _ in some) and sampled(40) == (some, jobs) and jobs <= 6
