@@ -15,7 +15,7 @@ from newsflow.operators import store
 from newsflow.plans import views
 from newsflow.plans.views import FIRST, STEP, read
 from newsflow.sources.vocabulary import Weights
-from newsflow.tables import materialize
+from newsflow.tables import materialize, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -177,12 +177,6 @@ def f04_truncate(spark, d):
     return _docs(spark, d).select("doc_id", text.truncate(F.col("text"), 200).alias("summary"))
 
 
-@query("SELECT doc_id, CASE WHEN length(trim(source)) BETWEEN 1 AND 40 THEN CASE WHEN length(t) >= 15 THEN t ELSE t || ' - ' || source END ELSE t || ' - ' || source END AS title FROM (SELECT doc_id, source, trim(left(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'), 40)) AS t FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)")
-def f13_without_outlet(spark, d):
-    head = F.trim(F.left(F.regexp_replace("text", r"[ \t\n\r]+", " "), F.lit(40)))
-    return _docs(spark, d).where("text IS NOT NULL AND source IS NOT NULL").select("doc_id", text.without_outlet(F.concat(head, F.lit(" - "), "source")).alias("title"))
-
-
 @query(f"WITH {ARTICLES} SELECT doc_id, CASE WHEN length(trim(source)) BETWEEN 1 AND 40 AND length(t) >= 15 THEN t ELSE t || ' - ' || source END AS title FROM (SELECT seq AS doc_id, source_id AS source, trim(title) AS t FROM raw WHERE source_id IS NOT NULL)")
 def f13_without_outlet_titles(spark, d):
     """Over the titles of ``raw_articles``."""
@@ -190,12 +184,6 @@ def f13_without_outlet_titles(spark, d):
     return rows.select(F.col("seq").alias("doc_id"), text.without_outlet(F.concat(F.trim("title"), F.lit(" - "), "source_id")).alias("title"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> ''), '|') AS lines FROM (SELECT doc_id, replace(left(text, 300), chr(9), ' ') AS t FROM documents)")
-def f11_list_codec(spark, d):
-    values = text.decode_list(F.translate(F.left("text", F.lit(300)), "\t", " "))
-    return _docs(spark, d).select("doc_id", F.array_join(text.decode_list(text.encode_list(values)), "|").alias("lines"))
-
-
 @query("SELECT doc_id, array_to_string(list_filter(string_split(replace(text, chr(9), ' '), chr(10)), lambda x: trim(x) <> ''), '|') AS lines FROM documents")
 def f11_list_codec_whole(spark, d):
     """Over all lines of every text."""
@@ -243,8 +231,8 @@ SELECT event_id, CASE WHEN gone < 60000 THEN 'الآن'
   ELSE day(ts) || ' ' || ({_MONTHS})[month(ts)] END AS label FROM e""")
 def t07_relative_time(spark, d):
     rows = read(spark, d, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
-    now = rows.agg(F.max("at")).first()[0]
-    return rows.select("event_id", dates.relative_time(F.col("at"), now).alias("label"))
+    now = F.broadcast(rows.agg(F.max("at").alias("now")))  # one row
+    return rows.join(now, F.lit(True)).select("event_id", dates.relative_time(F.col("at"), F.col("now")).alias("label"))
 
 
 # -- scoring ---------------------------------------------------------------------------------------------
@@ -281,34 +269,61 @@ def k16_sweep(spark, d):
     return scoring.sweep(_articles(spark, d), CLOCK, SWEEP, views.LATIN)
 
 
+# -- two syncs -------------------------------------------------------------------------------------------
+
+FIRST_SYNC = FIRST + 500 * STEP
+
+
+def _two_syncs(spark, d):
+    """(classified rows of the second sync, its outcome): the first takes what was published before ``FIRST_SYNC`` into an empty table, the second is offered everything."""
+    docs = _docs(spark, d)
+    rows = materialize(views.classified(docs, CLOCK), "funnel-rows")
+    scored, known = scoring.accepted(rows), views.sources(docs)
+    first = stories.dedupe(scored.where(F.col("published_at") < FIRST_SYNC), spark.createDataFrame([], stories.ARTICLE_COLUMNS), known, FIRST_SYNC)
+    return rows, stories.dedupe(scored, materialize(first.to_insert, "stored"), known, CLOCK)
+
+
+@query()
+def d11_resync(spark, d):
+    """Rows that the second sync inserts or updates, with the outlets merged into them."""
+    out = _two_syncs(spark, d)[1]
+    both = out.to_insert.withColumn("outcome", F.lit("insert")).unionByName(out.to_update.withColumn("outcome", F.lit("update")))
+    return both.select("outcome", "id", "source_id", "title", "canonical_url", "published_at", "breaking_score", "topic_score", F.array_join("duplicate_source_ids", ",").alias("duplicates"))
+
+
+@query()
+def d09_losses(spark, d):
+    """What the second sync loses by outlet: to other outlets' stories, and as fetched before."""
+    out = _two_syncs(spark, d)[1]
+    return out.merged_away.withColumn("kind", F.lit("merged_away")).unionByName(out.already_stored.withColumn("kind", F.lit("already_stored")))
+
+
 # -- funnel ----------------------------------------------------------------------------------------------
 
 _FUNNEL = f"""{_sql_classified()}, {SOURCES},
-f AS (SELECT s.id AS source_id, count(c.seq) AS parsed, count_if(c.breaking_pass) AS breaking_pass, count_if(c.topic_pass) AS topic_pass, count_if(c.accepted) AS accepted,
-    count_if(c.accepted AND c.seq % 4 = 0) AS deduped_away, count_if({CLOCK} - c.published_at BETWEEN 0 AND 1800000) AS fresh30m, count_if({CLOCK} - c.published_at BETWEEN 0 AND 7200000) AS fresh2h,
-    coalesce(CAST(trunc(min({CLOCK} - c.published_at) / 60000.0) AS BIGINT), 0) AS newest_age_minutes FROM sources s LEFT JOIN classified c ON c.source_id = s.id WHERE s.enabled GROUP BY s.id),
-funnel AS (SELECT *, CASE WHEN accepted = 0 THEN 0 ELSE CAST(deduped_away * 100 // accepted AS INTEGER) END AS loss_percent FROM f)"""
+funnel AS (SELECT s.id AS source_id, count(c.seq) AS parsed, count_if(c.accepted) AS accepted, count_if({CLOCK} - c.published_at BETWEEN 0 AND 7200000) AS fresh2h
+    FROM sources s LEFT JOIN classified c ON c.source_id = s.id WHERE s.enabled GROUP BY s.id)"""
 
 
 def _funnel(spark, d):
-    docs = _docs(spark, d)
-    rows = materialize(views.classified(docs, CLOCK).select("source_id", "published_at", "seq", "classification"), "funnel-rows")
-    on = views.sources(docs).where("enabled")
+    """Of the second of two syncs; its losses are what de-duplication found."""
+    rows, out = _two_syncs(spark, d)
+    on = views.sources(_docs(spark, d)).where("enabled")
     log = on.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), F.lit(True).alias("succeeded"), F.lit(False).alias("empty"), F.lit(None).cast("int").alias("http_status"),
                     F.lit(False).alias("offline"), F.lit(None).cast("string").alias("error_class"), F.lit(None).cast("string").alias("error"))
-    none = log.select("source_id", F.lit(0).cast("long").alias("n")).limit(0)
-    away = rows.where("classification.accepted AND seq % 4 = 0").groupBy("source_id").agg(F.count("*").alias("n"))
-    return funnels.funnel(log, rows, away, none, none, CLOCK)
+    inserted = out.to_insert.groupBy("source_id").agg(F.count("*").alias("n"))
+    return funnels.funnel(log, rows, out.merged_away, out.already_stored, inserted, CLOCK)
 
 
-@query(f"WITH {_FUNNEL} SELECT source_id, parsed, breaking_pass, topic_pass, accepted, deduped_away, fresh30m, fresh2h, newest_age_minutes, loss_percent FROM funnel")
+@query()
 def g03_funnel(spark, d):
-    return _funnel(spark, d).select("source_id", "parsed", "breaking_pass", "topic_pass", "accepted", "deduped_away", "fresh30m", "fresh2h", "newest_age_minutes", "loss_percent")
+    return _funnel(spark, d).select("source_id", "parsed", "breaking_pass", "topic_pass", "accepted", "deduped_away", "already_stored", "inserted", "fresh30m", "fresh2h", "newest_age_minutes", "loss_percent")
 
 
-@query(f"WITH {_FUNNEL} SELECT source_id, loss_percent FROM funnel WHERE accepted > 0 AND loss_percent > 20")
+@query()
 def g05_alerts(spark, d):
-    return funnels.alerts(_funnel(spark, d), 20).select("source_id", "loss_percent")
+    """Outlets that lose more than the bar's share of what was accepted."""
+    return funnels.alerts(_funnel(spark, d)).select("source_id", "loss_percent")
 
 
 @query(f"WITH {_FUNNEL} SELECT coalesce(source_id, 'TOTAL') AS source_id, sum(parsed)::BIGINT AS parsed, sum(accepted)::BIGINT AS accepted, sum(fresh2h)::BIGINT AS fresh2h FROM funnel GROUP BY ROLLUP (source_id)")
@@ -471,12 +486,52 @@ def d03_dedupe(spark, d):
     return stories.dedupe(scored, empty, views.sources(docs), CLOCK).to_insert
 
 
-@query()
-def d09_losses(spark, d):
-    docs = _docs(spark, d)
-    scored = scoring.accepted(views.classified(docs, CLOCK))
-    out = stories.dedupe(scored, spark.createDataFrame([], stories.ARTICLE_COLUMNS), views.sources(docs), CLOCK)
-    return out.merged_away.withColumn("kind", F.lit("merged_away")).unionByName(out.already_stored.withColumn("kind", F.lit("already_stored")))
+# -- the table on disk -----------------------------------------------------------------------------------
+
+_STORED = "id string, source_id string, canonical_url string, published_at long, breaking_score int, topic_score int, day_bucket long, notified boolean"
+_PRUNE = FIRST + 100 * STEP
+
+
+def _stored(spark, d):
+    """A table that took all articles in two inserts, the second of which was offered everything."""
+    table = store.ArticleStore(spark, new_path(spark, "articles"), _STORED)
+    rows = materialize(_table(spark, d).select(*table.names), "table-rows")
+    table.insert(rows.where(F.col("published_at") < FIRST_SYNC))
+    table.insert(rows)
+    return table, rows
+
+
+def _changed(rows):
+    return rows.where("id < '3'").withColumn("breaking_score", F.lit(99))
+
+
+@query(f"WITH {TABLE} SELECT id, source_id, published_at, CAST(CASE WHEN id < '3' THEN 99 ELSE breaking_score END AS INTEGER) AS breaking_score, topic_score, day_bucket, notified OR id > 'e' AS notified FROM articles WHERE published_at >= {_PRUNE}")
+def s15_keyed_writes(spark, d):
+    """Two inserts, an update, marks and a prune, as the table holds them."""
+    table, rows = _stored(spark, d)
+    table.update(_changed(rows))
+    table.mark_notified(rows.where("id > 'e'"))
+    table.prune(_PRUNE)
+    return table.read().select("id", "source_id", "published_at", "breaking_score", "topic_score", "day_bucket", "notified")
+
+
+@query(f"WITH {TABLE} SELECT {_COLUMNS} FROM articles ORDER BY published_at DESC, id DESC LIMIT 200")
+def q02_stored_latest(spark, d):
+    """The newest 200 from the files that are sure to hold them."""
+    return _stored(spark, d)[0].latest().select(*_KEPT)
+
+
+@query(f"WITH {TABLE} SELECT {_COLUMNS} FROM articles WHERE published_at < {FIRST + 500 * STEP} OR (published_at = {FIRST + 500 * STEP} AND id < '9') ORDER BY published_at DESC, id DESC LIMIT 20")
+def q01_stored_page(spark, d):
+    return _stored(spark, d)[0].timeline(_page_start(spark, d)).select(*_KEPT)
+
+
+@query(f"WITH {TABLE}, c AS (SELECT id, breaking_score, 'delete' AS change FROM articles WHERE id < '3' UNION ALL SELECT id, 99, 'insert' FROM articles WHERE id < '3') SELECT id, CAST(breaking_score AS INTEGER) AS breaking_score, change FROM c")
+def r01_changes(spark, d):
+    """What an update changed, row by row."""
+    table, rows = _stored(spark, d)
+    table.update(_changed(rows))
+    return table.changes(table.versions()[-1]).select("id", "breaking_score", F.col("_change").alias("change"))
 
 
 # -- events as a timeline --------------------------------------------------------------------------------

@@ -7,7 +7,9 @@ from collections import Counter
 import pytest
 
 from newsflow.operators import dedupe
-from newsflow.operators.classify import classify  # noqa: F401
+from newsflow.operators.classify import accepted
+from newsflow.plans import views
+from newsflow.queries import CLOCK, FIRST_SYNC, QUERIES
 
 HOUR = 3_600_000
 WINDOW = 12 * HOUR
@@ -27,8 +29,8 @@ def alike(x, y):
     return j >= 0.55 or c >= 0.75 or (j >= 0.40 and c >= 0.45)
 
 
-def plain(stored, incoming, seen=False):
-    """(inserted, updated, merged away, already stored) of one pass over everything in memory."""
+def pass_over(stored, incoming):
+    """(rows, merged away, already stored) of one pass over everything in memory."""
     table = [dict(r, dups=list(r["duplicate_source_ids"]), new=False, dirty=False) for r in sorted(stored, key=lambda r: (r["published_at"], r["id"]))]
     first_url, first_title = {}, {}
     for r in table:
@@ -63,8 +65,14 @@ def plain(stored, incoming, seen=False):
         loser = n["source_id"] if hit["source_id"] != n["source_id"] else before
         if loser != hit["source_id"]:
             away[loser] += 1
+    return table, dict(away), dict(known)
+
+
+def plain(stored, incoming):
+    """(inserted, updated, merged away, already stored), as ``outcome`` shows them."""
+    table, away, known = pass_over(stored, incoming)
     shown = lambda r: (r["id"], r["source_id"], r["canonical_url"], r["published_at"], r["breaking_score"], r["image_url"], r["notified"], tuple(r["dups"]))
-    return sorted(shown(r) for r in table if r["new"]), sorted(shown(r) for r in table if not r["new"] and r["dirty"]), dict(away), dict(known)
+    return sorted(shown(r) for r in table if r["new"]), sorted(shown(r) for r in table if not r["new"] and r["dirty"]), away, known
 
 
 def entry(i, rng, title, at, url, stored):
@@ -154,3 +162,31 @@ def test_a_sweep_holds_the_window_only():
         out += len([*sweep.take(row)])
         most = max(most, len(sweep.found), len(sweep.by_node))
     assert most <= 26 and out + len([*sweep.end()]) == 5_000
+
+
+def test_second_sync_and_funnel_queries_equal_one_pass(spark, tmp_path):
+    """d11, d09, g03 and g05 against the plain pass, fed by what scoring accepts."""
+    d = str(tmp_path)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 5 < 2")
+    docs.coalesce(2).write.parquet(f"{d}/documents.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    sources = views.sources(docs)
+    scored = accepted(views.classified(docs, CLOCK))
+    incoming = [r.asDict() for r in dedupe.candidates(scored, sources, CLOCK, False).collect()]
+    stored, _, _ = pass_over([], [r for r in incoming if r["published_at"] < FIRST_SYNC])
+    stored = [dict(r, duplicate_source_ids=r["dups"]) for r in stored]
+    table, away, known = pass_over(stored, incoming)
+    assert known and away
+    shown = lambda r, outcome: (outcome, r["id"], r["source_id"], r["title"], r["canonical_url"], r["published_at"], r["breaking_score"], r["topic_score"], ",".join(r["dups"]))
+    want = sorted([shown(r, "insert") for r in table if r["new"]] + [shown(r, "update") for r in table if not r["new"] and r["dirty"]])
+    assert sorted(tuple(r) for r in QUERIES["d11_resync"](spark, d).collect()) == want
+    losses = {(r.kind, r.source_id): r.n for r in QUERIES["d09_losses"](spark, d).collect()}
+    assert losses == {("merged_away", k): n for k, n in away.items()} | {("already_stored", k): n for k, n in known.items()}
+    passed = Counter(r["source_id"] for r in incoming)
+    inserted = Counter(r["source_id"] for r in table if r["new"])
+    funnel = {r.source_id: r for r in QUERIES["g03_funnel"](spark, d).collect()}
+    assert {r.id for r in sources.where("enabled").collect()} == set(funnel)
+    for source, r in funnel.items():
+        assert (r.accepted, r.deduped_away, r.already_stored, r.inserted) == (passed[source], away.get(source, 0), known.get(source, 0), inserted[source])
+        assert r.loss_percent == (r.deduped_away * 100 // r.accepted if r.accepted else 0)
+    assert {(r.source_id, r.loss_percent) for r in QUERIES["g05_alerts"](spark, d).collect()} == {(s, r.loss_percent) for s, r in funnel.items() if r.accepted and r.loss_percent > 60}

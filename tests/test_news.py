@@ -157,7 +157,7 @@ def test_outcomes(spark):
     assert funnel.loss_percent(F.lit(1), F.lit(0)) is not None
 
 
-@pytest.mark.parametrize("name", ["q02_timeline_latest", "k00_classify", "j05_similar_titles", "g03_funnel", "f06_canonical_url"])
+@pytest.mark.parametrize("name", ["q02_timeline_latest", "k00_classify", "j05_similar_titles", "g06_totals", "f06_canonical_url", "s15_keyed_writes", "q02_stored_latest", "q01_stored_page", "r01_changes", "t07_relative_time"])
 def test_queries_equal_sql(spark, name):
     import duckdb
 
