@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Letters that are folded, and what to; both digit sets become ASCII.
 FOLD_FROM = "أإآٱىئةؤ" + "٠١٢٣٤٥٦٧٨٩" + "۰۱۲۳۴۵۶۷۸۹"
-FOLD_TO = "اااايي" + "هو" + "0123456789" * 2
+FOLD_TO = "ااااييهو" + "0123456789" + "0123456789"
 #: Leading clitics, longest alternatives first.
 CLITICS = ("وال", "بال", "كال", "فال", "لل", "ال", "و", "ف", "ب", "ك", "ل")
 #: Labels that outlets put before a headline.

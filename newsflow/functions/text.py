@@ -1,15 +1,9 @@
-"""HTML, URL and string functions as columns.  Only entity decoding needs Python (vectorised)."""
+"""HTML, URL and string functions as columns, all of them Catalyst expressions."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from newsflow.ship import ship_package
 
 TITLE_CHARS, SUMMARY_CHARS, URL_CHARS = 300, 200, 2048
 
@@ -28,8 +22,9 @@ TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content
             "at_custom3", "at_custom4", "traffic_source", "maca", "ref", "referrer", "source", "fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "ncid",
             "smid", "cmpid", "ito", "oc", "xtor", "ceid", "_ga")
 
-ENTITY = re.compile(r"&([^#;&<>\s][^;&<>\s]{1,63});")
-NUMERIC = re.compile(r"&#(x?)([0-9a-fA-F]+);")
+#: References, tags, image sources and the parts of an address.
+ENTITY = r"&([^#;&<>\s][^;&<>\s]{1,63});"
+NUMERIC = r"&#(x?)([0-9a-fA-F]+);"
 TAG = r"<[^>]{0,4000}>"
 IMAGE_SOURCE = r"""(?i)<img[^>]{0,600}?\ssrc\s*=\s*["']([^"']+)["']"""
 URL_PARTS = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/:?#]+)(?::(\d+))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -41,33 +36,38 @@ def trim_all(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
 
 
-def code_point(number: str, radix: int) -> str:
-    try:
-        code = int(number, radix)
-    except ValueError:
-        return ""
-    if not 1 <= code <= 0x10FFFF or 0xD800 <= code <= 0xDFFF:
-        return ""
-    return chr(code)
+def _rewritten(text: Column, reference: str, value) -> Column:
+    """``text`` with each match of ``reference`` replaced by ``value`` of a piece that starts with it: cut before the matches, one look at each piece."""
+    whole = f"(?s)^{reference}(.*)$"
+    groups = reference.count("(") + 1
+    piece = lambda p: F.when(p.rlike(f"^{reference}"), F.concat(value(p), F.regexp_extract(p, whole, groups))).otherwise(p)
+    return F.array_join(F.transform(F.split(text, f"(?={reference})", -1), piece), "")
 
 
-def decode_text(text: str) -> str:
-    """Numeric references, then named ones; unknown ones go."""
-    if "&" not in text:
-        return text
-    text = NUMERIC.sub(lambda m: code_point(m[2], 16 if m[1] else 10), text)
-    return ENTITY.sub(lambda m: BUILT_IN.get(m[1]) or NAMED_ENTITIES.get(m[1], NAMED_ENTITIES.get(m[1].lower(), "")), text)
+def character(code: Column) -> Column:
+    """The character of a code point; empty for what is none."""
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("")
 
 
-def _decode_batch(texts: pd.Series) -> pd.Series:
-    return texts.map(decode_text, na_action="ignore")
+def _numeric(piece: Column) -> Column:
+    part = lambda k: F.regexp_extract(piece, f"^{NUMERIC}", k)
+    digits = F.regexp_replace(part(2), "^0+", "")
+    code = F.when((part(1) == "x") & (F.char_length(digits) <= 6), F.conv(digits, 16, 10).cast("long")).when((part(1) == "") & digits.rlike("^[0-9]{1,7}$"), F.conv(digits, 10, 10).cast("long"))
+    return character(F.coalesce(code, F.lit(0).cast("long")))
+
+
+def _named(piece: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in (NAMED_ENTITIES | BUILT_IN).items() for x in pair])
+    name = F.regexp_extract(piece, f"^{ENTITY}", 1)
+    # the five of XML are known as they are written only
+    loose = F.when(F.lower(name).isin(*BUILT_IN), F.lit(None).cast("string")).otherwise(F.try_element_at(known, F.lower(name)))
+    return F.coalesce(F.try_element_at(known, name), loose, F.lit(""))
 
 
 def decode_entities(text: Column) -> Column:
-    """Entities decoded; texts without an ampersand never leave the JVM's value."""
-    ship_package(SparkSession.active())
-    decode = F.pandas_udf(_decode_batch, T.StringType())
-    return F.when(F.contains(text, F.lit("&")), decode(text)).otherwise(text)
+    """Numeric references, then named ones; unknown ones go."""
+    return F.when(F.contains(text, F.lit("&")), _rewritten(_rewritten(text, NUMERIC, _numeric), ENTITY, _named)).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:

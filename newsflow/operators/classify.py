@@ -39,6 +39,39 @@ def _found(surface: Column, phrases: Sequence[str], whole: bool = True) -> Colum
     return F.filter(_list(phrases), lambda p: F.contains(surface, _padded(p) if whole else p))
 
 
+#: From so many words of one token each a list is looked up token by token.
+MANY_WORDS = 8
+
+
+class _Phrases:
+    """Phrases matched on a surface and its tokens: single words by one hash look-up a token, longer ones by ``contains`` where their first word occurs."""
+
+    def __init__(self, phrases: Sequence[str]):
+        self.phrases = list(phrases)
+        self.words = [p for p in self.phrases if " " not in p]
+        self.longer = [p for p in self.phrases if " " in p]
+
+    def _longer(self, surface: Column, tokens: Column) -> Column:
+        if not self.longer:
+            return _list(())
+        firsts = sorted({p.split(" ")[0] for p in self.longer})
+        return F.when(F.exists(tokens, lambda t: t.isin(*firsts)), _found(surface, self.longer)).otherwise(_list(()))
+
+    def found(self, surface: Column, tokens: Column) -> Column:
+        """The phrases that a surface has, each once, in no order."""
+        if len(self.words) < MANY_WORDS:
+            return _found(surface, self.phrases)
+        words = F.array_distinct(F.filter(tokens, lambda t: t.isin(*self.words)))
+        return F.concat(words, self._longer(surface, tokens)) if self.longer else words
+
+    def first(self, surface: Column, tokens: Column) -> Column:
+        """The first of the list that a surface has, or null."""
+        if len(self.words) < MANY_WORDS:
+            return F.try_element_at(_found(surface, self.phrases), F.lit(1))
+        places = F.transform(self.found(surface, tokens), lambda p: F.array_position(_list(self.phrases), p))
+        return F.try_element_at(_list(self.phrases), F.array_min(places).cast("int"))
+
+
 def without_idioms(surface: Column, idioms: Sequence[str]) -> Column:
     return F.aggregate(_list(idioms), surface, lambda text, idiom: F.replace(text, _padded(idiom), F.lit(" ")))
 
@@ -54,21 +87,23 @@ def evidence(articles: DataFrame, vocabulary: Vocabulary, now_ms: int) -> DataFr
         "_text": text_surface(F.col("title"), F.col("summary"), F.col("categories")),
         "_paths": path_surface(F.col("url"), F.col("categories")),
         "_opening": _padded(stemmed(F.col("title")))})
-    shown = shown.withColumn("_urgent", without_idioms(surface, v.breaking_exclusions))
+    shown = shown.withColumns({"_urgent": without_idioms(surface, v.breaking_exclusions), "_words": F.split(F.trim(surface), " ")})
+    words = F.col("_words")
+    count = lambda phrases: F.size(_Phrases(phrases).found(surface, words))
     age = F.greatest(F.lit(now_ms) - F.col("published_at"), F.lit(0))
     signs = {
         "marked": F.size(_found(F.col("_urgent"), v.breaking)) > 0,
         "band": F.when(age <= FRESH_30M, 1).when(age <= FRESH_2H, 2).when(age <= FRESH_6H, 3).otherwise(0),
         "path_marked": (F.size(_found(paths, v.breaking_paths, False)) > 0) | (F.size(_found(F.col("_urgent"), v.breaking_paths)) > 0),
-        "event_verb": F.try_element_at(_found(surface, v.event_verbs), F.lit(1)),
-        "politics": F.size(_found(surface, v.politics)), "economy": F.size(_found(surface, v.economy)),
+        "event_verb": _Phrases(v.event_verbs).first(surface, words),
+        "politics": count(v.politics), "economy": count(v.economy),
         "topic_path": F.size(_found(paths, v.topic_paths, False)) > 0,
-        "negative": F.size(_found(surface, v.negative)), "negative_paths": F.size(_found(paths, v.negative_paths, False)),
+        "negative": count(v.negative), "negative_paths": F.size(_found(paths, v.negative_paths, False)),
         "question": trim_all(F.col("title")).rlike("[؟?]$"),
         "opening": F.try_element_at(F.filter(_list(v.analysis_prefixes), lambda p: F.startswith(F.col("_opening"), _padded(p))), F.lit(1))}
     # one row in, one out: what is filtered later on scores can't be pushed below, so the evidence is found once a row
     once = F.explode(F.array(F.struct(*[c.alias(k) for k, c in signs.items()])))
-    return shown.select("*", once.alias("signs")).drop("_text", "_paths", "_opening", "_urgent")
+    return shown.select("*", once.alias("signs")).drop("_text", "_paths", "_opening", "_urgent", "_words")
 
 
 def weights_column(weights: Weights) -> Column:
@@ -90,6 +125,7 @@ def score(shown: DataFrame, weights: Column) -> DataFrame:
     explicit = s["marked"] | s["path_marked"]
     event = explicit | s["event_verb"].isNotNull()
     put = lambda text, value: F.concat(F.lit(text), value.cast("string"))
+    # fixed values: the wording of signals
     signals = F.filter(F.array(
         F.when(s["marked"], put("breaking-keyword +", w["breaking_keyword"])),
         F.when(s["band"] > 0, F.concat(F.element_at(F.array(F.lit("fresh-30m +"), F.lit("fresh-2h +"), F.lit("fresh-6h +")), F.greatest(s["band"], F.lit(1))), band.cast("string"))),

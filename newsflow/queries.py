@@ -167,7 +167,43 @@ def f07_stable_hash(spark, d):
     return read(spark, d, "pages").select("page_id", text.stable_hash(F.col("url")).alias("hash"), text.article_id(F.col("url")).alias("id"))
 
 
-@query()
+_SQL_BLANK = "\\t\\n\\x0B\\f\\r "
+_SQL_SPACE = f"[{_SQL_BLANK}\\x1C-\\x1F\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+"
+
+
+def _sql_trim(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '^{_SQL_SPACE}', ''), '{_SQL_SPACE}$', '')"
+
+
+def _sql_references(c: str, pattern: str, value: str) -> str:
+    """``c`` with each match m of a pattern replaced by ``value``: pieces between the matches and values, joined."""
+    pairs = f"list_zip(string_split_regex({c}, '{pattern}'), regexp_extract_all({c}, '{pattern}'))"
+    return f"CASE WHEN {c} IS NULL THEN NULL ELSE array_to_string(list_transform(list_transform({pairs}, lambda z: {{'t': z[1], 'm': z[2]}}), lambda z: z.t || coalesce({value}, '')), '') END"
+
+
+def _sql_decode(c: str) -> str:
+    digits = "regexp_extract(z.m, '([0-9a-fA-F]+);', 1)"
+    number = f"CASE WHEN z.m LIKE '&#x%' THEN CASE WHEN length(ltrim({digits}, '0')) BETWEEN 1 AND 6 THEN CAST('0x' || ltrim({digits}, '0') AS INTEGER) ELSE 0 END ELSE CASE WHEN regexp_matches(ltrim({digits}, '0'), '^[0-9]{{1,7}}$') THEN CAST(ltrim({digits}, '0') AS INTEGER) ELSE 0 END END"
+    numeric = _sql_references(c, "&#x?[0-9a-fA-F]+;", f"CASE WHEN z.m IS NOT NULL AND {number} BETWEEN 1 AND 1114111 AND NOT {number} BETWEEN 55296 AND 57343 THEN chr({number}) END")
+    return numeric
+
+
+def _sql_named(c: str) -> str:
+    quoted = lambda v: "'" + v.replace("'", "''") + "'"
+    table = lambda names: "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in names.items()) + "}"
+    name = "substr(z.m, 2, length(z.m) - 2)"
+    value = f"CASE WHEN z.m IS NOT NULL THEN coalesce({table(text.BUILT_IN | text.NAMED_ENTITIES)}[{name}], {table(text.NAMED_ENTITIES)}[lower({name})], '') END"
+    return _sql_references(c, f"&[^#;&<>{_SQL_BLANK}][^;&<>{_SQL_BLANK}]{{1,63}};", value)
+
+
+_SQL_TAG = "<" + "[^>]{0,1000}" * 4 + ">"
+_SQL_IMAGE = r"""(?i)<img[^>]{0,600}?[\t\n\x0B\f\r ]src[\t\n\x0B\f\r ]*=[\t\n\x0B\f\r ]*["'']([^"'']+)["'']"""
+
+
+@query(f"""WITH a AS (SELECT page_id, regexp_replace(html, '{_SQL_TAG}', ' ', 'g') AS t, regexp_extract(html, '{_SQL_IMAGE}', 1) AS i FROM pages),
+b AS (SELECT page_id, {_sql_decode('t')} AS t, {_sql_decode('i')} AS i FROM a), c AS (SELECT page_id, {_sql_named('t')} AS t, {_sql_named('i')} AS i FROM b),
+d AS (SELECT page_id, {_sql_decode('t')} AS t, {_sql_trim('i')} AS i FROM c), e AS (SELECT page_id, {_sql_named('t')} AS t, i FROM d)
+SELECT page_id, nullif({_sql_trim(f"regexp_replace(t, '[{_SQL_BLANK}]+', ' ', 'g')")}, '') AS plain, CASE WHEN starts_with(lower(i), 'http') THEN i END AS image FROM e""")
 def f02_plain_text(spark, d):
     return read(spark, d, "pages").select("page_id", text.plain_text(F.col("html")).alias("plain"), text.first_image(F.col("html")).alias("image"))
 

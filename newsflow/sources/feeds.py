@@ -30,10 +30,29 @@ _TOKEN = re.compile(
     r"(?P<skip><!--(?:.*?-->|.*\Z)|<\?[^>]*(?:>|\Z))|<!\[CDATA\[(?:(?P<cdata>.*?)\]\]>|(?P<cut>.*\Z))|(?P<decl><![^>]*(?:>|\Z))"
     r"|</(?:(?P<end>[^>]*)>|(?P<cut2>[^>]*\Z))|<(?:(?P<start>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<cut3>.*\Z))|(?P<text>[^<]+)(?=<)", re.S)
 _ATTRIBUTE = re.compile(r"\s*([^\s=]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
+_ENTITY, _NUMERIC = re.compile(text.ENTITY), re.compile(text.NUMERIC)
 _REFERENCE = re.compile(r"&([^;&]{0,9});")
 _DOCTYPE, _ELEMENT = re.compile("<!DOCTYPE", re.I), re.compile("<[A-Za-z]")
 
 
+def code_point(number: str, radix: int) -> str:
+    try:
+        code = int(number, radix)
+    except ValueError:
+        return ""
+    if not 1 <= code <= 0x10FFFF or 0xD800 <= code <= 0xDFFF:
+        return ""
+    return chr(code)
+
+
+def decode_text(raw: str) -> str:
+    """Numeric references, then named ones; unknown ones go."""
+    if "&" not in raw:
+        return raw
+    raw = _NUMERIC.sub(lambda m: code_point(m[2], 16 if m[1] else 10), raw)
+    return _ENTITY.sub(lambda m: text.BUILT_IN.get(m[1]) or text.NAMED_ENTITIES.get(m[1], text.NAMED_ENTITIES.get(m[1].lower(), "")), raw)
+
+
 def without_doctype(body: str) -> str:
     """Document type declarations before the first element go, internal subsets and all: nothing is ever expanded."""
     for _ in range(4):
@@ -55,7 +74,7 @@ def without_doctype(body: str) -> str:
 
 def sanitized(body: str) -> str:
     """Named entities that XML lacks become characters; unknown ones go."""
-    return text.ENTITY.sub(lambda m: m[0] if m[1] in text.BUILT_IN else text.NAMED_ENTITIES.get(m[1], text.NAMED_ENTITIES.get(m[1].lower(), "")), without_doctype(body))
+    return _ENTITY.sub(lambda m: m[0] if m[1] in text.BUILT_IN else text.NAMED_ENTITIES.get(m[1], text.NAMED_ENTITIES.get(m[1].lower(), "")), without_doctype(body))
 
 
 def _references(value: str) -> str:
@@ -65,7 +84,7 @@ def _references(value: str) -> str:
             return text.BUILT_IN[name]
         if name[:1] == "#":
             hexadecimal = name[1:2] in ("x", "X")
-            return text.code_point(name[2:] if hexadecimal else name[1:], 16 if hexadecimal else 10) or m[0]
+            return code_point(name[2:] if hexadecimal else name[1:], 16 if hexadecimal else 10) or m[0]
         return m[0]
 
     return _REFERENCE.sub(one, value)
@@ -164,7 +183,7 @@ def _item(stream: Iterator[tuple], container: str) -> dict:
 
 def first_image(html: str | None) -> str | None:
     found = re.search(text.IMAGE_SOURCE, html or "")
-    url = text.decode_text(found[1]).strip() if found else ""
+    url = decode_text(found[1]).strip() if found else ""
     return url if url.lower().startswith("http") else None
 
 

@@ -75,3 +75,19 @@ def test_similarity(one):
     assert one(similarity.text_cosine, "", "x") == 0.0
     words = lambda c: F.split(c, " ")
     assert one(lambda a, b: similarity.jaccard(words(a), words(b)), "a b c", "b c d") == 0.5
+
+
+def test_entities_equal_the_feed_readers_own_decoding(spark):
+    """The column against the reader's plain function, and no Python in the plan."""
+    import random
+
+    from newsflow.sources import feeds
+
+    rng = random.Random(3)
+    parts = ["&", "#", "x", "amp;", "&amp;", "&AMP;", "&nbsp;", "&#65;", "&#x41;", "&#x1F600;", "&#55296;", "&#0065;", "&#00;", "&#x110000;", "&#99999999999;", "&#12ab;", ";", "a", " ", "&Dagger;",
+             "&DAGGER;", "&shy;", "&zz;", "&a b;", "é", "😀", "&" + "y" * 64 + ";", "&" + "y" * 65 + ";", "\n", "<", ">", "&Eacute;", "&lt;", "&#38;"]
+    rows = [("".join(rng.choice(parts) for _ in range(rng.randint(0, 12))),) for _ in range(4_000)] + [(None,), ("",), ("&amp;" * 5_000,)]
+    out = spark.createDataFrame(rows, "t string").select("t", text.decode_entities(F.col("t")).alias("d"))
+    assert "Python" not in out._jdf.queryExecution().toString()
+    for r in out.collect():
+        assert r.d == (None if r.t is None else feeds.decode_text(r.t)), r.t

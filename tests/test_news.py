@@ -41,6 +41,20 @@ def test_scoring(spark):
     assert sport["topic_score"] == -4 - 6 and sport["breaking_score"] == 5 - 3 - 3
 
 
+def test_phrases_equal_contains_on_arabic_rows(spark):
+    """Look-ups by token against one ``contains`` a phrase, over rows made of the default vocabulary."""
+    v = Vocabulary().prepared()
+    rng = random.Random(9)
+    pool = [*v.event_verbs, *v.politics, *v.economy, *v.negative, *v.breaking, *v.breaking_exclusions, "كلمة", "word", "في"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 14))) for _ in range(600)] + [""]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("s", F.concat(F.lit(" "), "t", F.lit(" "))).withColumn("w", F.split(F.trim("s"), " "))
+    for phrases in (v.event_verbs, v.politics, v.economy, v.negative, v.breaking):
+        p = scoring._Phrases(phrases)
+        out = frame.select(scoring._found(F.col("s"), phrases).alias("a"), p.found(F.col("s"), F.col("w")).alias("b"), p.first(F.col("s"), F.col("w")).alias("first")).collect()
+        assert all(sorted(r.a) == sorted(r.b) and r.first == (r.a[0] if r.a else None) for r in out)
+        assert any(len(r.a) > 1 for r in out)
+
+
 def test_sweep(spark):
     rows = spark.createDataFrame([("s", "أعلن رئيس حكومة", None, "https://x/politics/1", NOW - HOUR, None, [], 0)], RAW)
     got = {r.label: r.accepted for r in scoring.sweep(rows, NOW, [Weights(), Weights(min_topic=9)]).collect()}
