@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.functions import arabic, dates, text
+from newsflow.functions import arabic, dates, similarity, text
 from newsflow.operators import classify as scoring
 from newsflow.operators import dedupe as stories
 from newsflow.operators import funnel as funnels
 from newsflow.operators import store
 from newsflow.plans import views
 from newsflow.plans.views import FIRST, STEP, read
-from newsflow.sources.vocabulary import Weights
+from newsflow.streaming import live
+from newsflow.sources.vocabulary import Vocabulary, Weights
 from newsflow.tables import materialize, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,13 +92,13 @@ def _sql_hits(surface: str, phrases, whole: bool = True) -> str:
     return f"len(list_filter({_sql_list(phrases)}, lambda p: contains({surface}, {pad})))"
 
 
-def _sql_classified(w: Weights = views.WEIGHTS) -> str:
+def _sql_classified(w: Weights = views.WEIGHTS, V: Vocabulary = V, articles: str = ARTICLES) -> str:
     surface = f"' ' || array_to_string(list_transform({_sql_tokens(_sql_normalize('concat_ws(chr(32), title, summary, lang)'))}, lambda t: {_sql_stem('t')}), ' ') || ' '"
     opening = f"' ' || array_to_string(list_transform({_sql_tokens(_sql_normalize('title'))}, lambda t: {_sql_stem('t')}), ' ') || ' '"
     urgent = "surface"
     for idiom in V.breaking_exclusions:
         urgent = f"replace({urgent}, ' {idiom} ', ' ')"
-    return f"""{ARTICLES},
+    return f"""{articles},
 shown AS (SELECT *, {surface} AS surface, lower(url) || ' ' || lower(lang) AS paths, {opening} AS opening, greatest({CLOCK} - published_at, 0) AS age FROM raw),
 signs AS (SELECT *, {_sql_hits('urgent', V.breaking)} > 0 AS marked, {_sql_hits('paths', V.breaking_paths, False)} > 0 OR {_sql_hits('urgent', V.breaking_paths)} > 0 AS path_marked,
     {_sql_hits('surface', V.event_verbs)} > 0 AS verb, {_sql_hits('surface', V.politics)} + {_sql_hits('surface', V.economy)} AS hits,
@@ -227,6 +228,16 @@ def f11_list_codec_whole(spark, d):
     return _docs(spark, d).select("doc_id", F.array_join(text.decode_list(text.encode_list(values)), "|").alias("lines"))
 
 
+@query("""SELECT doc_id, CASE WHEN source IS NULL OR lang IS NULL THEN NULL WHEN doc_id % 2 = 0 THEN 'https://www.' || source || '.example.com/' || lang || '/story/' || doc_id ELSE 'https://news.google.com/rss/articles/' || 'plain' || doc_id END AS url FROM documents""")
+def f14_embedded_url(spark, d):
+    """Aggregator links made of the documents' addresses: even ones hold theirs, odd ones are opaque."""
+    target = F.concat(F.lit("https://www."), "source", F.lit(".example.com/"), "lang", F.lit("/story/"), F.col("doc_id").cast("string"))
+    packed = F.concat(F.unhex(F.lit("0813")), F.encode(F.lit('"'), "UTF-8"), F.encode(target, "UTF-8"), F.unhex(F.lit("D20100")))
+    token = F.regexp_replace(F.translate(F.base64(packed), "+/", "-_"), "[=\\r\\n]", "")
+    link = F.concat(F.lit("https://news.google.com/rss/articles/"), F.when(F.col("doc_id") % 2 == 0, token).otherwise(F.concat(F.lit("plain"), F.col("doc_id").cast("string"))))
+    return _docs(spark, d).select("doc_id", text.embedded_url(F.when(target.isNotNull(), link)).alias("url"))
+
+
 @query("SELECT doc_id, CASE WHEN n = 1 THEN 'خبر جديد' WHEN n = 2 THEN 'خبران جديدان' WHEN n <= 10 THEN n || ' أخبار جديدة' ELSE n || ' خبرًا جديدًا' END AS label FROM (SELECT doc_id, doc_id % 15 + 1 AS n FROM documents)")
 def f12_count_label(spark, d):
     return _docs(spark, d).select("doc_id", text.count_label(F.col("doc_id") % 15 + 1).alias("label"))
@@ -240,6 +251,16 @@ def a01_normalize(spark, d):
     return _articles(spark, d).select("seq", arabic.normalize(t).alias("normalized"), F.array_join(arabic.tokens(t), " ").alias("tokens"), arabic.stemmed(t).alias("stemmed"), arabic.for_dedupe(t).alias("for_dedupe"))
 
 
+_ARABIC = ARTICLES.replace("raw AS (", "latin AS (", 1) + f""",
+raw AS (SELECT * REPLACE (array_to_string(list_transform(string_split(title, ' '), lambda w, i: ({_sql_list(views.ARABIC_WORDS)})[((length(w) * 37 + (i - 1) * 101 + seq * 11) % {len(views.ARABIC_WORDS)}) + 1])[1:12], ' ') AS title) FROM latin)"""
+
+
+@query(f"WITH {_ARABIC}, n AS (SELECT seq, {_sql_normalize('title')} AS normalized FROM raw) SELECT seq, normalized, array_to_string({_sql_tokens('normalized')}, ' ') AS tokens, array_to_string(list_transform({_sql_tokens('normalized')}, lambda t: {_sql_stem('t')}), ' ') AS stemmed, array_to_string({_sql_dedupe_tokens('normalized')}, ' ') AS for_dedupe FROM n")
+def a02_arabic_normalize(spark, d):
+    t = F.col("title")
+    return views.arabic_articles(_docs(spark, d)).select("seq", arabic.normalize(t).alias("normalized"), F.array_join(arabic.tokens(t), " ").alias("tokens"), arabic.stemmed(t).alias("stemmed"), arabic.for_dedupe(t).alias("for_dedupe"))
+
+
 # -- dates -----------------------------------------------------------------------------------------------
 
 @query("SELECT event_id, epoch_ms(date_trunc('second', ts)) AS iso, epoch_ms(date_trunc('second', ts)) - 10800000 AS mail, epoch_ms(date_trunc('minute', ts)) AS short, CAST(NULL AS BIGINT) AS bad FROM events")
@@ -279,6 +300,14 @@ def k00_classify(spark, d):
     return views.classified(_docs(spark, d), CLOCK).select("seq", f"{c}.breaking_score", f"{c}.topic_score", f"{c}.has_event_signal", f"{c}.accepted")
 
 
+@query(f"WITH {_sql_classified(Weights(), Vocabulary().prepared(), _ARABIC)} SELECT seq, CAST(breaking_score AS INTEGER) AS breaking_score, CAST(topic_score AS INTEGER) AS topic_score, event AS has_event_signal, breaking_pass, topic_pass, accepted FROM classified")
+def k01_arabic_classify(spark, d):
+    """Arabic titles by the default vocabulary and weights."""
+    c = "classification"
+    rows = scoring.classify(views.arabic_articles(_docs(spark, d)), CLOCK)
+    return rows.select("seq", f"{c}.breaking_score", f"{c}.topic_score", f"{c}.has_event_signal", f"{c}.breaking_pass", f"{c}.topic_pass", f"{c}.accepted")
+
+
 _W = views.WEIGHTS
 
 
@@ -522,6 +551,22 @@ def d03_dedupe(spark, d):
     return stories.dedupe(scored, empty, views.sources(docs), CLOCK).to_insert
 
 
+@query(f"WITH {TABLE} SELECT {_COLUMNS} FROM articles WHERE published_at BETWEEN {CLOCK - 172_800_000} AND {CLOCK + 3_600_000}")
+def r03_timely(spark, d):
+    return live.timely(_table(spark, d), CLOCK).select(*_KEPT)
+
+
+@query(f"""WITH {ARTICLES}, t AS (SELECT seq, title, left(title, 60) AS half FROM raw),
+g AS (SELECT seq, gram, count(*) AS c FROM (SELECT seq, unnest({_sql_grams('title')}) AS gram FROM t) GROUP BY seq, gram),
+h AS (SELECT seq, gram, count(*) AS c FROM (SELECT seq, unnest({_sql_grams('half')}) AS gram FROM t) GROUP BY seq, gram),
+x AS (SELECT seq, sum(g.c * h.c) AS dot FROM g JOIN h USING (seq, gram) GROUP BY seq)
+SELECT t.seq, round(CASE WHEN trim(title) = '' OR trim(half) = '' THEN 0.0 ELSE coalesce(dot, 0) / sqrt((SELECT sum(c * c) FROM g WHERE g.seq = t.seq)) / sqrt((SELECT sum(c * c) FROM h WHERE h.seq = t.seq)) END, 9) AS cosine
+FROM t LEFT JOIN x USING (seq)""")
+def m05_text_cosine(spark, d):
+    """Each title with its own first half."""
+    return _articles(spark, d).select("seq", F.round(similarity.text_cosine(F.col("title"), F.left("title", F.lit(60))), 9).alias("cosine"))
+
+
 # -- the table on disk -----------------------------------------------------------------------------------
 
 _STORED = "id string, source_id string, canonical_url string, published_at long, breaking_score int, topic_score int, day_bucket long, notified boolean"
