@@ -13,12 +13,14 @@ import socket
 import time
 import urllib.error
 import urllib.request
+import zlib
 from collections.abc import Callable, Iterator
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from newsflow.ship import ship_package
 from newsflow.tables import few
@@ -197,6 +199,53 @@ class _Reader(DataSourceReader):
             yield fetch(partition.source_id, partition.url, adapter=partition.adapter)
 
 
+class _Host(InputPartition):
+    """The due sources of one host: fetched one after the other, beside those of other hosts."""
+
+    def __init__(self, sources: list[tuple]):
+        self.sources = sources
+
+
+#: Seconds between two fetches of a source, and between two sources of a host.
+INTERVAL, HOST_PAUSE = 900, 1
+
+
+def due_ticks(sources: list[dict], now: float, interval: float = INTERVAL) -> dict[str, int]:
+    """By source, the number of its last due time; sources are spread over their interval by their id."""
+    out = {}
+    for s in sources:
+        every = float(s.get("interval_s", interval))
+        out[s["id"]] = int((now - zlib.crc32(s["id"].encode()) % max(1, int(every))) // every)
+    return out
+
+
+class _StreamReader(DataSourceStreamReader):
+    """Offsets are the sources' ticks: a restart goes on from the ticks that were committed and fetches nothing again that is not due."""
+
+    def __init__(self, options):
+        self.sources = json.loads(options.get("sources", "[]"))
+        self.interval, self.pause = float(options.get("interval_s", INTERVAL)), float(options.get("host_pause_s", HOST_PAUSE))
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        return due_ticks(self.sources, time.time(), self.interval)
+
+    def partitions(self, start: dict, end: dict):
+        hosts: dict[str, list[tuple]] = {}
+        for s in self.sources:
+            if end.get(s["id"], -1) > start.get(s["id"], -1):
+                hosts.setdefault(urlsplit(s["url"]).netloc, []).append((s["id"], s["url"], s.get("adapter")))
+        return [_Host(sources) for sources in hosts.values()] or [_Host([])]
+
+    def read(self, partition) -> Iterator[tuple]:
+        for k, (source_id, url, adapter) in enumerate(partition.sources):
+            if k:
+                time.sleep(self.pause)
+            yield fetch(source_id, url, adapter=adapter)
+
+
 class NewsFeeds(DataSource):
     @classmethod
     def name(cls):
@@ -208,6 +257,9 @@ class NewsFeeds(DataSource):
     def reader(self, schema):
         return _Reader(self.options)
 
+    def streamReader(self, schema):
+        return _StreamReader(self.options)
+
 
 def read_http(spark: SparkSession, sources: list[dict]) -> DataFrame:
     ship_package(spark)
@@ -215,6 +267,13 @@ def read_http(spark: SparkSession, sources: list[dict]) -> DataFrame:
     return spark.read.format("newsfeeds").option("sources", json.dumps(sources)).load()
 
 
+def stream_http(spark: SparkSession, sources: list[dict], interval_s: float = INTERVAL, host_pause_s: float = HOST_PAUSE) -> DataFrame:
+    """A stream of fetches: each source once an interval (its own ``interval_s``, where it has one)."""
+    ship_package(spark)
+    spark.dataSource.register(NewsFeeds)
+    return spark.readStream.format("newsfeeds").option("sources", json.dumps(sources)).option("interval_s", str(interval_s)).option("host_pause_s", str(host_pause_s)).load()
+
+
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """Bodies from files named ``<source_id>.xml`` or ``.html``: the offline form of the source."""
     files = spark.read.text(folder, wholetext=True).withColumn("path", F.input_file_name())

@@ -3,6 +3,7 @@
 import errno
 import http.server
 import io
+import json
 import socket
 import threading
 import urllib.error
@@ -141,6 +142,35 @@ def test_only_a_lack_of_network_is_offline(spark, site):
     assert state.state == "all_failed"
 
 
+def test_sources_are_due_once_an_interval():
+    sources = [{"id": "a"}, {"id": "b"}, {"id": "c", "interval_s": 60}]
+    at = 1_000_000.0
+    ticks = [feed_source.due_ticks(sources, at + k * 10, 600) for k in range(61)]
+    assert [len({t[s] for t in ticks}) for s in "abc"] == [2, 2, 11]
+    reader = feed_source._StreamReader({"sources": json.dumps([{"id": i, "url": u} for i, u in (("a", "https://h/1"), ("b", "https://h/2"), ("c", "https://k/3"))])})
+    whole = reader.partitions({}, {"a": 1, "b": 1, "c": 1})
+    assert sorted(len(p.sources) for p in whole) == [1, 2]  # a task a host
+    assert [p.sources for p in reader.partitions({"a": 1, "b": 1, "c": 1}, {"a": 1, "b": 2, "c": 1})] == [[("b", "https://h/2", None)]]
+
+
+def test_a_restarted_stream_fetches_nothing_twice(spark, site, tmp_path):
+    _Site.seen.clear()
+    sources = [{"id": "a", "url": f"{site}/items", "adapter": "rss"}, {"id": "b", "url": f"{site}/none2", "adapter": "html"}]
+    got = []
+
+    def run(interval, checkpoint, seconds=0):
+        q = feed_source.stream_http(spark, sources, interval, 0).writeStream.foreachBatch(lambda df, n: got.extend((r.source_id, r.http_status) for r in df.collect())).option("checkpointLocation", f"{tmp_path}/{checkpoint}").start()
+        q.processAllAvailable() if not seconds else q.awaitTermination(seconds)
+        q.stop()
+
+    run(10**8, "one")
+    assert sorted(got) == [("a", 200), ("b", 200)] and sorted(_Site.seen) == ["/items", "/none2"]
+    run(10**8, "one")
+    assert len(got) == 2 and len(_Site.seen) == 2
+    run(1, "two", 12)
+    assert got.count(("a", 200)) >= 3
+
+
 def test_redirects_are_followed_once_each(spark, site):
     _Site.seen.clear()
     links = [f"{site}/to/1", f"{site}/to/1", f"{site}/gone", f"{site}/stay", "https://elsewhere/x", "http://127.0.0.1:9/to/2", None]
