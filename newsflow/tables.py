@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/newsflow/{label}-{uuid.uuid4().hex}"
+_scratch: ContextVar[str] = ContextVar("scratch", default="")
+
+
+def new_path(spark: SparkSession, label: str, lasting: bool = False) -> str:
+    folder = "" if lasting else _scratch.get()
+    return f"{shared_dir(spark)}/newsflow/{folder}{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that are written inside go at the end; what is to stay is written with ``lasting=True`` (or elsewhere) before that."""
+    name = f"scratch-{uuid.uuid4().hex}/"
+    token = _scratch.set(name)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/newsflow/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of an Arrow batch while an intermediate table is written: a row may hold a whole text, and every task holds batches on both sides.
@@ -58,10 +76,10 @@ def small_batches(spark: SparkSession, most: int = ARROW_ROWS) -> Iterator[None]
         spark.conf.set(_ARROW, before)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = new_path(spark, label)
+    path = new_path(spark, label, lasting)
     with small_batches(spark):
         df.write.parquet(path)
     return spark.read.schema(_nullable(df.schema)).parquet(path)

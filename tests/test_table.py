@@ -163,3 +163,18 @@ def test_one_of_two_syncs_runs_and_a_dead_owner_is_fenced_off(spark, articles):
     assert other.append(frame(spark, (501, "x", NOW)), base) == base["version"] + 1
     other.release()
     assert ids(articles.read().where("id >= 'id05'")) == ["id0501"]
+
+
+def test_scratch_tables_go_and_lasting_ones_stay(spark):
+    from newsflow.tables import materialize, scratch
+
+    with scratch(spark):
+        one = materialize(spark.range(3), "one")
+        kept = materialize(one.where("id > 0"), "kept", lasting=True)
+        with scratch(spark):
+            two = materialize(one, "two")
+        assert one.count() == 3
+        inner = two.inputFiles()
+    assert kept.count() == 2
+    fs = table._Folder(spark, kept.inputFiles()[0])
+    assert not any(fs.fs.exists(fs.at(f)) for f in inner + one.inputFiles())
