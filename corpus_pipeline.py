@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from newsflow.llm import decontaminate, language_id, ngram_join, packing, secret_scan
 from newsflow.llm.queries import tokenizer_path
-from newsflow.llm.runtime import free_name, materialize, without_ids
+from newsflow.llm.runtime import free_name, materialize, scratch, without_ids
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences: a row per piece of a document, with its place."""
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=1)
+    # executors hold what the stages before took, so workers keep fewer encoded words than the operator by itself
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, cache_entries=200_000)
 
 
 STAGES = [
@@ -60,8 +61,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):  # what a stage writes on its way goes once its result is written
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{k}", lasting=True)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,6 +16,8 @@ from itertools import islice
 
 import numpy as np
 
+from newsflow.llm.runtime import kept
+
 _LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
 #: A line break between characters that are no spaces is a pre-token of its own.
 _LONE_BREAK = re.compile(r"(?<=\S)\n(?=\S)")
@@ -40,14 +42,20 @@ _SPELLED = str.maketrans(_byte_letters())
 _encoders: dict[str, "CachedEncoder"] = {}
 
 
-def encoder(path: str) -> "CachedEncoder":
-    """One encoder per process and file; Python workers are reused between tasks."""
+kept["encoding"] = _encoders.clear
+
+
+def encoder(path: str, entries: int = CACHE_ENTRIES) -> "CachedEncoder":
+    """One encoder per process and file; Python workers are reused between tasks.  ``entries`` bounds its cache."""
     if path not in _encoders:
         _encoders[path] = CachedEncoder(path)
+    _encoders[path].entries = entries
     return _encoders[path]
 
 
 class CachedEncoder:
+    entries = CACHE_ENTRIES
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -99,7 +107,7 @@ class CachedEncoder:
             return self._encode([t or "" for t in texts])
         inner, first = self.inner, self.first
         for known in (inner, first):
-            if len(known) > CACHE_ENTRIES:
+            if len(known) > self.entries:
                 known.clear()
         led = self.cut == "before space"
         out = []

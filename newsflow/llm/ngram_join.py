@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsflow.llm.runtime import components, materialize, n_parts, release_memory, ship_package
+from newsflow.llm.runtime import components, drop_kept, materialize, n_parts, release_memory, ship_package
 from newsflow.llm.shingles import drop_powers, mix, shingle_sets
 
 COLD = 8
@@ -217,6 +217,7 @@ def _sign(words: int, parts: int, num: int, den: int, bits: int):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SIGNED, strict=True)], schema=_SIGNED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         bands = Bands(num, den)
         sigs, owners, entries, held, seen = [], [], [], 0, set()
         for whole in batches:

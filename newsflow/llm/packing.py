@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsflow.llm.encoding import encoder
-from newsflow.llm.runtime import materialize, release_memory, ship_package
+from newsflow.llm.encoding import CACHE_ENTRIES, IDLE_ENTRIES, encoder
+from newsflow.llm.runtime import drop_kept, materialize, release_memory, ship_package
 
 CAPACITY = 4096
 BLOCK_PIECES = 2048
@@ -91,11 +91,12 @@ def evolve(lengths: list[int], population: list[Bins], capacity: int, generation
     return population[0]
 
 
-def _pieces(path: str, end_id: int, capacity: int):
+def _pieces(path: str, end_id: int, capacity: int, entries: int):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        drop_kept("encoding")
+        enc = encoder(path, entries)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
@@ -108,17 +109,17 @@ def _pieces(path: str, end_id: int, capacity: int):
                         for column, v in zip(out, (d, k, s, e - s, zlib.crc32(raw[4 * s:4 * e])), strict=True):
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-        enc.shrink()
+        enc.shrink(min(entries, IDLE_ENTRIES))
         release_memory()
 
     return run
 
 
-def cut_pieces(documents: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
+def cut_pieces(documents: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, rid): one row per piece, written once."""
     ship_package(documents.sparkSession)
     rows = documents.select("doc_id", "text").mapInArrow(
-        _pieces(tokenizer_path, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+        _pieces(tokenizer_path, end_id, capacity, cache_entries), "doc_id long, piece int, start long, length long, ids_crc32 long")
     return materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "pieces")
 
 
@@ -214,5 +215,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_
     return pieces.join(placed, "rid").drop("rid")
 
 
-def pack_documents(documents: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, **how) -> DataFrame:
-    return pack(cut_pieces(documents, tokenizer_path, end_id, capacity), capacity, **how)
+def pack_documents(documents: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, cache_entries: int = CACHE_ENTRIES, **how) -> DataFrame:
+    return pack(cut_pieces(documents, tokenizer_path, end_id, capacity, cache_entries), capacity, **how)

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsflow.ship import ship_package
-from newsflow.tables import components, materialize, n_parts, new_path, shared_dir, small_batches
+from newsflow.tables import components, materialize, n_parts, new_path, scratch, shared_dir, small_batches
 
-__all__ = ["components", "drop_kept", "free_name", "kept", "materialize", "n_parts", "new_path", "release_memory", "shared_dir", "ship_package", "small_batches", "without_ids"]
+__all__ = ["components", "drop_kept", "free_name", "kept", "materialize", "n_parts", "new_path", "release_memory", "scratch", "shared_dir", "ship_package", "small_batches", "without_ids"]
 
 #: Up to so many ids (8 bytes each) are sent to every executor; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
