@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsflow.functions.similarity import bound
+
 TITLE_CHARS, SUMMARY_CHARS, URL_CHARS = 300, 200, 2048
 
 #: Named entities and their characters.
@@ -67,25 +69,27 @@ def _named(piece: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Numeric references, then named ones; unknown ones go."""
-    return F.when(F.contains(text, F.lit("&")), _rewritten(_rewritten(text, NUMERIC, _numeric), ENTITY, _named)).otherwise(text)
+    return bound(text, lambda t: F.when(F.contains(t, F.lit("&")), _rewritten(_rewritten(t, NUMERIC, _numeric), ENTITY, _named)).otherwise(t))
 
 
 def plain_text(html: Column) -> Column:
     """Markup out, entities decoded twice, white space collapsed; empty is null."""
     bare = decode_entities(decode_entities(F.regexp_replace(html, TAG, " ")))
-    out = trim_all(F.regexp_replace(bare, r"\s+", " "))
-    return F.when(out != "", out)
+    return bound(trim_all(F.regexp_replace(bare, r"\s+", " ")), lambda out: F.when(out != "", out))
 
 
 def first_image(html: Column) -> Column:
     """The first image address of a fragment, if it begins with http."""
     raw = F.regexp_extract(html, IMAGE_SOURCE, 1)
-    url = trim_all(decode_entities(raw))
-    return F.when(F.lower(url).startswith("http"), url)
+    return bound(trim_all(decode_entities(raw)), lambda url: F.when(F.lower(url).startswith("http"), url))
 
 
 def truncate(text: Column, most: int) -> Column:
     """At most ``most`` characters, cut at a word, and an ellipsis."""
+    return bound(text, lambda t: _cut(t, most))
+
+
+def _cut(text: Column, most: int) -> Column:
     cut = F.left(text, F.lit(most))
     back = F.instr(F.reverse(cut), " ")
     last_space = F.lit(most) - back  # counted from 0; most if there is none

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsflow.functions import arabic, dates, text
@@ -48,6 +48,42 @@ def arabic_articles(documents: DataFrame) -> DataFrame:
     return rows.withColumn("title", F.array_join(F.slice(chosen, 1, 12), " "))
 
 
+#: Documents of one test feed: a feed's items are all read up to 200.
+FEED_DOCUMENTS = 150
+
+
+def _escaped(value: Column) -> Column:
+    return F.replace(F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _tag(name: str, value: Column) -> Column:
+    return F.coalesce(F.concat(F.lit(f"<{name}>"), _escaped(value), F.lit(f"</{name}>")), F.lit(""))
+
+
+def feed_bodies(documents: DataFrame) -> DataFrame:
+    """(source_id, url, body): feeds of 150 documents each, RSS and Atom by turns; titles as in ``raw_articles``, whole texts as descriptions."""
+    rows = raw_articles(documents).join(documents.select(F.col("doc_id").alias("seq"), "text"), "seq").withColumn("feed", F.floor(F.col("seq") / FEED_DOCUMENTS))
+    at, guid = F.timestamp_millis("published_at"), F.concat(F.lit("https://guid.example.com/"), F.col("seq").cast("string"))
+    rss = F.concat(F.lit("<item>"), _tag("title", F.col("title")), _tag("link", F.col("url")), _tag("description", F.col("text")), _tag("category", F.col("categories")[0]),
+                   F.lit("<pubDate>"), F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000</pubDate>"), _tag("guid", guid), F.lit("</item>"))
+    link = F.coalesce(F.concat(F.lit('<link rel="self" href="https://self"/><link href="'), _escaped(F.col("url")), F.lit('"/>')), F.lit(""))
+    atom = F.concat(F.lit("<entry>"), _tag("id", guid), link, _tag("title", F.col("title")), F.coalesce(F.concat(F.lit('<category term="'), F.col("categories")[0], F.lit('"/>')), F.lit("")),
+                    F.lit("<updated>"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</updated>"), _tag("summary", F.col("text")), F.lit("</entry>"))
+    item = F.when(F.col("feed") % 2 == 0, rss).otherwise(atom)
+    feeds = rows.select("feed", F.struct("seq", item.alias("item")).alias("x")).groupBy("feed").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    joined = F.array_join(F.transform("xs", lambda x: x["item"]), "\n")
+    body = F.when(F.col("feed") % 2 == 0, F.concat(F.lit('<?xml version="1.0"?><!DOCTYPE rss [<!ENTITY a "b">]><rss><channel><title>feed</title>'), joined, F.lit("</channel></rss>"))).otherwise(
+        F.concat(F.lit("<feed><title>feed</title>"), joined, F.lit("</feed>")))
+    return feeds.select(F.concat(F.lit("feed"), F.col("feed").cast("string")).alias("source_id"), F.lit("https://feeds.example.com/").alias("url"), body.alias("body"))
+
+
+def feed_sources(documents: DataFrame) -> DataFrame:
+    """A registry of the feeds of ``feed_bodies``; every seventh is disabled."""
+    feed = documents.select(F.floor(F.col("doc_id") / FEED_DOCUMENTS).alias("feed")).distinct()
+    return feed.select(F.concat(F.lit("feed"), F.col("feed").cast("string")).alias("id"), F.when(F.col("feed") % 2 == 0, "rss").otherwise("atom").alias("adapter"), (F.col("feed") % 7 != 6).alias("enabled"),
+                       F.lit(None).cast("struct<pattern:string,replacement:string>").alias("imageRewrite"))
+
+
 def sources(documents: DataFrame) -> DataFrame:
     """Outlets by name: priority is their number, number 19 is disabled."""
     number = F.regexp_extract("source", r"(\d+)$", 1).cast("int")

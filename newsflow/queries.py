@@ -14,6 +14,7 @@ from newsflow.operators import funnel as funnels
 from newsflow.operators import store
 from newsflow.plans import views
 from newsflow.plans.views import FIRST, STEP, read
+from newsflow.sources import feeds
 from newsflow.streaming import live
 from newsflow.sources.vocabulary import Vocabulary, Weights
 from newsflow.tables import materialize, new_path
@@ -243,6 +244,33 @@ def f12_count_label(spark, d):
     return _docs(spark, d).select("doc_id", text.count_label(F.col("doc_id") % 15 + 1).alias("label"))
 
 
+# -- feeds -----------------------------------------------------------------------------------------------
+
+_FEEDS = f"""{ARTICLES}, fed AS (SELECT seq, 'feed' || seq // {views.FEED_DOCUMENTS} AS source_id, seq // {views.FEED_DOCUMENTS} AS feed, CAST(row_number() OVER (PARTITION BY seq // {views.FEED_DOCUMENTS} ORDER BY seq) - 1 AS INTEGER) AS pos,
+    nullif(trim(title), '') AS title, url, text, raw.lang, published_at FROM raw JOIN documents ON doc_id = seq)"""
+
+
+@query(f"WITH {_FEEDS} SELECT source_id, pos, title, url AS link, CASE WHEN trim(text, ' \n\t') <> '' THEN text END AS description, 'https://guid.example.com/' || seq AS guid, coalesce(lang, '') AS categories, CAST(count(*) OVER (PARTITION BY source_id) AS INTEGER) AS offered FROM fed")
+def x1_feed_items(spark, d):
+    """What the reader takes from RSS and Atom feeds made of the documents."""
+    rows = feeds.items_of(views.feed_bodies(_docs(spark, d)))
+    return rows.select("source_id", "pos", "title", "link", F.col("description_html").alias("description"), "guid", F.array_join("categories", ",").alias("categories"), "offered")
+
+
+@query(f"""WITH {_FEEDS}, a AS (SELECT *, regexp_replace(title, '{_SQL_TAG}', ' ', 'g') AS t, regexp_replace(text, '{_SQL_TAG}', ' ', 'g') AS s FROM fed WHERE feed % 7 <> 6),
+b AS (SELECT * REPLACE ({_sql_decode('t')} AS t, {_sql_decode('s')} AS s) FROM a), c AS (SELECT * REPLACE ({_sql_named('t')} AS t, {_sql_named('s')} AS s) FROM b),
+e AS (SELECT * REPLACE ({_sql_decode('t')} AS t, {_sql_decode('s')} AS s) FROM c), f AS (SELECT * REPLACE ({_sql_named('t')} AS t, {_sql_named('s')} AS s) FROM e),
+g AS (SELECT source_id, pos, nullif({_sql_trim(f"regexp_replace(t, '[{_SQL_BLANK}]+', ' ', 'g')")}, '') AS title, nullif({_sql_trim(f"regexp_replace(s, '[{_SQL_BLANK}]+', ' ', 'g')")}, '') AS plain,
+  coalesce(url, 'https://guid.example.com/' || seq) AS url, published_at, coalesce(lang, '') AS categories FROM f),
+h AS (SELECT *, {_sql_truncate('plain', 200)} AS s FROM g)
+SELECT source_id, pos, title, CASE WHEN lower(s) <> lower(title) THEN s END AS summary, url, published_at, categories FROM h WHERE title IS NOT NULL""")
+def p1_feed_articles(spark, d):
+    """Articles of the enabled feeds, by adapter: plain titles and summaries, validated addresses or the guid's, parsed dates."""
+    docs = _docs(spark, d)
+    rows = feeds.articles_of(views.feed_bodies(docs), views.feed_sources(docs), 4_000_000_000_000)
+    return rows.select("source_id", "pos", "title", "summary", "url", "published_at", F.array_join("categories", ",").alias("categories"))
+
+
 # -- Arabic ----------------------------------------------------------------------------------------------
 
 @query(f"WITH {ARTICLES}, n AS (SELECT seq, {_sql_normalize('title')} AS normalized FROM raw) SELECT seq, normalized, array_to_string({_sql_tokens('normalized')}, ' ') AS tokens, array_to_string(list_transform({_sql_tokens('normalized')}, lambda t: {_sql_stem('t')}), ' ') AS stemmed, array_to_string({_sql_dedupe_tokens('normalized')}, ' ') AS for_dedupe FROM n")
