@@ -327,6 +327,26 @@ def test_genetic_packing_saves_bins():
     assert saved > 0
 
 
+def test_islands_with_migration_save_bins(spark):
+    """The registered islands, generations and population, both rounds, where best fit by falling length misses the bound."""
+    first = packed = 0
+    for seed in range(3):
+        rng = random.Random(seed)
+        lengths = []
+        for _ in range(30):
+            a, b = rng.randint(260, 380), rng.randint(260, 380)
+            lengths += [a, b, 1000 - a - b]
+        first += len(packing.best_fit(lengths, sorted(range(90), key=lambda i: -lengths[i]), 1000))
+        rows = packing.pack(spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "rid long, length long").withColumn("piece", F.col("rid")), capacity=1000).collect()
+        by_sequence = {}
+        for r in sorted(rows, key=lambda r: r.offset):
+            assert r.offset == by_sequence.get(r.sequence_id, 0)
+            by_sequence[r.sequence_id] = r.offset + r.length
+        assert sorted(r.piece for r in rows) == list(range(90)) and max(by_sequence.values()) <= 1000
+        packed += len(by_sequence)
+    assert packed < first
+
+
 def test_genetic_step():
     rng = random.Random(9)
     lengths = [rng.randint(1, 60) for _ in range(80)]
