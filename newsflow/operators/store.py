@@ -46,7 +46,7 @@ def newest(articles: DataFrame) -> DataFrame:
     return articles.agg(F.coalesce(F.max("published_at"), F.lit(0)).alias("published_at"))
 
 
-def by_id(articles: DataFrame, id_: str) -> DataFrame:
+def by_id(articles: DataFrame, id_: str | Column) -> DataFrame:
     return articles.where(F.col("id") == id_)
 
 
@@ -84,14 +84,16 @@ def marked_notified(articles: DataFrame, ids: DataFrame) -> DataFrame:
     return hit.withColumn("notified", F.col("notified") | F.coalesce("_hit", F.lit(False))).select(*articles.columns)
 
 
-def kept(articles: DataFrame, cutoff_ms: int) -> DataFrame:
+def kept(articles: DataFrame, cutoff_ms: int | Column) -> DataFrame:
     return articles.where(F.col("published_at") >= cutoff_ms)
 
 
-def position(articles: DataFrame, id_: str, n: int = LATEST) -> DataFrame:
-    """Index of a row in the timeline (from 0)."""
-    order = Window.orderBy(F.desc("published_at"), F.desc("id"))
-    return latest(articles, n).withColumn("position", F.row_number().over(order) - 1).where(F.col("id") == id_).select("id", "position")
+def position(articles: DataFrame, id_: str | DataFrame, n: int = LATEST) -> DataFrame:
+    """Index of a row in the timeline (from 0); of one id, or of those of a few rows."""
+    order = Window.orderBy(F.desc("published_at"), F.desc("id"))  # over at most n rows
+    placed = latest(articles, n).withColumn("position", F.row_number().over(order) - 1)
+    placed = placed.where(F.col("id") == id_) if isinstance(id_, str) else placed.join(id_.select("id"), "id", "left_semi")
+    return placed.select("id", "position")
 
 
 def displayed(articles: DataFrame, sources: DataFrame) -> DataFrame:

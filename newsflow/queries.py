@@ -482,9 +482,8 @@ def q05_newest(spark, d):
 @query(f"WITH {TABLE} SELECT {_COLUMNS} FROM articles WHERE id = md5('https://src5.example.com/en/5') OR id = (SELECT min(id) FROM articles)")
 def q06_by_id(spark, d):
     rows = _table(spark, d)
-    least = rows.agg(F.min("id")).first()[0]
-    from_url = rows.where(F.col("id") == F.md5(F.lit("https://src5.example.com/en/5")))
-    return store.by_id(rows, least).unionByName(from_url).select(*_KEPT).distinct()
+    least = rows.join(F.broadcast(rows.agg(F.min("id").alias("id"))), "id", "left_semi")  # one row
+    return least.unionByName(store.by_id(rows, F.md5(F.lit("https://src5.example.com/en/5")))).select(*_KEPT).distinct()
 
 
 @query(f"WITH {TABLE} SELECT {_COLUMNS}, day_bucket FROM articles WHERE day_bucket BETWEEN {(CLOCK - 43_200_000) // 43_200_000 - 1} AND {CLOCK // 43_200_000 + 1}")
@@ -529,7 +528,7 @@ def q13_prune(spark, d):
 @query(f"WITH {TABLE} SELECT * FROM (SELECT id, CAST(row_number() OVER (ORDER BY published_at DESC, id DESC) - 1 AS INTEGER) AS position FROM articles) WHERE position < 200 AND id = (SELECT id FROM articles ORDER BY published_at DESC, id DESC LIMIT 1 OFFSET 50)")
 def r07_position(spark, d):
     rows = _table(spark, d)
-    wanted = store.latest(rows, 51).orderBy("published_at", "id").first()["id"]
+    wanted = store.latest(rows, 51).orderBy("published_at", "id").limit(1).select("id")
     return store.position(rows, wanted)
 
 
@@ -654,5 +653,5 @@ def e02_latest_events(spark, d):
 @query("SELECT event_type, count(*) AS n, max((epoch_us(ts) // 1000)) AS newest FROM events WHERE (epoch_us(ts) // 1000) >= (SELECT max((epoch_us(ts) // 1000)) FROM events) - 172800000 GROUP BY event_type")
 def e13_recent_by_type(spark, d):
     rows = read(spark, d, "events").select("event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("published_at"))
-    newest = rows.agg(F.max("published_at")).first()[0]
-    return store.kept(rows, newest - store.RETENTION).groupBy("event_type").agg(F.count("*").alias("n"), F.max("published_at").alias("newest"))
+    newest = F.broadcast(rows.agg(F.max("published_at").alias("newest")))  # one row
+    return store.kept(rows.join(newest, F.lit(True)), F.col("newest") - store.RETENTION).groupBy("event_type").agg(F.count("*").alias("n"), F.max("published_at").alias("newest"))
