@@ -123,10 +123,9 @@ def stable_hash(text: Column) -> Column:
     2^40 + 435, so low' = low * 435 and high' = high * 435 + low * 2^8 + carry, each modulo 2^32.
     """
     mask = F.lit(0xFFFFFFFF)
-    codes = F.hex(F.encode(text, "UTF-8"))
-    n = F.octet_length(text)
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    octets = F.transform(at, lambda i: F.conv(F.substring(codes, 2 * i + 1, 2), 16, 10).cast("long"))
+    # the bytes read as Latin-1 are one character each
+    letters = F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), "")
+    octets = F.transform(F.filter(letters, lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
     start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
 
     def step(acc, b):

@@ -55,8 +55,9 @@ def with_priority(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 def candidates(scored: DataFrame, sources: DataFrame, now_ms: int, seen_in_feed: bool) -> DataFrame:
     """Accepted rows (with ``seq``, their fetch order) as article rows to be."""
-    canonical = text.canonical_url(F.col("url"))
-    rows = with_priority(scored, sources).withColumn("canonical_url", canonical).withColumn("normalized_title", arabic.for_dedupe(F.col("title")))
+    # one row in, one out: addresses and titles are normalized once, not wherever they are used
+    once = F.explode(F.array(F.struct(text.canonical_url(F.col("url")).alias("canonical_url"), arabic.for_dedupe(F.col("title")).alias("normalized_title"))))
+    rows = with_priority(scored, sources).withColumn("_x", once).withColumns({"canonical_url": F.col("_x.canonical_url"), "normalized_title": F.col("_x.normalized_title")})
     return rows.select(
         text.stable_hash(F.col("canonical_url")).alias("id"), "source_id", "title", "summary", "url", "canonical_url", "image_url", "published_at",
         F.lit(now_ms).cast("long").alias("fetched_at"), F.col("classification.breaking_score").alias("breaking_score"),
