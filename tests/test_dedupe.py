@@ -190,3 +190,26 @@ def test_second_sync_and_funnel_queries_equal_one_pass(spark, tmp_path):
         assert (r.accepted, r.deduped_away, r.already_stored, r.inserted) == (passed[source], away.get(source, 0), known.get(source, 0), inserted[source])
         assert r.loss_percent == (r.deduped_away * 100 // r.accepted if r.accepted else 0)
     assert {(r.source_id, r.loss_percent) for r in QUERIES["g05_alerts"](spark, d).collect()} == {(s, r.loss_percent) for s, r in funnel.items() if r.accepted and r.loss_percent > 60}
+
+
+def test_pairs_of_sparse_buckets_write_no_terms_and_equal_those_of_crowds(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from newsflow.functions import similarity
+    from newsflow.operators import dedupe
+
+    written, keep = [], dedupe.materialize
+    monkeypatch.setattr(dedupe, "materialize", lambda df, label, *more: written.append(label) or keep(df, label, *more))
+    titles = ["alpha beta gamma delta", "alpha beta gamma epsilon", "ha ha ha ha ha ha ha ha ha ha", "ha ha ha ha ha oh", "", "delta gamma", "one two three four five", "one two three four six", "x"]
+    rows = [(k, titles[k * 5 % len(titles)], (k - 20) * 7_000_000 + k % 3) for k in range(60)]
+    frame = spark.createDataFrame(rows, "node long, normalized_title string, published_at long")
+    found = lambda **more: sorted((r.a, r.b, round(r.j, 9), round(r.c, 9)) for r in dedupe.similar_pairs(frame, **more).collect())
+    all_by_sketch = found()
+    assert "terms" not in written
+    assert found(crowd=0) == all_by_sketch and "terms" in written
+    one, two = frame.toDF("a", "x", "s"), frame.toDF("b", "y", "t")
+    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda t: t != ""))
+    size = lambda c: similarity.magnitude(similarity.profile(F.col(c)))
+    both = one.join(two, (F.col("a") < F.col("b")) & (F.abs(F.col("s") - F.col("t")) <= dedupe.WINDOW))
+    both = both.select("a", "b", similarity.jaccard(words("x"), words("y")).alias("j"), (similarity.dot(similarity.profile(F.col("x")), similarity.profile(F.col("y"))) / (size("x") * size("y"))).alias("c"))
+    assert all_by_sketch and all_by_sketch == sorted((r.a, r.b, round(r.j, 9), round(r.c, 9)) for r in both.where(similarity.duplicates(F.col("j"), F.col("c"))).collect())
