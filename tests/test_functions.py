@@ -91,3 +91,13 @@ def test_entities_equal_the_feed_readers_own_decoding(spark):
     assert "Python" not in out._jdf.queryExecution().toString()
     for r in out.collect():
         assert r.d == (None if r.t is None else feeds.decode_text(r.t)), r.t
+
+
+def test_date_patterns_are_matched_once_a_form(spark):
+    from pyspark.sql import functions as F
+
+    from newsflow.functions import dates
+
+    frame = spark.createDataFrame([("2026-01-02T03:04:05-0230",)], "t string").select(dates.parse_date(F.col("t"), 4_000_000_000_000).alias("ms"))
+    assert frame.first()["ms"] == 1_767_332_045_000
+    assert "regexp_extract" not in frame._jdf.queryExecution().analyzed().toString()
