@@ -14,9 +14,11 @@ similar sets' sketches agree on a block.
   their n hot blocks (in one order for all) only in the first n - slack, among which similar sets still share one.  The empty block has no
   bucket: sets that show more empty blocks than the slack, which may agree on nothing else, also go by their prefix,
   the least shingles of which similar sets share one (an exact bound).
-* Sets of hot buckets are first compared with the least set of their first bucket.  What verified links have not joined then meets
-  across components: in each bucket one component (that of most sets) is set apart.  Members of all others are compared with
-  each other, chunk by chunk, and with the sets of the one, each of which takes part once and not once a bucket.  The nearest by sketch go first, in rounds that
+* Sets of hot buckets are first compared with the set of their first bucket that has most hot blocks.  Where verified links leave several components in a
+  hot bucket, its sets meet again by their rarest shingles: in one order of all shingles, by their number among these sets, similar sets share one of their first
+  (an exact bound, by classes of both sizes).  What most of a family holds comes last, so a key of many sets holds only such as consist of common shingles almost wholly.
+* In each key of several components one (that of most sets) is set apart.  Members of all others are compared with
+  each other, chunk by chunk, and with the sets of the one, each of which takes part once and not once a key.  The nearest by sketch go first, in rounds that
   allow more each until nothing is left out.
 * Proposed pairs whose whole sketches are too far apart go; the rest are verified on the texts' exact
   shingle sets, links that would join nothing new last, so that groups of near copies need no all-pairs check.
@@ -53,6 +55,10 @@ SKETCH_BITS = 4
 #: Up to so many ids (8 bytes each) are sent to every executor; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 SHINGLE_WORDS = 5
+#: Counters of shingles, and rows that they travel in.  Shingles of one counter count as one; that is an order as exact as any.
+SLOTS, SLOT_PIECES = 1 << 20, 64
+#: Size classes for keys of rare shingles grow by 1/20.
+FINE = 20
 
 
 class Bands:
@@ -60,7 +66,7 @@ class Bands:
 
     def __init__(self, num: int = 80, den: int = 100):
         self.num, self.den = num, den
-        self.upper = [1]
+        self.upper, self.fine = [1], [1]
 
     def differ(self, total: int) -> int:
         """The largest symmetric difference of similar sets with ``total`` members together."""
@@ -79,6 +85,19 @@ class Bands:
         """How many of its least shingles a set shows so that similar sets show one in common: they have num/den of n."""
         return n + (-n * self.num) // self.den + 1
 
+    def fine_class(self, n: int) -> int:
+        while self.fine[-1] < n:
+            self.fine.append(max(self.fine[-1] + 1, self.fine[-1] * (FINE + 1) // FINE))
+        return int(np.searchsorted(self.fine, n))
+
+    def rare(self, n: int) -> Iterator[tuple[int, int, int, int]]:
+        """(class, class, side, length) for each class of partners: of the shingles in one order, similar sets have one in common among so many first ones.
+        The side is 1 for the lower class, 2 for the higher, 3 for both."""
+        own, least = self.fine_class(n), -(-n * self.num // self.den)
+        for other in range(self.fine_class(least), self.fine_class(self.most(n)) + 1):
+            partner = max(least, self.fine[other - 1] + 1 if other else 1)
+            yield min(own, other), max(own, other), 3 if own == other else 1 + (own > other), n + (-(n + partner) * self.num) // (self.num + self.den) + 1
+
     def slack(self, layout: int) -> int:
         return 3 + self.differ(2 * self.upper[layout]) // 8
 
@@ -384,6 +403,96 @@ def _own_texts(words: int):
     return run
 
 
+def _own_sets(words: int):
+    """Of the sets of a doc_id the node's, by its second name too."""
+    schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                rows = [(n, h.astype("<u8").tobytes()) for n, o, h in zip(b.column("node").to_pylist(), b.column("other").to_pylist(), shingle_sets(b.column("text").to_pylist(), words), strict=True) if names_of(h)[1] == o]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([h for _, h in rows], pa.binary())], schema=schema)
+        _rest()
+
+    return run
+
+
+def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a task's sets fall on each counter, in pieces."""
+    counts = np.zeros(SLOTS, np.int64)
+    for b in batches:
+        hashes = np.frombuffer(b"".join(b.column("hashes").to_pylist()), "<u8")
+        counts += np.bincount((hashes & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+    pieces = [np.flatnonzero(x) for x in np.split(counts, SLOT_PIECES)]
+    at = [k for k, x in enumerate(pieces) if len(x)]
+    size = SLOTS // SLOT_PIECES
+    if at:
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([pieces[k].astype("<u4").tobytes() for k in at], pa.binary()), pa.array([counts[k * size + pieces[k]].astype("<i8").tobytes() for k in at], pa.binary())], names=["piece", "slots", "counts"])
+
+
+def _sum_slots(table: pa.Table) -> pa.Table:
+    sums = np.zeros(SLOTS // SLOT_PIECES, np.int64)
+    for slots, counts in zip(table.column("slots").to_pylist(), table.column("counts").to_pylist(), strict=True):
+        sums[np.frombuffer(slots, "<u4")] += np.frombuffer(counts, "<i8")
+    return pa.table([table.column("piece")[:1], pa.array([np.minimum(sums, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())], names=["piece", "counts"])
+
+
+def _rare_keys(num: int, den: int, counts: np.ndarray):
+    """A set's keys: its first shingles in order of their counters, for each class of partners; the last two bits are the side.  What is alone on its counter meets nothing."""
+    schema = pa.schema([("node", pa.int64()), ("keys", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
+        for b in batches:
+            out = []
+            for raw in b.column("hashes").to_pylist():
+                hashes = np.frombuffer(raw, "<u8")
+                count = counts[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)]
+                order = np.lexsort((hashes, count))
+                hashes, alone = mix(hashes[order]), int((count < 2).sum())
+                found = [mix(hashes[alone:k] ^ mix(np.array([x << 32 | y], np.uint64))) << np.uint64(2) | np.uint64(side) for x, y, side, k in bands.rare(len(hashes)) if k > alone]
+                out.append(np.concatenate(found).astype("<u8").tobytes() if found else b"")
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(out, pa.binary())], schema=schema)
+        _rest()
+
+    return run
+
+
+def _deal_keys(parts: int):
+    """Keys packed by part: a row per part and batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column("keys").to_pylist()
+            key = np.frombuffer(b"".join(raw), "<u8")
+            if not len(key):
+                continue
+            owner = np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])
+            part = ((key >> np.uint64(2)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+            columns = [key[order].astype("<u8"), *(b.column(c).to_numpy()[owner[order]].astype("<i8") for c in ("node", "component"))]
+            blobs = [pa.array([x[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary()) for x in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(part[order][edges[:-1]], pa.int32()), *blobs], names=["part", "keys", "nodes", "components"])
+        release_memory()
+
+    return run
+
+
+def _mixed(table: pa.Table) -> pa.Table:
+    """(bucket, node, component) of the keys that sets of several components show, from both sides."""
+    key, node, component = (np.frombuffer(b"".join(table.column(c).to_pylist()), "<i8") for c in ("keys", "nodes", "components"))
+    order = np.argsort(key, kind="stable")
+    key, side, node, component = key[order] >> 2, key[order] & 3, node[order], component[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    several = (np.minimum.reduceat(component, starts) < np.maximum.reduceat(component, starts)) & (np.bitwise_or.reduceat(side, starts) == 3)
+    kept = np.repeat(several, np.diff(np.append(starts, len(key))))
+    out = pa.table([key[kept], node[kept], component[kept]], names=["bucket", "node", "component"])
+    release_memory()
+    return out
+
+
 def _across(num: int, den: int, most: int):
     """Within a group of sets on sides 1 and 2 (or both, 3): each set's ``most`` nearest sets of the other side and of other
     components that their sketches allow, and whether there were more."""
@@ -478,10 +587,31 @@ class JaccardJoin:
         side = lambda k: texts.select(F.col("node").alias("ab"[k - 1]), F.col("text").alias(f"t{k}"))
         return materialize(pairs.join(side(1), "a").join(side(2), "b").mapInArrow(_verify(self.words, self.num, self.den), "a long, b long").distinct(), "join-links")
 
-    def across(self, hot: DataFrame, component: DataFrame, most: int) -> DataFrame:
-        """(a, b, more): pairs of sets of one hot bucket between components, each set's ``most`` nearest per chunk."""
-        label = hot.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        each = label.select("node", "component", F.explode("buckets").alias("bucket"))
+    def rare_keys(self, hot: DataFrame, component: DataFrame) -> DataFrame:
+        """(node, keys): keys of rare shingles of the sets whose hot buckets hold several components."""
+        label = hot.join(component, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.explode("buckets").alias("bucket"))
+        mixed = label.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+        wanted = materialize(label.join(mixed, "bucket").select("node").distinct().join(self.nodes.select("node", "doc_id", "other"), "node"), "join-several")
+        ids = F.broadcast(wanted) if wanted.count() <= self.broadcast_ids else wanted
+        sets = materialize(self.documents.join(ids, "doc_id").select("node", "other", "text").mapInArrow(_own_sets(self.words), "node long, hashes binary"), "join-sets")
+        sums = sets.select("hashes").mapInArrow(_count_slots, "piece int, slots binary, counts binary").groupBy("piece").applyInArrow(_sum_slots, "piece int, counts binary")
+        counts = np.zeros((SLOT_PIECES, SLOTS // SLOT_PIECES), "<u4")
+        for r in sums.collect():  # a table of fixed size
+            counts[r["piece"]] = np.frombuffer(r["counts"], "<u4")
+        keys = sets.mapInArrow(_rare_keys(self.num, self.den, counts.ravel()), "node long, keys binary")
+        # a repeated doc_id brings a set along once more
+        return materialize(keys.groupBy("node").agg(F.min("keys").alias("keys")), "join-keys")
+
+    def mixed(self, keys: DataFrame, component: DataFrame) -> DataFrame:
+        """(bucket, node, component): the keys that sets of several components show."""
+        size = keys.agg(F.sum(F.octet_length("keys")).alias("n")).first()["n"] or 0
+        parts = max(n_parts(self.spark), -(-3 * int(size) // PART_BYTES))
+        label = keys.join(component, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "keys")
+        dealt = label.mapInArrow(_deal_keys(parts), "part int, keys binary, nodes binary, components binary")
+        return materialize(dealt.groupBy("part").applyInArrow(_mixed, "bucket long, node long, component long"), "join-keyed")
+
+    def across(self, each: DataFrame, most: int) -> DataFrame:
+        """(a, b, more): pairs of sets of one key between components, each set's ``most`` nearest per chunk."""
         counted = each.groupBy("bucket", "component").agg(F.count("*").alias("m"))
         one = counted.groupBy("bucket").agg(F.max_by("component", F.struct("m", "component")).alias("one"), F.count("*").alias("k"), F.sum("m").alias("all"), F.max("m").alias("m")).where("k > 1")
         one = materialize(one.select("bucket", "one", (F.col("all") - F.col("m")).alias("others")), "join-mixed")
@@ -495,7 +625,7 @@ class JaccardJoin:
         found = rows.join(sketch, "node").groupBy("bucket", "lo", "hi").applyInArrow(_across(self.num, self.den, most), "a long, b long, more boolean")
         # with the sets of the one: both sides are dealt to chunks
         met = materialize(others.select("node", "component", "one").distinct(), "join-met")
-        large = label.select("node", F.col("component").alias("one")).distinct().join(met.select("one").distinct(), "one")
+        large = each.select("node", F.col("component").alias("one")).distinct().join(met.select("one").distinct(), "one")
         dealt = lambda rows, name: rows.groupBy("one").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias(name))
         both = materialize(dealt(large, "p").join(dealt(met, "q"), "one"), "join-chunks")
         at = lambda k: F.pmod(F.xxhash64("node"), k).cast("int")
@@ -508,9 +638,10 @@ class JaccardJoin:
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id)."""
         hot = self.unsafe()
-        first = hot.groupBy("node").agg(F.min(F.element_at("buckets", 1)).alias("bucket"))
-        centre = first.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("m")).where("m > 1")
-        star = first.join(centre, "bucket").where("node <> a").select("a", F.col("node").alias("b"))
+        first = hot.groupBy("node").agg(F.min(F.element_at("buckets", 1)).alias("bucket"), F.max(F.size("buckets")).alias("m"))
+        # the set with the most hot blocks differs least from what a family has in common
+        centre = first.groupBy("bucket").agg(F.max_by("node", F.struct("m", "node")).alias("centre"), F.count("*").alias("k")).where("k > 1")
+        star = first.join(centre, "bucket").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
         pairs = self.close(self.pairs.unionByName(star).distinct())
         # one pair per node first: most groups of near copies are joined by these
         first = pairs.groupBy(F.col("b")).agg(F.min("a").alias("a")).select("a", "b")
@@ -519,9 +650,9 @@ class JaccardJoin:
         rest = self._apart(pairs.join(first, ["a", "b"], "left_anti"), joined)
         links = links.unionByName(self.verified(rest))
         joined = components(links)
-        most = 4
+        keys, most = self.rare_keys(hot, joined), 4
         while True:
-            found = self.across(hot, joined, most)
+            found = self.across(self.mixed(keys, joined), most)
             fresh = materialize(found.select("a", "b").join(pairs, ["a", "b"], "left_anti"), "join-rest")
             if fresh.limit(1).count():
                 links, pairs = materialize(links.unionByName(self.verified(fresh)), "join-links"), pairs.unionByName(fresh)

@@ -453,6 +453,46 @@ def test_ngram_join_hot_groups(spark, monkeypatch):
         assert got == want
 
 
+def test_ngram_join_of_a_family_meets_by_rare_shingles(spark, monkeypatch):
+    """Sets of one family that mostly do not link: what meets across components grows with their number and not with its square."""
+    rng = random.Random(44)
+    base = prose(rng, 150).split()
+    texts = []
+    for _ in range(600):
+        copy = list(base)
+        for _ in range(rng.randint(0, 7)):
+            copy[rng.randrange(len(copy))] = prose(rng, 1)
+        texts.append(" ".join(copy))
+    write, rows = ngram_join.materialize, []
+
+    def counted(df, label, *more):
+        out = write(df, label, *more)
+        if label == "join-others":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs(spark, texts)).collect()}
+    assert got == brute_components(texts) and len({c for _, c in got.values()}) > 200
+    assert sum(rows) < 2 * len(texts)
+
+
+def test_rare_shingles_of_similar_sets_meet():
+    """Sets at the threshold share a key, in whichever order the shingles come."""
+    rng = np.random.default_rng(45)
+    bands = ngram_join.Bands()
+    for n in [*range(1, 60), 146, 500]:
+        for more in {0, (bands.most(n) - n) // 2, bands.most(n) - n}:
+            both = -(-(n + n + more) * 80 // 180)
+            if both > n:
+                continue
+            for _ in range(5):
+                every = rng.permutation(2 * n + more - both)
+                one, two = np.sort(every[:n]), np.sort(every[n - both:])
+                keys = [{(x, y, t) for x, y, _, k in bands.rare(len(s)) for t in s[:max(k, 0)].tolist()} for s in (one, two)]
+                assert len(two) == n + more and keys[0] & keys[1]
+
+
 def test_ngram_join_rows_without_id(spark):
     rows = spark.createDataFrame([(None, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (2, "x y z"), (None, None)], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in ngram_join.jaccard_components(rows).collect())
