@@ -1,6 +1,7 @@
-"""A keyed table that writes touch in part: Parquet files of one time bucket each, and a manifest for each version.
+"""A keyed table that writes touch in part: Parquet files of one time bucket or a few adjacent ones each, and a manifest for each version.
 
-A manifest names the files of its version with their rows and the least and greatest time.  A write adds files and drops files; all
+A write of few buckets makes a file of each.  One of many makes files of adjacent whole buckets, so that their number goes with the rows and not with the buckets.
+A manifest names the files of its version with their rows, the first and last bucket and the least and greatest time.  A write adds files and drops files; all
 others stay as they are, by name.  A version appears by one rename that fails where the version is there already, so a failed write is never
 seen and of two writers one wins.  Leases are published in the same way; their numbers fence off whoever held an earlier one.
 
@@ -14,11 +15,15 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from newsflow.tables import materialize, scratch
+
 #: Rows of a file at most, files of a bucket from which it is written anew, and versions whose files are kept.
 FILE_ROWS, BUCKET_FILES, KEEP = 1_000_000, 16, 2
+#: A write of many buckets makes about so many files, and more where a file would have more rows than so many.
+WRITE_FILES, SPAN_ROWS = 64, 50_000
 
 
 class Conflict(RuntimeError):
@@ -72,6 +77,11 @@ class _Folder:
         self.fs.delete(self.at(f"{self.path}/{name}"), True)
 
 
+def _last(file: dict) -> int:
+    """A file's last bucket; earlier manifests name files of one only."""
+    return file.get("last", file["bucket"])
+
+
 class KeyedTable:
     """Versions of a table with ``id``, ``published_at`` (milliseconds) and ``day_bucket`` among its ``columns`` (DDL)."""
 
@@ -106,17 +116,41 @@ class KeyedTable:
         return self.spark.read.schema(self.columns).option("recursiveFileLookup", True).parquet(*[f"{self.path}/data/{f}" for f in sorted(files)])
 
     def read_buckets(self, lowest: int, highest: int) -> DataFrame:
-        return self.read({f: s for f, s in self.files().items() if lowest <= s["bucket"] <= highest})
-
-    def write_files(self, rows: DataFrame) -> dict[str, dict]:
-        """New files of ``rows``, not yet part of any version.  Adaptive execution parts a bucket that is much larger than others."""
+        return self.read({f: s for f, s in self.files().items() if lowest <= _last(s) and s["bucket"] <= highest}).where(F.col("day_bucket").between(lowest, highest))
+
+    def _spans(self, rows: DataFrame, instead: list[dict] | None) -> DataFrame:
+        """(_bucket, span), a row a bucket: adjacent buckets are a span while they are less than a file's rows.  Where the files stand
+        ``instead`` of others, what these held together stays together, and what comes from elsewhere is by itself."""
+        counts = rows.groupBy(F.col("day_bucket").alias("_bucket")).agg(F.count("*").alias("n"))
+        part, most = F.lit(0), F.lit(SPAN_ROWS)
+        if instead is None:
+            counts = counts.join(F.broadcast(counts.agg(F.sum("n").alias("total"))), F.lit(True))  # one row
+            most = F.least(F.ceil(F.col("total") / WRITE_FILES), most)
+        else:
+            islands: list[list[int]] = []
+            for s in sorted(instead, key=lambda s: s["bucket"]):
+                if islands and s["bucket"] <= islands[-1][1]:
+                    islands[-1][1] = max(islands[-1][1], _last(s))
+                else:
+                    islands.append([s["bucket"], _last(s)])
+            held = self.spark.createDataFrame(islands, "_bucket long, last long").withColumn("n", F.lit(0).cast("long"))
+            along = Window.orderBy("_bucket", "n")
+            counts = counts.withColumn("last", F.lit(None).cast("long")).unionByName(held)
+            counts = counts.withColumn("first", F.last(F.when(F.col("last").isNotNull(), F.col("_bucket")), ignorenulls=True).over(along)).withColumn("until", F.last("last", ignorenulls=True).over(along)).where("n > 0")
+            part = F.when(F.col("_bucket") <= F.col("until"), F.col("first")).otherwise(F.col("_bucket"))
+        before = F.sum("n").over(Window.partitionBy("part").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+        return counts.withColumn("part", part).select("_bucket", F.concat_ws("-", "part", F.floor(F.coalesce(before, F.lit(0)) / most)).alias("span"))
+
+    def write_files(self, rows: DataFrame, instead: list[dict] | None = None) -> dict[str, dict]:
+        """New files of ``rows`` (read twice), not yet part of any version.  Adaptive execution parts a span that is much larger than others."""
         folder = uuid.uuid4().hex
-        out = rows.select(*self.names).withColumn("bucket", F.col("day_bucket")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "published_at", "id")
-        out.write.partitionBy("bucket").option("maxRecordsPerFile", self.file_rows).parquet(f"{self.path}/data/{folder}")
+        out = rows.select(*self.names).join(F.broadcast(self._spans(rows, instead)), F.col("day_bucket").eqNullSafe(F.col("_bucket")), "left").drop("_bucket")
+        out = out.hint("rebalance", "span").sortWithinPartitions("span", "published_at", "id")
+        out.write.partitionBy("span").option("maxRecordsPerFile", self.file_rows).parquet(f"{self.path}/data/{folder}")
         written = self.spark.read.schema(self.columns).option("recursiveFileLookup", True).parquet(f"{self.path}/data/{folder}")
         found = written.groupBy(F.col("_metadata.file_path").alias("file")).agg(
-            F.min("day_bucket").alias("bucket"), F.count("*").alias("rows"), F.min("published_at").alias("oldest"), F.max("published_at").alias("newest")).collect()
-        return {r["file"][r["file"].index(folder):]: {"bucket": r["bucket"], "rows": r["rows"], "oldest": r["oldest"], "newest": r["newest"]} for r in found}
+            F.min("day_bucket").alias("bucket"), F.max("day_bucket").alias("last"), F.count("*").alias("rows"), F.min("published_at").alias("oldest"), F.max("published_at").alias("newest")).collect()
+        return {r["file"][r["file"].index(folder):]: {"bucket": r["bucket"], "last": r["last"], "rows": r["rows"], "oldest": r["oldest"], "newest": r["newest"]} for r in found}
 
     def commit(self, operation: str, added: dict[str, dict], removed: list[str], base: dict) -> int:
         """The version after ``base``; raises ``Conflict`` if there is one, or if a later lease was given."""
@@ -166,7 +200,10 @@ class KeyedTable:
             return base["version"]
         held = self.read(base["files"]).select("id", F.col("_metadata.file_path").alias("file")).join(ids.select("id"), "id", "left_semi")
         hit = sorted(r["file"].rsplit("/data/", 1)[1] for r in held.select("file").distinct().collect())
-        return self.commit(operation, self.write_files(change(self.read(hit))), hit, base) if hit else base["version"]
+        if not hit:
+            return base["version"]
+        with scratch(self.spark):
+            return self.commit(operation, self.write_files(materialize(change(self.read(hit)), operation), [base["files"][f] for f in hit]), hit, base)
 
     def prune(self, cutoff_ms: int) -> int:
         """Drops what was published before the cutoff; files that lie before it are not read.  Returns how many rows went."""
@@ -175,21 +212,24 @@ class KeyedTable:
         cut = [f for f, s in base["files"].items() if s["oldest"] < cutoff_ms <= s["newest"]]
         if not whole and not cut:
             return 0
-        added = self.write_files(self.read(cut).where(F.col("published_at") >= cutoff_ms)) if cut else {}
+        added = self.write_files(self.read(cut).where(F.col("published_at") >= cutoff_ms), [base["files"][f] for f in cut]) if cut else {}
         before = sum(base["files"][f]["rows"] for f in whole + cut)
         self.commit("prune", added, whole + cut, base)
         return before - sum(s["rows"] for s in added.values())
 
     def compact(self, most: int = BUCKET_FILES) -> int:
-        """Writes anew the buckets of more than ``most`` files; returns how many there were."""
+        """Writes anew the buckets of more than ``most`` files; returns how many there were (of those that files begin with)."""
         base = self.manifest()
         by_bucket: dict[int, list[str]] = {}
-        for f, s in base["files"].items():
-            by_bucket.setdefault(s["bucket"], []).append(f)
+        reach: list[str] = []
+        for f in sorted(base["files"], key=lambda f: base["files"][f]["bucket"]):
+            bucket = base["files"][f]["bucket"]
+            reach = [g for g in reach if _last(base["files"][g]) >= bucket] + [f]
+            by_bucket[bucket] = reach
         crowded = {b: fs for b, fs in by_bucket.items() if len(fs) > most and sum(base["files"][f]["rows"] for f in fs) < len(fs) * self.file_rows // 2}
         if crowded:
-            files = [f for fs in crowded.values() for f in fs]
-            self.commit("compact", self.write_files(self.read(files)), files, base)
+            files = sorted({f for fs in crowded.values() for f in fs})
+            self.commit("compact", self.write_files(self.read(files), [base["files"][f] for f in files]), files, base)
         return len(crowded)
 
     def clear(self) -> None:

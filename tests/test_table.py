@@ -91,6 +91,26 @@ def test_hot_buckets_are_parted_and_crowded_ones_compacted(spark, tmp_path):
     assert small.changes(small.versions()[-1]).count() == 0
 
 
+def test_files_go_with_rows_and_not_with_buckets(spark, tmp_path):
+    rows = spark.range(3000).select(F.format_string("id%04d", "id").alias("id"), F.concat(F.lit("u"), "id").alias("canonical_url"), F.lit("t").alias("title"), (NOW - F.col("id") * 4 * HOUR).alias("published_at"))
+    rows = rows.select("*", F.floor(F.col("published_at") / WINDOW).alias("day_bucket"), F.lit(False).alias("notified"))
+    t = store.ArticleStore(spark, f"file://{tmp_path}/wide", COLUMNS)
+    t.insert(rows)
+    files = t.files()
+    assert len(files) <= table.WRITE_FILES + 1 and sum(s["rows"] for s in files.values()) == 3000 == t.read().count()
+    spans = sorted((s["bucket"], s["last"]) for s in files.values())
+    assert all(a[1] < b[0] for a, b in zip(spans[:-1], spans[1:], strict=True))
+    some = NOW // WINDOW - 500
+    assert ids(t.read_buckets(some, some + 1)) == ids(t.read().where(F.col("day_bucket").between(some, some + 1))) and len(t.read_buckets(some, some).inputFiles()) == 1
+    assert len(t.latest(20).inputFiles()) == 1 and [r.id for r in t.latest(20).collect()] == [f"id{i:04d}" for i in range(20)]
+    t.update(rows.where("id = 'id0700'").withColumn("title", F.lit("changed")))
+    assert len(t.manifest()["removed"]) == len(t.manifest()["added"]) == 1 and t.read().where("title = 'changed'").count() == 1
+    for k in range(3):
+        t.insert(frame(spark, (5000 + k, "t", NOW - 100 * 4 * HOUR)))
+    assert t.compact(3) == 1 and t.compact(3) == 0 and t.read().count() == 3003
+    assert t.prune(NOW - 1000 * 4 * HOUR) == 1999 and t.read().count() == 1004
+
+
 def test_reads_by_time_take_few_files(spark, articles):
     everything = articles.read()
     newest = [r.id for r in store.latest(everything, 7).collect()]
